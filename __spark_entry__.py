@@ -501,7 +501,7 @@ def _forecast_sql(series: str, key: str | None) -> str:
 , S AS (SELECT {kc}period, amount AS y,
                amount - lag(amount) OVER ({kp}ORDER BY period) AS w,
                row_number() OVER ({kp}ORDER BY period) AS t,
-               count(*) OVER ({kp.strip() and "(" + kp.strip() + ")" or "()"}) AS n,
+               count(*) OVER ({kp.strip()}) AS n,
                last_value(period) OVER ({kp}ORDER BY period
                    ROWS BETWEEN UNBOUNDED PRECEDING AND UNBOUNDED FOLLOWING) AS last_period,
                last_value(amount) OVER ({kp}ORDER BY period

@@ -111,3 +111,15 @@ def bool_mean(c) -> Column:
 def safe_ratio(num, den) -> Column:
     """Division that yields NULL for a zero or NULL denominator (ANSI-safe)."""
     return F.try_divide(col(num), col(den))
+
+
+def attach_scalars(df, stats):
+    """Attach a one-row statistics frame (a global aggregate) to every row.
+
+    The side is one row by construction (an aggregate without grouping), so
+    broadcasting it is size-safe; the large side is neither shuffled nor
+    re-planned, and each statistic appears once in the plan.  (Scalar
+    subqueries re-plan their input once per reference, which multiplies when
+    statistics are nested.)
+    """
+    return df.crossJoin(F.broadcast(stats))

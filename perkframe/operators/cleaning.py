@@ -1,9 +1,9 @@
 """Cleaning pipeline B1-B11: raw offers / customers / events -> event tables.
 
-Statistics (medians, IQR fences, percentiles) are one-row aggregates used as
-scalar subqueries (``DataFrame.scalar()``): each is computed once with
-map-side partial aggregation, its single value is bounded in size, and the
-large side is never shuffled or joined.
+Statistics (medians, IQR fences, percentiles) are one-row global aggregates
+(map-side partial aggregation, one row out) attached to the rows with
+``attach_scalars`` (broadcast of the one-row side); the large side is never
+shuffled.
 """
 
 from __future__ import annotations
@@ -11,7 +11,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from ..functions import parse_dict, parse_list
+from ..functions import attach_scalars, parse_dict, parse_list
 
 
 def _quantiles(c: str, qs: list[float], approx: bool, accuracy: int = 10_000):
@@ -46,37 +46,40 @@ def fill_missing(df: DataFrame, values: dict | None = None) -> DataFrame:
 def replace_above_with_median(df: DataFrame, c: str = "age", limit: float = 100,
                               approx: bool = False) -> DataFrame:
     """Values above ``limit`` become the median of the column (non-null values)."""
-    median = df.agg(_quantiles(c, [0.5], approx)[0]).scalar()
-    return df.withColumn(c, F.when(F.col(c) > F.lit(limit), median)
-                         .otherwise(F.col(c).cast("double")))
+    st = df.agg(_quantiles(c, [0.5], approx)[0].alias("_median"))
+    return (attach_scalars(df, st)
+            .withColumn(c, F.when(F.col(c) > F.lit(limit), F.col("_median"))
+                        .otherwise(F.col(c).cast("double")))
+            .drop("_median"))
 
 
 def iqr_clip_fill_median(df: DataFrame, c: str = "income", k: float = 1.5,
                          approx: bool = False) -> DataFrame:
     """Clip to the 1.5*IQR fences, then fill NULLs with the raw median."""
-    q = df.agg(_quantiles(c, [0.25, 0.5, 0.75], approx)).scalar()
-    q1, med, q3 = q[0], q[1], q[2]
+    st = df.agg(_quantiles(c, [0.25, 0.5, 0.75], approx).alias("_q"))
+    q1, med, q3 = F.col("_q")[0], F.col("_q")[1], F.col("_q")[2]
     lo, hi = q1 - F.lit(k) * (q3 - q1), q3 + F.lit(k) * (q3 - q1)
-    return df.withColumn(c, F.when(F.col(c).isNull(), med).otherwise(_clip(F.col(c), lo, hi)))
+    return (attach_scalars(df, st)
+            .withColumn(c, F.when(F.col(c).isNull(), med).otherwise(_clip(F.col(c), lo, hi)))
+            .drop("_q"))
 
 
 def clean_customers(df: DataFrame, approx: bool = False) -> DataFrame:
     """B1-B4 in one pass of statistics: date, gender, age cap, income clip/fill.
 
-    Both statistics come from one aggregate over the customer table, used as a
-    single scalar subquery (a struct), so customers are scanned once for
-    statistics and once for rows.
+    Both statistics come from one aggregate over the customer table, so
+    customers are scanned once for statistics and once for rows.
     """
-    st = df.agg(F.struct(
-        _quantiles("age", [0.5], approx)[0].alias("age_median"),
-        _quantiles("income", [0.25, 0.5, 0.75], approx).alias("inc_q"),
-    )).scalar()
-    q1, med, q3 = st["inc_q"][0], st["inc_q"][1], st["inc_q"][2]
+    st = df.agg(_quantiles("age", [0.5], approx)[0].alias("_age_median"),
+                _quantiles("income", [0.25, 0.5, 0.75], approx).alias("_inc_q"))
+    q1, med, q3 = F.col("_inc_q")[0], F.col("_inc_q")[1], F.col("_inc_q")[2]
     lo, hi = q1 - F.lit(1.5) * (q3 - q1), q3 + F.lit(1.5) * (q3 - q1)
-    out = (df.withColumn("age", F.when(F.col("age") > F.lit(100), st["age_median"])
-                         .otherwise(F.col("age").cast("double")))
+    out = (attach_scalars(df, st)
+           .withColumn("age", F.when(F.col("age") > F.lit(100), F.col("_age_median"))
+                       .otherwise(F.col("age").cast("double")))
            .withColumn("income", F.when(F.col("income").isNull(), med)
-                       .otherwise(_clip(F.col("income"), lo, hi))))
+                       .otherwise(_clip(F.col("income"), lo, hi)))
+           .drop("_age_median", "_inc_q"))
     return fill_missing(parse_member_date(out))
 
 
@@ -128,5 +131,6 @@ def denormalise(events: DataFrame, customers: DataFrame, offers: DataFrame,
 def winsorize(df: DataFrame, c: str = "amount", lower: float = 0.01, upper: float = 0.99,
               approx: bool = False) -> DataFrame:
     """Clip ``c`` to its [lower, upper] percentiles (NULL stays NULL)."""
-    p = df.agg(_quantiles(c, [lower, upper], approx)).scalar()
-    return df.withColumn(c, _clip(F.col(c), p[0], p[1]))
+    st = df.agg(_quantiles(c, [lower, upper], approx).alias("_p"))
+    return (attach_scalars(df, st)
+            .withColumn(c, _clip(F.col(c), F.col("_p")[0], F.col("_p")[1])).drop("_p"))

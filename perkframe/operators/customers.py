@@ -19,17 +19,12 @@ from ..functions import safe_ratio
 
 
 def one_row(*parts: DataFrame) -> DataFrame:
-    """Combine one-row aggregates into a single row.
-
-    Each further part becomes a scalar subquery of the first, so no join is
-    planned and every part is computed exactly once.
-    """
-    base = parts[0]
-    cols = [F.col(c) for c in base.columns]
+    """Combine one-row aggregates (global aggregates) into a single row."""
+    from ..functions import attach_scalars
+    out = parts[0]
     for p in parts[1:]:
-        s = p.select(F.struct(*p.columns).alias("s")).scalar()
-        cols += [s[c].alias(c) for c in p.columns]
-    return base.select(*cols)
+        out = attach_scalars(out, p)
+    return out
 
 
 def with_customer_total(df: DataFrame, key: str = "customer_id", amount: str = "amount",

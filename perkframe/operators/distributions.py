@@ -13,7 +13,7 @@ from collections.abc import Sequence
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from ..functions import right_closed_bins
+from ..functions import attach_scalars, right_closed_bins
 
 # Age bins (right-closed) and their labels.
 AGE_EDGES = [0, 30, 45, 60, 100]
@@ -72,13 +72,15 @@ def histogram(df: DataFrame, c: str, maxbins: int = 20) -> DataFrame:
     bin_start = floor(x / step) * step.  min / max are one scalar subquery.
     """
     x = F.col(c).cast("double")
-    st = df.agg(F.struct(F.min(x).alias("lo"), F.max(x).alias("hi"))).scalar()
+    stats = df.agg(F.struct(F.min(x).alias("lo"), F.max(x).alias("hi")).alias("_st"))
+    st = F.col("_st")
     span = (st["hi"] - st["lo"]) / F.lit(float(maxbins))
     base = F.pow(F.lit(10.0), F.floor(F.log10(span)))
     m = span / base
     step = F.when(span <= 0, F.lit(1.0)).otherwise(
         base * F.when(m <= 1, 1.0).when(m <= 2, 2.0).when(m <= 5, 5.0).otherwise(10.0))
-    b = df.filter(x.isNotNull()).select(x.alias("_x"), step.alias("step"))
+    b = attach_scalars(df.filter(x.isNotNull()).select(x.alias("_x")), stats).select(
+        "_x", step.alias("step"))
     start = F.floor(F.col("_x") / F.col("step")) * F.col("step")
     return (b.groupBy(start.alias("bin_start"), F.col("step"))
             .agg(F.count(F.lit(1)).alias("count"))
@@ -105,7 +107,7 @@ def box_stats(df: DataFrame, value: str, group: Sequence[str] | str = (), k: flo
     q1, q3 = F.col("_q")[0], F.col("_q")[2]
     lo, hi = q1 - F.lit(k) * (q3 - q1), q3 + F.lit(k) * (q3 - q1)
     inside = (F.col("_v") >= lo) & (F.col("_v") <= hi)
-    joined = base.join(qs, keys, "inner") if keys else base.crossJoin(qs)
+    joined = base.join(qs, keys, "inner") if keys else attach_scalars(base, qs)
     return (joined.groupBy(*keys, "_q")
             .agg(F.min(F.when(inside, F.col("_v"))).alias("whisker_low"),
                  F.max(F.when(inside, F.col("_v"))).alias("whisker_high"),
@@ -124,24 +126,27 @@ def density_estimate(df: DataFrame, c: str, steps: int = 100,
     1.06 * min(std, IQR / 1.34) * n^(-1/5).
     """
     x = F.col(c).cast("double")
-    st = df.agg(F.struct(
+    stats = df.agg(F.struct(
         F.min(x).alias("lo"), F.max(x).alias("hi"), F.count(x).alias("n"),
         F.stddev_samp(x).alias("sd"),
-        F.percentile(x, F.array(F.lit(0.25), F.lit(0.75))).alias("q"))).scalar()
+        F.percentile(x, F.array(F.lit(0.25), F.lit(0.75))).alias("q")).alias("_st"))
+    st = F.col("_st")
     if bandwidth is None:
         iqr = (st["q"][1] - st["q"][0]) / F.lit(1.34)
         spread = F.when(iqr > 0, F.least(st["sd"], iqr)).otherwise(st["sd"])
         h = F.lit(1.06) * spread * F.pow(st["n"].cast("double"), F.lit(-0.2))
     else:
         h = F.lit(float(bandwidth))
-    pts = (df.filter(x.isNotNull()).groupBy(x.alias("_a")).agg(F.count(F.lit(1)).alias("_w"))
-           .withColumn("_i", F.explode(F.sequence(F.lit(0), F.lit(steps - 1)))))
     grid = st["lo"] + (st["hi"] - st["lo"]) * F.col("_i") / F.lit(float(max(steps - 1, 1)))
-    kern = F.col("_w") * F.exp(F.lit(-0.5) * F.pow((grid - F.col("_a")) / h, F.lit(2.0)))
-    norm = st["n"].cast("double") * h * F.lit(math.sqrt(2 * math.pi))
-    return (pts.groupBy("_i").agg(F.sum(kern).alias("_s"), F.first(grid).alias(c),
-                                   F.first(norm).alias("_norm"))
-            .select(c, (F.col("_s") / F.col("_norm")).alias("density")))
+    pts = (attach_scalars(df.filter(x.isNotNull()).groupBy(x.alias("_a"))
+                          .agg(F.count(F.lit(1)).alias("_w")), stats)
+           .withColumn("_i", F.explode(F.sequence(F.lit(0), F.lit(steps - 1))))
+           .select("_a", "_w", "_i", grid.alias("_g"), h.alias("_h"),
+                   (st["n"].cast("double") * h * F.lit(math.sqrt(2 * math.pi))).alias("_norm")))
+    kern = F.col("_w") * F.exp(F.lit(-0.5) * F.pow((F.col("_g") - F.col("_a")) / F.col("_h"),
+                                                   F.lit(2.0)))
+    return (pts.groupBy("_i", "_g", "_norm").agg(F.sum(kern).alias("_s"))
+            .select(F.col("_g").alias(c), (F.col("_s") / F.col("_norm")).alias("density")))
 
 
 def unpivot_metrics(df: DataFrame, ids: Sequence[str], values: Sequence[str],

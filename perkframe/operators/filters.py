@@ -2,7 +2,7 @@
 
 Filters with literal bounds are plain Catalyst predicates, so they reach the
 Parquet scan as ``PushedFilters``; bounds derived from the data (C6, C8) are
-one-row aggregates used as scalar subqueries (computed once, one value).
+one-row aggregates attached with a broadcast of the one-row side.
 """
 
 from __future__ import annotations
@@ -81,9 +81,12 @@ def iqr_filter(df: DataFrame, c: str = "age", k: float = 1.5) -> DataFrame:
     (NULLs skipped), rows with a NULL value are dropped.  No-op without ``c``."""
     if c not in df.columns:
         return df
-    q = df.agg(F.percentile(F.col(c), F.array(F.lit(0.25), F.lit(0.75)))).scalar()
-    q1, q3 = q[0], q[1]
-    return df.filter(F.col(c).between(q1 - F.lit(k) * (q3 - q1), q3 + F.lit(k) * (q3 - q1)))
+    from ..functions import attach_scalars
+    st = df.agg(F.percentile(F.col(c), F.array(F.lit(0.25), F.lit(0.75))).alias("_q"))
+    q1, q3 = F.col("_q")[0], F.col("_q")[1]
+    return (attach_scalars(df, st)
+            .filter(F.col(c).between(q1 - F.lit(k) * (q3 - q1), q3 + F.lit(k) * (q3 - q1)))
+            .drop("_q"))
 
 
 def campaign_window(df: DataFrame, first_day: int, last_day: int, time_col: str = "time"

@@ -108,7 +108,7 @@ def offer_insights(offers: DataFrame, transactions: DataFrame, rfm: DataFrame,
     customers.  The three best-group lookups and the offer-level totals are
     computed by one grouping-sets aggregate over the offers (one scan, one
     small shuffle); distinct customers and the transaction totals are two more
-    one-row aggregates, all cross joined.
+    one-row aggregates, combined as scalar subqueries.
     """
     o = attach_segment(offers, rfm)
     flag = F.col("offer_success").cast("int")
@@ -116,25 +116,24 @@ def offer_insights(offers: DataFrame, transactions: DataFrame, rfm: DataFrame,
                          "offer_type", "cluster", channel_col)
           .agg(F.avg(flag).alias("rate"), F.count(F.lit(1)).alias("n"),
                F.grouping_id().alias("gid")))
-    # grouping_id bits follow the column order (offer_type, cluster, channel)
-    by_type = gs.filter(F.col("gid") == 3).filter(F.col("offer_type").isNotNull())
-    by_seg = gs.filter(F.col("gid") == 5).filter(F.col("cluster").isNotNull())
-    by_chan = gs.filter(F.col("gid") == 6).filter(F.col(channel_col).isNotNull())
-    total = gs.filter(F.col("gid") == 7).select(
-        F.col("n").alias("total_offers"), F.col("rate").alias("offer_completion_rate"))
-    top_t = top_group(by_type.withColumnRenamed("rate", "success_rate"), "offer_type") \
-        .withColumnsRenamed({"offer_type": "top_offer_type", "success_rate": "top_offer_type_rate"})
-    top_s = top_group(by_seg.withColumnRenamed("rate", "success_rate"), "cluster") \
-        .withColumnsRenamed({"cluster": "top_segment", "success_rate": "top_segment_rate"})
-    top_c = top_group(by_chan.withColumnRenamed("rate", "success_rate"), channel_col) \
-        .withColumnsRenamed({channel_col: "top_channel", "success_rate": "top_channel_rate"})
+    gid, rate = F.col("gid"), F.col("rate")
+
+    def best(bit: int, key: str, name: str):
+        # grouping_id bits follow (offer_type, cluster, channel); NULL
+        # orderings are ignored by min_by, so each pick sees only its set
+        sel = (gid == bit) & F.col(key).isNotNull() & rate.isNotNull()
+        return [F.min_by(F.col(key), F.when(sel, F.struct(-rate, F.col(key)))).alias(name),
+                F.max(F.when(sel, rate)).alias(f"{name}_rate")]
+
+    top = gs.agg(*best(3, "offer_type", "top_offer_type"), *best(5, "cluster", "top_segment"),
+                 *best(6, channel_col, "top_channel"),
+                 F.max(F.when(gid == 7, F.col("n"))).alias("total_offers"),
+                 F.max(F.when(gid == 7, rate)).alias("offer_completion_rate"))
     cust = offers.agg(F.count_distinct("customer_id").alias("total_customers_impacted"))
     txn = transactions.agg(F.coalesce(F.sum("amount"), F.lit(0.0)).alias("total_revenue"),
                            F.avg("amount").alias("avg_transaction_value"))
-    out = top_t
-    for part in (top_s, top_c, txn, total, cust):
-        out = out.crossJoin(F.broadcast(part))
-    return out
+    from .customers import one_row
+    return one_row(top, txn, cust)
 
 
 def completion_by_channel(df: DataFrame, c: str = "channels") -> DataFrame:

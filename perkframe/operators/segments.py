@@ -35,13 +35,14 @@ def rfm(df: DataFrame, key: str = "customer_id", time_col: str = "time",
     last time is the max over the groups: the global max is a second aggregate
     of the same shuffled data (the exchange is reused), not another scan.
     """
+    from ..functions import attach_scalars
     per = df.groupBy(key).agg(F.max(time_col).alias("_last"),
                               F.count(event_col).alias("frequency"),
                               F.sum(amount).alias("_spend"))
-    gmax = per.agg(F.max("_last")).scalar()
-    return (per.filter(F.col(key).isNotNull())
+    gmax = per.agg(F.max("_last").alias("_gmax"))
+    return (attach_scalars(per.filter(F.col(key).isNotNull()), gmax)
             .select(key,
-                    days_between(F.col("_last"), gmax).alias("recency"),
+                    days_between(F.col("_last"), F.col("_gmax")).alias("recency"),
                     F.col("frequency"),
                     clamp_nonneg(F.coalesce(F.col("_spend"), F.lit(0.0))).alias("monetary")))
 
@@ -55,42 +56,57 @@ class SegmentModel:
     centers: list[list[float]]
     features: tuple[str, ...] = FEATURES
     iterations: int = 0
+    scaler: DataFrame | None = None
     extra: dict = field(default_factory=dict)
 
-    def z(self, i: int) -> Column:
-        f = self.features[i]
-        m, s = self.means[i], self.stds[i]
-        m = m if isinstance(m, Column) else F.lit(float(m))
-        s = s if isinstance(s, Column) else F.lit(float(s))
-        return (F.col(f).cast("double") - m) / s
+    def _bounds(self, i: int) -> tuple[Column, Column]:
+        if self.scaler is not None:
+            return F.col(f"_m{i}"), F.col(f"_s{i}")
+        return F.lit(float(self.means[i])), F.lit(float(self.stds[i]))
+
+    def _cluster_of_z(self) -> Column:
+        """Nearest centre of the ``_z`` struct, lowest index on ties."""
+        ds = []
+        for j, c in enumerate(self.centers):
+            terms = [(F.col("_z")[f"z{i}"] - F.lit(float(v))) * (F.col("_z")[f"z{i}"] - F.lit(float(v)))
+                     for i, v in enumerate(c)]
+            d = terms[0]
+            for t in terms[1:]:
+                d = d + t
+            ds.append(F.struct(d.alias("d"), F.lit(j).alias("id")))
+        return F.array_min(F.array(*ds))["id"].cast("int")
+
+    def assign(self, df: DataFrame, name: str = "cluster") -> DataFrame:
+        """M3: add the index of the nearest centre (squared Euclid in z-space).
+
+        A data-derived scaler is a one-row aggregate attached by broadcast;
+        z-scores are computed once per row into a struct.
+        """
+        drop = ["_z"]
+        if self.scaler is not None:
+            from ..functions import attach_scalars
+            df = attach_scalars(df, self.scaler)
+            drop += list(self.scaler.columns)
+        z = []
+        for i, f in enumerate(self.features):
+            m, sd = self._bounds(i)
+            z.append(((F.col(f).cast("double") - m) / sd).alias(f"z{i}"))
+        return (df.withColumn("_z", F.struct(*z))
+                .withColumn(name, self._cluster_of_z())
+                .drop(*drop))
 
     @classmethod
     def with_scaler_of(cls, rfm_df: DataFrame, centers, features=FEATURES) -> "SegmentModel":
-        """Given centres, scaler taken from ``rfm_df`` lazily (one scalar
-        subquery, no driver round trip)."""
+        """Given centres, the scaler is taken from ``rfm_df`` lazily: a one-row
+        aggregate (population mean / std, std 0 -> 1), no driver trip."""
         aggs = []
-        for f in features:
+        for i, f in enumerate(features):
             sd = F.stddev_pop(F.col(f).cast("double"))
-            aggs += [F.avg(F.col(f).cast("double")).alias(f"m_{f}"),
+            aggs += [F.avg(F.col(f).cast("double")).alias(f"_m{i}"),
                      F.when(F.coalesce(sd, F.lit(0.0)) == 0, F.lit(1.0)).otherwise(sd)
-                     .alias(f"s_{f}")]
-        st = rfm_df.agg(F.struct(*aggs)).scalar()
-        return cls(means=[st[f"m_{f}"] for f in features], stds=[st[f"s_{f}"] for f in features],
-                   centers=[list(c) for c in centers], features=tuple(features))
-
-    def distance(self, j: int) -> Column:
-        terms = [(self.z(i) - F.lit(c)) * (self.z(i) - F.lit(c))
-                 for i, c in enumerate(self.centers[j])]
-        out = terms[0]
-        for t in terms[1:]:
-            out = out + t
-        return out
-
-    def predict(self) -> Column:
-        """M3: index of the nearest centre (squared Euclid), lowest on ties."""
-        ds = [F.struct(self.distance(j).alias("d"), F.lit(j).alias("id"))
-              for j in range(len(self.centers))]
-        return F.array_min(F.array(*ds))["id"].cast("int")
+                     .alias(f"_s{i}")]
+        return cls(means=[], stds=[], centers=[list(c) for c in centers],
+                   features=tuple(features), scaler=rfm_df.agg(*aggs))
 
     def save(self, path: str) -> None:
         """Two small Parquet tables: scaler and centres."""
@@ -168,7 +184,7 @@ def fit_segments(rfm_df: DataFrame, k: int = 4, max_iter: int = 300, tol: float
         for it in range(1, max_iter + 1):
             model = SegmentModel(means=[0.0] * n, stds=[1.0] * n, centers=centers,
                                  features=tuple(f"z{i}" for i in range(n)))
-            rows = (z.groupBy(model.predict().alias("c"))
+            rows = (model.assign(z, "c").groupBy("c")
                     .agg(*[F.avg(f"z{i}").alias(f"m{i}") for i in range(n)]).collect())
             new = [list(c) for c in centers]
             for r in rows:
@@ -185,7 +201,7 @@ def fit_segments(rfm_df: DataFrame, k: int = 4, max_iter: int = 300, tol: float
 
 def assign_segments(rfm_df: DataFrame, model: SegmentModel) -> DataFrame:
     """M3: add ``cluster`` (nearest centre of a fitted model)."""
-    return rfm_df.withColumn("cluster", model.predict())
+    return model.assign(rfm_df, "cluster")
 
 
 def segment_customers(transactions: DataFrame, model: SegmentModel) -> DataFrame:
