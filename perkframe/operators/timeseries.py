@@ -66,6 +66,38 @@ def resample_weekly(df, time_col="time", value_col="amount", key=None):
     return resample(df, time_col, value_col, "week", key)
 
 
+def _css_grid() -> tuple:
+    import numpy as np
+    g = np.arange(GRID_N * GRID_N)
+    phi = (GRID_LO + GRID_STEP * (g // GRID_N)) / 100.0
+    theta = (GRID_LO + GRID_STEP * (g % GRID_N)) / 100.0
+    return phi, theta
+
+
+def fit_forecast_series(y, steps: int = DEFAULT_STEPS):
+    """CSS fit of ARIMA(1,1,1) on one ordered series ``y`` (numpy), vectorised
+    over the whole (phi, theta) grid; returns (phi, theta, forecasts) or None
+    for fewer than 3 points."""
+    import numpy as np
+    y = np.asarray(y, dtype="float64")
+    if len(y) < 3:
+        return None
+    w = np.diff(y)
+    phi, theta = _css_grid()
+    pw = np.full(phi.shape, w[0])
+    e = np.zeros(phi.shape)
+    sse = np.zeros(phi.shape)
+    for x in w[1:]:
+        e = x - phi * pw - theta * e
+        sse = sse + e * e
+        pw = np.full(phi.shape, x)
+    best = np.lexsort((theta, phi, sse))[0]
+    p, t = phi[best], theta[best]
+    w1 = p * w[-1] + t * e[best]
+    h = np.arange(1, steps + 1, dtype="float64")
+    return p, t, y[-1] + w1 * (1.0 - np.power(p, h)) / (1.0 - p)
+
+
 def forecast(series: DataFrame, key: str | None = None, period: str = "period",
              value: str = "amount", steps: int = DEFAULT_STEPS) -> DataFrame:
     """ARIMA(1,1,1) without drift, fitted per series by conditional sum
@@ -76,47 +108,39 @@ def forecast(series: DataFrame, key: str | None = None, period: str = "period",
     y_(T+h) = y_T + w1 * (1 - phi^h) / (1 - phi), w1 = phi*w_T + theta*e_T.
     Series with fewer than 3 points get no rows.  Output (key, date, forecast).
 
-    Per series: one array of its values in period order; 1,521 candidates
-    are exploded per series and scored with ``aggregate`` in the JVM; the
-    winner is a ``min_by`` per series.
+    The recursion is sequential in t but independent across the 1,521
+    candidates, so each series is one ``applyInPandas`` group scored with
+    numpy over the whole grid at once (about T vector steps).  Series are
+    shuffled by key; a group holds one key's *periods* (bounded by the time
+    span, never by the row count), so a hot key costs no more than any other.
     """
+    import pandas as pd
+
     keys = [key] if key else []
-    arr = (series.groupBy(*keys)
-           .agg(F.array_sort(F.collect_list(F.struct(F.col(period).alias("p"),
-                                                     F.col(value).cast("double").alias("y"))))
-                .alias("s"))
-           .filter(F.size("s") >= 3)
-           .select(*keys, F.transform("s", lambda x: x["y"]).alias("y"),
-                   F.element_at("s", -1)["p"].alias("last_period")))
-    w = F.transform(F.slice("y", 2, F.size("y")), lambda x, i: x - F.element_at("y", i + 1))
-    grid = F.sequence(F.lit(0), F.lit(GRID_N * GRID_N - 1))
-    cand = (arr.withColumn("w", w)
-            .withColumn("g", F.explode(grid))
-            .withColumn("phi", (F.lit(GRID_LO) + F.lit(GRID_STEP) * F.floor(F.col("g") / GRID_N))
-                        / F.lit(100.0))
-            .withColumn("theta", (F.lit(GRID_LO) + F.lit(GRID_STEP) * (F.col("g") % GRID_N))
-                        / F.lit(100.0)))
-    phi, theta = F.col("phi"), F.col("theta")
-    init = F.struct(F.element_at("w", 1).alias("pw"), F.lit(0.0).alias("e"),
-                    F.lit(0.0).alias("sse"))
-
-    def step(acc, x):
-        e = x - phi * acc["pw"] - theta * acc["e"]
-        return F.struct(x.alias("pw"), e.alias("e"), (acc["sse"] + e * e).alias("sse"))
-
-    fit = cand.withColumn("r", F.aggregate(F.slice("w", 2, F.size("w")), init, step))
-    best = (fit.groupBy(*keys).agg(
-        F.min_by(F.struct(phi.alias("phi"), theta.alias("theta"), F.col("r")["pw"].alias("wT"),
-                          F.col("r")["e"].alias("eT"), F.element_at("y", -1).alias("yT"),
-                          F.col("last_period").alias("last_period")),
-                 F.struct(F.col("r")["sse"], phi, theta)).alias("b")))
-    b = F.col("b")
-    w1 = b["phi"] * b["wT"] + b["theta"] * b["eT"]
-    h = F.col("h")
-    yhat = b["yT"] + w1 * (F.lit(1.0) - F.pow(b["phi"], h)) / (F.lit(1.0) - b["phi"])
-    return (best.withColumn("h", F.explode(F.sequence(F.lit(1), F.lit(steps))))
-            .select(*keys, F.timestamp_add("DAY", h, b["last_period"]).alias("date"),
-                    yhat.alias("forecast")))
+    key_type = dict(series.dtypes)[key] if key else None
+    out_schema = (f"`{key}` {key_type}, " if key else "") + "date TIMESTAMP_NTZ, forecast DOUBLE"
+
+    def fit(pdf: pd.DataFrame) -> pd.DataFrame:
+        pdf = pdf.sort_values("p")
+        res = fit_forecast_series(pdf["y"].to_numpy(), steps)
+        cols = keys + ["date", "forecast"]
+        if res is None:
+            return pd.DataFrame({c: [] for c in cols})
+        _, _, fc = res
+        last = pd.Timestamp(pdf["p"].iloc[-1])
+        out = pd.DataFrame({"date": [last + pd.Timedelta(days=int(h)) for h in range(1, steps + 1)],
+                            "forecast": fc})
+        if key:
+            out.insert(0, key, pdf[key].iloc[0])
+        return out[cols]
+
+    src = series.select(*keys, F.col(period).alias("p"), F.col(value).cast("double").alias("y"))
+    grouped = src.groupBy(*keys) if keys else src.groupBy(F.lit(0).alias("_all"))
+    if not keys:
+        src = src.withColumn("_all", F.lit(0))
+        grouped = src.groupBy("_all")
+        return grouped.applyInPandas(lambda pdf: fit(pdf.drop(columns=["_all"])), out_schema)
+    return grouped.applyInPandas(fit, out_schema)
 
 
 def history_and_forecast(series: DataFrame, key: str | None = None, period: str = "period",
