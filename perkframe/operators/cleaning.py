@@ -15,19 +15,22 @@ from ..functions import attach_scalars, parse_dict, parse_list
 
 
 def _quantiles(c: str, qs: list[float], approx: bool, accuracy: int = 10_000):
-    """Linear-interpolated quantiles of ``c`` (nulls skipped) as one array column.
-
-    ``approx=False`` uses the exact ``percentile`` aggregate (same answer as
-    pandas ``quantile``); its buffer holds one entry per distinct value, which
-    is right for ages, incomes and cents-valued amounts.  ``approx=True``
-    switches to the bounded-memory ``percentile_approx`` sketch.
-    """
+    """Linear-interpolated quantiles of a bounded-domain column (ages) as one
+    array column: exact ``percentile`` keeps one entry per distinct value,
+    which is small for such a domain.  High-cardinality columns go through
+    :func:`perkframe.operators.quantiles.percentiles` instead."""
     arr = F.array(*[F.lit(q) for q in qs])
     if approx:
         return F.percentile_approx(F.col(c).cast("double"), arr, accuracy)
     return F.percentile(F.col(c), arr)
 
 
+def _stats(df: DataFrame, c: str, qs: list[float], approx: bool, name: str) -> DataFrame:
+    """One-row frame ``name`` = exact (scalable) or sketched quantiles of ``c``."""
+    from .quantiles import percentiles
+    return percentiles(df, c, qs, method="approx" if approx else "bracket", name=name)
+
+
 def _clip(x, lo, hi):
     """Clip to [lo, hi]; NULL stays NULL (``greatest``/``least`` skip NULLs)."""
     return F.when(x.isNotNull(), F.least(F.greatest(x, lo), hi))
@@ -56,7 +59,7 @@ def replace_above_with_median(df: DataFrame, c: str = "age", limit: float = 100,
 def iqr_clip_fill_median(df: DataFrame, c: str = "income", k: float = 1.5,
                          approx: bool = False) -> DataFrame:
     """Clip to the 1.5*IQR fences, then fill NULLs with the raw median."""
-    st = df.agg(_quantiles(c, [0.25, 0.5, 0.75], approx).alias("_q"))
+    st = _stats(df, c, [0.25, 0.5, 0.75], approx, "_q")
     q1, med, q3 = F.col("_q")[0], F.col("_q")[1], F.col("_q")[2]
     lo, hi = q1 - F.lit(k) * (q3 - q1), q3 + F.lit(k) * (q3 - q1)
     return (attach_scalars(df, st)
@@ -67,14 +70,15 @@ def iqr_clip_fill_median(df: DataFrame, c: str = "income", k: float = 1.5,
 def clean_customers(df: DataFrame, approx: bool = False) -> DataFrame:
     """B1-B4 in one pass of statistics: date, gender, age cap, income clip/fill.
 
-    Both statistics come from one aggregate over the customer table, so
-    customers are scanned once for statistics and once for rows.
+    The age median is a bounded-domain ``percentile``; income quartiles use
+    the scalable exact method (income has about one distinct value per
+    customer).
     """
-    st = df.agg(_quantiles("age", [0.5], approx)[0].alias("_age_median"),
-                _quantiles("income", [0.25, 0.5, 0.75], approx).alias("_inc_q"))
+    st = df.agg(_quantiles("age", [0.5], approx)[0].alias("_age_median"))
+    inc = _stats(df, "income", [0.25, 0.5, 0.75], approx, "_inc_q")
     q1, med, q3 = F.col("_inc_q")[0], F.col("_inc_q")[1], F.col("_inc_q")[2]
     lo, hi = q1 - F.lit(1.5) * (q3 - q1), q3 + F.lit(1.5) * (q3 - q1)
-    out = (attach_scalars(df, st)
+    out = (attach_scalars(attach_scalars(df, st), inc)
            .withColumn("age", F.when(F.col("age") > F.lit(100), F.col("_age_median"))
                        .otherwise(F.col("age").cast("double")))
            .withColumn("income", F.when(F.col("income").isNull(), med)
@@ -131,6 +135,6 @@ def denormalise(events: DataFrame, customers: DataFrame, offers: DataFrame,
 def winsorize(df: DataFrame, c: str = "amount", lower: float = 0.01, upper: float = 0.99,
               approx: bool = False) -> DataFrame:
     """Clip ``c`` to its [lower, upper] percentiles (NULL stays NULL)."""
-    st = df.agg(_quantiles(c, [lower, upper], approx).alias("_p"))
+    st = _stats(df, c, [lower, upper], approx, "_p")
     return (attach_scalars(df, st)
             .withColumn(c, _clip(F.col(c), F.col("_p")[0], F.col("_p")[1])).drop("_p"))

@@ -87,23 +87,23 @@ def histogram(df: DataFrame, c: str, maxbins: int = 20) -> DataFrame:
             .select("bin_start", (F.col("bin_start") + F.col("step")).alias("bin_end"), "count"))
 
 
-def box_stats(df: DataFrame, value: str, group: Sequence[str] | str = (), k: float = 1.5
-              ) -> DataFrame:
+def box_stats(df: DataFrame, value: str, group: Sequence[str] | str = (), k: float = 1.5,
+              method: str = "bracket") -> DataFrame:
     """Per group q1, median, q3 (exact, linear), whiskers = most extreme
     values inside the 1.5*IQR fences, number of outliers.
 
-    Pass 1 aggregates the quartiles per group; pass 2 joins them back (the
-    quartile table has one row per group, so AQE broadcasts it when small)
-    and takes filtered min / max / count.
+    Quartiles per group come from the scalable exact method (no task holds
+    a whole group); they are joined back (one row per group, so AQE
+    broadcasts them when small) for the filtered min / max / count.
     """
+    from .quantiles import percentiles
     keys = [group] if isinstance(group, str) else list(group)
     x = F.col(value).cast("double")
     base = df.filter(x.isNotNull())
     for g in keys:
         base = base.filter(F.col(g).isNotNull())
     base = base.select(*keys, x.alias("_v"))
-    qs = base.groupBy(*keys).agg(
-        F.percentile("_v", F.array(F.lit(0.25), F.lit(0.5), F.lit(0.75))).alias("_q"))
+    qs = percentiles(base, "_v", [0.25, 0.5, 0.75], keys, method=method)
     q1, q3 = F.col("_q")[0], F.col("_q")[2]
     lo, hi = q1 - F.lit(k) * (q3 - q1), q3 + F.lit(k) * (q3 - q1)
     inside = (F.col("_v") >= lo) & (F.col("_v") <= hi)

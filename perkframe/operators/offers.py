@@ -187,20 +187,34 @@ RECEIVED = "offer received"
 def time_to_redemption(df: DataFrame, customer_key: str = "customer_id",
                        offer_key: str = "offer_id", time_col: str = "time",
                        order_col: str = "event_id", completed: str = "offer completed",
-                       received: str = RECEIVED) -> DataFrame:
+                       received: str = RECEIVED, bucket: str = "day") -> DataFrame:
     """Per completed row, days since the same customer's latest earlier
-    receive of the same offer (NULL when there is none).
-
-    Order is (time, event_id).  The window is partitioned by (customer, offer),
-    a key of bounded size per customer, and carries only the last receive
-    time forward (``last_value ... IGNORE NULLS``), so memory per row is O(1).
+    receive of the same offer (NULL when there is none).  Order is
+    (time, event_id).
+
+    Skew-proof as-of lookup: rows are windowed per (customer, offer, time
+    bucket), so even a (customer, offer) pair holding a third of the rows is
+    spread over many tasks; each bucket's last receive is aggregated
+    (map-side) and carried forward over the bucket summary (one row per
+    bucket, i.e. bounded by the time span), then joined back for rows whose
+    own bucket has no earlier receive.  Exact, same answer as one window per
+    pair.
     """
-    rel = df.filter(F.col(customer_key).isNotNull() & F.col(offer_key).isNotNull()
-                    & F.col("event").isin(completed, received))
-    w = (Window.partitionBy(customer_key, offer_key).orderBy(time_col, order_col)
+    keys = [customer_key, offer_key]
+    rel = (df.filter(F.col(customer_key).isNotNull() & F.col(offer_key).isNotNull()
+                     & F.col("event").isin(completed, received))
+           .withColumn("_b", F.date_trunc(bucket, F.col(time_col))))
+    is_recv = F.col("event") == received
+    w = (Window.partitionBy(*keys, "_b").orderBy(time_col, order_col)
          .rowsBetween(Window.unboundedPreceding, -1))
-    last_recv = F.last(F.when(F.col("event") == received, F.col(time_col)), ignorenulls=True).over(w)
-    out = rel.withColumn("_recv", last_recv).filter(F.col("event") == completed)
+    local = rel.withColumn("_loc", F.max(F.when(is_recv, F.col(time_col))).over(w))
+    summary = rel.groupBy(*keys, "_b").agg(F.max(F.when(is_recv, F.col(time_col))).alias("_last"))
+    wc = (Window.partitionBy(*keys).orderBy("_b")
+          .rowsBetween(Window.unboundedPreceding, -1))
+    carry = summary.select(*keys, "_b", F.max("_last").over(wc).alias("_carry"))
+    out = (local.filter(F.col("event") == completed)
+           .join(carry, keys + ["_b"], "left")
+           .withColumn("_recv", F.coalesce("_loc", "_carry")))
     days = (F.unix_micros(F.col(time_col).cast("timestamp"))
             - F.unix_micros(F.col("_recv").cast("timestamp"))) / F.lit(86_400_000_000.0)
     cols = [order_col, customer_key, offer_key] + (

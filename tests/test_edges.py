@@ -160,3 +160,33 @@ def test_forecast_matches_direct_recursion():
     assert math.isclose(phi, best[1]) and math.isclose(theta, best[2])
     w1 = best[1] * w[-1] + best[2] * best[3]
     assert math.isclose(fc[0], y[-1] + w1)
+
+
+def test_bracketed_percentiles_are_exact(spark):
+    import random
+    from perkframe.operators.quantiles import percentiles
+    random.seed(3)
+    rows = [(random.choice("abc"), random.random() * 100 if random.random() > 0.1 else None)
+            for _ in range(3000)] + [("d", 1.0)]
+    df = spark.createDataFrame(rows, "g STRING, x DOUBLE")
+    qs = [0.0, 0.01, 0.25, 0.5, 0.99, 1.0]
+    for acc in (10, 100_000):  # a coarse sketch forces the widened-bracket path
+        for keys in ([], ["g"]):
+            a = {tuple(r[:-1]): r[-1] for r in percentiles(df, "x", qs, keys, "bracket", acc).collect()}
+            b = {tuple(r[:-1]): r[-1] for r in percentiles(df, "x", qs, keys, "exact").collect()}
+            assert a.keys() == b.keys()
+            for k in a:
+                assert all(math.isclose(x, y, rel_tol=1e-12) for x, y in zip(a[k], b[k]))
+
+
+def test_redemption_hot_pair_across_days(spark):
+    rows = [(1, "c", "o", "offer received", dt.datetime(2024, 1, 1, 10)),
+            (2, "c", "o", "offer completed", dt.datetime(2024, 1, 1, 10)),
+            (3, "c", "o", "offer completed", dt.datetime(2024, 1, 3, 9)),
+            (4, "c", "o", "offer received", dt.datetime(2024, 1, 3, 12)),
+            (5, "c", "o", "offer completed", dt.datetime(2024, 1, 3, 18)),
+            (6, "c", "x", "offer completed", dt.datetime(2024, 1, 4, 0))]
+    df = spark.createDataFrame(rows, "event_id INT, customer_id STRING, offer_id STRING, "
+                                     "event STRING, time TIMESTAMP_NTZ")
+    got = {r["event_id"]: r["time_to_redemption"] for r in offers.time_to_redemption(df).collect()}
+    assert got == {2: 0.0, 3: (2 * 24 - 1) / 24, 5: 0.25, 6: None}
