@@ -29,6 +29,19 @@ def _lit_date(v) -> Column:
     return v if isinstance(v, Column) else F.lit(v).cast("date")
 
 
+def _with_range(df: DataFrame, rng, to_col) -> tuple[DataFrame, Column, Column, list[str]]:
+    """Bounds given as a (lo, hi) pair of literals / Columns, or as a one-row
+    frame of two columns (data-derived, from C8 / C10) attached by broadcast."""
+    if isinstance(rng, DataFrame):
+        from ..functions import attach_scalars
+        a, b = rng.columns[:2]
+        lo_name, hi_name = f"_lo_{id(rng)}", f"_hi_{id(rng)}"
+        df = attach_scalars(df, rng.select(F.col(a).alias(lo_name), F.col(b).alias(hi_name)))
+        return df, to_col(F.col(lo_name)), to_col(F.col(hi_name)), [lo_name, hi_name]
+    lo, hi = rng
+    return df, to_col(lo), to_col(hi), []
+
+
 def filter_offer_types(df: DataFrame, offer_types: Sequence[str], c: str = "offer_type"
                        ) -> DataFrame:
     """Membership; an empty list keeps no row."""
@@ -37,26 +50,34 @@ def filter_offer_types(df: DataFrame, offer_types: Sequence[str], c: str = "offe
     return df.filter(F.col(c).isin(list(offer_types)))
 
 
-def filter_amount(df: DataFrame, min_amount, max_amount, c: str = "amount") -> DataFrame:
-    """Closed interval; NULL amounts are dropped."""
-    return df.filter(F.col(c).between(min_amount, max_amount))
+def filter_amount(df: DataFrame, min_amount, max_amount=None, c: str = "amount") -> DataFrame:
+    """Closed interval; NULL amounts are dropped.  ``min_amount`` may be a
+    one-row (lo, hi) frame from :func:`column_bounds`."""
+    rng = min_amount if isinstance(min_amount, DataFrame) else (min_amount, max_amount)
+    df, lo, hi, tmp = _with_range(df, rng, lambda x: x if isinstance(x, Column) else F.lit(x))
+    return df.filter(F.col(c).between(lo, hi)).drop(*tmp)
 
 
-def filter_dates_amount(df: DataFrame, start_date, end_date, min_amount, max_amount,
-                        time_col: str = "time", amount_col: str = "amount") -> DataFrame:
-    """Calendar date of ``time`` in [start, end] (end day included) and amount
-    in [min, max].  Catalyst rewrites the date test into a timestamp range."""
-    return df.filter(F.to_date(F.col(time_col)).between(_lit_date(start_date), _lit_date(end_date))
-                     & F.col(amount_col).between(min_amount, max_amount))
+def filter_dates_amount(df: DataFrame, dates, amounts, time_col: str = "time",
+                        amount_col: str = "amount") -> DataFrame:
+    """Calendar date of ``time`` in [start, end] (end day included) and
+    amount in [min, max].  Each range is a (lo, hi) pair or a one-row frame
+    (C8 / C10).  With literal dates Catalyst turns the date test into a
+    timestamp range pushed to the scan."""
+    df, d0, d1, t1 = _with_range(df, dates, _lit_date)
+    df, a0, a1, t2 = _with_range(df, amounts, lambda x: x if isinstance(x, Column) else F.lit(x))
+    return (df.filter(F.to_date(F.col(time_col)).between(d0, d1)
+                      & F.col(amount_col).between(a0, a1)).drop(*t1, *t2))
 
 
 def filter_window_types(df: DataFrame, time_range=None, offer_types=None,
                         time_col: str = "time", type_col: str = "offer_type") -> DataFrame:
     """C4: timestamp in [start, end] where a date bound means its midnight, so
-    the last day is cut at 00:00 (Q4); falsy arguments mean no filter."""
-    if time_range:
-        start, end = time_range
-        df = df.filter((F.col(time_col) >= _lit_ts(start)) & (F.col(time_col) <= _lit_ts(end)))
+    the last day is cut at 00:00 (Q4); falsy arguments mean no filter.
+    ``time_range`` is a (start, end) pair or a one-row frame (C8)."""
+    if isinstance(time_range, DataFrame) or time_range:
+        df, t0, t1, tmp = _with_range(df, time_range, _lit_ts)
+        df = df.filter((F.col(time_col) >= t0) & (F.col(time_col) <= t1)).drop(*tmp)
     if offer_types:
         df = df.filter(F.col(type_col).isin(list(offer_types)))
     return df
@@ -67,8 +88,8 @@ def filter_window_types_segments(df: DataFrame, time_range, offer_types=None,
                                  type_col: str = "offer_type",
                                  segment_col: str = "cluster") -> DataFrame:
     """C4 with a mandatory range plus cluster membership."""
-    start, end = time_range
-    df = df.filter((F.col(time_col) >= _lit_ts(start)) & (F.col(time_col) <= _lit_ts(end)))
+    df, t0, t1, tmp = _with_range(df, time_range, _lit_ts)
+    df = df.filter((F.col(time_col) >= t0) & (F.col(time_col) <= t1)).drop(*tmp)
     if offer_types:
         df = df.filter(F.col(type_col).isin(list(offer_types)))
     if customer_segments:
@@ -76,13 +97,19 @@ def filter_window_types_segments(df: DataFrame, time_range, offer_types=None,
     return df
 
 
-def iqr_filter(df: DataFrame, c: str = "age", k: float = 1.5) -> DataFrame:
+def iqr_filter(df: DataFrame, c: str = "age", k: float = 1.5,
+               stats_from: DataFrame | None = None) -> DataFrame:
     """Keep Q1-k*IQR <= c <= Q3+k*IQR; quantiles are linear over the rows
-    (NULLs skipped), rows with a NULL value are dropped.  No-op without ``c``."""
+    (NULLs skipped), rows with a NULL value are dropped.  No-op without ``c``.
+
+    ``stats_from``: a frame with the same rows and ``c`` values to take the
+    fences from (lets a pipeline compute them before unrelated joins).
+    """
     if c not in df.columns:
         return df
     from ..functions import attach_scalars
-    st = df.agg(F.percentile(F.col(c), F.array(F.lit(0.25), F.lit(0.75))).alias("_q"))
+    src = df if stats_from is None else stats_from
+    st = src.agg(F.percentile(F.col(c), F.array(F.lit(0.25), F.lit(0.75))).alias("_q"))
     q1, q3 = F.col("_q")[0], F.col("_q")[1]
     return (attach_scalars(df, st)
             .filter(F.col(c).between(q1 - F.lit(k) * (q3 - q1), q3 + F.lit(k) * (q3 - q1)))
@@ -90,11 +117,12 @@ def iqr_filter(df: DataFrame, c: str = "age", k: float = 1.5) -> DataFrame:
 
 
 def campaign_window(df: DataFrame, first_day: int, last_day: int, time_col: str = "time"
-                    ) -> tuple[Column, Column]:
-    """1-based day range -> (start_date, end_date) counted from the table's
-    first calendar day, as two scalar-subquery columns usable in C3 / C4."""
-    d0 = df.agg(F.to_date(F.min(time_col))).scalar()
-    return F.date_add(d0, first_day - 1), F.date_add(d0, last_day - 1)
+                    ) -> DataFrame:
+    """1-based day range -> one row (start_date, end_date) counted from the
+    table's first calendar day; pass it as the range of C3 / C4 / C5."""
+    return df.agg(F.to_date(F.min(time_col)).alias("_d0")).select(
+        F.date_add("_d0", first_day - 1).alias("start_date"),
+        F.date_add("_d0", last_day - 1).alias("end_date"))
 
 
 def distinct_values(df: DataFrame, c: str) -> DataFrame:
@@ -102,9 +130,10 @@ def distinct_values(df: DataFrame, c: str) -> DataFrame:
     return df.select(c).distinct()
 
 
-def column_bounds(df: DataFrame, c: str = "amount") -> tuple[Column, Column]:
-    """Default slider range 0 .. floor(max(c)) (drops the tail above it, Q5)."""
-    return F.lit(0), df.agg(F.floor(F.max(c))).scalar()
+def column_bounds(df: DataFrame, c: str = "amount") -> DataFrame:
+    """Default slider range as one row (lo = 0, hi = floor(max(c))); the
+    tail above ``hi`` is dropped by a filter using it (Q5)."""
+    return df.agg(F.lit(0).cast("bigint").alias("lo"), F.floor(F.max(c)).alias("hi"))
 
 
 def segment_slice(df: DataFrame, cluster: int, c: str = "cluster") -> DataFrame:

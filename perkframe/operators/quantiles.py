@@ -24,7 +24,7 @@ from __future__ import annotations
 
 from collections.abc import Sequence
 
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from ..functions import attach_scalars
@@ -64,52 +64,47 @@ def percentiles(df: DataFrame, value: str, qs: Sequence[float], keys: Sequence[s
     eps = 1.0 / accuracy
     probes = [max(q - 2 * eps, 0.0) for q in qs] + [min(q + 2 * eps, 1.0) for q in qs]
     m = len(qs)
+    kq = ", ".join(f"`{k}`" for k in keys)
+    kp = kq + ", " if keys else ""
+    rng = range(m)
+    E = F.expr  # expressions as SQL text: one JVM call each while building
+
     # pass 1: sizes and sketch brackets
     st = base.groupBy(*keys).agg(
-        F.count("_v").alias("_n"), F.min("_v").alias("_min"), F.max("_v").alias("_max"),
-        F.percentile_approx("_v", F.array(*[F.lit(p) for p in probes]), accuracy).alias("_ap"))
-    cols = []
-    for i, q in enumerate(qs):
-        pos = F.lit(q) * (F.col("_n") - 1)
-        cols += [pos.alias(f"_pos{i}"), F.floor(pos).cast("long").alias(f"_k{i}"),
-                 F.col("_ap")[i].alias(f"_lo{i}"), F.col("_ap")[m + i].alias(f"_hi{i}")]
-    st = st.select(*keys, "_n", "_min", "_max", *cols)
+        E("count(_v) AS _n"), E("min(_v) AS _min"), E("max(_v) AS _max"),
+        E(f"percentile_approx(_v, array({', '.join(map(repr, probes))}), {accuracy}) AS _ap"))
+    st = st.selectExpr(*[f"`{k}`" for k in keys], "_n", "_min", "_max",
+                       *[x for i, q in enumerate(qs) for x in (
+                           f"{q!r} * (_n - 1) AS _pos{i}",
+                           f"CAST(floor({q!r} * (_n - 1)) AS BIGINT) AS _k{i}",
+                           f"_ap[{i}] AS _lo{i}", f"_ap[{m + i}] AS _hi{i}")])
     # pass 2: verify each bracket holds ranks k and k+1, else widen it
+    carried = ["_n", "_min", "_max"] + [f"_{p}{i}" for i in rng for p in ("pos", "k", "lo", "hi")]
     chk = _join(base, st, keys).groupBy(*keys).agg(
-        *[F.first(c).alias(c) for c in ["_n", "_min", "_max"] +
-          [f"_{p}{i}" for i in range(m) for p in ("pos", "k", "lo", "hi")]],
-        *[F.count_if(F.col("_v") < F.col(f"_lo{i}")).alias(f"_below{i}") for i in range(m)],
-        *[F.count_if(F.col("_v") <= F.col(f"_hi{i}")).alias(f"_upto{i}") for i in range(m)])
-    eff = []
-    for i in range(m):
-        ok = ((F.col(f"_below{i}") <= F.col(f"_k{i}"))
-              & (F.col(f"_upto{i}") >= F.least(F.col(f"_k{i}") + 2, F.col("_n"))))
-        eff += [F.when(ok, F.col(f"_lo{i}")).otherwise(F.col("_min")).alias(f"_elo{i}"),
-                F.when(ok, F.col(f"_hi{i}")).otherwise(F.col("_max")).alias(f"_ehi{i}"),
-                F.when(ok, F.col(f"_below{i}")).otherwise(F.lit(0)).alias(f"_eb{i}"),
-                F.col(f"_k{i}"), F.col(f"_pos{i}")]
-    br = chk.select(*keys, *eff)
+        *[E(f"first({c}) AS {c}") for c in carried],
+        *[E(f"count_if(_v < _lo{i}) AS _below{i}") for i in rng],
+        *[E(f"count_if(_v <= _hi{i}) AS _upto{i}") for i in rng])
+    ok = [f"(_below{i} <= _k{i} AND _upto{i} >= least(_k{i} + 2, _n))" for i in rng]
+    br = chk.selectExpr(*[f"`{k}`" for k in keys], *[x for i in rng for x in (
+        f"CASE WHEN {ok[i]} THEN _lo{i} ELSE _min END AS _elo{i}",
+        f"CASE WHEN {ok[i]} THEN _hi{i} ELSE _max END AS _ehi{i}",
+        f"CASE WHEN {ok[i]} THEN _below{i} ELSE 0 END AS _eb{i}", f"_k{i}", f"_pos{i}")])
     # pass 3: rank only the rows inside a bracket
-    j = _join(base, br, keys)
-    cand = F.array(*[F.when((F.col("_v") >= F.col(f"_elo{i}")) & (F.col("_v") <= F.col(f"_ehi{i}")),
-                            F.struct(F.lit(i).alias("qi"), F.col(f"_eb{i}").alias("below"),
-                                     F.col(f"_k{i}").alias("k"), F.col(f"_pos{i}").alias("pos")))
-                     for i in range(m)])
-    rows = j.select(*keys, "_v", F.explode(F.filter(cand, lambda c: c.isNotNull())).alias("_c"))
-    w = Window.partitionBy(*keys, F.col("_c.qi")).orderBy("_v")
-    ranked = (rows.withColumn("_r", F.col("_c.below") + F.row_number().over(w) - 1)
-              .filter((F.col("_r") == F.col("_c.k")) | (F.col("_r") == F.col("_c.k") + 1)))
+    cand = ", ".join(
+        f"CASE WHEN _v >= _elo{i} AND _v <= _ehi{i} THEN named_struct('qi', {i}, "
+        f"'below', _eb{i}, 'k', _k{i}, 'pos', _pos{i}) END" for i in rng)
+    rows = _join(base, br, keys).selectExpr(
+        *[f"`{k}`" for k in keys], "_v", f"explode(filter(array({cand}), c -> c IS NOT NULL)) AS _c")
+    ranked = rows.selectExpr(
+        "*", f"_c.below + row_number() OVER (PARTITION BY {kp}_c.qi ORDER BY _v) - 1 AS _r"
+    ).filter("_r = _c.k OR _r = _c.k + 1")
     aggs = []
-    for i in range(m):
-        sel = F.col("_c.qi") == i
-        aggs += [F.max(F.when(sel & (F.col("_r") == F.col("_c.k")), F.col("_v"))).alias(f"_a{i}"),
-                 F.max(F.when(sel & (F.col("_r") == F.col("_c.k") + 1), F.col("_v"))).alias(f"_b{i}"),
-                 F.max(F.when(sel, F.col("_c.pos"))).alias(f"_p{i}"),
-                 F.max(F.when(sel, F.col("_c.k"))).alias(f"_kk{i}")]
+    for i in rng:
+        aggs += [E(f"max(CASE WHEN _c.qi = {i} AND _r = _c.k THEN _v END) AS _a{i}"),
+                 E(f"max(CASE WHEN _c.qi = {i} AND _r = _c.k + 1 THEN _v END) AS _b{i}"),
+                 E(f"max(CASE WHEN _c.qi = {i} THEN _c.pos END) AS _p{i}"),
+                 E(f"max(CASE WHEN _c.qi = {i} THEN _c.k END) AS _kk{i}")]
     fin = ranked.groupBy(*keys).agg(*aggs)
-    vals = []
-    for i in range(m):
-        a, b, p, k = F.col(f"_a{i}"), F.col(f"_b{i}"), F.col(f"_p{i}"), F.col(f"_kk{i}")
-        vals.append(F.when(b.isNull() | (p == k), a)
-                    .otherwise((k + 1 - p) * a + (p - k) * b))
-    return fin.select(*keys, F.array(*vals).alias(name))
+    vals = ", ".join(f"CASE WHEN _b{i} IS NULL OR _p{i} = _kk{i} THEN _a{i} "
+                     f"ELSE (_kk{i} + 1 - _p{i}) * _a{i} + (_p{i} - _kk{i}) * _b{i} END" for i in rng)
+    return fin.selectExpr(*[f"`{k}`" for k in keys], f"array({vals}) AS `{name}`")

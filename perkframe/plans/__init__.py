@@ -37,9 +37,11 @@ def prepare_offer_events(df: DataFrame, age_filter: bool = True) -> DataFrame:
     """J1 -> offer_success (fences of *all* rows) -> age IQR filter."""
     from ..operators.filters import iqr_filter
     from ..operators.offers import with_offer_success
-    out = with_offer_success(to_timestamp_if_hours(df, "time"))
+    src = to_timestamp_if_hours(df, "time")
+    out = with_offer_success(src)
     if age_filter and "age" in df.columns:
-        out = iqr_filter(out, "age")
+        # the success flag neither adds rows nor changes ages: fences from src
+        out = iqr_filter(out, "age", stats_from=src)
     return out
 
 
