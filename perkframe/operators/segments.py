@@ -20,7 +20,7 @@ from pyspark import StorageLevel
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from ..functions import bool_mean, clamp_nonneg, days_between, round2
+from ..functions import attach_scalars, clamp_nonneg, days_between, round2
 
 FEATURES = ("recency", "frequency", "monetary")
 
@@ -180,12 +180,25 @@ def fit_segments(rfm_df: DataFrame, k: int = 4, max_iter: int = 300, tol: float
     try:
         centers = start_centers(z, k)
         n = len(features)
+        spark = z.sparkSession
+        kk = len(centers)
+        cen_schema = ", ".join(f"c{j}_{i} DOUBLE" for j in range(kk) for i in range(n))
+        # distances read the centres from a one-row frame, not from literals,
+        # so every round runs the same generated code (no recompilation)
+        dist = []
+        for j in range(kk):
+            d = None
+            for i in range(n):
+                t = (F.col(f"z{i}") - F.col(f"c{j}_{i}")) * (F.col(f"z{i}") - F.col(f"c{j}_{i}"))
+                d = t if d is None else d + t
+            dist.append(F.struct(d.alias("d"), F.lit(j).alias("id")))
+        nearest = F.array_min(F.array(*dist))["id"].alias("c")
+        means = [F.avg(f"z{i}").alias(f"m{i}") for i in range(n)]
         it = 0
         for it in range(1, max_iter + 1):
-            model = SegmentModel(means=[0.0] * n, stds=[1.0] * n, centers=centers,
-                                 features=tuple(f"z{i}" for i in range(n)))
-            rows = (model.assign(z, "c").groupBy("c")
-                    .agg(*[F.avg(f"z{i}").alias(f"m{i}") for i in range(n)]).collect())
+            cen = spark.createDataFrame([tuple(float(v) for c in centers for v in c)], cen_schema)
+            rows = (attach_scalars(z, cen).select(nearest, *[f"z{i}" for i in range(n)])
+                    .groupBy("c").agg(*means).collect())
             new = [list(c) for c in centers]
             for r in rows:
                 new[r["c"]] = [float(r[f"m{i}"]) for i in range(n)]
