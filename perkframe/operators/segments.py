@@ -193,12 +193,12 @@ def fit_segments(rfm_df: DataFrame, k: int = 4, max_iter: int = 300, tol: float
                 d = t if d is None else d + t
             dist.append(F.struct(d.alias("d"), F.lit(j).alias("id")))
         nearest = F.array_min(F.array(*dist))["id"].alias("c")
-        means = [F.avg(f"z{i}").alias(f"m{i}") for i in range(n)]
+        centre_means = [F.avg(f"z{i}").alias(f"m{i}") for i in range(n)]
         it = 0
         for it in range(1, max_iter + 1):
             cen = spark.createDataFrame([tuple(float(v) for c in centers for v in c)], cen_schema)
             rows = (attach_scalars(z, cen).select(nearest, *[f"z{i}" for i in range(n)])
-                    .groupBy("c").agg(*means).collect())
+                    .groupBy("c").agg(*centre_means).collect())
             new = [list(c) for c in centers]
             for r in rows:
                 new[r["c"]] = [float(r[f"m{i}"]) for i in range(n)]
