@@ -410,6 +410,38 @@ def _q_table_roundtrip(s, d):
     return sources.read_table(s, name)
 
 
+def _q_load_all_roundtrip(s, d):
+    """A2-A4: event tables stored with ``time`` in hours, loaded back."""
+    base = scratch_path(s, f"events-{uuid.uuid4().hex}")
+    hours = F.timestamp_diff("HOUR", F.lit("1970-01-01 00:00:00").cast("timestamp_ntz"),
+                             F.col("time")).cast("int")
+    o = _O(s, d).select("event_id", "customer_id", "event", hours.alias("time"), "age")
+    t = _T(s, d).select("event_id", "customer_id", "event", hours.alias("time"), "age")
+    sources.write_parquet(o, f"{base}/offer_events")
+    sources.write_parquet(t, f"{base}/transaction_events")
+    lo, lt = sources.load_all(s, f"{base}/offer_events", f"{base}/transaction_events")
+    return lo.unionByName(lt)
+
+
+def _q_age_median_cap(s, d):
+    return cleaning.replace_above_with_median(fx.raw_customers(s, d), "age", 100).select(
+        "customer_id", "age")
+
+
+def _q_income_iqr_fill(s, d):
+    return cleaning.iqr_clip_fill_median(fx.raw_customers(s, d), "income").select(
+        "customer_id", "income")
+
+
+def _q_segment_distribution_offers(s, d):
+    return segments.segment_distribution(_segmented_offers(s, d))
+
+
+def _q_histogram_total_spend(s, d):
+    return distributions.histogram(customers.customer_lifetime_value(fx.long_transactions(s, d)),
+                                   "total_spend")
+
+
 _QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     k[3:]: v for k, v in globals().items() if k.startswith("_q_")
 }
@@ -800,6 +832,25 @@ FROM GR CROSS JOIN A GROUP BY GR.i, GR.g, GR.h, GR.n"""),
                                   + "\nUNION ALL SELECT 'actual' AS kind, period AS date, "
                                     "amount AS value FROM DS"),
         "parquet_roundtrip": q("SELECT * FROM T"),
+        "load_all_roundtrip": q("SELECT event_id, customer_id, event, time, age FROM O "
+                                "UNION ALL SELECT event_id, customer_id, event, time, age FROM T"),
+        "age_median_cap": q("""
+SELECT customer_id, CASE WHEN age > 100 THEN (SELECT quantile_cont(age, 0.5) FROM raw_customers)
+                         ELSE CAST(age AS DOUBLE) END AS age
+FROM raw_customers"""),
+        "income_iqr_fill": q("SELECT customer_id, income FROM clean_customers"),
+        "segment_distribution_offers": q(f"SELECT cluster, count(*) AS count FROM {SEGO} "
+                                         f"GROUP BY cluster"),
+        "histogram_total_spend": q(f"""
+, X AS (SELECT total_spend AS x FROM {CLV} WHERE total_spend IS NOT NULL),
+S AS (SELECT (max(x) - min(x)) / 20.0 AS span FROM X),
+P AS (SELECT CASE WHEN span <= 0 THEN 1.0 ELSE
+        pow(10.0, floor(log10(span))) * CASE WHEN span / pow(10.0, floor(log10(span))) <= 1 THEN 1.0
+          WHEN span / pow(10.0, floor(log10(span))) <= 2 THEN 2.0
+          WHEN span / pow(10.0, floor(log10(span))) <= 5 THEN 5.0 ELSE 10.0 END END AS step FROM S)
+SELECT floor(x / step) * step AS bin_start, floor(x / step) * step + step AS bin_end,
+       count(*) AS count
+FROM X CROSS JOIN P GROUP BY floor(x / step) * step, step"""),
         "csv_roundtrip": q("SELECT * FROM raw_offers"),
         "table_roundtrip": q("SELECT event_id, customer_id, event, offer_id, offer_success FROM OP"),
     }
