@@ -88,14 +88,20 @@ def _q_clean_events(s, d):
         "event_id", "customer_id", "event", "time", "offer_id", "amount")
 
 
+def _lazy_event_tables(s, d):
+    """B1-B11 as one lazy plan from the raw views (no materialisation)."""
+    return plans.build_event_tables(fx.raw_events(s, d), fx.raw_customers(s, d),
+                                    fx.raw_offers(s, d))
+
+
 def _q_offer_rows(s, d):
-    return _O(s, d).select("event_id", "customer_id", "event", "time", "offer_id", "offer_type",
+    return _lazy_event_tables(s, d)[0].select("event_id", "customer_id", "event", "time", "offer_id", "offer_type",
                            "difficulty", "reward", "duration", _arr_text(), "gender", "age",
                            "income")
 
 
 def _q_transaction_rows(s, d):
-    return _T(s, d)
+    return _lazy_event_tables(s, d)[1]
 
 
 def _q_winsorized_amounts(s, d):
