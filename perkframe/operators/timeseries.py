@@ -74,32 +74,46 @@ def _css_grid() -> tuple:
     return phi, theta
 
 
-def fit_forecast_series(y, steps: int = DEFAULT_STEPS):
-    """CSS fit of ARIMA(1,1,1) on one ordered series ``y`` (numpy), vectorised
-    over the whole (phi, theta) grid; returns (phi, theta, forecasts) or None
-    for fewer than 3 points."""
+def _css_batch(Y, steps: int):
+    """CSS fit for S series of equal length L (rows of ``Y``), all grid
+    candidates at once; returns (phi[S], theta[S], forecasts[S, steps]).
+
+    ``argmin`` keeps the first minimum and the grid is ordered by (phi,
+    theta), which is the (SSE, phi, theta) tie-break."""
     import numpy as np
-    y = np.asarray(y, dtype="float64")
-    if len(y) < 3:
-        return None
-    w = np.diff(y)
     phi, theta = _css_grid()
-    pw = np.full(phi.shape, w[0])
-    e = np.zeros(phi.shape)
-    sse = np.zeros(phi.shape)
-    for x in w[1:]:
+    W = np.diff(Y, axis=1)                                # [S, L-1]
+    pw = np.repeat(W[:, :1], phi.size, axis=1)            # [S, G]
+    e = np.zeros_like(pw)
+    sse = np.zeros_like(pw)
+    for t in range(1, W.shape[1]):
+        x = W[:, t:t + 1]
         e = x - phi * pw - theta * e
         sse = sse + e * e
-        pw = np.full(phi.shape, x)
-    best = np.lexsort((theta, phi, sse))[0]
+        pw = np.repeat(x, phi.size, axis=1)
+    best = np.argmin(sse, axis=1)
+    rows = np.arange(Y.shape[0])
     p, t = phi[best], theta[best]
-    w1 = p * w[-1] + t * e[best]
+    w1 = p * W[:, -1] + t * e[rows, best]
     h = np.arange(1, steps + 1, dtype="float64")
-    return p, t, y[-1] + w1 * (1.0 - np.power(p, h)) / (1.0 - p)
+    fc = Y[:, -1:] + w1[:, None] * (1.0 - np.power(p[:, None], h)) / (1.0 - p[:, None])
+    return p, t, fc
+
+
+def fit_forecast_series(y, steps: int = DEFAULT_STEPS):
+    """CSS fit of one ordered series ``y``: (phi, theta, forecasts) or None
+    for fewer than 3 points."""
+    import numpy as np
+    y = np.asarray(y, dtype="float64")
+    if len(y) < 3:
+        return None
+    p, t, fc = _css_batch(y[None, :], steps)
+    return p[0], t[0], fc[0]
 
 
 def forecast(series: DataFrame, key: str | None = None, period: str = "period",
-             value: str = "amount", steps: int = DEFAULT_STEPS) -> DataFrame:
+             value: str = "amount", steps: int = DEFAULT_STEPS,
+             chunk: int = 256) -> DataFrame:
     """ARIMA(1,1,1) without drift, fitted per series by conditional sum
     of squares over a (phi, theta) grid, then ``steps`` daily forecasts.
 
@@ -108,39 +122,44 @@ def forecast(series: DataFrame, key: str | None = None, period: str = "period",
     y_(T+h) = y_T + w1 * (1 - phi^h) / (1 - phi), w1 = phi*w_T + theta*e_T.
     Series with fewer than 3 points get no rows.  Output (key, date, forecast).
 
-    The recursion is sequential in t but independent across the 1,521
-    candidates, so each series is one ``applyInPandas`` group scored with
-    numpy over the whole grid at once (about T vector steps).  Series are
-    shuffled by key; a group holds one key's *periods* (bounded by the time
-    span, never by the row count), so a hot key costs no more than any other.
+    Spark builds one row per series (its values in period order, bounded by
+    the time span, never by the row count) with a group-by, then
+    ``mapInPandas`` scores whole chunks of equal-length series against the
+    1,521 candidates as 2-D numpy arrays: one Python call per Arrow batch,
+    sequential only in t.
     """
+    import numpy as np
     import pandas as pd
 
     keys = [key] if key else []
     key_type = dict(series.dtypes)[key] if key else None
     out_schema = (f"`{key}` {key_type}, " if key else "") + "date TIMESTAMP_NTZ, forecast DOUBLE"
-
-    def fit(pdf: pd.DataFrame) -> pd.DataFrame:
-        pdf = pdf.sort_values("p")
-        res = fit_forecast_series(pdf["y"].to_numpy(), steps)
-        cols = keys + ["date", "forecast"]
-        if res is None:
-            return pd.DataFrame({c: [] for c in cols})
-        _, _, fc = res
-        last = pd.Timestamp(pdf["p"].iloc[-1])
-        out = pd.DataFrame({"date": [last + pd.Timedelta(days=int(h)) for h in range(1, steps + 1)],
-                            "forecast": fc})
-        if key:
-            out.insert(0, key, pdf[key].iloc[0])
-        return out[cols]
-
-    src = series.select(*keys, F.col(period).alias("p"), F.col(value).cast("double").alias("y"))
-    grouped = src.groupBy(*keys) if keys else src.groupBy(F.lit(0).alias("_all"))
-    if not keys:
-        src = src.withColumn("_all", F.lit(0))
-        grouped = src.groupBy("_all")
-        return grouped.applyInPandas(lambda pdf: fit(pdf.drop(columns=["_all"])), out_schema)
-    return grouped.applyInPandas(fit, out_schema)
+    arr = (series.groupBy(*keys)
+           .agg(F.array_sort(F.collect_list(F.struct(
+               F.col(period).alias("p"), F.col(value).cast("double").alias("y")))).alias("_s"))
+           .select(*keys, F.col("_s.y").alias("_y"), F.element_at("_s", -1)["p"].alias("_last")))
+    cols = keys + ["date", "forecast"]
+    day = np.timedelta64(1, "D")
+
+    def fit(batches):
+        for pdf in batches:
+            lens = pdf["_y"].map(len).to_numpy()
+            parts = []
+            for L in np.unique(lens[lens >= 3]):
+                idx = np.flatnonzero(lens == L)
+                for c0 in range(0, idx.size, chunk):
+                    sel = idx[c0:c0 + chunk]
+                    Y = np.stack([np.asarray(v, dtype="float64") for v in pdf["_y"].iloc[sel]])
+                    _, _, fc = _css_batch(Y, steps)
+                    last = pdf["_last"].iloc[sel].to_numpy().astype("datetime64[ns]")
+                    dates = last[:, None] + np.arange(1, steps + 1) * day
+                    part = {"date": dates.ravel(), "forecast": fc.ravel()}
+                    if key:
+                        part[key] = np.repeat(pdf[key].iloc[sel].to_numpy(), steps)
+                    parts.append(pd.DataFrame(part)[cols])
+            yield pd.concat(parts) if parts else pd.DataFrame({c: [] for c in cols})
+
+    return arr.mapInPandas(fit, out_schema)
 
 
 def history_and_forecast(series: DataFrame, key: str | None = None, period: str = "period",
