@@ -13,7 +13,7 @@ reach the driver.  Start centres are a deterministic function of the data
 from __future__ import annotations
 
 import json
-from dataclasses import dataclass, field
+from dataclasses import dataclass
 from statistics import NormalDist
 
 from pyspark import StorageLevel
@@ -57,7 +57,6 @@ class SegmentModel:
     features: tuple[str, ...] = FEATURES
     iterations: int = 0
     scaler: DataFrame | None = None
-    extra: dict = field(default_factory=dict)
 
     def _bounds(self, i: int) -> tuple[Column, Column]:
         if self.scaler is not None:
@@ -108,8 +107,22 @@ class SegmentModel:
         return cls(means=[], stds=[], centers=[list(c) for c in centers],
                    features=tuple(features), scaler=rfm_df.agg(*aggs))
 
+    def resolved(self) -> "SegmentModel":
+        """The same model with a data-derived scaler read into numbers (its
+        single row)."""
+        if self.scaler is None:
+            return self
+        row = self.scaler.first()
+        n = len(self.features)
+        return SegmentModel(means=[float(row[f"_m{i}"]) for i in range(n)],
+                            stds=[float(row[f"_s{i}"]) for i in range(n)],
+                            centers=self.centers, features=self.features,
+                            iterations=self.iterations)
+
     def save(self, path: str) -> None:
         """Two small Parquet tables: scaler and centres."""
+        if self.scaler is not None:
+            return self.resolved().save(path)
         spark = SparkSession.getActiveSession()
         scaler = [(f, float(m), float(s)) for f, m, s in zip(self.features, self.means, self.stds)]
         spark.createDataFrame(scaler, "feature STRING, mean DOUBLE, std DOUBLE") \

@@ -190,3 +190,15 @@ def test_redemption_hot_pair_across_days(spark):
                                      "event STRING, time TIMESTAMP_NTZ")
     got = {r["event_id"]: r["time_to_redemption"] for r in offers.time_to_redemption(df).collect()}
     assert got == {2: 0.0, 3: (2 * 24 - 1) / 24, 5: 0.25, 6: None}
+
+
+def test_data_scaler_model_saves_and_scores_alike(spark, tmp_path):
+    from perkframe import sources
+    from perkframe.sources import fixtures as fx
+    r = segments.rfm(fx.order_transactions(spark, "/root/testdata/sf0.001"))
+    m = segments.SegmentModel.with_scaler_of(r, [[0.0, 0.0, 0.0], [1.0, 1.0, 1.0]])
+    m.save(str(tmp_path / "m"))
+    m2 = sources.load_model(spark, str(tmp_path / "m"))
+    a = segments.assign_segments(r, m).orderBy("customer_id").collect()
+    b = segments.assign_segments(r, m2).orderBy("customer_id").collect()
+    assert a == b
