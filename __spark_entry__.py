@@ -47,7 +47,8 @@ def _OP(s, d):
 
 
 def _OX(s, d):
-    return plans.explode_channels(_OP(s, d))
+    """P4 with channels: prepared offers (P1) exploded per channel."""
+    return plans.load_and_prepare(_O(s, d), _T(s, d), channels=True)[0]
 
 
 def _L(s, d):
@@ -411,8 +412,9 @@ def _q_csv_roundtrip(s, d):
 def _q_table_roundtrip(s, d):
     name = f"offer_events_{uuid.uuid4().hex[:12]}"
     path = scratch_path(s, name)
-    (_OP(s, d).select("event_id", "customer_id", "event", "offer_id", "offer_success")
-     .write.mode("overwrite").option("path", path).saveAsTable(name))
+    sources.write_table(_OP(s, d).select("event_id", "customer_id", "event", "offer_id",
+                                         "offer_success"),
+                        name, bucket_by=(8, "customer_id"), path=path)
     return sources.read_table(s, name)
 
 

@@ -57,13 +57,16 @@ def read_csv(spark: SparkSession, path: str, schema: str) -> DataFrame:
 
 
 def write_table(df: DataFrame, name: str, partition_by: list[str] | None = None,
-                bucket_by: tuple[int, str] | None = None) -> None:
+                bucket_by: tuple[int, str] | None = None, path: str | None = None) -> None:
     """Replace a named table (``to_sql(if_exists='replace')``).
 
     ``bucket_by=(n, key)`` writes a bucketed table so later joins or
-    group-bys on ``key`` read co-located data without a shuffle.
+    group-bys on ``key`` read co-located data without a shuffle; ``path``
+    makes it an external table at that location (else the warehouse).
     """
     w = df.write.mode("overwrite").format("parquet")
+    if path:
+        w = w.option("path", path)
     if partition_by:
         w = w.partitionBy(*partition_by)
     if bucket_by:

@@ -98,3 +98,14 @@ def test_nested_loop_joins_only_attach_one_row(spark):
             if cls == "BroadcastNestedLoopJoinExec":
                 side = n.right() if n.buildSide().toString() == "BuildRight" else n.left()
                 assert is_one_row(side), (name, side.toString()[:300])
+
+
+def test_bucketed_table_groups_without_shuffle(spark, tmp_path):
+    from perkframe import sources
+    lt = fx.order_transactions(spark, SF)
+    sources.write_table(lt, "orders_bucketed_test", bucket_by=(4, "customer_id"),
+                        path=str(tmp_path / "orders_bucketed"))
+    g = sources.read_table(spark, "orders_bucketed_test").groupBy("customer_id").count()
+    names = [n.getClass().getSimpleName() for n in physical_nodes(g)]
+    assert "ShuffleExchangeExec" not in names
+    assert g.count() == lt.select("customer_id").distinct().count()
