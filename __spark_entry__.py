@@ -661,7 +661,7 @@ SELECT cluster, 'avg_transactions' AS metric, avg_transactions AS value FROM {SE
 UNION ALL
 SELECT cluster, 'avg_basket_size' AS metric, avg_basket_size AS value FROM {SEG_STATS}"""),
         "fit_segments": q(f"SELECT c AS cluster, round(c0, 4) AS recency, round(c1, 4) AS frequency,"
-                          f" round(c2, 4) AS monetary FROM K{KMEANS_ROUNDS}",
+                          f" round(c2, 4) AS monetary FROM KF",
                           kmeans_sql("RFM_L", 4, KMEANS_ROUNDS)),
         "segment_customers": q(f"""
 SELECT r.customer_id, CAST(arg_min(k.c, struct_pack(d := (r.z0 - k.c0) * (r.z0 - k.c0)
@@ -671,7 +671,7 @@ FROM (SELECT customer_id, (CAST(recency AS DOUBLE) - m0) / s0 AS z0,
              (CAST(frequency AS DOUBLE) - m1) / s1 AS z1,
              (CAST(monetary AS DOUBLE) - m2) / s2 AS z2
       FROM {rfm_sql(L_F)} CROSS JOIN KS) r
-CROSS JOIN K{KMEANS_ROUNDS} k GROUP BY r.customer_id""", kmeans_sql("RFM_L", 4, KMEANS_ROUNDS)),
+CROSS JOIN KF k GROUP BY r.customer_id""", kmeans_sql("RFM_L", 4, KMEANS_ROUNDS)),
         "distinct_offer_types": q("SELECT DISTINCT offer_type FROM O"),
         "home_kpis": q("""
 SELECT o.total_customers, o.conversion_rate, t.total_revenue, t.avg_transaction FROM

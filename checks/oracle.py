@@ -179,9 +179,12 @@ def q(body: str, extra: list[tuple[str, str]] | None = None) -> str:
     return head + body
 
 
-def kmeans_sql(rfm_rel: str, k: int = 4, rounds: int = 60) -> list[tuple[str, str]]:
+def kmeans_sql(rfm_rel: str, k: int = 4, rounds: int = 60, tol: float = 1e-4
+               ) -> list[tuple[str, str]]:
     """M1 + M2 unrolled: scaler, start centres by normal-quantile buckets of
-    z(monetary), then ``rounds`` Lloyd steps as chained CTEs."""
+    z(monetary), ``rounds`` Lloyd steps as chained CTEs, and ``KF`` = the
+    centres after the first round whose summed squared shift is at most
+    tol * mean population variance of the scaled features."""
     cuts = [NormalDist().inv_cdf(i / k) for i in range(1, k)]
     bucket = " + ".join(f"CAST(z2 >= {c!r} AS INTEGER)" for c in cuts)
     ctes = [
@@ -206,4 +209,16 @@ GROUP BY ALL"""))
 SELECT p.c, coalesce(n.c0, p.c0) AS c0, coalesce(n.c1, p.c1) AS c1, coalesce(n.c2, p.c2) AS c2
 FROM {prev} p LEFT JOIN (SELECT cl AS c, avg(z0) AS c0, avg(z1) AS c1, avg(z2) AS c2
                           FROM A{r} GROUP BY cl) n ON p.c = n.c"""))
+    ctes.append(("KALL", " UNION ALL ".join(f"SELECT {r} AS r, * FROM K{r}"
+                                            for r in range(rounds + 1))))
+    ctes.append(("KSHIFT", """
+SELECT a.r, sum((a.c0 - b.c0) * (a.c0 - b.c0) + (a.c1 - b.c1) * (a.c1 - b.c1)
+                + (a.c2 - b.c2) * (a.c2 - b.c2)) AS shift
+FROM KALL a JOIN KALL b ON a.c = b.c AND b.r = a.r - 1 GROUP BY a.r"""))
+    ctes.append(("KTOL", f"""
+SELECT {tol!r} * (var_pop(z0) + var_pop(z1) + var_pop(z2)) / 3 AS tol FROM KZ"""))
+    ctes.append(("KF", f"""
+SELECT c, c0, c1, c2 FROM KALL
+WHERE r = (SELECT coalesce(min(r) FILTER (WHERE shift <= tol), {rounds})
+           FROM KSHIFT CROSS JOIN KTOL)"""))
     return ctes

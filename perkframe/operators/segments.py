@@ -146,15 +146,20 @@ class SegmentModel:
                            "features": list(self.features)})
 
 
-def fit_scaler(rfm_df: DataFrame, features=FEATURES) -> tuple[list[float], list[float]]:
-    """M1: population mean and std per feature (std 0 -> 1); one aggregate."""
+def _scaler_stats(rfm_df: DataFrame, features=FEATURES):
     aggs = []
     for f in features:
         aggs += [F.avg(F.col(f).cast("double")).alias(f"m_{f}"),
                  F.stddev_pop(F.col(f).cast("double")).alias(f"s_{f}")]
     row = rfm_df.agg(*aggs).first()
     means = [float(row[f"m_{f}"]) for f in features]
-    stds = [float(row[f"s_{f}"]) if row[f"s_{f}"] else 1.0 for f in features]
+    raw = [float(row[f"s_{f}"] or 0.0) for f in features]
+    return means, [r if r else 1.0 for r in raw], raw
+
+
+def fit_scaler(rfm_df: DataFrame, features=FEATURES) -> tuple[list[float], list[float]]:
+    """M1: population mean and std per feature (std 0 -> 1); one aggregate."""
+    means, stds, _ = _scaler_stats(rfm_df, features)
     return means, stds
 
 
@@ -179,16 +184,20 @@ def start_centers(z: DataFrame, k: int, seed_feature: int = 2) -> list[list[floa
     return [[float(r[f"c{i}"]) for i in range(n)] for r in rows]
 
 
-def fit_segments(rfm_df: DataFrame, k: int = 4, max_iter: int = 300, tol: float = 1e-12,
+def fit_segments(rfm_df: DataFrame, k: int = 4, max_iter: int = 300, tol: float = 1e-4,
                  features=FEATURES) -> SegmentModel:
     """M1 + M2: scaler, then Lloyd's k-means from :func:`start_centers`.
 
     The scaled table is persisted (memory, spilling to disk) for the rounds;
     if an executor is lost its blocks are recomputed from the short lineage.
-    Stops when no centre moves more than ``tol`` (squared) or at
+    Convergence as in scikit-learn's k-means (used by the surveyed app): stop
+    after the first round whose summed squared centre shift is at most
+    ``tol`` times the mean variance of the scaled features, or at
     ``max_iter``.  A cluster that loses every member keeps its centre.
     """
-    means, stds = fit_scaler(rfm_df, features)
+    means, stds, raw = _scaler_stats(rfm_df, features)
+    # population variance of a z-score column: 1, or 0 for a constant feature
+    tol_abs = tol * sum((r / s) ** 2 for r, s in zip(raw, stds)) / len(features)
     z = scaled(rfm_df, means, stds, features).persist(StorageLevel.MEMORY_AND_DISK)
     try:
         centers = start_centers(z, k)
@@ -215,9 +224,9 @@ def fit_segments(rfm_df: DataFrame, k: int = 4, max_iter: int = 300, tol: float
             new = [list(c) for c in centers]
             for r in rows:
                 new[r["c"]] = [float(r[f"m{i}"]) for i in range(n)]
-            shift = max(sum((a - b) ** 2 for a, b in zip(c0, c1)) for c0, c1 in zip(centers, new))
+            shift = sum((a - b) ** 2 for c0, c1 in zip(centers, new) for a, b in zip(c0, c1))
             centers = new
-            if shift <= tol:
+            if shift <= tol_abs:
                 break
     finally:
         z.unpersist()
