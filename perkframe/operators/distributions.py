@@ -22,15 +22,24 @@ AGE_LABELS = ["18-30", "31-45", "46-60", "60+"]
 DESCRIBE_STATS = ["count", "mean", "std", "min", "25%", "50%", "75%", "max"]
 
 
-def describe_column(df: DataFrame, c: str) -> DataFrame:
+def describe_column(df: DataFrame, c: str, method: str = "exact") -> DataFrame:
     """Count, mean, std (n-1), min, quartiles (linear, exact), max of ``c``
-    in long form (statistic, value); NULLs skipped."""
+    in long form (statistic, value); NULLs skipped.
+
+    ``method="exact"`` suits bounded domains such as age; use ``"bracket"``
+    for high-cardinality columns (see ``operators.quantiles``)."""
     x = F.col(c).cast("double")
-    q = F.percentile(x, F.array(F.lit(0.25), F.lit(0.5), F.lit(0.75)))
-    wide = df.agg(F.count(x).cast("double").alias("count"), F.avg(x).alias("mean"),
-                  F.stddev_samp(x).alias("std"), F.min(x).alias("min"),
-                  q[0].alias("25%"), q[1].alias("50%"), q[2].alias("75%"),
-                  F.max(x).alias("max"))
+    moments = [F.count(x).cast("double").alias("count"), F.avg(x).alias("mean"),
+               F.stddev_samp(x).alias("std"), F.min(x).alias("min"), F.max(x).alias("max")]
+    if method == "exact":
+        q = F.percentile(x, F.array(F.lit(0.25), F.lit(0.5), F.lit(0.75)))
+        wide = df.agg(*moments, q[0].alias("25%"), q[1].alias("50%"), q[2].alias("75%"))
+    else:
+        from .quantiles import percentiles
+        qs = percentiles(df, c, [0.25, 0.5, 0.75], method=method)
+        wide = attach_scalars(df.agg(*moments), qs).select(
+            *DESCRIBE_STATS[:4], F.col("_q")[0].alias("25%"), F.col("_q")[1].alias("50%"),
+            F.col("_q")[2].alias("75%"), "max")
     return wide.unpivot([], DESCRIBE_STATS, "statistic", "value")
 
 

@@ -202,3 +202,24 @@ def test_data_scaler_model_saves_and_scores_alike(spark, tmp_path):
     a = segments.assign_segments(r, m).orderBy("customer_id").collect()
     b = segments.assign_segments(r, m2).orderBy("customer_id").collect()
     assert a == b
+
+
+def test_guards_renames_and_projection(spark):
+    df = spark.createDataFrame([(1, 2.0, "x")], "customer_id INT, total_spend DOUBLE, z STRING")
+    assert filters.is_empty(df.filter("customer_id > 5"))
+    assert not filters.is_empty(df)
+    assert filters.rename(df, {"z": "segment"}).columns == ["customer_id", "total_spend", "segment"]
+    assert filters.select_if_present(df, ["customer_id", "total_spend"], "customer_id").columns \
+        == ["customer_id", "total_spend"]
+    assert filters.select_if_present(df, ["customer_id"], "missing").columns == df.columns
+
+
+def test_describe_methods_agree(spark):
+    from perkframe.sources import fixtures as fx
+    o = fx.offer_events(spark, "/root/testdata/sf0.001")
+    a = {r["statistic"]: r["value"] for r in distributions.describe_column(o, "income").collect()}
+    b = {r["statistic"]: r["value"] for r in
+         distributions.describe_column(o, "income", method="bracket").collect()}
+    assert a.keys() == b.keys()
+    for k in a:
+        assert math.isclose(a[k], b[k], rel_tol=1e-12), k
