@@ -518,7 +518,7 @@ def _resample_sql(src: str, unit: str, period: str, key: str | None = None) -> s
     ks = f"s.{key}, " if key else ""
     kon = f"s.{key} = v.{key} AND " if key else ""
     return f"""(
-WITH sums AS (SELECT {kc}{period} AS period, sum(amount) AS v FROM {src}
+WITH sums AS (SELECT {kc}{period} AS period, CAST(sum(CAST(amount AS DECIMAL(18, 2))) AS DOUBLE) AS v FROM {src}
               WHERE time IS NOT NULL{kn} GROUP BY ALL),
 spine AS (SELECT {kc}unnest(generate_series(min(period), max(period), INTERVAL {unit})) AS period
           FROM sums {"GROUP BY " + key if key else ""})
@@ -577,7 +577,7 @@ def _oracles() -> dict[str, str]:
     BASKET = """(SELECT a.customer_id, a.transaction_count, a.amount,
                     a.amount / a.transaction_count AS avg_basket_size, s.cluster
              FROM (SELECT customer_id, count(*) AS transaction_count,
-                          coalesce(sum(amount), 0.0) AS amount
+                          coalesce(CAST(sum(CAST(amount AS DECIMAL(18, 2))) AS DOUBLE), 0.0) AS amount
                    FROM L WHERE customer_id IS NOT NULL GROUP BY customer_id) a
              JOIN SEG_L s ON a.customer_id = s.customer_id)"""
     SEG_STATS = f"""(SELECT cluster,
@@ -586,9 +586,9 @@ def _oracles() -> dict[str, str]:
         CAST(round_even(CAST(avg(avg_basket_size) AS DECIMAL(38, 10)), 2) AS DOUBLE)
           AS avg_basket_size
       FROM {BASKET} GROUP BY cluster)"""
-    CLV = """(SELECT customer_id, coalesce(sum(amount), 0.0) AS total_spend,
+    CLV = """(SELECT customer_id, coalesce(CAST(sum(CAST(amount AS DECIMAL(18, 2))) AS DOUBLE), 0.0) AS total_spend,
                  avg(age) AS customer_age,
-                 coalesce(sum(amount), 0.0) / nullif(avg(age), 0) AS annual_value
+                 coalesce(CAST(sum(CAST(amount AS DECIMAL(18, 2))) AS DOUBLE), 0.0) / nullif(avg(age), 0) AS annual_value
           FROM (SELECT L.*, c.age FROM L LEFT JOIN clean_customers c
                 ON L.customer_id = c.customer_id)
           WHERE customer_id IS NOT NULL GROUP BY customer_id)"""
@@ -648,7 +648,7 @@ WHERE age >= q1 - 1.5 * (q3 - q1) AND age <= q3 + 1.5 * (q3 - q1)"""),
         "prepared_offer_events": q("SELECT event_id, offer_id, offer_success, age FROM OP"),
         "prepared_transactions": q("""
 SELECT T.event_id, T.customer_id, T.amount, s.total_spend FROM T LEFT JOIN
-  (SELECT customer_id, coalesce(sum(amount), 0.0) AS total_spend FROM T
+  (SELECT customer_id, coalesce(CAST(sum(CAST(amount AS DECIMAL(18, 2))) AS DOUBLE), 0.0) AS total_spend FROM T
    WHERE customer_id IS NOT NULL GROUP BY customer_id) s ON T.customer_id = s.customer_id"""),
         "exploded_channels": q("SELECT event_id, channels FROM OX"),
         "rfm": q("SELECT * FROM RFM_L"),
@@ -678,26 +678,26 @@ SELECT o.total_customers, o.conversion_rate, t.total_revenue, t.avg_transaction
  (SELECT count(DISTINCT customer_id) + max(CAST(customer_id IS NULL AS INTEGER)) AS total_customers,
          count_if(event = 'offer completed') / nullif(count_if(event = 'offer received'), 0)
            AS conversion_rate FROM OP) o
-CROSS JOIN (SELECT coalesce(sum(amount), 0.0) AS total_revenue, avg(amount) AS avg_transaction
+CROSS JOIN (SELECT coalesce(CAST(sum(CAST(amount AS DECIMAL(18, 2))) AS DOUBLE), 0.0) AS total_revenue, (CAST(sum(CAST(amount AS DECIMAL(18, 2))) AS DOUBLE) / nullif(count(amount), 0)) AS avg_transaction
             FROM T) t"""),
         "customer_clv": q("SELECT customer_id, monetary * frequency AS clv FROM RFM_L"),
         "segment_kpis": q("SELECT count(*) AS customers, avg(recency) AS avg_recency, "
-                          "avg(frequency) AS avg_frequency, avg(monetary) AS avg_monetary "
+                          "avg(frequency) AS avg_frequency, (CAST(sum(CAST(monetary AS DECIMAL(18, 2))) AS DOUBLE) / nullif(count(monetary), 0)) AS avg_monetary "
                           "FROM RFM_L"),
         "clv_by_customer": q(f"SELECT * FROM {CLV}"),
         "top_customers": q(f"SELECT customer_id, total_spend, annual_value FROM {CLV} "
                            f"ORDER BY total_spend DESC, customer_id LIMIT 10"),
         "drilldown_totals": q("""
-SELECT cluster, frequency, sum(monetary) AS sum_monetary, CAST(sum(recency) AS BIGINT) AS sum_recency,
+SELECT cluster, frequency, CAST(sum(CAST(monetary AS DECIMAL(18, 2))) AS DOUBLE) AS sum_monetary, CAST(sum(recency) AS BIGINT) AS sum_recency,
        count(*) AS rows, CAST(GROUPING(cluster, frequency) AS INTEGER) AS level
 FROM SEG_L GROUP BY ROLLUP (cluster, frequency)"""),
         "assign_segments": q("SELECT customer_id, cluster FROM SEG_L"),
         "segment_distribution": q("SELECT cluster, count(*) AS count FROM SEG_L "
                                   "WHERE cluster IS NOT NULL GROUP BY cluster"),
         "segment_summary": q("SELECT cluster, avg(recency) AS recency, avg(frequency) AS frequency,"
-                             " avg(monetary) AS monetary FROM SEG_L GROUP BY cluster"),
+                             " (CAST(sum(CAST(monetary AS DECIMAL(18, 2))) AS DOUBLE) / nullif(count(monetary), 0)) AS monetary FROM SEG_L GROUP BY cluster"),
         "segment_size_value": q("SELECT cluster, count(*) AS segment_size, "
-                                "avg(monetary) AS avg_monetary FROM SEG_L GROUP BY cluster"),
+                                "(CAST(sum(CAST(monetary AS DECIMAL(18, 2))) AS DOUBLE) / nullif(count(monetary), 0)) AS avg_monetary FROM SEG_L GROUP BY cluster"),
         "basket": q(f"SELECT * FROM {BASKET}"),
         "segment_stats": q(f"SELECT * FROM {SEG_STATS}"),
         "offer_performance": q(f"SELECT offer_type, cluster, {RATE} AS conversion_rate, "
@@ -727,7 +727,7 @@ FROM OP WHERE offer_type IS NOT NULL GROUP BY offer_type"""),
         "advanced_metrics": q(f"""
 SELECT r.clv, r.churn_rate,
        CASE WHEN r.n_new > 0 THEN CAST(o.spend AS DOUBLE) / r.n_new ELSE 0.0 END AS cac
-FROM (SELECT avg(monetary * frequency) AS clv, avg(CAST(recency > 30 AS INTEGER)) AS churn_rate,
+FROM (SELECT (CAST(sum(CAST(monetary * frequency AS DECIMAL(18, 2))) AS DOUBLE) / nullif(count(monetary * frequency), 0)) AS clv, avg(CAST(recency > 30 AS INTEGER)) AS churn_rate,
              count_if(frequency = 1) AS n_new FROM {rfm_sql(L_F)}) r
 CROSS JOIN (SELECT coalesce(sum(reward), 0) AS spend FROM O WHERE offer_type IN ({_TYPES})) o"""),
         "offer_insights": q("""
@@ -748,15 +748,15 @@ BC AS (SELECT arg_min(channels, struct_pack(a := -r, b := channels)) AS k, max(r
         WHERE channels IS NOT NULL GROUP BY ALL))
 SELECT BT.k AS top_offer_type, BT.r AS top_offer_type_rate, BS.k AS top_segment,
        BS.r AS top_segment_rate, BC.k AS top_channel, BC.r AS top_channel_rate,
-       (SELECT coalesce(sum(amount), 0.0) FROM FT) AS total_revenue,
-       (SELECT avg(amount) FROM FT) AS avg_transaction_value,
+       (SELECT coalesce(CAST(sum(CAST(amount AS DECIMAL(18, 2))) AS DOUBLE), 0.0) FROM FT) AS total_revenue,
+       (SELECT (CAST(sum(CAST(amount AS DECIMAL(18, 2))) AS DOUBLE) / nullif(count(amount), 0)) FROM FT) AS avg_transaction_value,
        (SELECT count(*) FROM FO) AS total_offers,
        (SELECT avg(CAST(offer_success AS INTEGER)) FROM FO) AS offer_completion_rate,
        (SELECT count(DISTINCT customer_id) FROM FO) AS total_customers_impacted
 FROM BT, BS, BC"""),
         "transaction_overview": q("""
-SELECT count(*) AS total_transactions, coalesce(sum(amount), 0.0) AS total_revenue,
-       avg(amount) AS avg_transaction_value
+SELECT count(*) AS total_transactions, coalesce(CAST(sum(CAST(amount AS DECIMAL(18, 2))) AS DOUBLE), 0.0) AS total_revenue,
+       (CAST(sum(CAST(amount AS DECIMAL(18, 2))) AS DOUBLE) / nullif(count(amount), 0)) AS avg_transaction_value
 FROM T CROSS JOIN (SELECT CAST(min(time) AS DATE) AS d0, floor(max(amount)) AS hi FROM T) w
 WHERE CAST(time AS DATE) BETWEEN w.d0 AND w.d0 + 29 AND amount BETWEEN 0 AND w.hi"""),
         "describe_age": q("""

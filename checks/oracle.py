@@ -9,8 +9,9 @@ from __future__ import annotations
 
 from statistics import NormalDist
 
-# Start of the event hours and the fixed centres (z-space,
-# recency / frequency / monetary) used by the scoring queries.
+# Money is summed as exact cents: CAST(sum(CAST(x AS DECIMAL(18, 2))) AS DOUBLE).
+# The fixed centres (z-space, recency / frequency / monetary)
+# used by the scoring queries.
 FIXED_CENTERS = [
     [1.0, -0.8, -0.8],
     [-0.5, -0.6, -0.6],
@@ -119,7 +120,7 @@ SELECT p.customer_id,
        CAST(floor((epoch_us(g.gmax) - epoch_us(p.last)) / 86400000000) AS INTEGER) AS recency,
        p.frequency,
        CASE WHEN coalesce(p.spend, 0) > 0 THEN coalesce(p.spend, 0) ELSE 0.0 END AS monetary
-FROM (SELECT customer_id, max(time) AS last, count(event) AS frequency, sum(amount) AS spend
+FROM (SELECT customer_id, max(time) AS last, count(event) AS frequency, CAST(sum(CAST(amount AS DECIMAL(18, 2))) AS DOUBLE) AS spend
       FROM {src} GROUP BY customer_id) p
 CROSS JOIN (SELECT max(time) AS gmax FROM {src}) g
 WHERE p.customer_id IS NOT NULL)"""

@@ -103,6 +103,22 @@ def clamp_nonneg(c) -> Column:
     return F.when(x.isNotNull(), F.greatest(x, F.lit(0.0)))
 
 
+# Money (amounts, spend) is summed as cents in DECIMAL: the sum is exact, so
+# it does not depend on partitioning or summation order, and the single
+# conversion back to DOUBLE is correctly rounded.
+MONEY = "decimal(18,2)"
+
+
+def money_sum(c) -> Column:
+    """Exact sum of a cents-valued column, as DOUBLE (NULL when no values)."""
+    return F.sum(col(c).cast(MONEY)).cast("double")
+
+
+def money_avg(c) -> Column:
+    """Mean of a cents-valued column from its exact sum (NULL when empty)."""
+    return F.try_divide(money_sum(c), F.count(col(c)).cast("double"))
+
+
 def bool_mean(c) -> Column:
     """Mean of a boolean column (share of true)."""
     return F.avg(col(c).cast("int"))

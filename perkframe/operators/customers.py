@@ -15,7 +15,7 @@ from collections.abc import Sequence
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from ..functions import safe_ratio
+from ..functions import money_avg, money_sum, safe_ratio
 
 
 def one_row(*parts: DataFrame) -> DataFrame:
@@ -31,7 +31,7 @@ def with_customer_total(df: DataFrame, key: str = "customer_id", amount: str = "
                         name: str = "total_spend") -> DataFrame:
     """Per-customer sum of ``amount`` on every row (NULL key -> NULL)."""
     totals = (df.filter(F.col(key).isNotNull()).groupBy(key)
-              .agg(F.coalesce(F.sum(amount), F.lit(0.0)).alias(name)))
+              .agg(F.coalesce(money_sum(amount), F.lit(0.0)).alias(name)))
     return df.join(totals, key, "left")
 
 
@@ -45,15 +45,15 @@ def home_kpis(offers: DataFrame, transactions: DataFrame) -> DataFrame:
                      F.count_if(F.col("event") == "offer received")).cast("double")
         .alias("conversion_rate"),
     )
-    t = transactions.agg(F.coalesce(F.sum("amount"), F.lit(0.0)).alias("total_revenue"),
-                         F.avg("amount").alias("avg_transaction"))
+    t = transactions.agg(F.coalesce(money_sum("amount"), F.lit(0.0)).alias("total_revenue"),
+                         money_avg("amount").alias("avg_transaction"))
     return one_row(o, t)
 
 
 def customer_lifetime_value(df: DataFrame, key: str = "customer_id") -> DataFrame:
     """E5: per customer total_spend, customer_age (mean), annual_value = spend / age (Q11)."""
     return (df.filter(F.col(key).isNotNull()).groupBy(key)
-            .agg(F.coalesce(F.sum("amount"), F.lit(0.0)).alias("total_spend"),
+            .agg(F.coalesce(money_sum("amount"), F.lit(0.0)).alias("total_spend"),
                  F.avg("age").alias("customer_age"))
             .withColumn("annual_value", safe_ratio("total_spend", "customer_age")))
 
@@ -75,7 +75,7 @@ def advanced_metrics(rfm: DataFrame, offers: DataFrame, churn_days: int = 30) ->
     recency > churn_days, Q9), cac (reward over all offer rows / customers
     with frequency 1; 0 when there are none, Q15)."""
     r = rfm.agg(
-        F.avg(F.col("monetary") * F.col("frequency")).alias("clv"),
+        money_avg(F.col("monetary") * F.col("frequency")).alias("clv"),
         F.avg((F.col("recency") > F.lit(churn_days)).cast("int")).cast("double").alias("churn_rate"),
         F.count_if(F.col("frequency") == 1).alias("_new"),
     )
@@ -94,8 +94,8 @@ def customer_clv(rfm: DataFrame) -> DataFrame:
 def transaction_overview(df: DataFrame) -> DataFrame:
     """Count, sum and mean of amount; one row."""
     return df.agg(F.count(F.lit(1)).alias("total_transactions"),
-                  F.coalesce(F.sum("amount"), F.lit(0.0)).alias("total_revenue"),
-                  F.avg("amount").alias("avg_transaction_value"))
+                  F.coalesce(money_sum("amount"), F.lit(0.0)).alias("total_revenue"),
+                  money_avg("amount").alias("avg_transaction_value"))
 
 
 def correlation_matrix(offers: DataFrame, rfm: DataFrame,
@@ -127,13 +127,16 @@ def correlation_matrix(offers: DataFrame, rfm: DataFrame,
     return upper.unionByName(lower)
 
 
-def drilldown_totals(df: DataFrame, group_cols: Sequence[str], sum_cols: Sequence[str]
+def drilldown_totals(df: DataFrame, group_cols: Sequence[str], sum_cols: Sequence[str],
+                     money_cols: Sequence[str] = ("monetary", "amount", "total_spend")
                      ) -> DataFrame:
     """Nested grouping with a sum at every level (grid row grouping).
 
     ``rollup`` gives every prefix of ``group_cols`` plus the grand total;
-    ``level`` is Spark's ``grouping_id`` (0 = finest).
+    ``level`` is Spark's ``grouping_id`` (0 = finest).  Money columns are
+    summed exactly.
     """
     return (df.rollup(*group_cols)
-            .agg(*[F.sum(c).alias(f"sum_{c}") for c in sum_cols],
+            .agg(*[(money_sum(c) if c in money_cols else F.sum(c)).alias(f"sum_{c}")
+                   for c in sum_cols],
                  F.count(F.lit(1)).alias("rows"), F.grouping_id().alias("level")))

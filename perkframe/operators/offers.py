@@ -130,8 +130,9 @@ def offer_insights(offers: DataFrame, transactions: DataFrame, rfm: DataFrame,
                  F.max(F.when(gid == 7, F.col("n"))).alias("total_offers"),
                  F.max(F.when(gid == 7, rate)).alias("offer_completion_rate"))
     cust = offers.agg(F.count_distinct("customer_id").alias("total_customers_impacted"))
-    txn = transactions.agg(F.coalesce(F.sum("amount"), F.lit(0.0)).alias("total_revenue"),
-                           F.avg("amount").alias("avg_transaction_value"))
+    from ..functions import money_avg, money_sum
+    txn = transactions.agg(F.coalesce(money_sum("amount"), F.lit(0.0)).alias("total_revenue"),
+                           money_avg("amount").alias("avg_transaction_value"))
     from .customers import one_row
     return one_row(top, txn, cust)
 

@@ -16,8 +16,10 @@ amounts, incomes) would have to fit one task.  ``percentiles(method=
    statistics around the target position are interpolated.
 
 A bracket holds about ``4 n / accuracy`` rows per group, so no task ever
-holds a whole group.  Interpolation follows Spark's ``percentile``:
-``(k+1-pos) * v_k + (pos-k) * v_(k+1)`` with ``pos = q (n-1)``, ``k = floor(pos)``.
+holds a whole group.  Interpolation is ``v_k + (pos-k) * (v_(k+1) - v_k)``
+with ``pos = q (n-1)``, ``k = floor(pos)`` (linear, as pandas / SQL
+``quantile_cont``; Spark's ``percentile`` rounds the same value in a
+different order, so the two agree to the last bit or two).
 """
 
 from __future__ import annotations
@@ -106,5 +108,5 @@ def percentiles(df: DataFrame, value: str, qs: Sequence[float], keys: Sequence[s
                  E(f"max(CASE WHEN _c.qi = {i} THEN _c.k END) AS _kk{i}")]
     fin = ranked.groupBy(*keys).agg(*aggs)
     vals = ", ".join(f"CASE WHEN _b{i} IS NULL OR _p{i} = _kk{i} THEN _a{i} "
-                     f"ELSE (_kk{i} + 1 - _p{i}) * _a{i} + (_p{i} - _kk{i}) * _b{i} END" for i in rng)
+                     f"ELSE _a{i} + (_p{i} - _kk{i}) * (_b{i} - _a{i}) END" for i in rng)
     return fin.selectExpr(*[f"`{k}`" for k in keys], f"array({vals}) AS `{name}`")

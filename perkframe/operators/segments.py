@@ -20,7 +20,7 @@ from pyspark import StorageLevel
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from ..functions import attach_scalars, clamp_nonneg, days_between, round2
+from ..functions import attach_scalars, clamp_nonneg, days_between, money_avg, money_sum, round2
 
 FEATURES = ("recency", "frequency", "monetary")
 
@@ -38,7 +38,7 @@ def rfm(df: DataFrame, key: str = "customer_id", time_col: str = "time",
     from ..functions import attach_scalars
     per = df.groupBy(key).agg(F.max(time_col).alias("_last"),
                               F.count(event_col).alias("frequency"),
-                              F.sum(amount).alias("_spend"))
+                              money_sum(amount).alias("_spend"))
     gmax = per.agg(F.max("_last").alias("_gmax"))
     return (attach_scalars(per.filter(F.col(key).isNotNull()), gmax)
             .select(key,
@@ -249,7 +249,7 @@ def segment_kpis(rfm_df: DataFrame) -> DataFrame:
     return rfm_df.agg(F.count(F.lit(1)).alias("customers"),
                       F.avg("recency").alias("avg_recency"),
                       F.avg("frequency").alias("avg_frequency"),
-                      F.avg("monetary").alias("avg_monetary"))
+                      money_avg("monetary").alias("avg_monetary"))
 
 
 def basket(transactions: DataFrame, segmented: DataFrame, key: str = "customer_id") -> DataFrame:
@@ -261,7 +261,7 @@ def basket(transactions: DataFrame, segmented: DataFrame, key: str = "customer_i
     """
     agg = (transactions.filter(F.col(key).isNotNull()).groupBy(key)
            .agg(F.count(F.lit(1)).alias("transaction_count"),
-                F.coalesce(F.sum("amount"), F.lit(0.0)).alias("amount")))
+                F.coalesce(money_sum("amount"), F.lit(0.0)).alias("amount")))
     return (agg.withColumn("avg_basket_size", F.col("amount") / F.col("transaction_count"))
             .join(segmented.select(key, "cluster"), key, "inner"))
 
@@ -277,14 +277,14 @@ def segment_stats(basket_df: DataFrame) -> DataFrame:
 def segment_size_value(rfm_df: DataFrame) -> DataFrame:
     """Per cluster size and mean monetary."""
     return rfm_df.groupBy("cluster").agg(F.count(F.lit(1)).alias("segment_size"),
-                                         F.avg("monetary").alias("avg_monetary"))
+                                         money_avg("monetary").alias("avg_monetary"))
 
 
 def segment_summary(rfm_df: DataFrame) -> DataFrame:
     """Per cluster mean recency / frequency / monetary, key-ordered (H4)."""
     return (rfm_df.groupBy("cluster")
             .agg(F.avg("recency").alias("recency"), F.avg("frequency").alias("frequency"),
-                 F.avg("monetary").alias("monetary"))
+                 money_avg("monetary").alias("monetary"))
             .orderBy("cluster"))
 
 

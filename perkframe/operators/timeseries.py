@@ -30,20 +30,23 @@ def _period(time_col: str, freq: str) -> Column:
 
 
 def resample(df: DataFrame, time_col: str = "time", value_col: str = "amount",
-             freq: str = "day", key: str | None = None, name: str | None = None) -> DataFrame:
+             freq: str = "day", key: str | None = None, name: str | None = None,
+             money: bool = True) -> DataFrame:
     """Sum of ``value_col`` per period (per key), missing periods 0.
 
     The spine runs from each key's first to last period
     (``explode(sequence(...))`` on the per-key bounds), so its size is the
-    time span, independent of the row count.
+    time span, independent of the row count.  ``money``: the value is cents
+    and is summed exactly (``functions.money_sum``).
     """
+    from ..functions import money_sum
     name = name or value_col
     keys = [key] if key else []
     base = df.filter(F.col(time_col).isNotNull())
     if key:
         base = base.filter(F.col(key).isNotNull())
     sums = (base.groupBy(*keys, _period(time_col, freq).alias("period"))
-            .agg(F.sum(value_col).alias("_v")))
+            .agg((money_sum(value_col) if money else F.sum(value_col)).alias("_v")))
     bounds = sums.groupBy(*keys).agg(F.min("period").alias("_lo"), F.max("period").alias("_hi"))
     spine = bounds.select(*keys, F.explode(F.sequence(
         "_lo", "_hi", F.expr(f"INTERVAL {_UNITS[freq]}"))).alias("period"))
