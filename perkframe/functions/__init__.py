@@ -103,15 +103,14 @@ def clamp_nonneg(c) -> Column:
     return F.when(x.isNotNull(), F.greatest(x, F.lit(0.0)))
 
 
-# Money (amounts, spend) is summed as cents in DECIMAL: the sum is exact, so
-# it does not depend on partitioning or summation order, and the single
-# conversion back to DOUBLE is correctly rounded.
-MONEY = "decimal(18,2)"
-
-
+# Money (amounts, spend) is summed as whole cents in a LONG: the sum is exact,
+# so it does not depend on partitioning or summation order, it stays in
+# generated code, and the single division back to DOUBLE is correctly
+# rounded (the same value as DECIMAL(18,2) summation).
 def money_sum(c) -> Column:
     """Exact sum of a cents-valued column, as DOUBLE (NULL when no values)."""
-    return F.sum(col(c).cast(MONEY)).cast("double")
+    cents = F.round(col(c) * F.lit(100.0)).cast("long")
+    return F.sum(cents).cast("double") / F.lit(100.0)
 
 
 def money_avg(c) -> Column:
