@@ -223,3 +223,15 @@ def test_describe_methods_agree(spark):
     assert a.keys() == b.keys()
     for k in a:
         assert math.isclose(a[k], b[k], rel_tol=1e-12), k
+
+
+def test_every_customer_gets_its_nearest_centre(spark):
+    from perkframe.sources import fixtures as fx
+    r = segments.rfm(fx.order_transactions(spark, "/root/testdata/sf0.001"))
+    m = segments.fit_segments(r)
+    rows = segments.assign_segments(r, m).collect()
+    assert len(rows) == r.count()
+    for row in rows:
+        z = [(float(row[f]) - mu) / sd for f, mu, sd in zip(segments.FEATURES, m.means, m.stds)]
+        d = [sum((a - b) ** 2 for a, b in zip(z, c)) for c in m.centers]
+        assert row["cluster"] == d.index(min(d))
