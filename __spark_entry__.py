@@ -55,12 +55,16 @@ def _L(s, d):
     return fx.order_transactions(s, d)
 
 
-def _seg(txns: DataFrame) -> DataFrame:
+def _seg(txns: DataFrame, with_basket: bool = False) -> DataFrame:
     """RFM of ``txns`` scored with the fixed centres and its own scaler."""
-    r = segments.rfm(txns)
+    r = segments.rfm(txns, with_basket=with_basket)
     return segments.assign_segments(r, segments.SegmentModel.with_scaler_of(r, FIXED_CENTERS))
 
 
+def _basket_L(s, d):
+    return segments.basket_from_segmented(_seg(_L(s, d), with_basket=True))
+
+
 def _seg_with(txns: DataFrame, scaler_source: DataFrame) -> DataFrame:
     """RFM of ``txns`` scored with the fixed centres, scaler of another table
     (a model fitted on unfiltered data, applied to filtered data)."""
@@ -173,8 +177,7 @@ def _q_rfm_points(s, d):
 
 
 def _q_basket_points(s, d):
-    lt = _L(s, d)
-    return filters.basket_points(segments.basket(lt, _seg(lt)))
+    return filters.basket_points(_basket_L(s, d))
 
 
 def _q_segment_slice_filtered(s, d):
@@ -186,8 +189,7 @@ def _q_segment_slice_filtered(s, d):
 
 
 def _q_unpivot_segment_stats(s, d):
-    lt = _L(s, d)
-    st = segments.segment_stats(segments.basket(lt, _seg(lt)))
+    st = segments.segment_stats(_basket_L(s, d))
     return distributions.unpivot_metrics(st, ["cluster"], ["avg_transactions", "avg_basket_size"])
 
 
@@ -255,13 +257,13 @@ def _q_segment_size_value(s, d):
 
 
 def _q_basket(s, d):
+    """E6 as the reference does it: its own aggregate joined to the clusters."""
     lt = _L(s, d)
     return segments.basket(lt, _seg(lt))
 
 
 def _q_segment_stats(s, d):
-    lt = _L(s, d)
-    return segments.segment_stats(segments.basket(lt, _seg(lt)))
+    return segments.segment_stats(_basket_L(s, d))
 
 
 def _segmented_offers(s, d):

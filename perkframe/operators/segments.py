@@ -26,25 +26,31 @@ FEATURES = ("recency", "frequency", "monetary")
 
 
 def rfm(df: DataFrame, key: str = "customer_id", time_col: str = "time",
-        event_col: str = "event", amount: str = "amount") -> DataFrame:
+        event_col: str = "event", amount: str = "amount", with_basket: bool = False
+        ) -> DataFrame:
     """Per customer recency (whole days from the customer's last event to
     the table's last event), frequency (non-null events), monetary (sum of
     amount, at least 0).
 
-    One group-by over the rows, *including* the NULL-key group, so the table's
-    last time is the max over the groups: the global max is a second aggregate
-    of the same shuffled data (the exchange is reused), not another scan.
+    One group-by over the rows (map-side combined); the table's last time is
+    a global partial aggregate of the input attached as one row.  With
+    ``with_basket`` the same aggregate also yields E6's ``transaction_count``
+    (all rows) and ``amount`` (plain sum), so a basket needs neither a
+    second shuffle nor a join (see :func:`basket_from_segmented`).
     """
-    from ..functions import attach_scalars
-    per = df.groupBy(key).agg(F.max(time_col).alias("_last"),
-                              F.count(event_col).alias("frequency"),
-                              money_sum(amount).alias("_spend"))
-    gmax = per.agg(F.max("_last").alias("_gmax"))
-    return (attach_scalars(per.filter(F.col(key).isNotNull()), gmax)
+    aggs = [F.max(time_col).alias("_last"), F.count(event_col).alias("frequency"),
+            money_sum(amount).alias("_spend")]
+    if with_basket:
+        aggs.append(F.count(F.lit(1)).alias("transaction_count"))
+    per = df.filter(F.col(key).isNotNull()).groupBy(key).agg(*aggs)
+    gmax = df.agg(F.max(time_col).alias("_gmax"))
+    spend = F.coalesce(F.col("_spend"), F.lit(0.0))
+    extra = [F.col("transaction_count"), spend.alias("amount")] if with_basket else []
+    return (attach_scalars(per, gmax)
             .select(key,
                     days_between(F.col("_last"), F.col("_gmax")).alias("recency"),
                     F.col("frequency"),
-                    clamp_nonneg(F.coalesce(F.col("_spend"), F.lit(0.0))).alias("monetary")))
+                    clamp_nonneg(spend).alias("monetary"), *extra))
 
 
 @dataclass
@@ -239,9 +245,10 @@ def assign_segments(rfm_df: DataFrame, model: SegmentModel) -> DataFrame:
     return model.assign(rfm_df, "cluster")
 
 
-def segment_customers(transactions: DataFrame, model: SegmentModel) -> DataFrame:
+def segment_customers(transactions: DataFrame, model: SegmentModel,
+                      with_basket: bool = False) -> DataFrame:
     """M4: RFM of the given transactions scored with a previously fitted model."""
-    return assign_segments(rfm(transactions), model)
+    return assign_segments(rfm(transactions, with_basket=with_basket), model)
 
 
 def segment_kpis(rfm_df: DataFrame) -> DataFrame:
@@ -266,6 +273,15 @@ def basket(transactions: DataFrame, segmented: DataFrame, key: str = "customer_i
             .join(segmented.select(key, "cluster"), key, "inner"))
 
 
+def basket_from_segmented(segmented: DataFrame, key: str = "customer_id") -> DataFrame:
+    """E6 from customers scored by :func:`segment_customers` /
+    :func:`assign_segments` on an RFM built ``with_basket=True``: the basket
+    columns come from the same per-customer aggregate (no join)."""
+    return segmented.select(key, "transaction_count", "amount",
+                            (F.col("amount") / F.col("transaction_count")).alias("avg_basket_size"),
+                            "cluster")
+
+
 def segment_stats(basket_df: DataFrame) -> DataFrame:
     """Per cluster mean transaction_count and avg_basket_size, rounded to 2
     (half even, as pandas)."""

@@ -98,14 +98,16 @@ def segment_bundle(offers: DataFrame, transactions: DataFrame, offer_types: list
                    min_amount: float, max_amount: float, model, churn_days: int = 30):
     """P5: C1 || C2 -> M4 -> E9 -> E6 -> E7.
 
-    Returns a dict of lazy DataFrames; the RFM table is built once and reused
-    by every consumer (persist it if several are acted on).
+    Returns a dict of lazy DataFrames.  RFM and basket come from one
+    per-customer aggregate of the filtered transactions (the surveyed app
+    computes the segmentation twice); persist it if several are acted on.
     """
     from ..operators import customers, filters, segments
     fo = filters.filter_offer_types(offers, offer_types)
     ft = filters.filter_amount(transactions, min_amount, max_amount)
-    rfm = segments.segment_customers(ft, model)
-    basket = segments.basket(ft, rfm)
+    seg = segments.segment_customers(ft, model, with_basket=True)
+    rfm = seg.select("customer_id", *segments.FEATURES, "cluster")
+    basket = segments.basket_from_segmented(seg)
     return {
         "offers": fo,
         "transactions": ft,
