@@ -124,20 +124,21 @@ def _q_amount_filter(s, d):
 
 def _q_dates_amount_filter(s, d):
     t = _T(s, d)
-    return filters.filter_dates_amount(t, filters.campaign_window(t, 3, 20),
-                                       filters.column_bounds(t, "amount")).select(
-        "event_id", "time", "amount")
+    return filters.filter_dates_amount(
+        t, filters.bounds_of(filters.campaign_window(t, 3, 20)),
+        filters.bounds_of(filters.column_bounds(t, "amount"))).select("event_id", "time", "amount")
 
 
 def _q_window_types_filter(s, d):
     o = _O(s, d)
-    return filters.filter_window_types(o, filters.campaign_window(o, 5, 25), OFFER_TYPES).select(
+    return filters.filter_window_types(o, filters.bounds_of(filters.campaign_window(o, 5, 25)),
+                                       OFFER_TYPES).select(
         "event_id", "time", "offer_type")
 
 
 def _q_window_types_segments_filter(s, d):
     o = _O(s, d)
-    win = filters.campaign_window(o, 2, 28)
+    win = filters.bounds_of(filters.campaign_window(o, 2, 28))
     o = offers.attach_segment(o, _seg(_T(s, d)))
     return filters.filter_window_types_segments(o, win, OFFER_TYPES, SEGMENTS).select(
         "event_id", "cluster")
@@ -310,7 +311,7 @@ def _q_advanced_metrics(s, d):
 
 def _q_offer_insights(s, d):
     ox, t = _OX(s, d), plans.prepare_transaction_events(_T(s, d))
-    win = filters.campaign_window(ox, 1, 30)
+    win = filters.bounds_of(filters.campaign_window(ox, 1, 30))
     fo = filters.filter_window_types(ox, win, None)
     ft = filters.filter_window_types(t, win, None)
     return offers.offer_insights(fo, ft, _seg_with(ft, _T(s, d)))
@@ -319,7 +320,8 @@ def _q_offer_insights(s, d):
 def _q_transaction_overview(s, d):
     t = _T(s, d)
     return customers.transaction_overview(filters.filter_dates_amount(
-        t, filters.campaign_window(t, 1, 30), filters.column_bounds(t, "amount")))
+        t, filters.bounds_of(filters.campaign_window(t, 1, 30)),
+        filters.bounds_of(filters.column_bounds(t, "amount"))))
 
 
 def _q_describe_age(s, d):

@@ -138,3 +138,13 @@ def attach_scalars(df, stats):
     statistics are nested.)
     """
     return df.crossJoin(F.broadcast(stats))
+
+
+def materialize(df):
+    """Cut the lineage of a derived input that a multi-pass operator reads
+    several times: ``checkpoint()`` writes it once to the shared folder named
+    by ``spark.checkpoint.dir`` (reliable, survives executor loss), so the
+    passes read those files instead of re-running the upstream shuffles."""
+    from ..session import checkpoint_dir
+    checkpoint_dir(df.sparkSession)
+    return df.checkpoint(eager=True)

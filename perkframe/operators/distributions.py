@@ -13,7 +13,7 @@ from collections.abc import Sequence
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from ..functions import attach_scalars, right_closed_bins
+from ..functions import attach_scalars, materialize, right_closed_bins
 
 # Age bins (right-closed) and their labels.
 AGE_EDGES = [0, 30, 45, 60, 100]
@@ -74,13 +74,19 @@ def age_group_share(df: DataFrame, type_col: str = "offer_type", c: str = "age")
     return counts.withColumn("percentage", F.try_divide(F.col("count").cast("double"), total))
 
 
-def histogram(df: DataFrame, c: str, maxbins: int = 20) -> DataFrame:
+def histogram(df: DataFrame, c: str, maxbins: int = 20, checkpoint_input: bool = True
+              ) -> DataFrame:
     """Equal-width bins with a "nice" step, count per bin.
 
     step = the smallest of {1, 2, 5} x 10^n with (max - min) / step <= maxbins;
-    bin_start = floor(x / step) * step.  min / max are one scalar subquery.
+    bin_start = floor(x / step) * step.  min / max are a one-row aggregate
+    attached to the values; the input is read twice, so a derived input is
+    checkpointed once (``checkpoint_input``).
     """
     x = F.col(c).cast("double")
+    if checkpoint_input:
+        df = materialize(df.select(x.alias(c)))
+        x = F.col(c)
     stats = df.agg(F.struct(F.min(x).alias("lo"), F.max(x).alias("hi")).alias("_st"))
     st = F.col("_st")
     span = (st["hi"] - st["lo"]) / F.lit(float(maxbins))
@@ -97,13 +103,15 @@ def histogram(df: DataFrame, c: str, maxbins: int = 20) -> DataFrame:
 
 
 def box_stats(df: DataFrame, value: str, group: Sequence[str] | str = (), k: float = 1.5,
-              method: str = "bracket") -> DataFrame:
+              method: str = "bracket", checkpoint_input: bool = True) -> DataFrame:
     """Per group q1, median, q3 (exact, linear), whiskers = most extreme
     values inside the 1.5*IQR fences, number of outliers.
 
     Quartiles per group come from the scalable exact method (no task holds
     a whole group); they are joined back (one row per group, so AQE
-    broadcasts them when small) for the filtered min / max / count.
+    broadcasts them when small) for the filtered min / max / count.  The
+    (group, value) projection is read four times, so a derived input is
+    checkpointed once (``checkpoint_input``).
     """
     from .quantiles import percentiles
     keys = [group] if isinstance(group, str) else list(group)
@@ -112,6 +120,8 @@ def box_stats(df: DataFrame, value: str, group: Sequence[str] | str = (), k: flo
     for g in keys:
         base = base.filter(F.col(g).isNotNull())
     base = base.select(*keys, x.alias("_v"))
+    if checkpoint_input:
+        base = materialize(base)
     qs = percentiles(base, "_v", [0.25, 0.5, 0.75], keys, method=method)
     q1, q3 = F.col("_q")[0], F.col("_q")[2]
     lo, hi = q1 - F.lit(k) * (q3 - q1), q3 + F.lit(k) * (q3 - q1)

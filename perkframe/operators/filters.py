@@ -125,6 +125,17 @@ def campaign_window(df: DataFrame, first_day: int, last_day: int, time_col: str
         F.date_add("_d0", last_day - 1).alias("end_date"))
 
 
+def bounds_of(window: DataFrame) -> tuple:
+    """The two values of a one-row range frame (C8 / C10) as literals.
+
+    Two scalars, not data: with literal bounds the range filter is pushed
+    into the Parquet scan (row-group skipping, partition pruning on a
+    date-partitioned table) and the filtered plan no longer carries the
+    statistic's subtree."""
+    row = window.first()
+    return row[0], row[1]
+
+
 def distinct_values(df: DataFrame, c: str) -> DataFrame:
     """Distinct values of ``c`` (NULL included, as ``unique()``)."""
     return df.select(c).distinct()

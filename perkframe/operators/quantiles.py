@@ -41,13 +41,16 @@ def _join(df: DataFrame, stats: DataFrame, keys: list[str]) -> DataFrame:
 
 def percentiles(df: DataFrame, value: str, qs: Sequence[float], keys: Sequence[str] = (),
                 method: str = "bracket", accuracy: int = DEFAULT_ACCURACY,
-                name: str = "_q") -> DataFrame:
+                name: str = "_q", checkpoint_input: bool = False) -> DataFrame:
     """Per group (or one global row): ``name`` = array of the ``qs`` percentiles
     of ``value`` (NULLs skipped; rows with a NULL key are dropped).
 
     ``method``: ``"bracket"`` exact and scalable (module doc), ``"exact"``
     Spark ``percentile`` (one buffer of distinct values per group; for
     bounded domains), ``"approx"`` ``percentile_approx`` (a sketch).
+    ``checkpoint_input``: the bracket method reads its input three times;
+    for a derived input (aggregates, joins) checkpoint the (keys, value)
+    projection once instead of re-running its upstream each pass.
     """
     keys = list(keys)
     qs = [float(q) for q in qs]
@@ -62,6 +65,9 @@ def percentiles(df: DataFrame, value: str, qs: Sequence[float], keys: Sequence[s
         return base.groupBy(*keys).agg(F.percentile_approx("_v", arr, accuracy).alias(name))
     if method != "bracket":
         raise ValueError(f"unknown method {method!r}")
+    if checkpoint_input:
+        from ..functions import materialize
+        base = materialize(base)
 
     eps = 1.0 / accuracy
     probes = [max(q - 2 * eps, 0.0) for q in qs] + [min(q + 2 * eps, 1.0) for q in qs]
