@@ -123,7 +123,8 @@ def event_tables(spark: SparkSession, sf_dir: str) -> tuple[DataFrame, DataFrame
         merged = clean_and_merge(raw_events(spark, sf_dir), raw_customers(spark, sf_dir),
                                  raw_offers(spark, sf_dir))
         path = scratch_path(spark, f"event-tables-{uuid.uuid4().hex}")
-        _EVENT_TABLES[key] = materialize_event_tables(merged, path)
+        # partitioned by event kind: the offer / transaction split prunes files
+        _EVENT_TABLES[key] = materialize_event_tables(merged, path, partition_by=["event"])
     return _EVENT_TABLES[key]
 
 
