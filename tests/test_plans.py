@@ -109,3 +109,12 @@ def test_bucketed_table_groups_without_shuffle(spark, tmp_path):
     names = [n.getClass().getSimpleName() for n in physical_nodes(g)]
     assert "ShuffleExchangeExec" not in names
     assert g.count() == lt.select("customer_id").distinct().count()
+
+
+def test_event_split_prunes_partitions_and_window_filter_is_pushed(spark):
+    t = fx.transaction_events(spark, SF)
+    p = plan_of(t.select("amount"))
+    assert "PartitionFilters: [isnotnull(event" in p and "(event" in p and "= transaction)]" in p
+    start, end = filters.bounds_of(filters.campaign_window(t, 2, 5))
+    p = plan_of(filters.filter_window_types(t, (start, end)).select("amount"))
+    assert "PushedFilters: [IsNotNull(time), GreaterThanOrEqual(time," in p
