@@ -120,8 +120,11 @@ def event_tables(spark: SparkSession, sf_dir: str) -> tuple[DataFrame, DataFrame
     from ..session import scratch_path
     key = (spark.sparkContext.applicationId, sf_dir)
     if key not in _EVENT_TABLES:
-        merged = clean_and_merge(raw_events(spark, sf_dir), raw_customers(spark, sf_dir),
-                                 raw_offers(spark, sf_dir))
+        from ..functions import to_timestamp_if_hours
+        # hours -> timestamp once at write time, so time filters push down
+        merged = to_timestamp_if_hours(
+            clean_and_merge(raw_events(spark, sf_dir), raw_customers(spark, sf_dir),
+                            raw_offers(spark, sf_dir)), "time")
         path = scratch_path(spark, f"event-tables-{uuid.uuid4().hex}")
         # partitioned by event kind: the offer / transaction split prunes files
         _EVENT_TABLES[key] = materialize_event_tables(merged, path, partition_by=["event"])
