@@ -110,9 +110,6 @@ SELECT o_orderkey AS event_id, o_custkey AS customer_id, o_orderstatus AS event,
 FROM orders"""),
 ]
 
-_NAMES = [n for n, _ in _CTES]
-
-
 def rfm_sql(src: str) -> str:
     """E2 over a transaction relation ``src`` (customer_id, event, time, amount)."""
     return f"""(
