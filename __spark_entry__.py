@@ -78,8 +78,11 @@ def _arr_text(c="channels"):
 
 # ---------------------------------------------------------------- queries
 def _q_clean_customers(s, d):
+    """B1-B4.  The DATE is shown as ISO text (engines hand dates to pandas as
+    different Python types)."""
     return cleaning.clean_customers(fx.raw_customers(s, d)).select(
-        "customer_id", "became_member_on", "gender", "age", "income")
+        "customer_id", F.date_format("became_member_on", "yyyy-MM-dd").alias("became_member_on"),
+        "gender", "age", "income")
 
 
 def _q_clean_offers(s, d):
@@ -607,8 +610,8 @@ def _oracles() -> dict[str, str]:
                    WHERE {AGEG} IS NOT NULL AND offer_type IS NOT NULL GROUP BY ALL) c
           ON g.age_group = c.age_group AND g.offer_type = c.offer_type)"""
     out = {
-        "clean_customers": q("SELECT customer_id, became_member_on, gender, age, income "
-                             "FROM clean_customers"),
+        "clean_customers": q("SELECT customer_id, strftime(became_member_on, '%Y-%m-%d') "
+                             "AS became_member_on, gender, age, income FROM clean_customers"),
         "clean_offers": q("SELECT offer_id, offer_type, difficulty, reward, duration, "
                           "array_to_string(channels, '|') AS channels, "
                           "CAST(len(channels) AS INTEGER) AS n_channels FROM clean_offers"),
