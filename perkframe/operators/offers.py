@@ -127,7 +127,8 @@ def offer_insights(offers: DataFrame, transactions: DataFrame, rfm: DataFrame,
 
     top = gs.agg(*best(3, "offer_type", "top_offer_type"), *best(5, "cluster", "top_segment"),
                  *best(6, channel_col, "top_channel"),
-                 F.max(F.when(gid == 7, F.col("n"))).alias("total_offers"),
+                 # grouping sets emit no grand-total row for an empty input
+                 F.coalesce(F.max(F.when(gid == 7, F.col("n"))), F.lit(0)).alias("total_offers"),
                  F.max(F.when(gid == 7, rate)).alias("offer_completion_rate"))
     cust = offers.agg(F.count_distinct("customer_id").alias("total_customers_impacted"))
     from ..functions import money_avg, money_sum

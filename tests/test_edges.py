@@ -235,3 +235,23 @@ def test_every_customer_gets_its_nearest_centre(spark):
         z = [(float(row[f]) - mu) / sd for f, mu, sd in zip(segments.FEATURES, m.means, m.stds)]
         d = [sum((a - b) ** 2 for a, b in zip(z, c)) for c in m.centers]
         assert row["cluster"] == d.index(min(d))
+
+
+def test_empty_inputs_do_not_fail(spark):
+    from perkframe.operators.quantiles import percentiles
+    from perkframe.sources import fixtures as fx
+    sf = "/root/testdata/sf0.001"
+    o = plans.prepare_offer_events(fx.offer_events(spark, sf)).filter(F.lit(False))
+    t = fx.transaction_events(spark, sf).filter(F.lit(False))
+    rfm = segments.rfm(t)
+    assert rfm.count() == 0
+    assert percentiles(t, "amount", [0.5]).collect()[0]["_q"] == [None]
+    assert distributions.histogram(t, "amount").count() == 0
+    assert distributions.box_stats(t, "amount", "event").count() == 0
+    assert timeseries.forecast(timeseries.resample_daily(t, key="customer_id"),
+                               key="customer_id").count() == 0
+    row = offers.offer_insights(plans.explode_channels(o), t, rfm.withColumn("cluster", F.lit(0)))
+    r = row.collect()[0]
+    assert r["total_offers"] == 0 and r["total_revenue"] == 0.0
+    assert r["offer_completion_rate"] is None and r["top_offer_type"] is None
+    assert customers.transaction_overview(t).collect()[0]["total_transactions"] == 0
