@@ -239,9 +239,13 @@ def _q_top_customers(s, d):
 
 
 def _q_drilldown_totals(s, d):
+    """E33.  Rollup labels are shown as text: a subtotal row has NULL labels,
+    and engines hand nullable integers to pandas as different types."""
     return customers.drilldown_totals(_seg(_L(s, d)), ["cluster", "frequency"],
-                                      ["monetary", "recency"]).withColumn(
-        "level", F.col("level").cast("int"))
+                                      ["monetary", "recency"]).withColumns({
+        "cluster": F.col("cluster").cast("string"),
+        "frequency": F.col("frequency").cast("string"),
+        "level": F.col("level").cast("int")})
 
 
 def _q_assign_segments(s, d):
@@ -695,7 +699,8 @@ CROSS JOIN (SELECT coalesce(CAST(sum(CAST(amount AS DECIMAL(18, 2))) AS DOUBLE),
         "top_customers": q(f"SELECT customer_id, total_spend, annual_value FROM {CLV} "
                            f"ORDER BY total_spend DESC, customer_id LIMIT 10"),
         "drilldown_totals": q("""
-SELECT cluster, frequency, CAST(sum(CAST(monetary AS DECIMAL(18, 2))) AS DOUBLE) AS sum_monetary, CAST(sum(recency) AS BIGINT) AS sum_recency,
+SELECT CAST(cluster AS VARCHAR) AS cluster, CAST(frequency AS VARCHAR) AS frequency,
+       CAST(sum(CAST(monetary AS DECIMAL(18, 2))) AS DOUBLE) AS sum_monetary, CAST(sum(recency) AS BIGINT) AS sum_recency,
        count(*) AS rows, CAST(GROUPING(cluster, frequency) AS INTEGER) AS level
 FROM SEG_L GROUP BY ROLLUP (cluster, frequency)"""),
         "assign_segments": q("SELECT customer_id, cluster FROM SEG_L"),
