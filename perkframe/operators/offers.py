@@ -108,7 +108,7 @@ def offer_insights(offers: DataFrame, transactions: DataFrame, rfm: DataFrame,
     customers.  The three best-group lookups and the offer-level totals are
     computed by one grouping-sets aggregate over the offers (one scan, one
     small shuffle); distinct customers and the transaction totals are two more
-    one-row aggregates, combined as scalar subqueries.
+    one-row aggregates attached to it (``customers.one_row``).
     """
     o = attach_segment(offers, rfm)
     flag = F.col("offer_success").cast("int")
