@@ -136,15 +136,19 @@ def box_stats(df: DataFrame, value: str, group: Sequence[str] | str = (), k: flo
 
 
 def density_estimate(df: DataFrame, c: str, steps: int = 100,
-                     bandwidth: float | None = None) -> DataFrame:
+                     bandwidth: float | None = None, checkpoint_input: bool = True) -> DataFrame:
     """Gaussian kernel density over [min, max] at ``steps`` points.
 
     Rows are first reduced to (value, weight) pairs; each distinct value is
     then spread over the fixed grid with ``explode(sequence)`` (steps rows per
     distinct value, no join) and summed per grid point.  Default bandwidth is
-    1.06 * min(std, IQR / 1.34) * n^(-1/5).
+    1.06 * min(std, IQR / 1.34) * n^(-1/5).  The input is read twice, so a
+    derived input is checkpointed once as its one column (``checkpoint_input``).
     """
     x = F.col(c).cast("double")
+    if checkpoint_input:
+        df = materialize(df.select(x.alias(c)))
+        x = F.col(c)
     stats = df.agg(F.struct(
         F.min(x).alias("lo"), F.max(x).alias("hi"), F.count(x).alias("n"),
         F.stddev_samp(x).alias("sd"),
