@@ -255,3 +255,41 @@ def test_empty_inputs_do_not_fail(spark):
     assert r["total_offers"] == 0 and r["total_revenue"] == 0.0
     assert r["offer_completion_rate"] is None and r["top_offer_type"] is None
     assert customers.transaction_overview(t).collect()[0]["total_transactions"] == 0
+
+
+def test_hot_key_results_match_direct_formulations(spark):
+    """A third of the rows on one customer / offer (derived from the given
+    table): bucketed redemption equals one window per pair; totals and RFM
+    equal direct pandas sums."""
+    from pyspark.sql import Window
+
+    from perkframe.sources import fixtures as fx
+    sf = "/root/testdata/sf0.01"
+    hot = F.col("event_id") % 3 == 0
+    o = (fx.offer_events(spark, sf)
+         .withColumn("customer_id", F.when(hot, F.lit(0)).otherwise(F.col("customer_id")))
+         .withColumn("offer_id", F.when(hot, F.lit("0")).otherwise(F.col("offer_id"))))
+    got = {r["event_id"]: r["time_to_redemption"] for r in offers.time_to_redemption(o).collect()}
+    w = (Window.partitionBy("customer_id", "offer_id").orderBy("time", "event_id")
+         .rowsBetween(Window.unboundedPreceding, -1))
+    direct = (o.filter(F.col("event").isin("offer completed", "offer received"))
+              .withColumn("_r", F.max(F.when(F.col("event") == "offer received", F.col("time"))).over(w))
+              .filter(F.col("event") == "offer completed")
+              .select("event_id", ((F.unix_seconds(F.col("time").cast("timestamp"))
+                                     - F.unix_seconds(F.col("_r").cast("timestamp"))) / 86400.0)
+                      .alias("d")))
+    want = {r["event_id"]: r["d"] for r in direct.collect()}
+    assert got.keys() == want.keys()
+    assert all((got[k] is None and want[k] is None) or math.isclose(got[k], want[k]) for k in got)
+
+    t = (fx.transaction_events(spark, sf)
+         .withColumn("customer_id", F.when(hot, F.lit(0)).otherwise(F.col("customer_id"))))
+    pdf = t.toPandas()
+    sums = pdf.groupby("customer_id")["amount"].sum()
+    tot = {r["customer_id"]: r["total_spend"]
+           for r in customers.with_customer_total(t).select("customer_id", "total_spend")
+           .distinct().collect()}
+    assert all(math.isclose(tot[k], sums[k], rel_tol=1e-9) for k in sums.index)
+    r = {x["customer_id"]: x for x in segments.rfm(t).collect()}
+    assert r[0]["frequency"] == int((pdf["customer_id"] == 0).sum())
+    assert math.isclose(r[0]["monetary"], max(sums[0], 0.0), rel_tol=1e-9)
