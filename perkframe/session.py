@@ -36,6 +36,8 @@ def local_session(cores: int = 8, shuffle_partitions: int | None = None,
         .config("spark.sql.shuffle.partitions", str(shuffle_partitions or cores))
         .config("spark.driver.memory", "16g")
         .config("spark.sql.execution.arrow.pyspark.enabled", "true")
+        # checkpoint files of multi-pass operators are removed once unused
+        .config("spark.cleaner.referenceTracking.cleanCheckpoints", "true")
     )
     for k, v in _REQUIRED.items():
         builder = builder.config(k, v)
