@@ -8,6 +8,7 @@ from the definitions, against the same tables.
 
 from __future__ import annotations
 
+import importlib
 import os
 import sys
 import uuid
@@ -476,10 +477,28 @@ def entry(spark: SparkSession) -> DataFrame:
     return _q_success_by_offer_type(_spark_ready(spark), "/root/testdata/sf0.001")
 
 
+def _corpus() -> tuple[dict, dict]:
+    """Queries and SQL of the corpus operators; none where their subpackage
+    or the pipeline module is not installed."""
+    found: tuple[dict, dict] = ({}, {})
+    try:
+        ops = importlib.import_module("perkframe.llm.queries")
+        pipeline = importlib.import_module("corpus_pipeline")
+    except ModuleNotFoundError as missing:
+        if missing.name not in ("perkframe.llm", "perkframe.llm.queries", "corpus_pipeline"):
+            raise
+        return found
+    found[0].update(ops.QUERIES, pipeline=pipeline.run)
+    found[1].update(ops.ORACLE_SQL)
+    if pipeline.ORACLE_SQL:
+        found[1]["pipeline"] = pipeline.ORACLE_SQL
+    return found
+
+
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     def wrap(f):
         return lambda spark, sf_dir: f(_spark_ready(spark), sf_dir)
-    return {k: wrap(v) for k, v in _QUERIES.items()}
+    return {k: wrap(v) for k, v in (_QUERIES | _corpus()[0]).items()}
 
 
 # ---------------------------------------------------------------- oracle
@@ -878,4 +897,4 @@ FROM X CROSS JOIN P GROUP BY floor(x / step) * step, step"""),
 
 
 def oracle_sql() -> dict[str, str]:
-    return {k: v for k, v in _oracles().items() if k in _QUERIES}
+    return {k: v for k, v in _oracles().items() if k in _QUERIES} | _corpus()[1]
