@@ -8,8 +8,20 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
-from perkframe.llm import simhash
+from perkframe.llm import bpe, decontaminate, line_dedup, simhash, toxicity
 from perkframe.llm.common import documents, small_batches, stage_table
+from perkframe.llm.queries import BYTE_VOCABULARY
+
+
+def drop_toxic(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Operator 1: documents that are predicted toxic go."""
+    return toxicity.reject_toxic(docs, toxicity.label_table(spark, sf_dir))
+
+
+def drop_lines(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Operator 6: lines aligned with an earlier document go, and documents
+    that lose their last line."""
+    return line_dedup.strip(docs)
 
 
 def near_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -18,11 +30,28 @@ def near_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     return simhash.keep_first(docs)
 
 
+def drop_leaks(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Operator 8: documents that contain a benchmark item go."""
+    small_batches(spark)
+    return decontaminate.remove_leaks(docs, decontaminate.benchmark_table(spark, sf_dir))
+
+
+def encode(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Operator 7: token ids of every document that is left, and the digests
+    of the ids and of the text decoded from them."""
+    return bpe.round_trip(docs, BYTE_VOCABULARY, with_ids=True)
+
+
 STAGES = [
+    ("toxicity", drop_toxic),
+    ("line_dedup", drop_lines),
     ("simhash_near_dedup", near_dedup),
+    ("benchmark_decontamination", drop_leaks),
+    ("bpe", encode),
 ]
 
-#: No stage before the last can be expressed in SQL (see tests/llm).
+#: Scores, fingerprints, alignments and merges have no SQL; the stages are
+#: tested against brute force in tests/llm.
 ORACLE_SQL = None
 
 

@@ -10,14 +10,47 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import exact_dedup, sharding, simhash
+import public_tokenizers
+
+from . import bpe, decontaminate, exact_dedup, line_dedup, sharding, simhash, token_store, toxicity, warc
 from .common import documents
 
+#: Vocabulary files; any path that every worker can open will do.
+WORD_VOCABULARY = public_tokenizers.path("word_bpe_49k.json")
+BYTE_VOCABULARY = public_tokenizers.path("byte_bpe_50k.json")
+END_ID = 2
+
+
+def op1_toxicity(s: SparkSession, d: str) -> DataFrame:
+    return toxicity.score_documents(documents(s, d), toxicity.label_table(s, d))
+
 
 def op2_simhash(s: SparkSession, d: str) -> DataFrame:
     return simhash.near_duplicates(documents(s, d))
 
 
+def op3_token_ids(s: SparkSession, d: str) -> DataFrame:
+    return token_store.round_trip(documents(s, d), WORD_VOCABULARY, END_ID)
+
+
+def op4_warc(s: SparkSession, d: str) -> DataFrame:
+    found = warc.round_trip(s.read.parquet(f"{d}/pages.parquet"))
+    return found.select("page_id", "payload_bytes", "payload_digest", "record_type", "refers_to")
+
+
+def op6_line_dedup(s: SparkSession, d: str) -> DataFrame:
+    found = line_dedup.dedup(documents(s, d))
+    return found.select("doc_id", "text", "n_lines", "n_removed", "removed_lines", "partners")
+
+
+def op7_bpe(s: SparkSession, d: str) -> DataFrame:
+    return bpe.round_trip(documents(s, d), BYTE_VOCABULARY)
+
+
+def op8_decontamination(s: SparkSession, d: str) -> DataFrame:
+    return decontaminate.leaks(documents(s, d), decontaminate.benchmark_table(s, d))
+
+
 def op9_exact_dedup(s: SparkSession, d: str) -> DataFrame:
     return exact_dedup.dedup(documents(s, d)).drop("in_history")
 
@@ -27,9 +60,9 @@ def op10_sharding(s: SparkSession, d: str) -> DataFrame:
 
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
-    "op2_simhash": op2_simhash,
-    "op9_exact_dedup": op9_exact_dedup,
-    "op10_sharding": op10_sharding,
+    f.__name__: f for f in (
+        op1_toxicity, op2_simhash, op3_token_ids, op4_warc, op6_line_dedup, op7_bpe,
+        op8_decontamination, op9_exact_dedup, op10_sharding)
 }
 
 ORACLE_SQL: dict[str, str] = {
@@ -42,4 +75,17 @@ w AS (
   FROM t GROUP BY bare)
 SELECT t.doc_id, w.keep_id, w.group_size, t.doc_id = w.keep_id AS kept, sha256(t.bare) AS text_sha256
 FROM t JOIN w USING (bare)""",
+    "op4_warc": r"""
+WITH p AS (
+  SELECT page_id, coalesce(html, '') AS html, sha1(coalesce(html, '')) AS hex FROM pages),
+five AS (  -- 20 bits are five hex digits and four base32 digits
+  SELECT page_id, string_agg(
+    substr('ABCDEFGHIJKLMNOPQRSTUVWXYZ234567', ((('0x' || substr(hex, 5 * k + 1, 5))::INT >> (15 - 5 * j)) & 31) + 1, 1),
+    '' ORDER BY k, j) AS digest
+  FROM p, range(0, 8) a(k), range(0, 4) b(j) GROUP BY page_id),
+w AS (SELECT html, max(page_id) AS kept FROM p GROUP BY html)
+SELECT p.page_id, octet_length(encode(p.html))::BIGINT AS payload_bytes, five.digest AS payload_digest,
+       CASE WHEN w.kept = p.page_id THEN 'response' ELSE 'revisit' END AS record_type,
+       CASE WHEN w.kept = p.page_id THEN NULL ELSE w.kept END AS refers_to
+FROM p JOIN five USING (page_id) JOIN w ON p.html = w.html""",
 }
