@@ -12,7 +12,8 @@ from pyspark.sql import DataFrame, SparkSession
 
 import public_tokenizers
 
-from . import bpe, decontaminate, exact_dedup, line_dedup, sharding, simhash, token_store, toxicity, warc
+from . import (bpe, decontaminate, exact_dedup, line_dedup, sharding, simhash, substring_dedup, token_store,
+               toxicity, warc)
 from .common import documents
 
 #: Vocabulary files; any path that every worker can open will do.
@@ -38,6 +39,10 @@ def op4_warc(s: SparkSession, d: str) -> DataFrame:
     return found.select("page_id", "payload_bytes", "payload_digest", "record_type", "refers_to")
 
 
+def op5_substring_dedup(s: SparkSession, d: str) -> DataFrame:
+    return substring_dedup.dedup(documents(s, d), with_text=False)
+
+
 def op6_line_dedup(s: SparkSession, d: str) -> DataFrame:
     found = line_dedup.dedup(documents(s, d))
     return found.select("doc_id", "text", "n_lines", "n_removed", "removed_lines", "partners")
@@ -61,8 +66,8 @@ def op10_sharding(s: SparkSession, d: str) -> DataFrame:
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     f.__name__: f for f in (
-        op1_toxicity, op2_simhash, op3_token_ids, op4_warc, op6_line_dedup, op7_bpe,
-        op8_decontamination, op9_exact_dedup, op10_sharding)
+        op1_toxicity, op2_simhash, op3_token_ids, op4_warc, op5_substring_dedup, op6_line_dedup,
+        op7_bpe, op8_decontamination, op9_exact_dedup, op10_sharding)
 }
 
 ORACLE_SQL: dict[str, str] = {
@@ -88,4 +93,19 @@ SELECT p.page_id, octet_length(encode(p.html))::BIGINT AS payload_bytes, five.di
        CASE WHEN w.kept = p.page_id THEN 'response' ELSE 'revisit' END AS record_type,
        CASE WHEN w.kept = p.page_id THEN NULL ELSE w.kept END AS refers_to
 FROM p JOIN five USING (page_id) JOIN w ON p.html = w.html""",
+    "op5_substring_dedup": r"""
+WITH w AS (
+  SELECT doc_id, regexp_extract_all(coalesce(text, ''), '[^\x20\x09-\x0D]+') AS words FROM documents),
+x AS (  -- every window of 20 words
+  SELECT doc_id, i, array_to_string(words[i + 1:i + 20], ' ') AS win
+  FROM (SELECT doc_id, words, unnest(range(0, len(words) - 19)) AS i FROM w WHERE len(words) >= 20)),
+r AS (SELECT doc_id, i, row_number() OVER (PARTITION BY win ORDER BY doc_id, i) AS n FROM x),
+c AS (SELECT DISTINCT doc_id, unnest(range(i, i + 20)) AS p FROM r WHERE n > 1),
+k AS (
+  SELECT u.doc_id, string_agg(u.word, ' ' ORDER BY u.p) AS kept, count(*) AS n_kept
+  FROM (SELECT doc_id, unnest(words) AS word, unnest(range(0, len(words))) AS p FROM w) u
+  ANTI JOIN c ON u.doc_id = c.doc_id AND u.p = c.p GROUP BY u.doc_id)
+SELECT w.doc_id, len(w.words)::BIGINT AS n_words, len(w.words) - coalesce(k.n_kept, 0) AS n_removed,
+       sha256(coalesce(k.kept, '')) AS kept_sha256
+FROM w LEFT JOIN k USING (doc_id)""",
 }
