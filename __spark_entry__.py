@@ -19,8 +19,9 @@ sys.path.insert(0, os.path.dirname(os.path.abspath(__file__)))
 from pyspark.sql import DataFrame, SparkSession  # noqa: E402
 from pyspark.sql import functions as F  # noqa: E402
 
-from checks.oracle import FIXED_CENTERS, kmeans_sql, q, rfm_sql, scaler_sql  # noqa: E402
+from checks.oracle import kmeans_sql, q, rfm_sql, scaler_sql, set_centers  # noqa: E402
 from perkframe import plans, sources  # noqa: E402
+from perkframe.functions import micros_between  # noqa: E402
 from perkframe.operators import (cleaning, customers, distributions, filters,  # noqa: E402
                                  offers, segments, timeseries)
 from perkframe.session import ensure_conf, scratch_path  # noqa: E402
@@ -32,6 +33,14 @@ TXN_AMOUNT = (5.0, 150.0)
 ORDER_AMOUNT = (50000.0, 400000.0)
 SEGMENTS = [0, 2]
 KMEANS_ROUNDS = 60
+# Centres of the scoring queries (z-space: recency, frequency, monetary).
+FIXED_CENTERS = [
+    [1.0, -0.8, -0.8],
+    [-0.5, -0.6, -0.6],
+    [-0.5, 0.6, 0.5],
+    [-0.7, 1.6, 1.8],
+]
+set_centers(FIXED_CENTERS)
 
 
 # ---------------------------------------------------------------- fixtures
@@ -94,7 +103,7 @@ def _q_clean_offers(s, d):
 
 def _q_clean_events(s, d):
     return cleaning.clean_events(fx.raw_events(s, d)).select(
-        "event_id", "customer_id", "event", "time", "offer_id", "amount")
+        "event_id", "customer_id", "event", "time", "offer_id", "amount", "event_reward")
 
 
 def _lazy_event_tables(s, d):
@@ -284,7 +293,8 @@ def _q_offer_performance(s, d):
 
 
 def _q_pivot_performance(s, d):
-    return offers.pivot_performance(offers.offer_performance(_segmented_offers(s, d)))
+    return offers.pivot_performance(offers.offer_performance(_segmented_offers(s, d)),
+                                    [-1, *range(len(FIXED_CENTERS))])
 
 
 def _q_success_by_segment(s, d):
@@ -312,12 +322,11 @@ def _q_roi_by_offer_type(s, d):
 
 
 def _q_advanced_metrics(s, d):
-    lt = filters.filter_amount(_L(s, d), *ORDER_AMOUNT)
-    return customers.advanced_metrics(segments.rfm(lt),
-                                      filters.filter_offer_types(_O(s, d), OFFER_TYPES))
+    return customers.advanced_metrics(segments.rfm(_L(s, d)), _O(s, d))
 
 
-def _q_offer_insights(s, d):
+def _q_offer_insights_filtered(s, d):
+    """E15 on the page's window (C8 + C4), as the reference shows it."""
     ox, t = _OX(s, d), plans.prepare_transaction_events(_T(s, d))
     win = filters.bounds_of(filters.campaign_window(ox, 1, 30))
     fo = filters.filter_window_types(ox, win, None)
@@ -325,11 +334,31 @@ def _q_offer_insights(s, d):
     return offers.offer_insights(fo, ft, _seg_with(ft, _T(s, d)))
 
 
-def _q_transaction_overview(s, d):
+def _q_offer_insights(s, d):
     t = _T(s, d)
-    return customers.transaction_overview(filters.filter_dates_amount(
-        t, filters.bounds_of(filters.campaign_window(t, 1, 30)),
-        filters.bounds_of(filters.column_bounds(t, "amount"))))
+    return offers.offer_insights(_OX(s, d), t, _seg(t))
+
+
+def _q_transaction_overview(s, d):
+    return customers.transaction_overview(_T(s, d))
+
+
+def _q_best_offer_type(s, d):
+    """H2 over E12."""
+    return offers.top_group(offers.success_by_offer_type(_OP(s, d)), "offer_type")
+
+
+def _q_empty_guard(s, d):
+    """C12 for a selection that has rows and one that has none."""
+    o = _O(s, d)
+    picked = {"some": filters.filter_offer_types(o, OFFER_TYPES), "none": filters.filter_offer_types(o, [])}
+    return o.groupBy().agg(*[F.lit(filters.is_empty(df)).alias(k) for k, df in picked.items()])
+
+
+def _q_renamed_success(s, d):
+    """C16 over E12."""
+    return filters.rename(offers.success_by_offer_type(_OP(s, d)),
+                          {"offer_type": "type", "success_rate": "rate"})
 
 
 def _q_describe_age(s, d):
@@ -357,9 +386,7 @@ def _q_time_to_redemption(s, d):
 
 
 def _q_correlation_matrix(s, d):
-    fo = filters.filter_offer_types(_O(s, d), OFFER_TYPES)
-    ft = filters.filter_amount(_T(s, d), *TXN_AMOUNT)
-    return customers.correlation_matrix(fo, segments.rfm(ft))
+    return customers.correlation_matrix(_O(s, d), segments.rfm(_T(s, d)))
 
 
 def _q_histogram_clv(s, d):
@@ -410,7 +437,7 @@ def _q_history_and_forecast(s, d):
 
 def _q_parquet_roundtrip(s, d):
     path = scratch_path(s, f"parquet-{uuid.uuid4().hex}")
-    sources.write_parquet(_T(s, d), path)
+    sources.write_parquet(_T(s, d).drop("event_date"), path)
     return sources.read_parquet(s, path, sources.TRANSACTION_EVENTS_SCHEMA)
 
 
@@ -433,8 +460,7 @@ def _q_table_roundtrip(s, d):
 def _q_load_all_roundtrip(s, d):
     """A2-A4: event tables stored with ``time`` in hours, loaded back."""
     base = scratch_path(s, f"events-{uuid.uuid4().hex}")
-    hours = F.timestamp_diff("HOUR", F.lit("1970-01-01 00:00:00").cast("timestamp_ntz"),
-                             F.col("time")).cast("int")
+    hours = micros_between(F.lit("1970-01-01 00:00:00"), "time") / F.lit(3_600_000_000.0)
     o = _O(s, d).select("event_id", "customer_id", "event", hours.alias("time"), "age")
     t = _T(s, d).select("event_id", "customer_id", "event", hours.alias("time"), "age")
     sources.write_parquet(o, f"{base}/offer_events")
@@ -469,6 +495,11 @@ _QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
 
 def _spark_ready(spark: SparkSession) -> SparkSession:
     ensure_conf(spark)
+    # Python workers of a local master find the library wherever the session
+    # was started; on a cluster it is installed (pyproject.toml) or shipped
+    here, env = os.path.dirname(os.path.abspath(__file__)), spark.sparkContext.environment
+    if here not in env.get("PYTHONPATH", "").split(os.pathsep):
+        env["PYTHONPATH"] = os.pathsep.join(filter(None, [here, env.get("PYTHONPATH")]))
     return spark
 
 
@@ -548,7 +579,7 @@ def _resample_sql(src: str, unit: str, period: str, key: str | None = None) -> s
     ks = f"s.{key}, " if key else ""
     kon = f"s.{key} = v.{key} AND " if key else ""
     return f"""(
-WITH sums AS (SELECT {kc}{period} AS period, CAST(sum(CAST(amount AS DECIMAL(18, 2))) AS DOUBLE) AS v FROM {src}
+WITH sums AS (SELECT {kc}{period} AS period, sum(amount) AS v FROM {src}
               WHERE time IS NOT NULL{kn} GROUP BY ALL),
 spine AS (SELECT {kc}unnest(generate_series(min(period), max(period), INTERVAL {unit})) AS period
           FROM sums {"GROUP BY " + key if key else ""})
@@ -607,7 +638,7 @@ def _oracles() -> dict[str, str]:
     BASKET = """(SELECT a.customer_id, a.transaction_count, a.amount,
                     a.amount / a.transaction_count AS avg_basket_size, s.cluster
              FROM (SELECT customer_id, count(*) AS transaction_count,
-                          coalesce(CAST(sum(CAST(amount AS DECIMAL(18, 2))) AS DOUBLE), 0.0) AS amount
+                          coalesce(sum(amount), 0.0) AS amount
                    FROM L WHERE customer_id IS NOT NULL GROUP BY customer_id) a
              JOIN SEG_L s ON a.customer_id = s.customer_id)"""
     SEG_STATS = f"""(SELECT cluster,
@@ -616,9 +647,9 @@ def _oracles() -> dict[str, str]:
         CAST(round_even(CAST(avg(avg_basket_size) AS DECIMAL(38, 10)), 2) AS DOUBLE)
           AS avg_basket_size
       FROM {BASKET} GROUP BY cluster)"""
-    CLV = """(SELECT customer_id, coalesce(CAST(sum(CAST(amount AS DECIMAL(18, 2))) AS DOUBLE), 0.0) AS total_spend,
+    CLV = """(SELECT customer_id, coalesce(sum(amount), 0.0) AS total_spend,
                  avg(age) AS customer_age,
-                 coalesce(CAST(sum(CAST(amount AS DECIMAL(18, 2))) AS DOUBLE), 0.0) / nullif(avg(age), 0) AS annual_value
+                 coalesce(sum(amount), 0.0) / nullif(avg(age), 0) AS annual_value
           FROM (SELECT L.*, c.age FROM L LEFT JOIN clean_customers c
                 ON L.customer_id = c.customer_id)
           WHERE customer_id IS NOT NULL GROUP BY customer_id)"""
@@ -638,8 +669,8 @@ def _oracles() -> dict[str, str]:
         "clean_offers": q("SELECT offer_id, offer_type, difficulty, reward, duration, "
                           "array_to_string(channels, '|') AS channels, "
                           "CAST(len(channels) AS INTEGER) AS n_channels FROM clean_offers"),
-        "clean_events": q("SELECT event_id, customer_id, event, time, offer_id, amount "
-                          "FROM clean_events"),
+        "clean_events": q("SELECT event_id, customer_id, event, time, offer_id, amount, "
+                          "event_reward FROM clean_events"),
         "offer_rows": q("SELECT event_id, customer_id, event, time, offer_id, offer_type, "
                         "difficulty, reward, duration, array_to_string(channels, '|') AS channels, "
                         "gender, age, income FROM O"),
@@ -678,7 +709,7 @@ WHERE age >= q1 - 1.5 * (q3 - q1) AND age <= q3 + 1.5 * (q3 - q1)"""),
         "prepared_offer_events": q("SELECT event_id, offer_id, offer_success, age FROM OP"),
         "prepared_transactions": q("""
 SELECT T.event_id, T.customer_id, T.amount, s.total_spend FROM T LEFT JOIN
-  (SELECT customer_id, coalesce(CAST(sum(CAST(amount AS DECIMAL(18, 2))) AS DOUBLE), 0.0) AS total_spend FROM T
+  (SELECT customer_id, coalesce(sum(amount), 0.0) AS total_spend FROM T
    WHERE customer_id IS NOT NULL GROUP BY customer_id) s ON T.customer_id = s.customer_id"""),
         "exploded_channels": q("SELECT event_id, channels FROM OX"),
         "rfm": q("SELECT * FROM RFM_L"),
@@ -708,27 +739,27 @@ SELECT o.total_customers, o.conversion_rate, t.total_revenue, t.avg_transaction
  (SELECT count(DISTINCT customer_id) + max(CAST(customer_id IS NULL AS INTEGER)) AS total_customers,
          count_if(event = 'offer completed') / nullif(count_if(event = 'offer received'), 0)
            AS conversion_rate FROM OP) o
-CROSS JOIN (SELECT coalesce(CAST(sum(CAST(amount AS DECIMAL(18, 2))) AS DOUBLE), 0.0) AS total_revenue, (CAST(sum(CAST(amount AS DECIMAL(18, 2))) AS DOUBLE) / nullif(count(amount), 0)) AS avg_transaction
+CROSS JOIN (SELECT coalesce(sum(amount), 0.0) AS total_revenue, avg(amount) AS avg_transaction
             FROM T) t"""),
         "customer_clv": q("SELECT customer_id, monetary * frequency AS clv FROM RFM_L"),
         "segment_kpis": q("SELECT count(*) AS customers, avg(recency) AS avg_recency, "
-                          "avg(frequency) AS avg_frequency, (CAST(sum(CAST(monetary AS DECIMAL(18, 2))) AS DOUBLE) / nullif(count(monetary), 0)) AS avg_monetary "
+                          "avg(frequency) AS avg_frequency, avg(monetary) AS avg_monetary "
                           "FROM RFM_L"),
         "clv_by_customer": q(f"SELECT * FROM {CLV}"),
         "top_customers": q(f"SELECT customer_id, total_spend, annual_value FROM {CLV} "
                            f"ORDER BY total_spend DESC, customer_id LIMIT 10"),
         "drilldown_totals": q("""
 SELECT CAST(cluster AS VARCHAR) AS cluster, CAST(frequency AS VARCHAR) AS frequency,
-       CAST(sum(CAST(monetary AS DECIMAL(18, 2))) AS DOUBLE) AS sum_monetary, CAST(sum(recency) AS BIGINT) AS sum_recency,
+       sum(monetary) AS sum_monetary, CAST(sum(recency) AS BIGINT) AS sum_recency,
        count(*) AS rows, CAST(GROUPING(cluster, frequency) AS INTEGER) AS level
 FROM SEG_L GROUP BY ROLLUP (cluster, frequency)"""),
         "assign_segments": q("SELECT customer_id, cluster FROM SEG_L"),
         "segment_distribution": q("SELECT cluster, count(*) AS count FROM SEG_L "
                                   "WHERE cluster IS NOT NULL GROUP BY cluster"),
         "segment_summary": q("SELECT cluster, avg(recency) AS recency, avg(frequency) AS frequency,"
-                             " (CAST(sum(CAST(monetary AS DECIMAL(18, 2))) AS DOUBLE) / nullif(count(monetary), 0)) AS monetary FROM SEG_L GROUP BY cluster"),
+                             " avg(monetary) AS monetary FROM SEG_L GROUP BY cluster"),
         "segment_size_value": q("SELECT cluster, count(*) AS segment_size, "
-                                "(CAST(sum(CAST(monetary AS DECIMAL(18, 2))) AS DOUBLE) / nullif(count(monetary), 0)) AS avg_monetary FROM SEG_L GROUP BY cluster"),
+                                "avg(monetary) AS avg_monetary FROM SEG_L GROUP BY cluster"),
         "basket": q(f"SELECT * FROM {BASKET}"),
         "segment_stats": q(f"SELECT * FROM {SEG_STATS}"),
         "offer_performance": q(f"SELECT offer_type, cluster, {RATE} AS conversion_rate, "
@@ -749,7 +780,7 @@ GROUP BY offer_type"""),
                                    "FROM OX WHERE channels IS NOT NULL GROUP BY ALL"),
         "channel_success_by_hour": q(f"SELECT CAST(hour(time) AS INTEGER) AS hour, channels, "
                                      f"{RATE} AS success_rate FROM OX WHERE channels IS NOT NULL "
-                                     f"GROUP BY ALL"),
+                                     f"AND time IS NOT NULL GROUP BY ALL"),
         "success_by_channel": q(f"SELECT channels, {RATE} AS success_rate FROM OX "
                                 f"WHERE channels IS NOT NULL GROUP BY channels"),
         "roi_by_offer_type": q("""
@@ -758,10 +789,10 @@ FROM OP WHERE offer_type IS NOT NULL GROUP BY offer_type"""),
         "advanced_metrics": q(f"""
 SELECT r.clv, r.churn_rate,
        CASE WHEN r.n_new > 0 THEN CAST(o.spend AS DOUBLE) / r.n_new ELSE 0.0 END AS cac
-FROM (SELECT (CAST(sum(CAST(monetary * frequency AS DECIMAL(18, 2))) AS DOUBLE) / nullif(count(monetary * frequency), 0)) AS clv, avg(CAST(recency > 30 AS INTEGER)) AS churn_rate,
-             count_if(frequency = 1) AS n_new FROM {rfm_sql(L_F)}) r
-CROSS JOIN (SELECT coalesce(sum(reward), 0) AS spend FROM O WHERE offer_type IN ({_TYPES})) o"""),
-        "offer_insights": q("""
+FROM (SELECT avg(monetary * frequency) AS clv, avg(CAST(recency > 30 AS INTEGER)) AS churn_rate,
+             count_if(frequency = 1) AS n_new FROM {rfm_sql("L")}) r
+CROSS JOIN (SELECT coalesce(sum(reward), 0) AS spend FROM O) o"""),
+        "offer_insights_filtered": q("""
 , W AS (SELECT CAST(CAST(min(time) AS DATE) AS TIMESTAMP) AS ws,
                CAST(CAST(min(time) AS DATE) + 29 AS TIMESTAMP) AS we FROM OX),
 FO AS (SELECT OX.* FROM OX CROSS JOIN W WHERE time >= ws AND time <= we),
@@ -779,17 +810,43 @@ BC AS (SELECT arg_min(channels, struct_pack(a := -r, b := channels)) AS k, max(r
         WHERE channels IS NOT NULL GROUP BY ALL))
 SELECT BT.k AS top_offer_type, BT.r AS top_offer_type_rate, BS.k AS top_segment,
        BS.r AS top_segment_rate, BC.k AS top_channel, BC.r AS top_channel_rate,
-       (SELECT coalesce(CAST(sum(CAST(amount AS DECIMAL(18, 2))) AS DOUBLE), 0.0) FROM FT) AS total_revenue,
-       (SELECT (CAST(sum(CAST(amount AS DECIMAL(18, 2))) AS DOUBLE) / nullif(count(amount), 0)) FROM FT) AS avg_transaction_value,
+       (SELECT coalesce(sum(amount), 0.0) FROM FT) AS total_revenue,
+       (SELECT avg(amount) FROM FT) AS avg_transaction_value,
+       (SELECT count(*) FROM FO) AS total_offers,
+       (SELECT avg(CAST(offer_success AS INTEGER)) FROM FO) AS offer_completion_rate,
+       (SELECT count(DISTINCT customer_id) FROM FO) AS total_customers_impacted
+FROM BT, BS, BC"""),
+        "offer_insights": q("""
+, FO AS (SELECT * FROM OX),
+FT AS (SELECT * FROM T),
+FSEG AS (SELECT * FROM """ + _seg_of("T") + """),
+FOS AS (SELECT FO.*, CAST(coalesce(s.cluster, -1) AS INTEGER) AS cl FROM FO
+        LEFT JOIN FSEG s ON FO.customer_id = s.customer_id),
+BT AS (SELECT arg_min(offer_type, struct_pack(a := -r, b := offer_type)) AS k, max(r) AS r FROM
+       (SELECT offer_type, avg(CAST(offer_success AS INTEGER)) AS r FROM FOS
+        WHERE offer_type IS NOT NULL GROUP BY ALL)),
+BS AS (SELECT arg_min(cl, struct_pack(a := -r, b := cl)) AS k, max(r) AS r FROM
+       (SELECT cl, avg(CAST(offer_success AS INTEGER)) AS r FROM FOS GROUP BY ALL)),
+BC AS (SELECT arg_min(channels, struct_pack(a := -r, b := channels)) AS k, max(r) AS r FROM
+       (SELECT channels, avg(CAST(offer_success AS INTEGER)) AS r FROM FOS
+        WHERE channels IS NOT NULL GROUP BY ALL))
+SELECT BT.k AS top_offer_type, BT.r AS top_offer_type_rate, BS.k AS top_segment,
+       BS.r AS top_segment_rate, BC.k AS top_channel, BC.r AS top_channel_rate,
+       (SELECT coalesce(sum(amount), 0.0) FROM FT) AS total_revenue,
+       (SELECT avg(amount) FROM FT) AS avg_transaction_value,
        (SELECT count(*) FROM FO) AS total_offers,
        (SELECT avg(CAST(offer_success AS INTEGER)) FROM FO) AS offer_completion_rate,
        (SELECT count(DISTINCT customer_id) FROM FO) AS total_customers_impacted
 FROM BT, BS, BC"""),
         "transaction_overview": q("""
-SELECT count(*) AS total_transactions, coalesce(CAST(sum(CAST(amount AS DECIMAL(18, 2))) AS DOUBLE), 0.0) AS total_revenue,
-       (CAST(sum(CAST(amount AS DECIMAL(18, 2))) AS DOUBLE) / nullif(count(amount), 0)) AS avg_transaction_value
-FROM T CROSS JOIN (SELECT CAST(min(time) AS DATE) AS d0, floor(max(amount)) AS hi FROM T) w
-WHERE CAST(time AS DATE) BETWEEN w.d0 AND w.d0 + 29 AND amount BETWEEN 0 AND w.hi"""),
+SELECT count(*) AS total_transactions, coalesce(sum(amount), 0.0) AS total_revenue,
+       avg(amount) AS avg_transaction_value FROM T"""),
+        "best_offer_type": q(f"""
+SELECT arg_min(offer_type, struct_pack(a := -r, b := offer_type)) AS offer_type, max(r) AS success_rate
+FROM (SELECT offer_type, {RATE} AS r FROM OP WHERE offer_type IS NOT NULL GROUP BY offer_type)"""),
+        "empty_guard": q(f"SELECT count(*) = 0 AS some, true AS none FROM O WHERE offer_type IN ({_TYPES})"),
+        "renamed_success": q(f"SELECT offer_type AS type, {RATE} AS rate FROM OP "
+                             f"WHERE offer_type IS NOT NULL GROUP BY offer_type"),
         "describe_age": q("""
 SELECT statistic, value FROM (
   SELECT CAST(count(age) AS DOUBLE) AS "count", avg(age) AS "mean", stddev_samp(age) AS "std",
@@ -808,8 +865,8 @@ UNPIVOT INCLUDE NULLS (value FOR statistic IN ("count", "mean", "std", "min", "2
         "correlation_matrix": q(f"""
 , M AS (SELECT CAST(o.age AS DOUBLE) AS age, o.income, CAST(r.recency AS DOUBLE) AS recency,
                CAST(r.frequency AS DOUBLE) AS frequency, r.monetary
-        FROM (SELECT * FROM O WHERE offer_type IN ({_TYPES})) o
-        JOIN {rfm_sql(T_F)} r ON o.customer_id = r.customer_id),
+        FROM O o
+        JOIN {rfm_sql("T")} r ON o.customer_id = r.customer_id),
 V AS (SELECT unnest(['age', 'income', 'recency', 'frequency', 'monetary']) AS v,
              generate_subscripts(['age', 'income', 'recency', 'frequency', 'monetary'], 1) AS i),
 C AS (SELECT * FROM (SELECT

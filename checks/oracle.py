@@ -9,15 +9,14 @@ from __future__ import annotations
 
 from statistics import NormalDist
 
-# Money is summed as exact cents: CAST(sum(CAST(x AS DECIMAL(18, 2))) AS DOUBLE).
-# The fixed centres (z-space, recency / frequency / monetary)
-# used by the scoring queries.
-FIXED_CENTERS = [
-    [1.0, -0.8, -0.8],
-    [-0.5, -0.6, -0.6],
-    [-0.5, 0.6, 0.5],
-    [-0.7, 1.6, 1.8],
-]
+# Money is summed as exact cents: sum(x).
+_CENTERS: list[list[float]] = []
+
+
+def set_centers(centers: list[list[float]]) -> None:
+    """The centres that scored customers are compared with."""
+    _CENTERS[:] = centers
+
 
 _CTES: list[tuple[str, str]] = [
     ("raw_customers", """
@@ -25,8 +24,10 @@ SELECT c_custkey AS customer_id,
        CAST(20130101 + (c_custkey % 4) * 10000 + (c_custkey % 12) * 100 + c_custkey % 28 AS INTEGER)
          AS became_member_on,
        CASE WHEN c_custkey % 11 = 0 THEN NULL ELSE c_mktsegment END AS gender,
-       CAST(CASE WHEN c_custkey % 13 = 0 THEN 118 ELSE 18 + c_custkey % 70 END AS INTEGER) AS age,
-       CASE WHEN c_custkey % 7 = 0 THEN NULL ELSE c_acctbal END AS income
+       CAST(CASE WHEN c_custkey % 13 = 0 THEN 118 WHEN c_custkey % 19 = 0 THEN 95
+                 ELSE 18 + c_custkey % 25 END AS INTEGER) AS age,
+       CASE WHEN c_custkey % 7 = 0 THEN NULL WHEN c_custkey % 17 = 3 THEN c_acctbal + 100000.0
+            WHEN c_custkey % 17 = 5 THEN c_acctbal - 100000.0 ELSE c_acctbal END AS income
 FROM customer"""),
     ("cust_stats", """
 SELECT quantile_cont(age, 0.5) AS age_med, quantile_cont(income, 0.25) AS iq1,
@@ -47,44 +48,57 @@ SELECT CAST(p_partkey AS VARCHAR) AS offer_id, p_type AS offer_type,
        CAST(CASE WHEN p_type = 'PROMO' THEN 0 ELSE p_size END AS INTEGER) AS difficulty,
        CAST(p_partkey % 11 AS INTEGER) AS reward,
        CAST(3 + p_size % 8 AS INTEGER) AS duration,
-       '[''' || split_part(p_name, ' ', 1) || ''', ''' || split_part(p_name, ' ', 2) || ''']'
-         AS channels
+       CASE WHEN p_partkey % 13 = 0 THEN NULL
+            WHEN p_partkey % 13 = 5 THEN '[''' || split_part(p_name, ' ', 1) || ''', None]'
+            ELSE '[''' || split_part(p_name, ' ', 1) || ''', ''' || split_part(p_name, ' ', 2) || ''']'
+       END AS channels
 FROM part"""),
     ("clean_offers", """
 SELECT offer_id, offer_type, difficulty, reward, duration,
-       from_json(replace(channels, '''', '"'), '["VARCHAR"]') AS channels
+       from_json(replace(replace(channels, '''', '"'), 'None', 'null'), '["VARCHAR"]') AS channels
 FROM raw_offers"""),
     ("raw_events", """
-SELECT event_id, user_id AS customer_id,
-       CASE event_type WHEN 'view' THEN 'offer received' WHEN 'click' THEN 'offer viewed'
-                       WHEN 'purchase' THEN 'offer completed' WHEN 'signup' THEN 'transaction'
-                       WHEN 'error' THEN 'transaction' END AS event,
+SELECT event_id, CASE WHEN event_id % 101 = 0 THEN NULL ELSE user_id END AS customer_id,
+       CASE WHEN event_id % 103 = 0 THEN NULL
+            WHEN event_type = 'view' THEN 'offer received' WHEN event_type = 'click' THEN 'offer viewed'
+            WHEN event_type = 'purchase' THEN 'offer completed'
+            WHEN user_id % 29 = 0 THEN 'offer viewed' ELSE 'transaction' END AS event,
        CASE WHEN event_type IN ('view', 'click', 'purchase')
-            THEN replace(replace(props, '"k"', '"offer_id"'), '"', '''')
+            THEN CASE event_id % 31 WHEN 0 THEN replace(v, '}', ', ''reward'': None}')
+                                    WHEN 1 THEN replace(v, '}', ', ''reward'': 5}') ELSE v END
+            WHEN event_id % 97 = 0 THEN '{''amount'': None}'
             ELSE '{''amount'': ' || CAST(value AS VARCHAR) || '}' END AS value,
-       CAST(floor((epoch_us(ts) - epoch_us(TIMESTAMP '2024-01-01 00:00:00')) / 3600000000)
-            AS INTEGER) AS time
-FROM events"""),
+       CASE WHEN event_id % 107 = 0 THEN NULL ELSE
+            CASE WHEN event_type NOT IN ('view', 'click', 'purchase') AND floor(h / 24) = 11 THEN h + 24
+                 ELSE h END + CASE WHEN event_id % 41 = 0 THEN 0.5 ELSE 0 END END::DOUBLE AS time
+FROM (SELECT *, replace(replace(props, '"k"', '"offer_id"'), '"', '''') AS v,
+             floor((epoch_us(ts) - epoch_us(TIMESTAMP '2024-01-01 00:00:00')) / 3600000000) AS h
+      FROM events)"""),
     ("clean_events", """
 SELECT event_id, customer_id, event, time,
-       json_extract_string(replace(value, '''', '"'), '$.offer_id') AS offer_id,
-       CAST(json_extract(replace(value, '''', '"'), '$.amount') AS DOUBLE) AS amount
-FROM raw_events"""),
+       json_extract_string(j, '$.offer_id') AS offer_id,
+       TRY_CAST(json_extract_string(j, '$.amount') AS DOUBLE) AS amount,
+       TRY_CAST(json_extract_string(j, '$.reward') AS INTEGER) AS event_reward
+FROM (SELECT *, replace(replace(value, '''', '"'), 'None', 'null') AS j FROM raw_events)"""),
+    ("amount_caps", """
+SELECT quantile_cont(amount, 0.01) AS p1, quantile_cont(amount, 0.99) AS p99 FROM clean_events"""),
     ("merged", """
-SELECT e.event_id, e.customer_id, e.event, e.time, e.offer_id, e.amount,
+SELECT e.event_id, e.customer_id, e.event, e.offer_id,
+       CAST(make_timestamp(CAST(round(e.time * 3600000000) AS BIGINT)) AS TIMESTAMP) AS time,
+       CASE WHEN e.amount < p1 THEN p1 WHEN e.amount > p99 THEN p99 ELSE e.amount END AS amount,
        c.gender, c.age, c.income,
        o.offer_type, o.difficulty, o.reward, o.duration, o.channels
-FROM clean_events e
+FROM clean_events e CROSS JOIN amount_caps
 LEFT JOIN clean_customers c ON e.customer_id = c.customer_id
 LEFT JOIN clean_offers o ON e.offer_id = o.offer_id"""),
     ("O", """
 SELECT event_id, customer_id, event,
-       CAST(TIMESTAMP '1970-01-01 00:00:00' + to_hours(CAST(time AS BIGINT)) AS TIMESTAMP) AS time,
+       time,
        offer_id, offer_type, difficulty, reward, duration, channels, gender, age, income
-FROM merged WHERE event <> 'transaction'"""),
+FROM merged WHERE event IS DISTINCT FROM 'transaction'"""),
     ("T", """
 SELECT event_id, customer_id, event,
-       CAST(TIMESTAMP '1970-01-01 00:00:00' + to_hours(CAST(time AS BIGINT)) AS TIMESTAMP) AS time,
+       time,
        amount, age
 FROM merged WHERE event = 'transaction'"""),
     # Success flag against the offer's first row, then the age IQR filter
@@ -117,7 +131,7 @@ SELECT p.customer_id,
        CAST(floor((epoch_us(g.gmax) - epoch_us(p.last)) / 86400000000) AS INTEGER) AS recency,
        p.frequency,
        CASE WHEN coalesce(p.spend, 0) > 0 THEN coalesce(p.spend, 0) ELSE 0.0 END AS monetary
-FROM (SELECT customer_id, max(time) AS last, count(event) AS frequency, CAST(sum(CAST(amount AS DECIMAL(18, 2))) AS DOUBLE) AS spend
+FROM (SELECT customer_id, max(time) AS last, count(event) AS frequency, sum(amount) AS spend
       FROM {src} GROUP BY customer_id) p
 CROSS JOIN (SELECT max(time) AS gmax FROM {src}) g
 WHERE p.customer_id IS NOT NULL)"""
@@ -134,12 +148,12 @@ SELECT avg(recency) AS m0, CASE WHEN coalesce(stddev_pop(recency), 0) = 0 THEN 1
 FROM {rfm_rel})"""
 
 
-def assign_sql(rfm_rel: str, scaler_rel: str, centers=FIXED_CENTERS) -> str:
+def assign_sql(rfm_rel: str, scaler_rel: str, centers=None) -> str:
     """M3: nearest centre, ties to the lowest index."""
     def z(i, f):
         return f"((CAST(r.{f} AS DOUBLE) - s.m{i}) / s.s{i})"
     ds = []
-    for c in centers:
+    for c in centers or _CENTERS:
         terms = [f"(({z(i, f)} - {c[i]!r}) * ({z(i, f)} - {c[i]!r}))"
                  for i, f in enumerate(["recency", "frequency", "monetary"])]
         ds.append(" + ".join(terms))

@@ -1,7 +1,7 @@
 """Scalar column helpers (J1-J15): all built-in Catalyst expressions.
 
-Every helper returns a ``Column`` so it stays inside whole-stage codegen; no
-Python UDF is used anywhere in the library.
+Every helper returns a ``Column``, so it stays JVM-side; no Python UDF is used
+here.
 """
 
 from __future__ import annotations
@@ -24,59 +24,71 @@ def col(c) -> Column:
 def hours_to_timestamp(c) -> Column:
     """Hours since the Unix epoch -> TIMESTAMP_NTZ (``to_datetime(unit='h')``).
 
-    Idempotent: a column that already holds timestamps is passed through, so
-    loaders and pipelines may both apply it.
+    Fractions of an hour are kept to the microsecond.
     """
-    return F.timestamp_add("HOUR", col(c).cast("bigint"),
-                          F.lit(EPOCH_TEXT).cast(T.TimestampNTZType()))
+    micros = F.round(col(c).cast("double") * F.lit(3_600_000_000.0)).cast("bigint")
+    return F.timestamp_add("MICROSECOND", micros, F.lit(EPOCH_TEXT).cast(T.TimestampNTZType()))
 
 
 def to_timestamp_if_hours(df, name: str = "time"):
-    """Apply J1 to ``name`` only when it is numeric (keeps J1 idempotent)."""
+    """Apply J1 to ``name`` when it holds hours: any numeric type, or numbers
+    as text.  Timestamps pass through (J1 is idempotent); a zoned timestamp
+    becomes its wall clock time.  Any other type is an error."""
     dtype = df.schema[name].dataType
-    if isinstance(dtype, (T.IntegerType, T.LongType, T.ShortType, T.ByteType)):
-        return df.withColumn(name, hours_to_timestamp(name))
+    if isinstance(dtype, T.TimestampNTZType):
+        return df
     if isinstance(dtype, T.TimestampType):
         return df.withColumn(name, F.col(name).cast(T.TimestampNTZType()))
-    return df
-
-
-def days_interval(c) -> Column:
-    """Whole days -> DAY TO SECOND interval (``pd.Timedelta(days=x)``)."""
-    return F.make_dt_interval(days=col(c).cast("int"))
+    if isinstance(dtype, (T.ByteType, T.ShortType, T.IntegerType, T.LongType)):
+        return df.withColumn(name, F.timestamp_add("HOUR", F.col(name).cast("bigint"),
+                                                   F.lit(EPOCH_TEXT).cast(T.TimestampNTZType())))
+    if isinstance(dtype, T.NumericType):
+        return df.withColumn(name, hours_to_timestamp(name))
+    if isinstance(dtype, T.StringType):
+        hours = F.expr(f"CAST(`{name}` AS DOUBLE)")
+        return df.withColumn(name, hours_to_timestamp(hours))
+    raise TypeError(f"{name} is {dtype.simpleString()}: neither hours nor timestamps")
 
 
 def days_between(start, end) -> Column:
-    """Floor of whole days from ``start`` to ``end`` (``Timedelta.days``)."""
-    return F.floor(
-        (F.unix_micros(col(end).cast("timestamp")) - F.unix_micros(col(start).cast("timestamp")))
-        / F.lit(86_400_000_000)
-    ).cast("int")
+    """Floor of whole days from ``start`` to ``end`` (``Timedelta.days``).
+
+    A difference of wall clock times: the session's zone plays no part."""
+    return F.floor(micros_between(start, end) / F.lit(86_400_000_000)).cast("int")
 
 
-def to_date(c) -> Column:
-    """Calendar date of a timestamp."""
-    return F.to_date(col(c))
+def micros_between(start, end) -> Column:
+    """Microseconds from ``start`` to ``end`` on the wall clock."""
+    ntz = T.TimestampNTZType()
+    return F.timestamp_diff("MICROSECOND", col(start).cast(ntz), col(end).cast(ntz))
 
 
-def hour_of_day(c) -> Column:
-    """Hour part 0..23."""
-    return F.hour(col(c))
+def _json_words(c) -> Column:
+    """Python literal text with its bare ``None``, ``True`` and ``False``, and
+    the brackets of tuples, written as JSON has them.  Quoted text is left
+    alone: what follows an odd number of quotes is inside one."""
+    text = col(c)
+    outside = r"""(?=(?:[^'"]|'(?:[^'\\]|\\.)*'|"(?:[^"\\]|\\.)*")*$)"""
+    for word, json in (("None", "null"), ("True", "true"), ("False", "false")):
+        text = F.regexp_replace(text, rf"\b{word}\b{outside}", json)
+    text = F.regexp_replace(text, rf"\({outside}", "[")
+    return F.regexp_replace(text, rf",?\s*\){outside}", "]")
 
 
 def parse_list(c) -> Column:
     """Python list literal text ``"['a', 'b']"`` -> ARRAY<STRING>.
 
     Spark's JSON reader accepts single-quoted strings, so no ``eval`` is needed.
-    Malformed text gives NULL.
+    ``None`` elements are NULL and tuples are lists; malformed text gives NULL.
     """
-    return F.from_json(col(c), T.ArrayType(T.StringType()),
+    return F.from_json(_json_words(c), T.ArrayType(T.StringType()),
                        {"allowSingleQuotes": "true", "mode": "PERMISSIVE"})
 
 
 def parse_dict(c, schema: str = VALUE_SCHEMA) -> Column:
-    """Python dict literal text -> STRUCT (``{'amount': 4.5}``)."""
-    return F.from_json(col(c), schema, {"allowSingleQuotes": "true"})
+    """Python dict literal text -> STRUCT (``{'amount': 4.5}``); a ``None``
+    value is NULL and leaves the other keys alone."""
+    return F.from_json(_json_words(c), schema, {"allowSingleQuotes": "true"})
 
 
 def right_closed_bins(c, edges: list[float], labels: list[str]) -> Column:
@@ -103,21 +115,6 @@ def clamp_nonneg(c) -> Column:
     return F.when(x.isNotNull(), F.greatest(x, F.lit(0.0)))
 
 
-# Money (amounts, spend) is summed as whole cents in a LONG: the sum is exact,
-# so it does not depend on partitioning or summation order, it stays in
-# generated code, and the single division back to DOUBLE is correctly
-# rounded (the same value as DECIMAL(18,2) summation).
-def money_sum(c) -> Column:
-    """Exact sum of a cents-valued column, as DOUBLE (NULL when no values)."""
-    cents = F.round(col(c) * F.lit(100.0)).cast("long")
-    return F.sum(cents).cast("double") / F.lit(100.0)
-
-
-def money_avg(c) -> Column:
-    """Mean of a cents-valued column from its exact sum (NULL when empty)."""
-    return F.try_divide(money_sum(c), F.count(col(c)).cast("double"))
-
-
 def bool_mean(c) -> Column:
     """Mean of a boolean column (share of true)."""
     return F.avg(col(c).cast("int"))

@@ -14,17 +14,6 @@ from pyspark.sql import functions as F
 from ..functions import attach_scalars, parse_dict, parse_list
 
 
-def _quantiles(c: str, qs: list[float], approx: bool, accuracy: int = 10_000):
-    """Linear-interpolated quantiles of a bounded-domain column (ages) as one
-    array column: exact ``percentile`` keeps one entry per distinct value,
-    which is small for such a domain.  High-cardinality columns go through
-    :func:`perkframe.operators.quantiles.percentiles` instead."""
-    arr = F.array(*[F.lit(q) for q in qs])
-    if approx:
-        return F.percentile_approx(F.col(c).cast("double"), arr, accuracy)
-    return F.percentile(F.col(c), arr)
-
-
 def _stats(df: DataFrame, c: str, qs: list[float], approx: bool, name: str) -> DataFrame:
     """One-row frame ``name`` = exact (scalable) or sketched quantiles of ``c``."""
     from .quantiles import percentiles
@@ -49,9 +38,9 @@ def fill_missing(df: DataFrame, values: dict | None = None) -> DataFrame:
 def replace_above_with_median(df: DataFrame, c: str = "age", limit: float = 100,
                               approx: bool = False) -> DataFrame:
     """Values above ``limit`` become the median of the column (non-null values)."""
-    st = df.agg(_quantiles(c, [0.5], approx)[0].alias("_median"))
+    st = _stats(df, c, [0.5], approx, "_median")
     return (attach_scalars(df, st)
-            .withColumn(c, F.when(F.col(c) > F.lit(limit), F.col("_median"))
+            .withColumn(c, F.when(F.col(c) > F.lit(limit), F.col("_median")[0])
                         .otherwise(F.col(c).cast("double")))
             .drop("_median"))
 
@@ -68,22 +57,8 @@ def iqr_clip_fill_median(df: DataFrame, c: str = "income", k: float = 1.5,
 
 
 def clean_customers(df: DataFrame, approx: bool = False) -> DataFrame:
-    """B1-B4 in one pass of statistics: date, gender, age cap, income clip/fill.
-
-    The age median is a bounded-domain ``percentile``; income quartiles use
-    the scalable exact method (income has about one distinct value per
-    customer).
-    """
-    st = df.agg(_quantiles("age", [0.5], approx)[0].alias("_age_median"))
-    inc = _stats(df, "income", [0.25, 0.5, 0.75], approx, "_inc_q")
-    q1, med, q3 = F.col("_inc_q")[0], F.col("_inc_q")[1], F.col("_inc_q")[2]
-    lo, hi = q1 - F.lit(1.5) * (q3 - q1), q3 + F.lit(1.5) * (q3 - q1)
-    out = (attach_scalars(attach_scalars(df, st), inc)
-           .withColumn("age", F.when(F.col("age") > F.lit(100), F.col("_age_median"))
-                       .otherwise(F.col("age").cast("double")))
-           .withColumn("income", F.when(F.col("income").isNull(), med)
-                       .otherwise(_clip(F.col("income"), lo, hi)))
-           .drop("_age_median", "_inc_q"))
+    """Date, gender, age cap, income clip/fill."""
+    out = iqr_clip_fill_median(replace_above_with_median(df, approx=approx), approx=approx)
     return fill_missing(parse_member_date(out))
 
 
@@ -95,13 +70,18 @@ def parse_value(df: DataFrame, c: str = "value") -> DataFrame:
 
 def extract_value_fields(df: DataFrame, c: str = "value",
                          fields: tuple[str, ...] = ("offer_id", "amount")) -> DataFrame:
-    """Top-level columns from the parsed struct (``offer id`` accepted too)."""
+    """Top-level columns from the parsed struct (``offer id`` accepted too).
+
+    A field may be given as ``name=column``, e.g. ``reward=event_reward``: the
+    offer table has a ``reward`` of its own."""
     cols = {}
-    for f in fields:
+    for field in fields:
+        f, _, name = field.partition("=")
+        name = name or f
         if f == "offer_id":
-            cols[f] = F.coalesce(F.col(f"{c}.offer_id"), F.col(f"{c}.`offer id`"))
+            cols[name] = F.coalesce(F.col(f"{c}.offer_id"), F.col(f"{c}.`offer id`"))
         else:
-            cols[f] = F.col(f"{c}.{f}")
+            cols[name] = F.col(f"{c}.{f}")
     return df.withColumns(cols)
 
 
@@ -111,8 +91,10 @@ def drop_columns(df: DataFrame, *cols: str) -> DataFrame:
 
 
 def clean_events(df: DataFrame) -> DataFrame:
-    """Parse the value dictionary, extract offer_id and amount, drop it."""
-    return drop_columns(extract_value_fields(parse_value(df)), "value")
+    """Parse the value dictionary, extract offer_id, amount and the
+    reward that the event paid (``event_reward``), drop it."""
+    fields = ("offer_id", "amount", "reward=event_reward")
+    return drop_columns(extract_value_fields(parse_value(df), fields=fields), "value")
 
 
 def clean_offers(df: DataFrame, c: str = "channels") -> DataFrame:
@@ -133,8 +115,9 @@ def denormalise(events: DataFrame, customers: DataFrame, offers: DataFrame,
 
 
 def winsorize(df: DataFrame, c: str = "amount", lower: float = 0.01, upper: float = 0.99,
-              approx: bool = False) -> DataFrame:
-    """Clip ``c`` to its [lower, upper] percentiles (NULL stays NULL)."""
-    st = _stats(df, c, [lower, upper], approx, "_p")
+              approx: bool = False, stats_from: DataFrame | None = None) -> DataFrame:
+    """Clip ``c`` to its [lower, upper] percentiles (NULL stays NULL);
+    ``stats_from``: the frame to take them from, if not ``df`` itself."""
+    st = _stats(df if stats_from is None else stats_from, c, [lower, upper], approx, "_p")
     return (attach_scalars(df, st)
             .withColumn(c, _clip(F.col(c), F.col("_p")[0], F.col("_p")[1])).drop("_p"))

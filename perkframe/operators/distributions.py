@@ -19,27 +19,25 @@ from ..functions import attach_scalars, materialize, right_closed_bins
 AGE_EDGES = [0, 30, 45, 60, 100]
 AGE_LABELS = ["18-30", "31-45", "46-60", "60+"]
 
+#: Bins that a grid step of a binned density has.
+BINS_PER_STEP = 16
+
 DESCRIBE_STATS = ["count", "mean", "std", "min", "25%", "50%", "75%", "max"]
 
 
-def describe_column(df: DataFrame, c: str, method: str = "exact") -> DataFrame:
+def describe_column(df: DataFrame, c: str, method: str = "bracket") -> DataFrame:
     """Count, mean, std (n-1), min, quartiles (linear, exact), max of ``c``
     in long form (statistic, value); NULLs skipped.
 
-    ``method="exact"`` suits bounded domains such as age; use ``"bracket"``
-    for high-cardinality columns (see ``operators.quantiles``)."""
+    ``method`` as in ``operators.quantiles.percentiles``."""
     x = F.col(c).cast("double")
     moments = [F.count(x).cast("double").alias("count"), F.avg(x).alias("mean"),
                F.stddev_samp(x).alias("std"), F.min(x).alias("min"), F.max(x).alias("max")]
-    if method == "exact":
-        q = F.percentile(x, F.array(F.lit(0.25), F.lit(0.5), F.lit(0.75)))
-        wide = df.agg(*moments, q[0].alias("25%"), q[1].alias("50%"), q[2].alias("75%"))
-    else:
-        from .quantiles import percentiles
-        qs = percentiles(df, c, [0.25, 0.5, 0.75], method=method)
-        wide = attach_scalars(df.agg(*moments), qs).select(
-            *DESCRIBE_STATS[:4], F.col("_q")[0].alias("25%"), F.col("_q")[1].alias("50%"),
-            F.col("_q")[2].alias("75%"), "max")
+    from .quantiles import percentiles
+    qs = percentiles(df, c, [0.25, 0.5, 0.75], method=method)
+    wide = attach_scalars(df.agg(*moments), qs).select(
+        *DESCRIBE_STATS[:4], F.col("_q")[0].alias("25%"), F.col("_q")[1].alias("50%"),
+        F.col("_q")[2].alias("75%"), "max")
     return wide.unpivot([], DESCRIBE_STATS, "statistic", "value")
 
 
@@ -136,12 +134,14 @@ def box_stats(df: DataFrame, value: str, group: Sequence[str] | str = (), k: flo
 
 
 def density_estimate(df: DataFrame, c: str, steps: int = 100,
-                     bandwidth: float | None = None, checkpoint_input: bool = True) -> DataFrame:
+                     bandwidth: float | None = None, checkpoint_input: bool = True,
+                     binned: bool = False) -> DataFrame:
     """Gaussian kernel density over [min, max] at ``steps`` points.
 
-    Rows are first reduced to (value, weight) pairs; each distinct value is
-    then spread over the fixed grid with ``explode(sequence)`` (steps rows per
-    distinct value, no join) and summed per grid point.  Default bandwidth is
+    Rows are first reduced to (value, weight) pairs, with values rounded to the
+    grid's step / ``BINS_PER_STEP`` where ``binned`` (a column of many distinct
+    values); each is then spread over the fixed grid with ``explode(sequence)``
+    (no join) and summed per grid point.  Default bandwidth is
     1.06 * min(std, IQR / 1.34) * n^(-1/5).  The input is read twice, so a
     derived input is checkpointed once as its one column (``checkpoint_input``).
     """
@@ -149,10 +149,11 @@ def density_estimate(df: DataFrame, c: str, steps: int = 100,
     if checkpoint_input:
         df = materialize(df.select(x.alias(c)))
         x = F.col(c)
-    stats = df.agg(F.struct(
-        F.min(x).alias("lo"), F.max(x).alias("hi"), F.count(x).alias("n"),
-        F.stddev_samp(x).alias("sd"),
-        F.percentile(x, F.array(F.lit(0.25), F.lit(0.75))).alias("q")).alias("_st"))
+    from .quantiles import percentiles
+    moments = df.agg(F.min(x).alias("lo"), F.max(x).alias("hi"), F.count(x).alias("n"),
+                     F.stddev_samp(x).alias("sd"))
+    stats = attach_scalars(moments, percentiles(df, c, [0.25, 0.75])).select(
+        F.struct("lo", "hi", "n", "sd", F.col("_q").alias("q")).alias("_st"))
     st = F.col("_st")
     if bandwidth is None:
         iqr = (st["q"][1] - st["q"][0]) / F.lit(1.34)
@@ -161,8 +162,13 @@ def density_estimate(df: DataFrame, c: str, steps: int = 100,
     else:
         h = F.lit(float(bandwidth))
     grid = st["lo"] + (st["hi"] - st["lo"]) * F.col("_i") / F.lit(float(max(steps - 1, 1)))
-    pts = (attach_scalars(df.filter(x.isNotNull()).groupBy(x.alias("_a"))
-                          .agg(F.count(F.lit(1)).alias("_w")), stats)
+    if binned:
+        width = (F.col("hi") - F.col("lo")) / F.lit(float(BINS_PER_STEP * max(steps - 1, 1)))
+        at = F.when(width > 0, F.col("lo") + F.round((x - F.col("lo")) / width) * width).otherwise(x)
+        values = attach_scalars(df.filter(x.isNotNull()), moments.select("lo", "hi")).groupBy(at.alias("_a"))
+    else:
+        values = df.filter(x.isNotNull()).groupBy(x.alias("_a"))
+    pts = (attach_scalars(values.agg(F.count(F.lit(1)).alias("_w")), stats)
            .withColumn("_i", F.explode(F.sequence(F.lit(0), F.lit(steps - 1))))
            .select("_a", "_w", "_i", grid.alias("_g"), h.alias("_h"),
                    (st["n"].cast("double") * h * F.lit(math.sqrt(2 * math.pi))).alias("_norm")))

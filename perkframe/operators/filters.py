@@ -35,6 +35,8 @@ def _with_range(df: DataFrame, rng, to_col) -> tuple[DataFrame, Column, Column,
     if isinstance(rng, DataFrame):
         from ..functions import attach_scalars
         a, b = rng.columns[:2]
+        # one row whatever the caller passes: the widest range
+        rng = rng.agg(F.min(a).alias(a), F.max(b).alias(b))
         lo_name, hi_name = f"_lo_{id(rng)}", f"_hi_{id(rng)}"
         df = attach_scalars(df, rng.select(F.col(a).alias(lo_name), F.col(b).alias(hi_name)))
         return df, to_col(F.col(lo_name)), to_col(F.col(hi_name)), [lo_name, hi_name]
@@ -42,6 +44,15 @@ def _with_range(df: DataFrame, rng, to_col) -> tuple[DataFrame, Column, Column,
     return df, to_col(lo), to_col(hi), []
 
 
+def _pruned(df: DataFrame, lo, hi) -> DataFrame:
+    """Where the table is partitioned by ``event_date``, say which dates a
+    literal range can hold, so that other folders aren't read."""
+    if "event_date" not in df.columns or lo is None or hi is None \
+            or not all(isinstance(x, (dt.date, str)) for x in (lo, hi)):
+        return df
+    return df.filter(F.col("event_date").between(F.to_date(F.lit(lo)), F.to_date(F.lit(hi))))
+
+
 def filter_offer_types(df: DataFrame, offer_types: Sequence[str], c: str = "offer_type"
                        ) -> DataFrame:
     """Membership; an empty list keeps no row."""
@@ -64,6 +75,8 @@ def filter_dates_amount(df: DataFrame, dates, amounts, time_col: str = "time",
     amount in [min, max].  Each range is a (lo, hi) pair or a one-row frame
     (C8 / C10).  With literal dates Catalyst turns the date test into a
     timestamp range pushed to the scan."""
+    if not isinstance(dates, DataFrame):
+        df = _pruned(df, *dates)
     df, d0, d1, t1 = _with_range(df, dates, _lit_date)
     df, a0, a1, t2 = _with_range(df, amounts, lambda x: x if isinstance(x, Column) else F.lit(x))
     return (df.filter(F.to_date(F.col(time_col)).between(d0, d1)
@@ -76,6 +89,8 @@ def filter_window_types(df: DataFrame, time_range=None, offer_types=None,
     the last day is cut at 00:00 (Q4); falsy arguments mean no filter.
     ``time_range`` is a (start, end) pair or a one-row frame (C8)."""
     if isinstance(time_range, DataFrame) or time_range:
+        if not isinstance(time_range, DataFrame) and time_col == "time":
+            df = _pruned(df, *time_range)
         df, t0, t1, tmp = _with_range(df, time_range, _lit_ts)
         df = df.filter((F.col(time_col) >= t0) & (F.col(time_col) <= t1)).drop(*tmp)
     if offer_types:
@@ -88,6 +103,8 @@ def filter_window_types_segments(df: DataFrame, time_range, offer_types=None,
                                  type_col: str = "offer_type",
                                  segment_col: str = "cluster") -> DataFrame:
     """C4 with a mandatory range plus cluster membership."""
+    if not isinstance(time_range, DataFrame) and time_col == "time":
+        df = _pruned(df, *time_range)
     df, t0, t1, tmp = _with_range(df, time_range, _lit_ts)
     df = df.filter((F.col(time_col) >= t0) & (F.col(time_col) <= t1)).drop(*tmp)
     if offer_types:
@@ -109,7 +126,8 @@ def iqr_filter(df: DataFrame, c: str = "age", k: float = 1.5,
         return df
     from ..functions import attach_scalars
     src = df if stats_from is None else stats_from
-    st = src.agg(F.percentile(F.col(c), F.array(F.lit(0.25), F.lit(0.75))).alias("_q"))
+    from .quantiles import percentiles
+    st = percentiles(src, c, [0.25, 0.75])
     q1, q3 = F.col("_q")[0], F.col("_q")[1]
     return (attach_scalars(df, st)
             .filter(F.col(c).between(q1 - F.lit(k) * (q3 - q1), q3 + F.lit(k) * (q3 - q1)))

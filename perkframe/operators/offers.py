@@ -12,7 +12,7 @@ from collections.abc import Sequence
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from ..functions import bool_mean
+from ..functions import bool_mean, micros_between
 
 
 def with_offer_success(df: DataFrame, offer_key: str = "offer_id", time_col: str = "time",
@@ -131,9 +131,8 @@ def offer_insights(offers: DataFrame, transactions: DataFrame, rfm: DataFrame,
                  F.coalesce(F.max(F.when(gid == 7, F.col("n"))), F.lit(0)).alias("total_offers"),
                  F.max(F.when(gid == 7, rate)).alias("offer_completion_rate"))
     cust = offers.agg(F.count_distinct("customer_id").alias("total_customers_impacted"))
-    from ..functions import money_avg, money_sum
-    txn = transactions.agg(F.coalesce(money_sum("amount"), F.lit(0.0)).alias("total_revenue"),
-                           money_avg("amount").alias("avg_transaction_value"))
+    txn = transactions.agg(F.coalesce(F.sum("amount"), F.lit(0.0)).alias("total_revenue"),
+                           F.avg("amount").alias("avg_transaction_value"))
     from .customers import one_row
     return one_row(top, txn, cust)
 
@@ -170,13 +169,21 @@ def offer_funnel(df: DataFrame, event_col: str = "event") -> DataFrame:
             .orderBy(F.col("count").desc(), F.col(event_col)))
 
 
-def pivot_performance(perf: DataFrame, clusters: Sequence[int] = (-1, 0, 1, 2, 3)
-                      ) -> DataFrame:
+def pivot_performance(perf: DataFrame, clusters: Sequence[int] | None = None) -> DataFrame:
     """offer_type rows x cluster columns of conversion_rate.
 
-    The pivot values are given, so Spark plans one aggregate without a
-    distinct-values job; columns are named ``cluster_<k>`` (``m1`` for -1).
+    ``clusters`` left out: every cluster that occurs gets a column (a distinct
+    of the model's few cluster ids, one small job).  Given, they are the
+    columns, so the plan stays lazy; a cluster outside them would be lost and
+    is an error when the result is computed.  Columns are named
+    ``cluster_<k>`` (``m1`` for -1).
     """
+    if clusters is None:
+        clusters = [r[0] for r in perf.select("cluster").distinct().orderBy("cluster").collect()]
+    else:
+        listed = F.col("cluster").isin(list(clusters))
+        perf = perf.withColumn("cluster", F.when(listed, F.col("cluster")).otherwise(
+            F.raise_error(F.concat(F.lit("no column for cluster "), F.col("cluster").cast("string"))).cast("int")))
     p = (perf.groupBy("offer_type").pivot("cluster", list(clusters))
          .agg(F.first("conversion_rate")))
     return p.withColumnsRenamed({str(k): f"cluster_{'m' + str(-k) if k < 0 else k}"
@@ -189,36 +196,34 @@ RECEIVED = "offer received"
 def time_to_redemption(df: DataFrame, customer_key: str = "customer_id",
                        offer_key: str = "offer_id", time_col: str = "time",
                        order_col: str = "event_id", completed: str = "offer completed",
-                       received: str = RECEIVED, bucket: str = "day") -> DataFrame:
+                       received: str = RECEIVED) -> DataFrame:
     """Per completed row, days since the same customer's latest earlier
     receive of the same offer (NULL when there is none).  Order is
     (time, event_id).
 
-    Skew-proof as-of lookup: rows are windowed per (customer, offer, time
-    bucket), so even a (customer, offer) pair holding a third of the rows is
-    spread over many tasks; each bucket's last receive is aggregated
-    (map-side) and carried forward over the bucket summary (one row per
-    bucket, i.e. bounded by the time span), then joined back for rows whose
-    own bucket has no earlier receive.  Exact, same answer as one window per
-    pair.
+    No window holds rows: receives are aggregated per (customer, offer, time)
+    with their smallest event_id (combined before the shuffle), the latest time
+    is carried forward over those distinct times, and completed rows join the
+    summary of their own time.  A receive at the very time of a completion
+    counts if its event_id is smaller.
     """
     keys = [customer_key, offer_key]
-    rel = (df.filter(F.col(customer_key).isNotNull() & F.col(offer_key).isNotNull()
-                     & F.col("event").isin(completed, received))
-           .withColumn("_b", F.date_trunc(bucket, F.col(time_col))))
+    rel = df.filter(F.col(customer_key).isNotNull() & F.col(offer_key).isNotNull()
+                    & F.col("event").isin(completed, received))
     is_recv = F.col("event") == received
-    w = (Window.partitionBy(*keys, "_b").orderBy(time_col, order_col)
-         .rowsBetween(Window.unboundedPreceding, -1))
-    local = rel.withColumn("_loc", F.max(F.when(is_recv, F.col(time_col))).over(w))
-    summary = rel.groupBy(*keys, "_b").agg(F.max(F.when(is_recv, F.col(time_col))).alias("_last"))
-    wc = (Window.partitionBy(*keys).orderBy("_b")
-          .rowsBetween(Window.unboundedPreceding, -1))
-    carry = summary.select(*keys, "_b", F.max("_last").over(wc).alias("_carry"))
-    out = (local.filter(F.col("event") == completed)
-           .join(carry, keys + ["_b"], "left")
-           .withColumn("_recv", F.coalesce("_loc", "_carry")))
-    days = (F.unix_micros(F.col(time_col).cast("timestamp"))
-            - F.unix_micros(F.col("_recv").cast("timestamp"))) / F.lit(86_400_000_000.0)
+    at = rel.groupBy(*keys, time_col).agg(
+        F.min(F.when(is_recv, F.col(order_col))).alias("_first_recv"))
+    before = (Window.partitionBy(*keys).orderBy(F.col(time_col).asc_nulls_first())
+              .rowsBetween(Window.unboundedPreceding, -1))
+    carried = at.withColumn("_before", F.max(F.when(F.col("_first_recv").isNotNull(), F.col(time_col))).over(before))
+    mine = carried.select(*[F.col(k).alias(f"_k_{k}") for k in keys], F.col(time_col).alias("_t"),
+                          "_first_recv", "_before")
+    done = rel.filter(F.col("event") == completed)
+    out = done.join(mine, [F.col(k) == F.col(f"_k_{k}") for k in keys]
+                    + [F.col(time_col).eqNullSafe(F.col("_t"))], "left")
+    same = F.col("_first_recv") < F.col(order_col)
+    latest = F.when(same, F.col(time_col)).otherwise(F.col("_before"))
+    days = micros_between(latest, time_col) / F.lit(86_400_000_000.0)
     cols = [order_col, customer_key, offer_key] + (
         ["offer_type"] if "offer_type" in df.columns else []) + (
         ["cluster"] if "cluster" in df.columns else [])

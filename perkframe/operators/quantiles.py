@@ -10,15 +10,16 @@ amounts, incomes) would have to fit one task.  ``percentiles(method=
    evaluated just below and above each target quantile -> a value bracket;
 2. per group: how many values fall below / inside each bracket; a bracket
    that misses its target ranks (possible when the sketch is coarse) is
-   widened to [min, max], so the answer stays exact;
-3. only rows inside a bracket are ranked (``row_number`` per group and
-   quantile, offset by the count below the bracket), and the two order
-   statistics around the target position are interpolated.
-
-A bracket holds about ``4 n / accuracy`` rows per group, so no task ever
-holds a whole group.  Interpolation is ``v_k + (pos-k) * (v_(k+1) - v_k)``
-with ``pos = q (n-1)``, ``k = floor(pos)`` (linear, as pandas / SQL
-``quantile_cont``; Spark's ``percentile`` rounds the same value in a
+   replaced by the part below or above it, so the answer stays exact;
+3. the values inside a bracket are counted per distinct value (combined before
+   the shuffle), and a running count over those finds the two order statistics
+   around the target position, which are interpolated.
+
+A window group therefore holds the distinct values of one bracket: tied values
+are one row however often they occur, and at most about ``4 n / accuracy``
+values of the group's n are inside.  Interpolation is ``v_k + (pos-k) *
+(v_(k+1) - v_k)`` with ``pos = q (n-1)``, ``k = floor(pos)`` (linear, as pandas
+/ SQL ``quantile_cont``; Spark's ``percentile`` rounds the same value in a
 different order, so the two agree to the last bit or two).
 """
 
@@ -39,15 +40,25 @@ def _join(df: DataFrame, stats: DataFrame, keys: list[str]) -> DataFrame:
     return df.join(stats, keys, "inner") if keys else attach_scalars(df, stats)
 
 
+def bracket_counts(rows: DataFrame, keys: Sequence[str], m: int) -> DataFrame:
+    """(keys, _c, _v, _w): how often each distinct value occurs in each of the
+    ``m`` brackets (``_elo``, ``_ehi``) that its row carries."""
+    cand = ", ".join(
+        f"CASE WHEN _v >= _elo{i} AND _v <= _ehi{i} THEN named_struct('qi', {i}, "
+        f"'below', _eb{i}, 'k', _k{i}, 'pos', _pos{i}) END" for i in range(m))
+    return (rows.selectExpr(*[f"`{k}`" for k in keys], "_v",
+                            f"explode(filter(array({cand}), c -> c IS NOT NULL)) AS _c")
+            .groupBy(*keys, "_c", "_v").agg(F.count(F.lit(1)).alias("_w")))
+
+
 def percentiles(df: DataFrame, value: str, qs: Sequence[float], keys: Sequence[str] = (),
                 method: str = "bracket", accuracy: int = DEFAULT_ACCURACY,
                 name: str = "_q", checkpoint_input: bool = False) -> DataFrame:
     """Per group (or one global row): ``name`` = array of the ``qs`` percentiles
     of ``value`` (NULLs skipped; rows with a NULL key are dropped).
 
-    ``method``: ``"bracket"`` exact and scalable (module doc), ``"exact"``
-    Spark ``percentile`` (one buffer of distinct values per group; for
-    bounded domains), ``"approx"`` ``percentile_approx`` (a sketch).
+    ``method``: ``"bracket"`` exact and scalable (module doc), ``"approx"``
+    ``percentile_approx`` (a sketch).
     ``checkpoint_input``: the bracket method reads its input three times;
     for a derived input (aggregates, joins) checkpoint the (keys, value)
     projection once instead of re-running its upstream each pass.
@@ -59,8 +70,6 @@ def percentiles(df: DataFrame, value: str, qs: Sequence[float], keys: Sequence[s
     for k in keys:
         base = base.filter(F.col(k).isNotNull())
     arr = F.array(*[F.lit(q) for q in qs])
-    if method == "exact":
-        return base.groupBy(*keys).agg(F.percentile("_v", arr).alias(name))
     if method == "approx":
         return base.groupBy(*keys).agg(F.percentile_approx("_v", arr, accuracy).alias(name))
     if method != "bracket":
@@ -92,24 +101,23 @@ def percentiles(df: DataFrame, value: str, qs: Sequence[float], keys: Sequence[s
         *[E(f"first({c}) AS {c}") for c in carried],
         *[E(f"count_if(_v < _lo{i}) AS _below{i}") for i in rng],
         *[E(f"count_if(_v <= _hi{i}) AS _upto{i}") for i in rng])
-    ok = [f"(_below{i} <= _k{i} AND _upto{i} >= least(_k{i} + 2, _n))" for i in rng]
+    # a target rank below the bracket moves it to the part below, one above it
+    # to the part above (both only where the two ranks lie on either side)
     br = chk.selectExpr(*[f"`{k}`" for k in keys], *[x for i in rng for x in (
-        f"CASE WHEN {ok[i]} THEN _lo{i} ELSE _min END AS _elo{i}",
-        f"CASE WHEN {ok[i]} THEN _hi{i} ELSE _max END AS _ehi{i}",
-        f"CASE WHEN {ok[i]} THEN _below{i} ELSE 0 END AS _eb{i}", f"_k{i}", f"_pos{i}")])
-    # pass 3: rank only the rows inside a bracket
-    cand = ", ".join(
-        f"CASE WHEN _v >= _elo{i} AND _v <= _ehi{i} THEN named_struct('qi', {i}, "
-        f"'below', _eb{i}, 'k', _k{i}, 'pos', _pos{i}) END" for i in rng)
-    rows = _join(base, br, keys).selectExpr(
-        *[f"`{k}`" for k in keys], "_v", f"explode(filter(array({cand}), c -> c IS NOT NULL)) AS _c")
-    ranked = rows.selectExpr(
-        "*", f"_c.below + row_number() OVER (PARTITION BY {kp}_c.qi ORDER BY _v) - 1 AS _r"
-    ).filter("_r = _c.k OR _r = _c.k + 1")
+        f"CASE WHEN _below{i} <= _k{i} THEN _lo{i} ELSE _min END AS _elo{i}",
+        f"CASE WHEN _upto{i} >= least(_k{i} + 2, _n) THEN _hi{i} ELSE _max END AS _ehi{i}",
+        f"CASE WHEN _below{i} <= _k{i} THEN _below{i} ELSE 0 END AS _eb{i}", f"_k{i}", f"_pos{i}")])
+    # pass 3: count the distinct values inside a bracket, then rank those
+    inside = bracket_counts(_join(base, br, keys), keys, m)
+    ranked = inside.selectExpr(
+        "*", f"_c.below + sum(_w) OVER (PARTITION BY {kp}_c.qi ORDER BY _v "
+             "ROWS BETWEEN UNBOUNDED PRECEDING AND CURRENT ROW) AS _upto_v"
+    ).filter("_upto_v > _c.k AND _upto_v - _w <= _c.k + 1")
     aggs = []
     for i in rng:
-        aggs += [E(f"max(CASE WHEN _c.qi = {i} AND _r = _c.k THEN _v END) AS _a{i}"),
-                 E(f"max(CASE WHEN _c.qi = {i} AND _r = _c.k + 1 THEN _v END) AS _b{i}"),
+        # ranks upto - w .. upto - 1 (from 0) hold this value
+        aggs += [E(f"max(CASE WHEN _c.qi = {i} AND _upto_v - _w <= _c.k THEN _v END) AS _a{i}"),
+                 E(f"max(CASE WHEN _c.qi = {i} AND _upto_v > _c.k + 1 THEN _v END) AS _b{i}"),
                  E(f"max(CASE WHEN _c.qi = {i} THEN _c.pos END) AS _p{i}"),
                  E(f"max(CASE WHEN _c.qi = {i} THEN _c.k END) AS _kk{i}")]
     fin = ranked.groupBy(*keys).agg(*aggs)

@@ -12,7 +12,6 @@ reach the driver.  Start centres are a deterministic function of the data
 
 from __future__ import annotations
 
-import json
 from dataclasses import dataclass
 from statistics import NormalDist
 
@@ -20,7 +19,7 @@ from pyspark import StorageLevel
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from ..functions import attach_scalars, clamp_nonneg, days_between, money_avg, money_sum, round2
+from ..functions import attach_scalars, clamp_nonneg, days_between, round2
 
 FEATURES = ("recency", "frequency", "monetary")
 
@@ -39,7 +38,7 @@ def rfm(df: DataFrame, key: str = "customer_id", time_col: str = "time",
     second shuffle nor a join (see :func:`basket_from_segmented`).
     """
     aggs = [F.max(time_col).alias("_last"), F.count(event_col).alias("frequency"),
-            money_sum(amount).alias("_spend")]
+            F.sum(amount).alias("_spend")]
     if with_basket:
         aggs.append(F.count(F.lit(1)).alias("transaction_count"))
     per = df.filter(F.col(key).isNotNull()).groupBy(key).agg(*aggs)
@@ -62,6 +61,7 @@ class SegmentModel:
     centers: list[list[float]]
     features: tuple[str, ...] = FEATURES
     iterations: int = 0
+    converged: bool = True
     scaler: DataFrame | None = None
 
     def _bounds(self, i: int) -> tuple[Column, Column]:
@@ -81,11 +81,18 @@ class SegmentModel:
             ds.append(F.struct(d.alias("d"), F.lit(j).alias("id")))
         return F.array_min(F.array(*ds))["id"].cast("int")
 
+    def _known(self) -> Column:
+        known = F.lit(True)
+        for f in self.features:
+            known = known & F.col(f).isNotNull()
+        return known
+
     def assign(self, df: DataFrame, name: str = "cluster") -> DataFrame:
         """M3: add the index of the nearest centre (squared Euclid in z-space).
 
         A data-derived scaler is a one-row aggregate attached by broadcast;
-        z-scores are computed once per row into a struct.
+        z-scores are computed once per row into a struct.  A row with a NULL
+        feature has no nearest centre: its cluster is NULL.
         """
         drop = ["_z"]
         if self.scaler is not None:
@@ -97,7 +104,7 @@ class SegmentModel:
             m, sd = self._bounds(i)
             z.append(((F.col(f).cast("double") - m) / sd).alias(f"z{i}"))
         return (df.withColumn("_z", F.struct(*z))
-                .withColumn(name, self._cluster_of_z())
+                .withColumn(name, F.when(self._known(), self._cluster_of_z()))
                 .drop(*drop))
 
     @classmethod
@@ -123,7 +130,7 @@ class SegmentModel:
         return SegmentModel(means=[float(row[f"_m{i}"]) for i in range(n)],
                             stds=[float(row[f"_s{i}"]) for i in range(n)],
                             centers=self.centers, features=self.features,
-                            iterations=self.iterations)
+                            iterations=self.iterations, converged=self.converged)
 
     def save(self, path: str) -> None:
         """Two small Parquet tables: scaler and centres."""
@@ -147,10 +154,6 @@ class SegmentModel:
         return cls(means=[sc[f]["mean"] for f in feats], stds=[sc[f]["std"] for f in feats],
                    centers=[[r[f] for f in feats] for r in cen], features=feats)
 
-    def to_json(self) -> str:
-        return json.dumps({"means": self.means, "stds": self.stds, "centers": self.centers,
-                           "features": list(self.features)})
-
 
 def _scaler_stats(rfm_df: DataFrame, features=FEATURES):
     aggs = []
@@ -158,6 +161,8 @@ def _scaler_stats(rfm_df: DataFrame, features=FEATURES):
         aggs += [F.avg(F.col(f).cast("double")).alias(f"m_{f}"),
                  F.stddev_pop(F.col(f).cast("double")).alias(f"s_{f}")]
     row = rfm_df.agg(*aggs).first()
+    if any(row[f"m_{f}"] is None for f in features):
+        raise ValueError("no rows with a value of every feature to fit on")
     means = [float(row[f"m_{f}"]) for f in features]
     raw = [float(row[f"s_{f}"] or 0.0) for f in features]
     return means, [r if r else 1.0 for r in raw], raw
@@ -199,8 +204,11 @@ def fit_segments(rfm_df: DataFrame, k: int = 4, max_iter: int = 300, tol: float
     Convergence as in scikit-learn's k-means (used by the surveyed app): stop
     after the first round whose summed squared centre shift is at most
     ``tol`` times the mean variance of the scaled features, or at
-    ``max_iter``.  A cluster that loses every member keeps its centre.
+    ``max_iter`` (``converged`` tells which).  A cluster that loses every
+    member keeps its centre.  Rows with a NULL feature are not fitted on; a
+    table without any other row raises ``ValueError``.
     """
+    rfm_df = rfm_df.dropna(subset=list(features))
     means, stds, raw = _scaler_stats(rfm_df, features)
     # population variance of a z-score column: 1, or 0 for a constant feature
     tol_abs = tol * sum((r / s) ** 2 for r, s in zip(raw, stds)) / len(features)
@@ -222,7 +230,7 @@ def fit_segments(rfm_df: DataFrame, k: int = 4, max_iter: int = 300, tol: float
             dist.append(F.struct(d.alias("d"), F.lit(j).alias("id")))
         nearest = F.array_min(F.array(*dist))["id"].alias("c")
         centre_means = [F.avg(f"z{i}").alias(f"m{i}") for i in range(n)]
-        it = 0
+        it, done = 0, False
         for it in range(1, max_iter + 1):
             cen = spark.createDataFrame([tuple(float(v) for c in centers for v in c)], cen_schema)
             rows = (attach_scalars(z, cen).select(nearest, *[f"z{i}" for i in range(n)])
@@ -233,11 +241,12 @@ def fit_segments(rfm_df: DataFrame, k: int = 4, max_iter: int = 300, tol: float
             shift = sum((a - b) ** 2 for c0, c1 in zip(centers, new) for a, b in zip(c0, c1))
             centers = new
             if shift <= tol_abs:
+                done = True
                 break
     finally:
         z.unpersist()
     return SegmentModel(means=means, stds=stds, centers=centers, features=tuple(features),
-                        iterations=it)
+                        iterations=it, converged=done)
 
 
 def assign_segments(rfm_df: DataFrame, model: SegmentModel) -> DataFrame:
@@ -256,7 +265,7 @@ def segment_kpis(rfm_df: DataFrame) -> DataFrame:
     return rfm_df.agg(F.count(F.lit(1)).alias("customers"),
                       F.avg("recency").alias("avg_recency"),
                       F.avg("frequency").alias("avg_frequency"),
-                      money_avg("monetary").alias("avg_monetary"))
+                      F.avg("monetary").alias("avg_monetary"))
 
 
 def basket(transactions: DataFrame, segmented: DataFrame, key: str = "customer_id") -> DataFrame:
@@ -268,7 +277,7 @@ def basket(transactions: DataFrame, segmented: DataFrame, key: str = "customer_i
     """
     agg = (transactions.filter(F.col(key).isNotNull()).groupBy(key)
            .agg(F.count(F.lit(1)).alias("transaction_count"),
-                F.coalesce(money_sum("amount"), F.lit(0.0)).alias("amount")))
+                F.coalesce(F.sum("amount"), F.lit(0.0)).alias("amount")))
     return (agg.withColumn("avg_basket_size", F.col("amount") / F.col("transaction_count"))
             .join(segmented.select(key, "cluster"), key, "inner"))
 
@@ -293,14 +302,14 @@ def segment_stats(basket_df: DataFrame) -> DataFrame:
 def segment_size_value(rfm_df: DataFrame) -> DataFrame:
     """Per cluster size and mean monetary."""
     return rfm_df.groupBy("cluster").agg(F.count(F.lit(1)).alias("segment_size"),
-                                         money_avg("monetary").alias("avg_monetary"))
+                                         F.avg("monetary").alias("avg_monetary"))
 
 
 def segment_summary(rfm_df: DataFrame) -> DataFrame:
     """Per cluster mean recency / frequency / monetary, key-ordered (H4)."""
     return (rfm_df.groupBy("cluster")
             .agg(F.avg("recency").alias("recency"), F.avg("frequency").alias("frequency"),
-                 money_avg("monetary").alias("monetary"))
+                 F.avg("monetary").alias("monetary"))
             .orderBy("cluster"))
 
 

@@ -13,6 +13,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from ..functions import micros_between
+
 # Candidate grid of the CSS fit, phi and theta in
 # {-0.95, -0.90, ..., 0.95}; horizon of the reference forecast.
 GRID_LO, GRID_STEP, GRID_N = -95, 5, 39  # in hundredths
@@ -30,23 +32,20 @@ def _period(time_col: str, freq: str) -> Column:
 
 
 def resample(df: DataFrame, time_col: str = "time", value_col: str = "amount",
-             freq: str = "day", key: str | None = None, name: str | None = None,
-             money: bool = True) -> DataFrame:
+             freq: str = "day", key: str | None = None, name: str | None = None) -> DataFrame:
     """Sum of ``value_col`` per period (per key), missing periods 0.
 
     The spine runs from each key's first to last period
     (``explode(sequence(...))`` on the per-key bounds), so its size is the
-    time span, independent of the row count.  ``money``: the value is cents
-    and is summed exactly (``functions.money_sum``).
+    time span, independent of the row count.
     """
-    from ..functions import money_sum
     name = name or value_col
     keys = [key] if key else []
     base = df.filter(F.col(time_col).isNotNull())
     if key:
         base = base.filter(F.col(key).isNotNull())
     sums = (base.groupBy(*keys, _period(time_col, freq).alias("period"))
-            .agg((money_sum(value_col) if money else F.sum(value_col)).alias("_v")))
+            .agg(F.sum(F.col(value_col).cast("double")).alias("_v")))
     bounds = sums.groupBy(*keys).agg(F.min("period").alias("_lo"), F.max("period").alias("_hi"))
     spine = bounds.select(*keys, F.explode(F.sequence(
         "_lo", "_hi", F.expr(f"INTERVAL {_UNITS[freq]}"))).alias("period"))
@@ -69,38 +68,37 @@ def resample_weekly(df, time_col="time", value_col="amount", key=None):
     return resample(df, time_col, value_col, "week", key)
 
 
-def _css_grid() -> tuple:
-    import numpy as np
-    g = np.arange(GRID_N * GRID_N)
-    phi = (GRID_LO + GRID_STEP * (g // GRID_N)) / 100.0
-    theta = (GRID_LO + GRID_STEP * (g % GRID_N)) / 100.0
-    return phi, theta
-
-
-def _css_batch(Y, steps: int):
-    """CSS fit for S series of equal length L (rows of ``Y``), all grid
-    candidates at once; returns (phi[S], theta[S], forecasts[S, steps]).
-
-    ``argmin`` keeps the first minimum and the grid is ordered by (phi,
-    theta), which is the (SSE, phi, theta) tie-break."""
-    import numpy as np
-    phi, theta = _css_grid()
-    W = np.diff(Y, axis=1)                                # [S, L-1]
-    pw = np.repeat(W[:, :1], phi.size, axis=1)            # [S, G]
-    e = np.zeros_like(pw)
-    sse = np.zeros_like(pw)
-    for t in range(1, W.shape[1]):
-        x = W[:, t:t + 1]
-        e = x - phi * pw - theta * e
-        sse = sse + e * e
-        pw = np.repeat(x, phi.size, axis=1)
-    best = np.argmin(sse, axis=1)
-    rows = np.arange(Y.shape[0])
-    p, t = phi[best], theta[best]
-    w1 = p * W[:, -1] + t * e[rows, best]
-    h = np.arange(1, steps + 1, dtype="float64")
-    fc = Y[:, -1:] + w1[:, None] * (1.0 - np.power(p[:, None], h)) / (1.0 - p[:, None])
-    return p, t, fc
+def _css_kernel():
+    """The CSS fit as a function that stands alone: it is sent to the workers
+    whole, so they need numpy and pandas but not this package."""
+    lo, step, n = GRID_LO, GRID_STEP, GRID_N
+
+    def fit(Y, steps: int):
+        """S series of equal length L (rows of ``Y``) against all grid
+        candidates; returns (phi[S], theta[S], forecasts[S, steps]).
+
+        ``argmin`` keeps the first minimum and the grid is ordered by (phi,
+        theta), which is the (SSE, phi, theta) tie-break."""
+        import numpy as np
+        g = np.arange(n * n)
+        phi, theta = (lo + step * (g // n)) / 100.0, (lo + step * (g % n)) / 100.0
+        W = np.diff(Y, axis=1)                                # [S, L-1]
+        pw = np.repeat(W[:, :1], phi.size, axis=1)            # [S, G]
+        e = np.zeros_like(pw)
+        sse = np.zeros_like(pw)
+        for t in range(1, W.shape[1]):
+            x = W[:, t:t + 1]
+            e = x - phi * pw - theta * e
+            sse = sse + e * e
+            pw = np.repeat(x, phi.size, axis=1)
+        best = np.argmin(sse, axis=1)
+        p, q = phi[best], theta[best]
+        w1 = p * W[:, -1] + q * e[np.arange(Y.shape[0]), best]
+        h = np.arange(1, steps + 1, dtype="float64")
+        fc = Y[:, -1:] + w1[:, None] * (1.0 - np.power(p[:, None], h)) / (1.0 - p[:, None])
+        return p, q, fc
+
+    return fit
 
 
 def fit_forecast_series(y, steps: int = DEFAULT_STEPS):
@@ -110,7 +108,7 @@ def fit_forecast_series(y, steps: int = DEFAULT_STEPS):
     y = np.asarray(y, dtype="float64")
     if len(y) < 3:
         return None
-    p, t, fc = _css_batch(y[None, :], steps)
+    p, t, fc = _css_kernel()(y[None, :], steps)
     return p[0], t[0], fc[0]
 
 
@@ -118,7 +116,9 @@ def forecast(series: DataFrame, key: str | None = None, period: str = "period",
              value: str = "amount", steps: int = DEFAULT_STEPS,
              chunk: int = 256) -> DataFrame:
     """ARIMA(1,1,1) without drift, fitted per series by conditional sum
-    of squares over a (phi, theta) grid, then ``steps`` daily forecasts.
+    of squares over a (phi, theta) grid, then ``steps`` forecasts, one period
+    apart: the step is that between the series' last two periods (an hour, a
+    day, a week).
 
     With w_t = y_t - y_(t-1): e_1 = 0, e_t = w_t - phi*w_(t-1) - theta*e_(t-1),
     SSE = sum e_t^2; the winner is the least (SSE, phi, theta).  Forecast
@@ -131,20 +131,21 @@ def forecast(series: DataFrame, key: str | None = None, period: str = "period",
     1,521 candidates as 2-D numpy arrays: one Python call per Arrow batch,
     sequential only in t.
     """
-    import numpy as np
-    import pandas as pd
-
     keys = [key] if key else []
     key_type = dict(series.dtypes)[key] if key else None
     out_schema = (f"`{key}` {key_type}, " if key else "") + "date TIMESTAMP_NTZ, forecast DOUBLE"
     arr = (series.groupBy(*keys)
            .agg(F.array_sort(F.collect_list(F.struct(
                F.col(period).alias("p"), F.col(value).cast("double").alias("y")))).alias("_s"))
-           .select(*keys, F.col("_s.y").alias("_y"), F.element_at("_s", -1)["p"].alias("_last")))
+           .filter(F.size("_s") >= 3)
+           .select(*keys, F.col("_s.y").alias("_y"), F.element_at("_s", -1)["p"].alias("_last"),
+                   micros_between(F.element_at("_s", -2)["p"], F.element_at("_s", -1)["p"]).alias("_step")))
     cols = keys + ["date", "forecast"]
-    day = np.timedelta64(1, "D")
+    css = _css_kernel()
 
     def fit(batches):
+        import numpy as np
+        import pandas as pd
         for pdf in batches:
             lens = pdf["_y"].map(len).to_numpy()
             parts = []
@@ -153,9 +154,10 @@ def forecast(series: DataFrame, key: str | None = None, period: str = "period",
                 for c0 in range(0, idx.size, chunk):
                     sel = idx[c0:c0 + chunk]
                     Y = np.stack([np.asarray(v, dtype="float64") for v in pdf["_y"].iloc[sel]])
-                    _, _, fc = _css_batch(Y, steps)
-                    last = pdf["_last"].iloc[sel].to_numpy().astype("datetime64[ns]")
-                    dates = last[:, None] + np.arange(1, steps + 1) * day
+                    _, _, fc = css(Y, steps)
+                    last = pdf["_last"].iloc[sel].to_numpy().astype("datetime64[us]")
+                    step = pdf["_step"].iloc[sel].to_numpy().astype("timedelta64[us]")
+                    dates = (last[:, None] + np.arange(1, steps + 1) * step[:, None]).astype("datetime64[ns]")
                     part = {"date": dates.ravel(), "forecast": fc.ravel()}
                     if key:
                         part[key] = np.repeat(pdf[key].iloc[sel].to_numpy(), steps)

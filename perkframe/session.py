@@ -7,15 +7,15 @@ hands you a session and only :func:`checkpoint_dir` is consulted.
 
 from __future__ import annotations
 
+import atexit
 import os
+import shutil
 import tempfile
 
 from pyspark.sql import SparkSession
 
 # Settings every job of this library relies on (safe at any scale).
 _REQUIRED = {
-    # Driver tables carry TIMESTAMP_NTZ; keep all calendar maths in UTC.
-    "spark.sql.session.timeZone": "UTC",
     # Runtime re-planning: converts joins whose side turns out small into
     # broadcast joins (a size check done on real statistics), coalesces tiny
     # shuffle partitions and splits skewed ones.
@@ -27,7 +27,7 @@ _REQUIRED = {
 
 def local_session(cores: int = 8, shuffle_partitions: int | None = None,
                   app: str = "perkframe") -> SparkSession:
-    """A local session for tests and the bench (UI off, UTC, AQE on)."""
+    """A local session for tests and the bench (UI off, AQE on)."""
     builder = (
         SparkSession.builder.master(f"local[{cores}]")
         .appName(app)
@@ -50,13 +50,17 @@ def local_session(cores: int = 8, shuffle_partitions: int | None = None,
 def checkpoint_dir(spark: SparkSession) -> str:
     """Return the shared checkpoint folder named by ``spark.checkpoint.dir``.
 
-    On a cluster this must already be set to a shared file system path.  Only
-    when it is unset (local tests) a fresh scratch folder is created here.
+    On a cluster it has to be set to a path that every machine sees; unset, it
+    is an error there.  With a local master a scratch folder is made, which is
+    removed when the process ends.
     """
     sc = spark.sparkContext
     path = sc.getCheckpointDir() or sc.getConf().get("spark.checkpoint.dir", None)
     if not path:
+        if not sc.master.startswith("local") or sc.master.startswith("local-cluster"):
+            raise RuntimeError("set spark.checkpoint.dir to a folder that all machines share")
         path = tempfile.mkdtemp(prefix="perkframe-ckpt-")
+        atexit.register(shutil.rmtree, path, ignore_errors=True)
     if not sc.getCheckpointDir():
         sc.setCheckpointDir(path)
     return sc.getCheckpointDir() or path
@@ -65,10 +69,17 @@ def checkpoint_dir(spark: SparkSession) -> str:
 def ensure_conf(spark: SparkSession) -> None:
     """Apply the settings this library relies on to an existing session."""
     for k, v in _REQUIRED.items():
-        if k == "spark.sql.session.timeZone" or spark.conf.get(k, None) is None:
+        if spark.conf.get(k, None) is None:
             spark.conf.set(k, v)
 
 
+def remove_path(spark: SparkSession, path: str) -> None:
+    """Delete a folder through Spark's own file system."""
+    jvm = spark.sparkContext._jvm
+    target = jvm.org.apache.hadoop.fs.Path(path)
+    target.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(target, True)
+
+
 def scratch_path(spark: SparkSession, name: str) -> str:
     """A sub-folder of the shared checkpoint folder for written intermediates."""
     return os.path.join(checkpoint_dir(spark), name)

@@ -8,6 +8,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from ..functions import to_timestamp_if_hours
 
@@ -32,12 +33,23 @@ def read_parquet(spark: SparkSession, path: str, schema: str | None = None) -> D
 
 def load_transaction_events(spark: SparkSession, path: str) -> DataFrame:
     """A2: transaction table with ``time`` hours converted to timestamps."""
-    return to_timestamp_if_hours(read_parquet(spark, path), "time")
+    return _load_events(spark, path, TRANSACTION_EVENTS_SCHEMA)
 
 
 def load_offer_events(spark: SparkSession, path: str) -> DataFrame:
     """A3: offer table; ``time`` is converted on load as well (Q13)."""
-    return to_timestamp_if_hours(read_parquet(spark, path), "time")
+    return _load_events(spark, path, OFFER_EVENTS_SCHEMA)
+
+
+def _load_events(spark: SparkSession, path: str, declared: str) -> DataFrame:
+    """The stored columns; every declared one that is there, but for ``time``
+    (hours or timestamps), has to be of its declared type."""
+    df = to_timestamp_if_hours(read_parquet(spark, path), "time")
+    kinds = {f.name: f.dataType for f in T.StructType.fromDDL(declared)}
+    for f in df.schema:
+        if f.name in kinds and kinds[f.name] != f.dataType:
+            raise TypeError(f"{f.name} is {f.dataType.simpleString()}, not {kinds[f.name].simpleString()}")
+    return df
 
 
 def load_all(spark: SparkSession, offer_path: str, transaction_path: str
@@ -109,6 +121,7 @@ def load_model(spark: SparkSession, path: str):
 
 def split_events(df: DataFrame, event_col: str = "event",
                  transaction_value: str = "transaction") -> tuple[DataFrame, DataFrame]:
-    """Offer rows and transaction rows from one cleaned table."""
-    is_txn = F.col(event_col) == F.lit(transaction_value)
+    """Offer rows and transaction rows from one cleaned table; a row
+    without an event is not a transaction, so it is an offer row."""
+    is_txn = F.col(event_col).eqNullSafe(F.lit(transaction_value))
     return df.filter(~is_txn), df.filter(is_txn)

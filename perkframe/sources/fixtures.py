@@ -11,6 +11,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from ..functions import micros_between
+
 # Origin of the event stream and the event renaming table.
 EVENT_ORIGIN = "2024-01-01 00:00:00"
 EVENT_NAMES = {
@@ -27,17 +29,23 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 
 
 def raw_customers(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """customers: customer_id, became_member_on (yyyymmdd INT), gender, age, income."""
+    """customers: customer_id, became_member_on (yyyymmdd INT), gender, age, income.
+
+    Most ages are 18..42, none 43..94; some are 95 (outside the age fences) or
+    118 (a placeholder).  Some incomes are missing and some far outside the
+    fences on either side."""
     k = F.col("c_custkey")
+    bal = F.col("c_acctbal")
     return table(spark, sf_dir, "customer").select(
         k.alias("customer_id"),
         (F.lit(20130101) + (k % 4) * 10000 + (k % 12) * 100 + k % 28).cast("int")
         .alias("became_member_on"),
         F.when(k % 11 == 0, F.lit(None).cast("string")).otherwise(F.col("c_mktsegment"))
         .alias("gender"),
-        F.when(k % 13 == 0, F.lit(118)).otherwise(F.lit(18) + k % 70).cast("int").alias("age"),
-        F.when(k % 7 == 0, F.lit(None).cast("double")).otherwise(F.col("c_acctbal"))
-        .alias("income"),
+        F.when(k % 13 == 0, F.lit(118)).when(k % 19 == 0, F.lit(95))
+        .otherwise(F.lit(18) + k % 25).cast("int").alias("age"),
+        F.when(k % 7 == 0, F.lit(None).cast("double")).when(k % 17 == 3, bal + F.lit(100000.0))
+        .when(k % 17 == 5, bal - F.lit(100000.0)).otherwise(bal).alias("income"),
     )
 
 
@@ -45,11 +53,15 @@ def raw_offers(spark: SparkSession, sf_dir: str) -> DataFrame:
     """offers: offer_id, offer_type, difficulty, reward, duration, channels (list text).
 
     Every part is an offer; events reference the first hundred keys, and the
-    dimension join keeps the rest out of the result.
+    dimension join keeps the rest out of the result.  Some channel lists are
+    missing and some have a ``None`` element.
     """
     name = F.col("p_name")
-    channels = F.concat(F.lit("['"), F.split_part(name, F.lit(" "), F.lit(1)), F.lit("', '"),
-                        F.split_part(name, F.lit(" "), F.lit(2)), F.lit("']"))
+    pk = F.col("p_partkey")
+    first, second = F.split_part(name, F.lit(" "), F.lit(1)), F.split_part(name, F.lit(" "), F.lit(2))
+    channels = (F.when(pk % 13 == 0, F.lit(None).cast("string"))
+                .when(pk % 13 == 5, F.concat(F.lit("['"), first, F.lit("', None]")))
+                .otherwise(F.concat(F.lit("['"), first, F.lit("', '"), second, F.lit("']"))))
     return table(spark, sf_dir, "part").select(
         F.col("p_partkey").cast("string").alias("offer_id"),
         F.col("p_type").alias("offer_type"),
@@ -65,26 +77,35 @@ def _event_name(c: Column) -> Column:
     expr = None
     for src, dst in EVENT_NAMES.items():
         expr = F.when(c == src, F.lit(dst)) if expr is None else expr.when(c == src, F.lit(dst))
-    return expr
+    return expr.otherwise(c)
 
 
 def raw_events(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """events: event_id, customer_id, event, value (dict text), time (hours INT)."""
-    et = F.col("event_type")
+    """events: event_id, customer_id, event, value (dict text), time (hours DOUBLE).
+
+    Left as messy as real logs: every 29th user has no transactions (their
+    amounts are filed as viewed offers, without an offer_id); some customers,
+    events, times, amounts and offers are missing; no transaction falls on the
+    twelfth day; times are fractional hours for some rows."""
+    et, eid = F.col("event_type"), F.col("event_id")
     is_offer = et.isin("view", "click", "purchase")
     offer_value = F.replace(F.replace(F.col("props"), F.lit('"k"'), F.lit('"offer_id"')),
                             F.lit('"'), F.lit("'"))
-    txn_value = F.concat(F.lit("{'amount': "), F.col("value").cast("string"), F.lit("}"))
-    hours = F.floor(
-        (F.unix_micros(F.col("ts").cast("timestamp"))
-         - F.unix_micros(F.lit(EVENT_ORIGIN).cast("timestamp"))) / F.lit(3_600_000_000)
-    ).cast("int")
+    # a None before the closing brace must not cost the other keys
+    offer_value = F.when(eid % 31 == 0, F.replace(offer_value, F.lit("}"), F.lit(", 'reward': None}"))) \
+        .when(eid % 31 == 1, F.replace(offer_value, F.lit("}"), F.lit(", 'reward': 5}"))).otherwise(offer_value)
+    txn_value = F.when(eid % 97 == 0, F.lit("{'amount': None}")).otherwise(
+        F.concat(F.lit("{'amount': "), F.col("value").cast("string"), F.lit("}")))
+    hours = F.floor(micros_between(F.lit(EVENT_ORIGIN), "ts") / F.lit(3_600_000_000)).cast("double")
+    hours = F.when(~is_offer & (F.floor(hours / 24) == 11), hours + 24).otherwise(hours)
+    hours = F.when(eid % 41 == 0, hours + F.lit(0.5)).otherwise(hours)
+    event = F.when(~is_offer & (F.col("user_id") % 29 == 0), F.lit("offer viewed")).otherwise(_event_name(et))
     return table(spark, sf_dir, "events").select(
-        F.col("event_id"),
-        F.col("user_id").alias("customer_id"),
-        _event_name(et).alias("event"),
+        eid,
+        F.when(eid % 101 == 0, F.lit(None).cast("long")).otherwise(F.col("user_id")).alias("customer_id"),
+        F.when(eid % 103 == 0, F.lit(None).cast("string")).otherwise(event).alias("event"),
         F.when(is_offer, offer_value).otherwise(txn_value).alias("value"),
-        hours.alias("time"),
+        F.when(eid % 107 == 0, F.lit(None).cast("double")).otherwise(hours).alias("time"),
     )
 
 
@@ -102,33 +123,44 @@ def order_transactions(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
-_EVENT_TABLES: dict[tuple[str, str], tuple[DataFrame, DataFrame]] = {}
+_EVENT_TABLES: dict[tuple, tuple] = {}
 
 
 def event_tables(spark: SparkSession, sf_dir: str) -> tuple[DataFrame, DataFrame]:
     """(O, T): cleaned, denormalised offer rows and transaction rows.
 
-    The raw views are cleaned and merged (``plans.clean_and_merge``), written
-    once per Spark application and input folder under the shared checkpoint
-    folder and split on re-read (``plans.materialize_event_tables``); every
-    query reads them.  The queries ``offer_rows`` / ``transaction_rows``
+    The raw views are cleaned, joined and written once per Spark application
+    and input (``plans.materialize_event_tables``) under the shared checkpoint
+    folder; every query reads them.  The input is known by its files, their
+    sizes and times, so a changed input is built anew (and what was built of it
+    before is removed).  The queries ``offer_rows`` / ``transaction_rows``
     check the lazy pipeline itself against the oracle.
     """
     import uuid
 
-    from ..plans import clean_and_merge, materialize_event_tables
-    from ..session import scratch_path
+    from ..plans import build_event_tables, materialize_event_tables
+    from ..session import remove_path, scratch_path
     key = (spark.sparkContext.applicationId, sf_dir)
-    if key not in _EVENT_TABLES:
-        from ..functions import to_timestamp_if_hours
-        # hours -> timestamp once at write time, so time filters push down
-        merged = to_timestamp_if_hours(
-            clean_and_merge(raw_events(spark, sf_dir), raw_customers(spark, sf_dir),
-                            raw_offers(spark, sf_dir)), "time")
+    state = tuple(_state(spark, f"{sf_dir}/{t}.parquet") for t in ("events", "customer", "part"))
+    held = _EVENT_TABLES.get(key)
+    if held is None or held[0] != state:
         path = scratch_path(spark, f"event-tables-{uuid.uuid4().hex}")
-        # partitioned by event kind: the offer / transaction split prunes files
-        _EVENT_TABLES[key] = materialize_event_tables(merged, path, partition_by=["event"])
-    return _EVENT_TABLES[key]
+        tables = materialize_event_tables(
+            build_event_tables(raw_events(spark, sf_dir), raw_customers(spark, sf_dir),
+                               raw_offers(spark, sf_dir)), path)
+        if held is not None:
+            remove_path(spark, held[2])
+        held = _EVENT_TABLES[key] = (state, tables, path)
+    return held[1]
+
+
+def _state(spark: SparkSession, path: str) -> tuple:
+    """Files of a table with their sizes and times, from Spark's file system."""
+    jvm = spark.sparkContext._jvm
+    root = jvm.org.apache.hadoop.fs.Path(path)
+    fs = root.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration())
+    return tuple(sorted((x.getPath().toString(), x.getLen(), x.getModificationTime())
+                        for x in fs.listStatus(root)))
 
 
 def offer_events(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -143,6 +175,6 @@ def transaction_events(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def long_transactions(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Orders as transactions joined to cleaned customer ages (for E5 / H1)."""
-    from ..operators.cleaning import clean_customers
-    cust = clean_customers(raw_customers(spark, sf_dir)).select("customer_id", "age")
-    return order_transactions(spark, sf_dir).join(cust, "customer_id", "left")
+    from ..operators.cleaning import replace_above_with_median
+    ages = replace_above_with_median(raw_customers(spark, sf_dir), "age").select("customer_id", "age")
+    return order_transactions(spark, sf_dir).join(ages, "customer_id", "left")

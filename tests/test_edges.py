@@ -173,7 +173,8 @@ def test_bracketed_percentiles_are_exact(spark):
     for acc in (10, 100_000):  # a coarse sketch forces the widened-bracket path
         for keys in ([], ["g"]):
             a = {tuple(r[:-1]): r[-1] for r in percentiles(df, "x", qs, keys, "bracket", acc).collect()}
-            b = {tuple(r[:-1]): r[-1] for r in percentiles(df, "x", qs, keys, "exact").collect()}
+            exact = F.percentile("x", F.array(*[F.lit(q) for q in qs])).alias("q")
+            b = {tuple(r[:-1]): r[-1] for r in df.groupBy(*keys).agg(exact).collect()}
             assert a.keys() == b.keys()
             for k in a:
                 assert all(math.isclose(x, y, rel_tol=1e-12) for x, y in zip(a[k], b[k]))
@@ -214,15 +215,13 @@ def test_guards_renames_and_projection(spark):
     assert filters.select_if_present(df, ["customer_id"], "missing").columns == df.columns
 
 
-def test_describe_methods_agree(spark):
+def test_describe_matches_spark_percentile(spark):
     from perkframe.sources import fixtures as fx
     o = fx.offer_events(spark, "/root/testdata/sf0.001")
-    a = {r["statistic"]: r["value"] for r in distributions.describe_column(o, "income").collect()}
-    b = {r["statistic"]: r["value"] for r in
-         distributions.describe_column(o, "income", method="bracket").collect()}
-    assert a.keys() == b.keys()
-    for k in a:
-        assert math.isclose(a[k], b[k], rel_tol=1e-12), k
+    got = {r["statistic"]: r["value"] for r in distributions.describe_column(o, "income").collect()}
+    q = o.agg(F.percentile("income", F.array(F.lit(0.25), F.lit(0.5), F.lit(0.75)))).first()[0]
+    for name, want in zip(("25%", "50%", "75%"), q):
+        assert math.isclose(got[name], want, rel_tol=1e-12), name
 
 
 def test_every_customer_gets_its_nearest_centre(spark):
@@ -273,6 +272,7 @@ def test_hot_key_results_match_direct_formulations(spark):
     w = (Window.partitionBy("customer_id", "offer_id").orderBy("time", "event_id")
          .rowsBetween(Window.unboundedPreceding, -1))
     direct = (o.filter(F.col("event").isin("offer completed", "offer received"))
+              .filter("customer_id IS NOT NULL AND offer_id IS NOT NULL")
               .withColumn("_r", F.max(F.when(F.col("event") == "offer received", F.col("time"))).over(w))
               .filter(F.col("event") == "offer completed")
               .select("event_id", ((F.unix_seconds(F.col("time").cast("timestamp"))
@@ -293,3 +293,153 @@ def test_hot_key_results_match_direct_formulations(spark):
     r = {x["customer_id"]: x for x in segments.rfm(t).collect()}
     assert r[0]["frequency"] == int((pdf["customer_id"] == 0).sum())
     assert math.isclose(r[0]["monetary"], max(sums[0], 0.0), rel_tol=1e-9)
+
+
+def test_plain_sums_of_small_and_large_amounts(spark):
+    df = spark.createDataFrame([("a", 0.004)] * 1000 + [("b", 1e17), ("c", float("nan"))],
+                               "customer_id STRING, amount DOUBLE")
+    got = {r["customer_id"]: r["total_spend"] for r in
+           customers.with_customer_total(df).select("customer_id", "total_spend").distinct().collect()}
+    assert math.isclose(got["a"], 4.0) and got["b"] == 1e17 and math.isnan(got["c"])
+    day = spark.createDataFrame([(dt.datetime(2024, 1, 1), 0.333)], "time TIMESTAMP_NTZ, amount DOUBLE")
+    assert timeseries.resample_daily(day).collect()[0]["amount"] == 0.333
+
+
+def test_pivot_keeps_every_cluster(spark):
+    import pytest
+    perf = spark.createDataFrame([("A", 0, 0.5), ("A", 7, 0.25), ("B", -1, 1.0)],
+                                 "offer_type STRING, cluster INT, conversion_rate DOUBLE")
+    got = {r["offer_type"]: r for r in offers.pivot_performance(perf).collect()}
+    assert got["A"]["cluster_7"] == 0.25 and got["B"]["cluster_m1"] == 1.0
+    with pytest.raises(Exception, match="no column for cluster 7"):
+        offers.pivot_performance(perf, [-1, 0]).collect()
+
+
+def test_rows_without_an_event_are_kept(spark):
+    from perkframe.sources import split_events
+    df = spark.createDataFrame([(1, "transaction"), (2, None), (3, "offer viewed")], "id INT, event STRING")
+    o, t = split_events(df)
+    assert sorted(r["id"] for r in o.collect()) == [2, 3] and [r["id"] for r in t.collect()] == [1]
+
+
+def test_null_feature_has_no_cluster_and_is_not_fitted(spark):
+    import pytest
+    schema = "customer_id INT, recency INT, frequency BIGINT, monetary DOUBLE"
+    df = spark.createDataFrame([(i, i, i, float(i)) for i in range(8)] + [(9, None, 3, 1.0)], schema)
+    m = segments.fit_segments(df)
+    assert m.converged and all(v == v for c in m.centers for v in c)
+    assert {r["customer_id"]: r["cluster"] for r in segments.assign_segments(df, m).collect()}[9] is None
+    assert not segments.fit_segments(df, max_iter=0).converged
+    with pytest.raises(ValueError):
+        segments.fit_segments(df.filter("customer_id = 9"))
+
+
+def test_python_literals_with_none(spark):
+    from perkframe.functions import parse_dict, parse_list
+    df = spark.createDataFrame([("{'offer_id': 'x', 'reward': None}", "['a', None]"),
+                                ("{'amount': 4.5, 'offer_id': \"None's (b)\"}", "('a', 'True',)"),
+                                ("oops", "oops"), (None, None)], "d STRING, l STRING")
+    rows = df.select(parse_dict("d").alias("d"), parse_list("l").alias("l")).collect()
+    assert rows[0]["d"]["offer_id"] == "x" and rows[0]["d"]["reward"] is None and rows[0]["l"] == ["a", None]
+    assert rows[1]["d"]["offer_id"] == "None's (b)" and rows[1]["d"]["amount"] == 4.5
+    assert rows[1]["l"] == ["a", "True"]
+    assert rows[2]["l"] is None and rows[3]["d"] is None
+
+
+def test_hours_of_every_numeric_type(spark):
+    import pytest
+    from perkframe.functions import to_timestamp_if_hours
+    for kind, value in (("INT", 2), ("DOUBLE", 2.5), ("DECIMAL(6,2)", "2.5"), ("STRING", "2.5")):
+        df = spark.sql(f"SELECT CAST({value!r} AS {kind}) AS time")
+        got = to_timestamp_if_hours(to_timestamp_if_hours(df)).first()[0]
+        assert got == dt.datetime(1970, 1, 1, 2, 0 if kind == "INT" else 30), kind
+    with pytest.raises(TypeError):
+        to_timestamp_if_hours(spark.sql("SELECT true AS time"))
+
+
+def test_session_zone_plays_no_part(spark):
+    from perkframe.sources import fixtures as fx
+    sf = "/root/testdata/sf0.001"
+    was = spark.conf.get("spark.sql.session.timeZone")
+    got = {}
+    try:
+        for zone in ("UTC", "America/New_York"):
+            spark.conf.set("spark.sql.session.timeZone", zone)
+            o, t = plans.build_event_tables(fx.raw_events(spark, sf), fx.raw_customers(spark, sf),
+                                            fx.raw_offers(spark, sf))
+            got[zone] = [sorted(map(str, x.collect())) for x in
+                         (t, segments.rfm(t), offers.time_to_redemption(o))]
+    finally:
+        spark.conf.set("spark.sql.session.timeZone", was)
+    assert got["UTC"] == got["America/New_York"]
+
+
+def test_tied_values_are_one_row_of_a_window_group(spark):
+    from perkframe.operators.quantiles import bracket_counts, percentiles
+    df = spark.range(100_000).select(F.when(F.col("id") % 10 > 0, F.lit(7.0)).otherwise(F.col("id").cast("double")).alias("x"))
+    assert percentiles(df, "x", [0.05, 0.5, 0.9]).first()[0][1] == 7.0
+    rows = df.select(F.col("x").alias("_v"), F.lit(0.0).alias("_elo0"), F.lit(50.0).alias("_ehi0"),
+                     F.lit(0).alias("_eb0"), F.lit(50_000).alias("_k0"), F.lit(50_000.0).alias("_pos0"))
+    counted = bracket_counts(rows, [], 1)
+    assert counted.count() == 7 and counted.agg(F.max("_w")).first()[0] == 90_000
+
+
+def test_weekly_series_gets_weekly_forecasts(spark):
+    rows = [(dt.datetime(2024, 1, 7) + dt.timedelta(weeks=i), float(i % 3)) for i in range(6)]
+    df = spark.createDataFrame(rows, "period TIMESTAMP_NTZ, amount DOUBLE")
+    got = sorted(r["date"] for r in timeseries.forecast(df, steps=3).collect())
+    assert got == [rows[-1][0] + dt.timedelta(weeks=h) for h in (1, 2, 3)]
+
+
+def test_forecast_worker_function_needs_no_package(tmp_path):
+    """The pickled kernel runs in a process that can't import the library."""
+    import subprocess
+    import sys
+    from pyspark.cloudpickle import dumps
+    (tmp_path / "f").write_bytes(dumps(timeseries._css_kernel()))
+    code = ("import pickle, numpy as np\nf = pickle.load(open('f', 'rb'))\n"
+            "print(f(np.array([[3., 5, 4, 6, 8, 7]]), 1)[2][0, 0])")
+    done = subprocess.run([sys.executable, "-I", "-c", code], cwd=tmp_path, capture_output=True, text=True)
+    want = timeseries.fit_forecast_series([3.0, 5, 4, 6, 8, 7], 1)[2][0]
+    assert done.returncode == 0, done.stderr
+    assert math.isclose(float(done.stdout), want)
+
+
+def test_income_is_clipped_and_ages_are_fenced(spark):
+    from perkframe.operators import cleaning
+    df = spark.createDataFrame([(float(v),) for v in [*range(10, 30), 1000, -1000]] + [(None,)], "income DOUBLE")
+    got = [r["income"] for r in cleaning.iqr_clip_fill_median(df).collect()]
+    assert max(got) < 1000 and min(got) > -1000 and got[-1] == 19.5
+    ages = df.withColumnRenamed("income", "age")
+    assert filters.iqr_filter(ages).count() == 20
+
+
+def test_checkpoint_folder_is_required_on_a_cluster():
+    import pytest
+    from perkframe.session import checkpoint_dir
+
+    class Conf:
+        def get(self, key, default=None):
+            return default
+
+    class Context:
+        master = "spark://host:7077"
+
+        def getCheckpointDir(self):
+            return None
+
+        def getConf(self):
+            return Conf()
+
+    class Session:
+        sparkContext = Context()
+
+    with pytest.raises(RuntimeError):
+        checkpoint_dir(Session())
+
+
+def test_binned_density_is_close_to_the_plain_one(spark):
+    df = spark.range(2000).select((F.col("id") % 997).cast("double").alias("x"))
+    a = [r["density"] for r in distributions.density_estimate(df, "x").orderBy("x").collect()]
+    b = [r["density"] for r in distributions.density_estimate(df, "x", binned=True).orderBy("x").collect()]
+    assert all(math.isclose(x, y, rel_tol=1e-3) for x, y in zip(a, b))
