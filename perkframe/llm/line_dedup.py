@@ -1,6 +1,6 @@
 """Line deduplication by pairwise alignment (operator 6).
 
-1. Lines are hashed.  A line in at most ``MAX_DF`` documents is rare; so is
+1. Lines are hashed.  A line that occurs ``MAX_DF`` times at most is rare; so is
    any run of two successive lines, and a one-line document as a whole.
 2. Each document is paired with the first document (smallest id) that has one
    of its rare features: one partner per feature, never all pairs of a group.
@@ -22,29 +22,27 @@ from pyspark.sql import functions as F
 
 from .common import id_key, small_batches, stage_table
 
-#: Documents that a line may be in to be rare, so to name a partner by itself.
+#: Times that a line may occur to be rare, so to name a partner by itself.
 MAX_DF = 64
 #: Characters that an aligned block must have to be deleted.
 MIN_CHARS = 40
 
 
 def lines_of(docs: DataFrame) -> DataFrame:
-    """(id, n, no, at, h, chars): the lines with a character besides white
-    space.  ``no`` counts them, ``at`` counts all lines, ``n`` is their number
-    in the document and ``h`` a 128-bit hash."""
+    """(id, n, no, at, chars, h, g, next_h, next_g): the lines with a character
+    besides white space.  ``no`` counts them, ``at`` counts all lines and ``n``
+    is their number in the document; (h, g) is a 128-bit hash of the line, and
+    the last two that of the line that follows (null after the last)."""
     text = F.coalesce(F.col("text"), F.lit(""))
-    keyed = docs.select(id_key().alias("id"), text.alias("text"))
-    # unequal texts under one doc_id can't be told apart later: they are left out
-    mixed = (keyed.groupBy("id").agg(F.min(F.xxhash64("text")).alias("lo"), F.max(F.xxhash64("text")).alias("hi"))
-             .filter("lo <> hi").select("id"))
-    split = F.transform(F.split("text", "\n"), lambda x, i: F.struct(x.alias("x"), i.alias("at")))
-    rows = F.transform(F.filter(split, lambda r: r["x"].rlike(r"\S")),
-                       lambda r: F.struct(F.unhex(F.md5(r["x"])).alias("h"),
-                                          F.char_length(r["x"]).alias("chars"), r["at"].alias("at")))
-    return (keyed.select("id", rows.alias("rows"))
-            .select("id", F.size("rows").alias("n"), F.posexplode("rows").alias("no", "r"))
-            .select("id", "n", "no", F.col("r.at").alias("at"), F.col("r.h").alias("h"), F.col("r.chars").alias("chars"))
-            .distinct().join(mixed, "id", "left_anti"))
+    split = F.transform(F.split(text, "\n"), lambda x, i: F.struct(x.alias("x"), i.alias("at")))
+    hashed = F.transform(F.filter(split, lambda r: r["x"].rlike(r"\S")), lambda r: F.struct(
+        r["at"].alias("at"), F.char_length(r["x"]).alias("chars"),
+        F.xxhash64(r["x"]).alias("h"), F.xxhash64(F.lit(7), r["x"]).alias("g")))
+    rows = docs.select(id_key().alias("id"), hashed.alias("rows"))
+    following = F.transform("rows", lambda r, i: F.struct(
+        r.alias("r"), F.get("rows", i + 1)["h"].alias("next_h"), F.get("rows", i + 1)["g"].alias("next_g")))
+    return (rows.select("id", F.size("rows").alias("n"), F.posexplode(following).alias("no", "x"))
+            .select("id", "n", "no", "x.r.at", "x.r.chars", "x.r.h", "x.r.g", "x.next_h", "x.next_g"))
 
 
 def patience(pairs: list[tuple[int, int]]) -> list[tuple[int, int]]:
@@ -137,40 +135,46 @@ def deletions(docs: DataFrame, max_df: int = MAX_DF, min_chars: int = MIN_CHARS)
     """(id, partners, lines): places of the lines that each later document
     loses, and the earlier documents that they were aligned with."""
     lines = stage_table(lines_of(docs), "lines")
-    # one row per document and distinct line, with its places
-    places = (lines.groupBy("h", "id").agg(F.sort_array(F.collect_list("no")).alias("places"), F.min("chars").alias("chars")))
-    held = places.groupBy("h").agg(F.count("*").alias("df"), F.min("id").alias("first"))
-    shared_lines = held.filter("df > 1")
-    shared = stage_table(places.join(shared_lines, "h"), "shared-lines")
-
-    # features that name a partner: rare lines, runs of two lines, whole one-line documents
-    rare = (shared.filter((F.col("df") <= max_df) & (F.col("id") != F.col("first")))
+    # lines of two documents and more; both sides meet by hash once, and the
+    # places within a document are gathered without another shuffle
+    held = (lines.groupBy("h", "g").agg(F.count("*").alias("times"), F.min("id").alias("first"), F.max("id").alias("last"))
+            .filter("first <> last").drop("last"))
+    shared = stage_table(lines.join(held.hint("merge"), ["h", "g"]), "shared-lines")
+    places = (shared.groupBy("h", "g", "id").agg(F.sort_array(F.collect_set("no")).alias("places"),
+                                                 F.first("chars").alias("chars")))
+
+    # features that name a partner: rare lines, runs of two lines, whole
+    # one-line documents; the partner is the first document that has it
+    rare = (shared.filter((F.col("times") <= max_df) & (F.col("id") != F.col("first")))
             .select(F.col("first").alias("a"), F.col("id").alias("b")))
-    next_line = lines.select("id", (F.col("no") - 1).alias("no"), F.col("h").alias("h2"))
-    runs = (lines.join(next_line, ["id", "no"], "left")
-            .filter(F.col("h2").isNotNull() | (F.col("n") == 1))
-            .select("id", F.coalesce(F.concat("h", "h2"), F.col("h")).alias("run"), F.col("h2").isNull().alias("only"))
-            .select("id", F.when(F.col("only"), F.concat(F.col("run"), F.unhex(F.lit("00"))))
-                    .otherwise(F.col("run")).alias("run")).distinct())
-    first_run = runs.groupBy("run").agg(F.min("id").alias("a"), F.count("*").alias("n")).filter("n > 1").drop("n")
-    by_run = (runs.join(first_run, "run").filter(F.col("id") != F.col("a"))
+    runs = (shared.filter(F.col("next_h").isNotNull() | (F.col("n") == 1))
+            .select("id", F.xxhash64("h", "g", "next_h", "next_g").alias("run"),
+                    F.xxhash64(F.lit(7), "h", "g", "next_h", "next_g").alias("run2")))
+    first_run = (runs.groupBy("run", "run2").agg(F.min("id").alias("a"), F.max("id").alias("z"))
+                 .filter("a <> z").drop("z"))
+    by_run = (runs.join(first_run, ["run", "run2"]).filter(F.col("id") != F.col("a"))
               .select("a", F.col("id").alias("b")))
     pairs = rare.unionByName(by_run).distinct()
 
     # common lines of each pair: a row per line, wherever it occurs on a side.
     # The earlier side has one row per (document, line), so a document that is
     # everyone's partner is a hot key on the later side only, which is split.
-    later = (pairs.join(shared.select(F.col("id").alias("b"), "h", F.col("places").alias("in_b"), "chars"), "b"))
-    common = later.join(shared.select(F.col("id").alias("a"), "h", F.col("places").alias("in_a")), ["a", "h"])
+    later = pairs.join(places.select(F.col("id").alias("b"), "h", "g", F.col("places").alias("in_b"), "chars"), "b")
+    common = later.join(places.select(F.col("id").alias("a"), "h", "g", F.col("places").alias("in_a")), ["a", "h", "g"])
     # a group is what one later document shares with its partners
     grouped = common.groupBy("b").agg(F.collect_list(F.struct("a", "in_a", "in_b", "chars")).alias("met"))
 
     found = (grouped.select(F.col("b").alias("id"), "met")
              .mapInArrow(lambda batches: delete_blocks(batches, min_chars), DELETED))
+    # unequal texts under one doc_id can't be told apart: nothing is deleted there
+    text = F.xxhash64(F.coalesce("text", F.lit("")))
+    mixed = (docs.select(id_key().alias("id"), text.alias("t")).groupBy("id")
+             .agg(F.min("t").alias("lo"), F.max("t").alias("hi")).filter("lo <> hi").select("id"))
     # from numbers among the lines that aren't blank to places among all lines
     numbers = found.select("id", "partners", F.explode("lines").alias("no"))
-    return (numbers.join(lines.select("id", "no", "at"), ["id", "no"]).groupBy("id")
-            .agg(F.first("partners").alias("partners"), F.sort_array(F.collect_list("at")).alias("lines")))
+    return (numbers.join(shared.select("id", "no", "at"), ["id", "no"]).groupBy("id")
+            .agg(F.first("partners").alias("partners"), F.sort_array(F.collect_set("at")).alias("lines"))
+            .join(mixed, "id", "left_anti"))
 
 
 def line_mask(lines: str):
@@ -194,7 +198,8 @@ def dedup(docs: DataFrame, max_df: int = MAX_DF, min_chars: int = MIN_CHARS) ->
     small_batches(docs.sparkSession)
     gone = stage_table(deletions(docs, max_df, min_chars), "deletions")
     gone = gone.select(F.col("id").alias("_id"), F.col("lines").alias("_lines"), F.col("partners").alias("_partners"))
-    gone = gone.withColumn("_mask", line_mask("_lines"))
+    # what is deleted grows with the corpus, so it isn't broadcast
+    gone = gone.withColumn("_mask", line_mask("_lines")).hint("merge")
     joined = docs.join(gone, id_key() == F.col("_id"), "left")
     kept = F.array_join(F.filter(F.split("text", "\n"), lambda x, i: ~F.coalesce(F.get("_mask", i), F.lit(False))), "\n")
     n_lines = F.size(F.filter(F.split(F.coalesce("text", F.lit("")), "\n"), lambda x: x.rlike(r"\S")))
