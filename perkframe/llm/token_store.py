@@ -14,10 +14,12 @@ from __future__ import annotations
 
 import json
 import os
+import re
 import struct
 import uuid
 import zlib
 from collections.abc import Iterator
+from functools import lru_cache
 
 import numpy as np
 import pyarrow as pa
@@ -159,45 +161,89 @@ class TokenFile:
 
 
 # ----------------------------------------------------------- the encoder
+# A run of Latin letters and ASCII punctuation after it: the tokenizer's
+# normalizer only lower-cases it, and the two are pre-tokens of their own.
+_PLAIN = re.compile(r"([A-Za-z\u00c0-\u00d6\u00d8-\u00f6\u00f8-\u00ff]+)([!-/:-@\[-`{-~]*)")
+
+
 class WordEncoder:
     """Whole texts through the tokenizers library, one distinct word once.
 
-    Only for tokenizers that drop white space and never look across it, as
-    those with word ends do: then a text's ids are those of its words in turn.
+    Only for tokenizers that lower-case, drop white space and never look across
+    it, as those with word ends do: then a text's ids are those of its words in
+    turn.  A word that is plain (see ``_PLAIN``) goes to the library's model
+    as the pre-tokens that it has; any other word through all of the library.
     """
 
     def __init__(self, path: str, end_id: int):
         os.environ.setdefault("TOKENIZERS_PARALLELISM", "false")
         from tokenizers import Tokenizer
+        from tokenizers.pre_tokenizers import ByteLevel
         self.tokenizer = Tokenizer.from_file(path)
         self.tokenizer.no_truncation()
         self.tokenizer.no_padding()
+        self.model = self.tokenizer.model
+        self.letters = ByteLevel(add_prefix_space=False, use_regex=False)
         self.end = struct.pack("<I", end_id)
         self.known: dict[bytes, bytes] = {}
+        self.runs: dict[str, bytes] = {}
+
+    def _run(self, run: str) -> bytes:
+        """Ids of one pre-token (lower-cased)."""
+        got = self.runs.get(run)
+        if got is None:
+            mapped = run if run.isascii() else self.letters.pre_tokenize_str(run)[0][0]
+            ids = [t.id for t in self.model.tokenize(mapped)]
+            got = self.runs[run] = struct.pack(f"<{len(ids)}I", *ids)
+        return got
+
+    def learn(self, words: set[bytes]) -> None:
+        known = self.known
+        if len(known) + len(words) > REMEMBERED:
+            # what was used just now is likely to be used again
+            kept = {w: known[w] for w in words if w in known}
+            known.clear()
+            known.update(kept)
+        if len(self.runs) > REMEMBERED:
+            self.runs.clear()
+        rest = []
+        for w in words:
+            if w not in known:
+                text = w.decode()
+                plain = _PLAIN.fullmatch(text)
+                if plain:
+                    ids = self._run(plain[1].lower())
+                    known[w] = ids + self._run(plain[2]) if plain[2] else ids
+                else:
+                    rest.append((w, text))
+        for a in range(0, len(rest), 4096):
+            part = rest[a:a + 4096]
+            coded = self.tokenizer.encode_batch_fast([t for _, t in part], add_special_tokens=False)
+            for (w, _), x in zip(part, coded):
+                known[w] = struct.pack(f"<{len(x.ids)}I", *x.ids)
 
     def encode_all(self, texts: list[bytes]) -> list[bytes]:
         """Ids of each text, and the end id, as unsigned 32-bit integers."""
         out, start = [], 0
-        split = [t.split() for t in texts]
+        split = [t.split() for t in texts]  # at x20, x09-x0D
         while start < len(texts):
             stop, words = start, set()
             while stop < len(texts) and (stop == start or len(words) < REMEMBERED // 2):
                 words.update(split[stop])
                 stop += 1
-            if len(self.known) + len(words) > REMEMBERED:
-                self.known.clear()
-            new = [w for w in words if w not in self.known]
-            for a in range(0, len(new), 4096):
-                part = new[a:a + 4096]
-                coded = self.tokenizer.encode_batch_fast([w.decode() for w in part], add_special_tokens=False)
-                for w, x in zip(part, coded):
-                    self.known[w] = np.array(x.ids, np.uint32).tobytes()
+            self.learn(words)
             look = self.known.__getitem__
             out += [b"".join(map(look, split[k])) + self.end for k in range(start, stop)]
             start = stop
         return out
 
 
+@lru_cache(maxsize=2)
+def word_encoder(path: str, end_id: int) -> WordEncoder:
+    """One encoder for all tasks of a worker process."""
+    return WordEncoder(path, end_id)
+
+
 # ----------------------------------------------------------- the operator
 def write_tokens(docs: DataFrame, vocab_path: str, end_id: int, folder: str,
                  file_tokens: int = FILE_TOKENS) -> DataFrame:
@@ -208,7 +254,7 @@ def write_tokens(docs: DataFrame, vocab_path: str, end_id: int, folder: str,
 
     def run(batches):
         part = TaskContext.get().partitionId()
-        encoder = WordEncoder(vocab_path, end_id)
+        encoder = word_encoder(vocab_path, end_id)
         fs, root = shared_fs(folder)
         fs.create_dir(root, recursive=True)
         rows, doc_ids, coded, held = [], [], [], 0
