@@ -94,7 +94,7 @@ class Words:
         self.ids = np.frombuffer(raw[8:8 + 8 * size], np.int64)
         self.text = raw[8 + 8 * size:]
         buf = np.frombuffer(self.text, np.uint8)
-        gap = buf <= 32
+        gap = (buf == 32) | (buf == 10)  # other control characters belong to words
         edge = np.flatnonzero(gap)
         starts = np.concatenate([[0], edge + 1])
         ends = np.concatenate([edge, [len(buf)]])
