@@ -12,15 +12,17 @@ from __future__ import annotations
 
 import hashlib
 import json
+from collections import Counter
 from functools import lru_cache
 
 import numpy as np
 import pyarrow as pa
 import regex
 from pyspark.sql import DataFrame
+from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
-from .common import byte_list, id_key, id_out, new_folder, shared_fs, small_batches
+from .common import byte_list, id_key, id_out, new_folder, shared_fs, small_batches, stage_table
 
 #: Words in the lexicon: the size of the feature, not of the corpus.
 LEXICON_WORDS = 1 << 16
@@ -63,36 +65,48 @@ class Vocabulary:
         self.byte_id = [0] * 256
         for c, b in of.items():
             self.byte_id[b] = vocab[c]
-        self.merges = {}
+        # rank of a pair, under left * 2**32 + right, and the id it merges to
+        self.ranks, self.merged = {}, []
         for rank, pair in enumerate(spec["model"]["merges"]):
             left, right = pair.split(" ") if isinstance(pair, str) else pair
-            self.merges[vocab[left], vocab[right]] = (rank, vocab[left + right])
+            self.ranks[vocab[left] << 32 | vocab[right]] = rank
+            self.merged.append(vocab[left + right])
+        self.words: dict[str, list[int]] = {}
         self.split_special = (regex.compile("(" + "|".join(map(regex.escape, self.special)) + ")")
                               if self.special else None)
         self.special_bytes = [t.encode() for t in self.special]
 
     def merge(self, word: bytes) -> list[int]:
-        """Ids of one pre-token: the lowest-ranked pair is merged, at all its
-        places from the left, until no pair has a rank."""
-        ids, merges = [self.byte_id[b] for b in word], self.merges
-        while len(ids) > 1:
-            best = min((merges.get(p, _NO_MERGE) for p in zip(ids, ids[1:])))
-            if best is _NO_MERGE:
+        """Ids of one pre-token: the lowest-ranked pair, and of equal ones the
+        leftmost, is merged until no pair has a rank."""
+        ids, rank_of = [self.byte_id[b] for b in word], self.ranks.get
+        ranks = [rank_of(a << 32 | b, _NO_RANK) for a, b in zip(ids, ids[1:])]
+        while ranks:
+            best = min(ranks)
+            if best == _NO_RANK:
                 break
-            new, out, i, last = best[1], [], 0, len(ids) - 1
-            while i <= last:
-                if i < last and merges.get((ids[i], ids[i + 1])) == best:
-                    out.append(new)
-                    i += 2
-                else:
-                    out.append(ids[i])
-                    i += 1
-            ids = out
+            i = ranks.index(best)
+            ids[i:i + 2] = [self.merged[best]]
+            del ranks[i]
+            if i:
+                ranks[i - 1] = rank_of(ids[i - 1] << 32 | ids[i], _NO_RANK)
+            if i < len(ranks):
+                ranks[i] = rank_of(ids[i] << 32 | ids[i + 1], _NO_RANK)
         return ids
 
     def encode_plain(self, text: str) -> list[int]:
         """Ids of a text in which no special token is looked for."""
-        return [i for word in SPLIT.findall(text) for i in self.merge(word.encode())]
+        out, words = [], self.words
+        for word in SPLIT.findall(text):
+            ids = words.get(word)
+            if ids is None:
+                ids = self.merge(word.encode())
+                if len(word) <= WORD_BYTES:
+                    if len(words) >= REMEMBERED:
+                        words.clear()
+                    words[word] = ids
+            out += ids
+        return out
 
     def decode(self, ids: np.ndarray) -> bytes:
         """UTF-8 of the ids' text; bytes that are none become U+FFFD."""
@@ -104,7 +118,7 @@ class Vocabulary:
             return raw.decode(errors="replace").encode()
 
 
-_NO_MERGE = (1 << 62, -1)
+_NO_RANK = 1 << 62
 
 
 @lru_cache(maxsize=4)
@@ -242,11 +256,6 @@ class Lexicon:
         return self.ids[self.starts[place]:self.starts[place + 1]]
 
 
-@lru_cache(maxsize=2)
-def open_lexicon(path: str) -> Lexicon:
-    return Lexicon.open(path)
-
-
 # ------------------------------------------------------------ the encoder
 class Encoder:
     """Encodes whole texts; remembers a bounded number of words.
@@ -264,7 +273,10 @@ class Encoder:
 
     def learn(self, pieces: set[bytes]) -> None:
         if len(self.known) + len(pieces) > REMEMBERED:
+            # what was used just now is likely to be used again
+            kept = {p: self.known[p] for p in pieces if p in self.known}
             self.known.clear()
+            self.known.update(kept)
         new = [p for p in pieces if p not in self.known]
         places = self.lexicon.find(new).tolist() if self.lexicon else [-1] * len(new)
         for piece, place in zip(new, places):
@@ -323,22 +335,26 @@ def depends_on_neighbours(piece: bytes) -> bool:
     return bool(_SPACE.match(text[0]) or _SPACE.match(text[-1]))
 
 
+@lru_cache(maxsize=1)
+def open_encoder(vocab_path: str, lexicon: str) -> Encoder:
+    """One encoder for all tasks of a worker process."""
+    return Encoder(vocabulary(vocab_path), Lexicon.open(lexicon))
+
+
 # ------------------------------------------------------------ the operator
 def word_counts(docs: DataFrame) -> DataFrame:
     """(word, n) over every document; counted in tasks before the shuffle."""
     def run(batches):
-        counts: dict[bytes, int] = {}
+        counts: Counter = Counter()
 
         def flush():
             yield pa.RecordBatch.from_arrays(
                 [pa.array(list(counts), pa.binary()), pa.array(list(counts.values()), pa.int64())], ["word", "n"])
             counts.clear()
 
-        get = counts.get
         for batch in batches:
             for text in byte_list(batch.column(0)):
-                for w in text.split(b" ")[1:]:
-                    counts[w] = get(w, 0) + 1
+                counts.update(text.split(b" ")[1:])
             if len(counts) > REMEMBERED:
                 yield from flush()
         if counts:
@@ -352,8 +368,13 @@ def build_lexicon(docs: DataFrame, vocab_path: str, size: int = LEXICON_WORDS) -
     """Compile the ``size`` most frequent words (ties by bytes) into a file in
     the shared folder; returns its path.  At most ``size`` words of at most
     ``WORD_BYTES`` bytes reach the driver."""
-    top = (word_counts(docs).filter(F.octet_length("word").between(1, WORD_BYTES))
-           .orderBy(F.desc("n"), "word").limit(size))
+    counts = stage_table(word_counts(docs).filter(F.octet_length("word").between(1, WORD_BYTES)), "word-counts")
+    # the least count that still leaves ``size`` words: from a histogram of
+    # counts, so that only about as many words are sorted
+    above = W.orderBy(F.desc("n")).rowsBetween(W.unboundedPreceding, 0)
+    least = (counts.groupBy("n").agg(F.count("*").alias("k")).withColumn("k", F.sum("k").over(above))
+             .filter(F.col("k") >= size).agg(F.max("n")).first()[0])
+    top = counts.filter(F.col("n") >= (least or 1)).orderBy(F.desc("n"), "word").limit(size)
     vocab = vocabulary(vocab_path)
     words = sorted(w for (w,) in top.select("word").toLocalIterator() if not depends_on_neighbours(bytes(w)))
     words = [bytes(w) for w in words]
@@ -374,7 +395,7 @@ def encode(docs: DataFrame, vocab_path: str, lexicon: str, with_ids: bool = True
     little-endian unsigned 32-bit integers (null where not ``with_ids``)."""
     def run(batches):
         vocab = vocabulary(vocab_path)
-        encoder = Encoder(vocab, open_lexicon(lexicon))
+        encoder = open_encoder(vocab_path, lexicon)
         for batch in batches:
             coded = encoder.encode_all(byte_list(batch.column(1)))
             yield pa.RecordBatch.from_arrays([
