@@ -53,12 +53,12 @@ def _T(s, d):
 
 
 def _OP(s, d):
-    return plans.prepare_offer_events(_O(s, d))
+    return plans.prepare_offer_events(_O(s, d), age_fences=fx.age_fences(s, d))
 
 
 def _OX(s, d):
     """P4 with channels: prepared offers (P1) exploded per channel."""
-    return plans.load_and_prepare(_O(s, d), _T(s, d), channels=True)[0]
+    return plans.load_and_prepare(_O(s, d), _T(s, d), channels=True, age_fences=fx.age_fences(s, d))[0]
 
 
 def _L(s, d):
@@ -275,9 +275,8 @@ def _q_segment_size_value(s, d):
 
 
 def _q_basket(s, d):
-    """E6 as the reference does it: its own aggregate joined to the clusters."""
-    lt = _L(s, d)
-    return segments.basket(lt, _seg(lt))
+    """E6 from the customers' one aggregate (D2, D3 without a join)."""
+    return _basket_L(s, d).select("customer_id", "transaction_count", "amount", "avg_basket_size", "cluster")
 
 
 def _q_segment_stats(s, d):

@@ -114,24 +114,32 @@ def filter_window_types_segments(df: DataFrame, time_range, offer_types=None,
     return df
 
 
+def iqr_fences(df: DataFrame, c: str = "age", k: float = 1.5) -> DataFrame:
+    """One row (lo, hi) = Q1 - k*IQR and Q3 + k*IQR of ``c``; quantiles are
+    linear over the rows (NULLs skipped)."""
+    from .quantiles import percentiles
+    q1, q3 = F.col("_q")[0], F.col("_q")[1]
+    return percentiles(df, c, [0.25, 0.75]).select(
+        (q1 - F.lit(k) * (q3 - q1)).alias("lo"), (q3 + F.lit(k) * (q3 - q1)).alias("hi"))
+
+
 def iqr_filter(df: DataFrame, c: str = "age", k: float = 1.5,
-               stats_from: DataFrame | None = None) -> DataFrame:
-    """Keep Q1-k*IQR <= c <= Q3+k*IQR; quantiles are linear over the rows
-    (NULLs skipped), rows with a NULL value are dropped.  No-op without ``c``.
+               stats_from: DataFrame | None = None, fences: tuple | None = None) -> DataFrame:
+    """Keep rows with ``c`` inside its fences (see :func:`iqr_fences`);
+    rows with a NULL value are dropped.  No-op without ``c``.
 
     ``stats_from``: a frame with the same rows and ``c`` values to take the
     fences from (lets a pipeline compute them before unrelated joins).
+    ``fences``: (lo, hi) known already, e.g. ``bounds_of(iqr_fences(df))``; as
+    literals they are pushed into the scan.
     """
     if c not in df.columns:
         return df
-    from ..functions import attach_scalars
-    src = df if stats_from is None else stats_from
-    from .quantiles import percentiles
-    st = percentiles(src, c, [0.25, 0.75])
-    q1, q3 = F.col("_q")[0], F.col("_q")[1]
-    return (attach_scalars(df, st)
-            .filter(F.col(c).between(q1 - F.lit(k) * (q3 - q1), q3 + F.lit(k) * (q3 - q1)))
-            .drop("_q"))
+    rng = iqr_fences(df if stats_from is None else stats_from, c, k) if fences is None else fences
+    if fences is not None and None in fences:
+        return df.filter(F.lit(False))  # no values, so no row is inside
+    df, lo, hi, tmp = _with_range(df, rng, lambda x: x if isinstance(x, Column) else F.lit(x))
+    return df.filter(F.col(c).between(lo, hi)).drop(*tmp)
 
 
 def campaign_window(df: DataFrame, first_day: int, last_day: int, time_col: str = "time"

@@ -71,15 +71,18 @@ def materialize_event_tables(events: tuple[DataFrame, DataFrame], path: str
     return tuple(out)
 
 
-def prepare_offer_events(df: DataFrame, age_filter: bool = True) -> DataFrame:
-    """J1 -> offer_success (fences of *all* rows) -> age IQR filter."""
+def prepare_offer_events(df: DataFrame, age_filter: bool = True,
+                         age_fences: tuple | None = None) -> DataFrame:
+    """J1 -> offer_success (fences of *all* rows) -> age IQR filter.
+
+    ``age_fences``: the two fences where they are known (see ``iqr_filter``)."""
     from ..operators.filters import iqr_filter
     from ..operators.offers import with_offer_success
     src = to_timestamp_if_hours(df, "time")
     out = with_offer_success(src)
     if age_filter and "age" in df.columns:
         # the success flag neither adds rows nor changes ages: fences from src
-        out = iqr_filter(out, "age", stats_from=src)
+        out = iqr_filter(out, "age", stats_from=src, fences=age_fences)
     return out
 
 
@@ -98,10 +101,10 @@ def explode_channels(df: DataFrame, c: str = "channels") -> DataFrame:
     return df.withColumn(c, F.explode_outer(arr))
 
 
-def load_and_prepare(offers: DataFrame, transactions: DataFrame, channels: bool = False
-                     ) -> tuple[DataFrame, DataFrame]:
+def load_and_prepare(offers: DataFrame, transactions: DataFrame, channels: bool = False,
+                     age_fences: tuple | None = None) -> tuple[DataFrame, DataFrame]:
     """(P1, P2), optionally followed by P3 on the offer side."""
-    o = prepare_offer_events(offers)
+    o = prepare_offer_events(offers, age_fences=age_fences)
     if channels:
         o = explode_channels(o)
     return o, prepare_transaction_events(transactions)

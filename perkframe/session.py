@@ -51,8 +51,9 @@ def checkpoint_dir(spark: SparkSession) -> str:
     """Return the shared checkpoint folder named by ``spark.checkpoint.dir``.
 
     On a cluster it has to be set to a path that every machine sees; unset, it
-    is an error there.  With a local master a scratch folder is made, which is
-    removed when the process ends.
+    is an error there.  With a local master a scratch folder is made.  Spark
+    gives each application a folder of its own in it, which is removed when the
+    driver's process ends.
     """
     sc = spark.sparkContext
     path = sc.getCheckpointDir() or sc.getConf().get("spark.checkpoint.dir", None)
@@ -63,7 +64,23 @@ def checkpoint_dir(spark: SparkSession) -> str:
         atexit.register(shutil.rmtree, path, ignore_errors=True)
     if not sc.getCheckpointDir():
         sc.setCheckpointDir(path)
-    return sc.getCheckpointDir() or path
+    own = sc.getCheckpointDir() or path  # a folder of this application's in it
+    if own not in _OWN_FOLDERS and own != path:
+        _OWN_FOLDERS.add(own)
+        atexit.register(_remove_at_exit, sc._jvm, own)
+    return own
+
+
+_OWN_FOLDERS: set[str] = set()
+
+
+def _remove_at_exit(jvm, path: str) -> None:
+    """Scratch tables and files of an application end with it."""
+    try:
+        target = jvm.org.apache.hadoop.fs.Path(path)
+        target.getFileSystem(jvm.org.apache.hadoop.conf.Configuration()).delete(target, True)
+    except Exception:  # noqa: BLE001  the JVM may be gone already
+        pass
 
 
 def ensure_conf(spark: SparkSession) -> None:

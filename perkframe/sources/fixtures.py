@@ -150,10 +150,21 @@ def event_tables(spark: SparkSession, sf_dir: str) -> tuple[DataFrame, DataFrame
                                raw_offers(spark, sf_dir)), path)
         if held is not None:
             remove_path(spark, held[2])
-        held = _EVENT_TABLES[key] = (state, tables, path)
+        held = _EVENT_TABLES[key] = (state, tables, path, {})
     return held[1]
 
 
+def age_fences(spark: SparkSession, sf_dir: str) -> tuple:
+    """The age fences of the offer rows: two numbers, computed once for the
+    written table, so that queries push them into its scan."""
+    from ..operators.filters import bounds_of, iqr_fences
+    offers = event_tables(spark, sf_dir)[0]
+    known = _EVENT_TABLES[spark.sparkContext.applicationId, sf_dir][3]
+    if "age" not in known:
+        known["age"] = bounds_of(iqr_fences(offers, "age"))
+    return known["age"]
+
+
 def _state(spark: SparkSession, path: str) -> tuple:
     """Files of a table with their sizes and times, from Spark's file system."""
     jvm = spark.sparkContext._jvm

@@ -443,3 +443,26 @@ def test_binned_density_is_close_to_the_plain_one(spark):
     a = [r["density"] for r in distributions.density_estimate(df, "x").orderBy("x").collect()]
     b = [r["density"] for r in distributions.density_estimate(df, "x", binned=True).orderBy("x").collect()]
     assert all(math.isclose(x, y, rel_tol=1e-3) for x, y in zip(a, b))
+
+
+def test_basket_by_join_equals_the_one_aggregate(spark):
+    """D2 + D3 as the surveyed app does them, against E6 without a join."""
+    from perkframe.sources import fixtures as fx
+    lt = fx.order_transactions(spark, "/root/testdata/sf0.001")
+    model = segments.SegmentModel(means=[200.0, 10.0, 1e6], stds=[100.0, 3.0, 5e5],
+                                  centers=[[0.0, 0.0, 0.0], [1.0, 1.0, 1.0]])
+    columns = ["customer_id", "transaction_count", "amount", "avg_basket_size", "cluster"]
+    joined = segments.basket(lt, segments.segment_customers(lt, model)).select(*columns).orderBy("customer_id").collect()
+    once = (segments.basket_from_segmented(segments.segment_customers(lt, model, with_basket=True))
+            .select(*columns).orderBy("customer_id").collect())
+    assert len(joined) == len(once) > 0
+    for a, b in zip(joined, once):
+        assert a[0] == b[0] and a[1] == b[1] and a[4] == b[4] and math.isclose(a[2], b[2]) and math.isclose(a[3], b[3])
+
+
+def test_known_fences_filter_alike(spark):
+    from perkframe.sources import fixtures as fx
+    o = fx.offer_events(spark, "/root/testdata/sf0.001")
+    fences = filters.bounds_of(filters.iqr_fences(o, "age"))
+    assert filters.iqr_filter(o, fences=fences).count() == filters.iqr_filter(o).count() < o.count()
+    assert filters.iqr_filter(o, fences=(None, None)).count() == 0
