@@ -128,5 +128,5 @@ def keep_first(docs: DataFrame, shingle: int = SHINGLE, max_bits: int = MAX_BITS
     all columns stay.  Rows that repeat a doc_id stay or go together."""
     found = near_duplicates(docs, shingle, max_bits)
     gone = (found.filter(~F.col("doc_id").eqNullSafe(F.col("component_id")))
-            .select(F.col("doc_id").alias("_gone")).distinct())
+            .select(F.col("doc_id").alias("_gone")).distinct().hint("merge"))  # grows with the corpus
     return docs.join(gone, F.col("doc_id").cast("long").eqNullSafe(F.col("_gone")), "left_anti")
