@@ -40,6 +40,8 @@ WINDOW = 20
 #: Bytes of text in a chunk (more only where one document is longer); a task
 #: holds some 15 times as much.
 CHUNK_BYTES = 4 << 20
+#: Chunks that a task works on, on average.
+CHUNKS_PER_TASK = 4
 #: Words whose hashes one range gets, on average.
 RANGE_WORDS = 4_000_000
 
@@ -384,8 +386,11 @@ def dedup(docs: DataFrame, window: int = WINDOW, with_text: bool = True,
     small_batches(spark)
     rows = docs.select(id_key().alias("id"), F.col("text"))
     chunks = write_chunks(rows, new_folder(spark, "words"), chunk_bytes)
-    n_words = chunks.agg(F.sum("words")).first()[0] or 0
-    buckets = max(partitions(spark), -(-n_words // RANGE_WORDS))
+    facts = chunks.agg(F.sum("words").alias("words"), F.count("*").alias("n")).first()
+    buckets = max(partitions(spark), -(-(facts["words"] or 0) // RANGE_WORDS))
+    # the work of a chunk is in its file, not in the bits it gets, so partitions
+    # are counted in chunks and stay as they are
+    parts = max(partitions(spark), -(-facts["n"] // CHUNKS_PER_TASK))
 
     def probe(batches):
         for batch in batches:
@@ -394,7 +399,8 @@ def dedup(docs: DataFrame, window: int = WINDOW, with_text: bool = True,
                 yield from _packed(row["chunk"], *send_probes(words, block, buckets)).to_batches()
 
     listed = chunks.select("chunk", "path", "at", "size")
-    sent = listed.repartition(partitions(spark), "chunk").mapInArrow(probe, PACKED)
+    by_chunk = listed.repartition(parts, "chunk")
+    sent = by_chunk.mapInArrow(probe, PACKED)
     hits = stage_table(_answers(sent, lambda payloads, _: meet_probes(payloads)), "probe-hits")
 
     def extend(chunk: pa.Table, found: pa.Table) -> pa.Table:
@@ -403,7 +409,8 @@ def dedup(docs: DataFrame, window: int = WINDOW, with_text: bool = True,
         number, words = _chunk_of(chunk)
         return _packed(number, *send_windows(words, window, buckets, _bits(found)))
 
-    extended = listed.groupBy("chunk").cogroup(hits.groupBy("chunk")).applyInArrow(extend, PACKED)
+    extended = (by_chunk.groupBy("chunk").cogroup(hits.repartition(parts, "chunk").groupBy("chunk"))
+                .applyInArrow(extend, PACKED))
     later = _answers(extended, meet_windows)
     both = (hits.withColumn("kind", F.lit(0)).unionByName(later.withColumn("kind", F.lit(1))))
 
@@ -417,6 +424,7 @@ def dedup(docs: DataFrame, window: int = WINDOW, with_text: bool = True,
             gone = np.zeros(len(words.doc), bool)
         return _documents(words, gone, with_text)
 
-    out = listed.groupBy("chunk").cogroup(both.groupBy("chunk")).applyInArrow(remove, REMOVED)
+    out = (by_chunk.groupBy("chunk").cogroup(both.repartition(parts, "chunk").groupBy("chunk"))
+           .applyInArrow(remove, REMOVED))
     columns = ["n_words", "n_removed", "kept_sha256", *(["kept", "spans"] if with_text else [])]
     return out.select(id_out("id").alias("doc_id"), *columns)
