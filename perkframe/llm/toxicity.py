@@ -21,8 +21,9 @@ from pyspark.sql import functions as F
 from .common import byte_list, id_key, id_out, small_batches
 
 #: Labelled rows that are fitted on, at most: so many toxic ones, and twice as
-#: many clean ones.
+#: many clean ones, without those whose text is beyond ``SAMPLE_BYTES``.
 SAMPLE = 1500
+SAMPLE_BYTES = 1 << 20
 BUCKETS_LOG2 = 18
 DIM = 8
 N_GRAMS = (3, 4, 5)
@@ -249,6 +250,7 @@ def fit(docs: DataFrame, labels: DataFrame, sample: int = SAMPLE) -> Model:
                 .orderBy("o", "doc_id").limit(sample * (2 - label)))
         picked = part if picked is None else picked.unionByName(part)
     rows = (docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text")
+            .filter(F.octet_length("text") <= SAMPLE_BYTES)
             .join(F.broadcast(picked), "doc_id")  # 3 * sample rows of three numbers at most
             .orderBy("o", "doc_id").limit(4 * sample).select("text", "toxic").toArrow())
     return train(byte_list(rows["text"].combine_chunks()), rows["toxic"].to_numpy().astype(int))
