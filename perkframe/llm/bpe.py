@@ -28,8 +28,9 @@ from .common import byte_list, id_key, id_out, new_folder, shared_fs, small_batc
 LEXICON_WORDS = 1 << 16
 #: Longest word that the lexicon takes, in bytes; longer ones are merged.
 WORD_BYTES = 64
-#: Words that a task remembers at once, and counts before it passes them on.
-REMEMBERED = 300_000
+#: Pieces and pre-tokens that a worker remembers, and words that a task counts
+#: before it passes the counts on.
+REMEMBERED, REMEMBERED_WORDS = 500_000, 250_000
 
 # Fixed value: the pre-tokenizer's pattern, with white space by its property.
 SPLIT = regex.compile(
@@ -102,7 +103,7 @@ class Vocabulary:
             if ids is None:
                 ids = self.merge(word.encode())
                 if len(word) <= WORD_BYTES:
-                    if len(words) >= REMEMBERED:
+                    if len(words) >= REMEMBERED_WORDS:
                         words.clear()
                     words[word] = ids
             out += ids
@@ -355,7 +356,7 @@ def word_counts(docs: DataFrame) -> DataFrame:
         for batch in batches:
             for text in byte_list(batch.column(0)):
                 counts.update(text.split(b" ")[1:])
-            if len(counts) > REMEMBERED:
+            if len(counts) > REMEMBERED_WORDS:
                 yield from flush()
         if counts:
             yield from flush()
