@@ -135,10 +135,12 @@ def deletions(docs: DataFrame, max_df: int = MAX_DF, min_chars: int = MIN_CHARS)
     """(id, partners, lines): places of the lines that each later document
     loses, and the earlier documents that they were aligned with."""
     lines = stage_table(lines_of(docs), "lines")
-    # lines of two documents and more; both sides meet by hash once, and the
-    # places within a document are gathered without another shuffle
-    held = (lines.groupBy("h", "g").agg(F.count("*").alias("times"), F.min("id").alias("first"), F.max("id").alias("last"))
-            .filter("first <> last").drop("last"))
+    # lines of two documents and more, one row each.  They are written before
+    # they are joined: with nothing but two exchanges below it, the join's
+    # partition of a very common line is split
+    held = stage_table(
+        lines.groupBy("h", "g").agg(F.count("*").alias("times"), F.min("id").alias("first"), F.max("id").alias("last"))
+        .filter("first <> last").drop("last"), "held-lines")
     shared = stage_table(lines.join(held.hint("merge"), ["h", "g"]), "shared-lines")
     places = (shared.groupBy("h", "g", "id").agg(F.sort_array(F.collect_set("no")).alias("places"),
                                                  F.first("chars").alias("chars")))
@@ -150,9 +152,9 @@ def deletions(docs: DataFrame, max_df: int = MAX_DF, min_chars: int = MIN_CHARS)
     runs = (shared.filter(F.col("next_h").isNotNull() | (F.col("n") == 1))
             .select("id", F.xxhash64("h", "g", "next_h", "next_g").alias("run"),
                     F.xxhash64(F.lit(7), "h", "g", "next_h", "next_g").alias("run2")))
-    first_run = (runs.groupBy("run", "run2").agg(F.min("id").alias("a"), F.max("id").alias("z"))
-                 .filter("a <> z").drop("z"))
-    by_run = (runs.join(first_run, ["run", "run2"]).filter(F.col("id") != F.col("a"))
+    first_run = stage_table(runs.groupBy("run", "run2").agg(F.min("id").alias("a"), F.max("id").alias("z"))
+                            .filter("a <> z").drop("z"), "first-runs")
+    by_run = (runs.join(first_run.hint("merge"), ["run", "run2"]).filter(F.col("id") != F.col("a"))
               .select("a", F.col("id").alias("b")))
     pairs = rare.unionByName(by_run).distinct()
 
