@@ -1,9 +1,10 @@
 """Line deduplication by pairwise alignment (operator 6).
 
-1. Lines are hashed.  A line that occurs ``MAX_DF`` times at most is rare; so is
-   any run of two successive lines, and a one-line document as a whole.
+1. Lines are hashed.  Features of a document are its lines, its runs of two
+   successive lines, and a one-line document as a whole.
 2. Each document is paired with the first document (smallest id) that has one
-   of its rare features: one partner per feature, never all pairs of a group.
+   of its features, however often it occurs: one partner per feature, never all
+   pairs of a group.
 3. The common lines of a pair are aligned by patience diff: lines that both
    hold exactly once, the longest increasing chain of them, and its extension
    over equal neighbouring lines.
@@ -22,8 +23,8 @@ from pyspark.sql import functions as F
 
 from .common import id_key, small_batches, stage_table
 
-#: Times that a line may occur to be rare, so to name a partner by itself.
-MAX_DF = 64
+#: Times that a line may occur to name a partner by itself; None for any number.
+MAX_DF = None
 #: Characters that an aligned block must have to be deleted.
 MIN_CHARS = 40
 
@@ -131,7 +132,7 @@ def delete_blocks(batches, min_chars: int):
                 ["id", "lines", "partners"])
 
 
-def deletions(docs: DataFrame, max_df: int = MAX_DF, min_chars: int = MIN_CHARS) -> DataFrame:
+def deletions(docs: DataFrame, max_df: int | None = MAX_DF, min_chars: int = MIN_CHARS) -> DataFrame:
     """(id, partners, lines): places of the lines that each later document
     loses, and the earlier documents that they were aligned with."""
     lines = stage_table(lines_of(docs), "lines")
@@ -142,13 +143,15 @@ def deletions(docs: DataFrame, max_df: int = MAX_DF, min_chars: int = MIN_CHARS)
         lines.groupBy("h", "g").agg(F.count("*").alias("times"), F.min("id").alias("first"), F.max("id").alias("last"))
         .filter("first <> last").drop("last"), "held-lines")
     shared = stage_table(lines.join(held.hint("merge"), ["h", "g"]), "shared-lines")
-    places = (shared.groupBy("h", "g", "id").agg(F.sort_array(F.collect_set("no")).alias("places"),
-                                                 F.first("chars").alias("chars")))
-
-    # features that name a partner: rare lines, runs of two lines, whole
-    # one-line documents; the partner is the first document that has it
-    rare = (shared.filter((F.col("times") <= max_df) & (F.col("id") != F.col("first")))
-            .select(F.col("first").alias("a"), F.col("id").alias("b")))
+    # written, so that the exchange of the join on a very common line is split
+    places = stage_table(shared.groupBy("h", "g", "id").agg(F.sort_array(F.collect_set("no")).alias("places"),
+                                                            F.first("chars").alias("chars")), "places")
+
+    # features that name a partner: lines, runs of two lines, whole one-line
+    # documents; the partner is the first document that has it
+    named = shared if max_df is None else shared.filter(F.col("times") <= max_df)
+    by_line = (named.filter(F.col("id") != F.col("first"))
+               .select(F.col("first").alias("a"), F.col("id").alias("b")))
     runs = (shared.filter(F.col("next_h").isNotNull() | (F.col("n") == 1))
             .select("id", F.xxhash64("h", "g", "next_h", "next_g").alias("run"),
                     F.xxhash64(F.lit(7), "h", "g", "next_h", "next_g").alias("run2")))
@@ -156,7 +159,7 @@ def deletions(docs: DataFrame, max_df: int = MAX_DF, min_chars: int = MIN_CHARS)
                             .filter("a <> z").drop("z"), "first-runs")
     by_run = (runs.join(first_run.hint("merge"), ["run", "run2"]).filter(F.col("id") != F.col("a"))
               .select("a", F.col("id").alias("b")))
-    pairs = rare.unionByName(by_run).distinct()
+    pairs = by_line.unionByName(by_run).distinct()
 
     # common lines of each pair: a row per line, wherever it occurs on a side.
     # The earlier side has one row per (document, line), so a document that is
@@ -186,7 +189,7 @@ def line_mask(lines: str):
         concat(array_repeat(false, x - IF(k = 0, 0, {lines}[k - 1] + 1)), array(true))))""")
 
 
-def dedup(docs: DataFrame, max_df: int = MAX_DF, min_chars: int = MIN_CHARS) -> DataFrame:
+def dedup(docs: DataFrame, max_df: int | None = MAX_DF, min_chars: int = MIN_CHARS) -> DataFrame:
     """All columns of ``docs`` and n_lines, n_removed, removed_lines, partners;
     ``text`` has lost the deleted lines (numbered without the blank ones).
 
@@ -213,7 +216,7 @@ def dedup(docs: DataFrame, max_df: int = MAX_DF, min_chars: int = MIN_CHARS) ->
         .drop("_id", "_lines", "_partners", "_mask"))
 
 
-def strip(docs: DataFrame, max_df: int = MAX_DF, min_chars: int = MIN_CHARS) -> DataFrame:
+def strip(docs: DataFrame, max_df: int | None = MAX_DF, min_chars: int = MIN_CHARS) -> DataFrame:
     """``docs`` with deleted lines gone; documents that lost their last line
     are dropped, all others keep their columns (n_chars is counted anew)."""
     out = dedup(docs, max_df, min_chars).filter("n_removed = 0 OR n_removed < n_lines")

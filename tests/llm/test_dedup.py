@@ -233,6 +233,15 @@ def test_a_common_line_alone_is_no_partner(spark):
     assert [i for i, t in got.items() if common in t] == [0]
 
 
+def test_a_line_of_any_frequency_goes_from_all_but_its_first_document(spark):
+    common = "a license line that very many documents carry, all by itself"
+    for n in (64, 65, 200):
+        texts = [(i, f"document {i} starts with its own words, long enough\n{common}\nand ends {i} {i}") for i in range(n)]
+        got = kept_texts(lines_frame(spark, texts))
+        assert [i for i, t in got.items() if common in t] == [0], n
+        assert all(t.startswith(f"document {i} starts") and t.endswith(f"and ends {i} {i}") for i, t in got.items())
+
+
 def test_moved_lines_keep_the_longer_chain(spark):
     a = "\n".join(LONG)
     moved = "\n".join([*LONG[3:], LONG[0]])
