@@ -6,8 +6,8 @@
    of its features, however often it occurs: one partner per feature, never all
    pairs of a group.
 3. The common lines of a pair are aligned by patience diff: lines that both
-   hold exactly once, the longest increasing chain of them, and its extension
-   over equal neighbouring lines.
+   hold exactly once, the longest increasing chain of them, its extension over
+   equal neighbouring lines, and the same again inside each gap that is left.
 4. Aligned blocks of enough characters are deleted from the later document.
 
 Blank lines take no part: they are neither matched nor deleted.
@@ -71,30 +71,51 @@ def aligned_blocks(common: list[tuple[list[int], list[int]]]) -> list[list[int]]
     (in the earlier, in the later document).
 
     The chain is made of lines that occur once on either side; where there is
-    none, the first places of each common line serve.  A block grows up and
-    down while the neighbours are equal lines, up to the next link of the chain.
+    none, the first places of each common line serve, the second ones, and so
+    on.  A block grows up and down while the neighbours are equal lines, up to
+    the next link of the chain.  The same is done again in each gap that is
+    left before, between and after the links, with the lines that occur once
+    in that gap, until the gaps have no line in common.
     """
     line_a = {p: k for k, (a, _) in enumerate(common) for p in a}
     line_b = {p: k for k, (_, b) in enumerate(common) for p in b}
-    unique = [(a[0], b[0]) for a, b in common if len(a) == len(b) == 1]
-    chain = patience(unique or [(min(a), min(b)) for a, b in common])
-    taken_a, taken_b, links = set(), set(), set(chain)
+    at_a, at_b = sorted(line_a), sorted(line_b)
+    taken_a, taken_b, found = set(), set(), []
 
     def equal(a, b):
         return a in line_a and line_a[a] == line_b.get(b, -1) and a not in taken_a and b not in taken_b
 
-    for a, b in chain:
-        taken_a.add(a)
-        taken_b.add(b)
-    found = set(chain)
-    for a, b in chain:
-        for step in (-1, 1):
-            x, y = a + step, b + step
-            while (x, y) not in links and equal(x, y):
-                taken_a.add(x)
-                taken_b.add(y)
-                found.add((x, y))
-                x, y = x + step, y + step
+    gaps = [(0, len(at_a), 0, len(at_b))]  # slices of at_a and at_b
+    while gaps:
+        from_a, to_a, from_b, to_b = gaps.pop()
+        here: dict[int, tuple[list[int], list[int]]] = {}
+        for p in at_a[from_a:to_a]:
+            here.setdefault(line_a[p], ([], []))[0].append(p)
+        for p in at_b[from_b:to_b]:
+            if line_b[p] in here:
+                here[line_b[p]][1].append(p)
+        unique = [(a[0], b[0]) for a, b in here.values() if len(a) == len(b) == 1]
+        chain = patience(unique or [pair for a, b in here.values() for pair in zip(a, b)])
+        for a, b in chain:
+            taken_a.add(a)
+            taken_b.add(b)
+        links = list(chain)
+        for a, b in chain:
+            for step in (-1, 1):
+                x, y = a + step, b + step
+                while equal(x, y):
+                    taken_a.add(x)
+                    taken_b.add(y)
+                    links.append((x, y))
+                    x, y = x + step, y + step
+        found += links
+        for x, y in sorted(links):
+            end_a, end_b = bisect_left(at_a, x), bisect_left(at_b, y)
+            if from_a < end_a and from_b < end_b:
+                gaps.append((from_a, end_a, from_b, end_b))
+            from_a, from_b = end_a + 1, end_b + 1
+        if links and from_a < to_a and from_b < to_b:
+            gaps.append((from_a, to_a, from_b, to_b))
     blocks, before = [], None
     for x, y in sorted(found, key=lambda p: p[1]):
         if before == (x - 1, y - 1):

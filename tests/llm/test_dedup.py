@@ -265,6 +265,54 @@ def test_patience_against_the_longest_chain():
         assert [x[1] for x in chain] == sorted(x[1] for x in chain)
 
 
+def brute_alignment(a, b):
+    """Pairs of places by patience diff with recursion, on whole lists of lines."""
+    def align(a0, a1, b0, b1):
+        once = [x for x in a[a0:a1] if a[a0:a1].count(x) == b[b0:b1].count(x) == 1]
+        seen, pairs = {}, []
+        for i in range(a0, a1):
+            seen.setdefault(a[i], []).append(i)
+        for j in range(b0, b1):
+            if b[j] in seen and (not once or b[j] in once) and seen[b[j]]:
+                pairs.append((seen[b[j]].pop(0), j))
+        links = set(line_dedup.patience(pairs))
+        grown = set(links)
+        for i, j in sorted(links):
+            for step in (-1, 1):
+                x, y = i + step, j + step
+                while (a0 <= x < a1 and b0 <= y < b1 and a[x] == b[y]
+                       and x not in {p for p, _ in grown} and y not in {q for _, q in grown}):
+                    grown.add((x, y))
+                    x, y = x + step, y + step
+        out, x0, y0 = sorted(grown), a0, b0
+        for x, y in sorted(grown) + ([(a1, b1)] if grown else []):
+            out += align(x0, x, y0, y)
+            x0, y0 = x + 1, y + 1
+        return out
+    return sorted(align(0, len(a), 0, len(b)))
+
+
+def test_alignment_goes_on_inside_the_gaps(spark):
+    x, p = LONG[0], LONG[1]
+    own = ["some words of the later document only, first", "some words of the later document only, second"]
+    got = kept_texts(lines_frame(spark, [(1, "\n".join([x, p])), (2, "\n".join([x, own[0], p, own[1], p]))]))
+    assert got[2] == "\n".join([own[0], own[1], p])
+    # against brute force, and no shared line is left on both sides of a gap
+    rng = random.Random(8)
+    for _ in range(400):
+        a = [rng.choice("abcdef") for _ in range(rng.randint(0, 12))]
+        b = [rng.choice("abcdefgh") for _ in range(rng.randint(0, 12))]
+        common = [([i for i, v in enumerate(a) if v == k], [j for j, v in enumerate(b) if v == k])
+                  for k in sorted(set(a) & set(b))]
+        want = brute_alignment(a, b)
+        blocks = line_dedup.aligned_blocks(common)
+        assert sorted(j for block in blocks for j in block) == sorted(j for _, j in want), (a, b)
+        x0 = y0 = 0
+        for x, y in [*want, (len(a), len(b))]:
+            assert not set(a[x0:x]) & set(b[y0:y])
+            x0, y0 = x + 1, y + 1
+
+
 def test_lines_of_awkward_rows(spark, messy, messy_texts, empty):
     assert line_dedup.dedup(empty).count() == 0 and line_dedup.strip(empty).columns == empty.columns
     got = line_dedup.dedup(messy).collect()
