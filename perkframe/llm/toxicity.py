@@ -2,9 +2,11 @@
 
 A word is a bag of its character n-grams and itself, hashed into buckets with
 an embedding each.  The bag's mean embedding goes through a linear softmax over
-{clean, toxic}; a document's logit is a smooth maximum over its words, so one
-insult in a long text counts.  Embeddings and softmax weights are trained
-jointly, in numpy, from labels of whole documents.  A misspelling or an unseen
+{clean, toxic}; a document's logit is a mean of the bias and the logits of its
+words with a known subword, weighted sharply towards the largest.  One insult
+in a long text counts, and no number of harmless words adds up to one.
+Embeddings and softmax weights are trained jointly, in numpy, from labels of
+whole documents.  A misspelling or an unseen
 compound shares n-grams with the words that were seen.
 
 The model is fitted on a bounded sample of labelled rows (``SAMPLE``); scores
@@ -36,6 +38,10 @@ MIN_Z, MIN_TEXTS = 5.0, 4
 #: Logit per unit of a bag's mean, label noise that is allowed for, weight
 #: decay and step of the optimiser.
 SCALE, SMOOTH, DECAY, RATE = 8.0, 0.02, 0.01, 0.05
+#: Sharpness of a document's pool: a word's weight grows by exp(SHARP) per unit
+#: of its logit.  Training starts with the first number, so that all words of a
+#: text learn, and ends with the second, which scores.
+SHARP_FIRST, SHARP = 1.0, 2.0
 #: Bytes of text handled at once; their subwords take some 150 times as much.
 SLICE_BYTES = 256 << 10
 
@@ -99,16 +105,19 @@ def subwords(texts: list[bytes], buckets_log2: int = BUCKETS_LOG2):
     return (out >> np.uint64(64 - buckets_log2)).astype(np.int64), sizes, per_doc
 
 
-def _pooled(logits: np.ndarray, per: np.ndarray, bias: float) -> tuple[np.ndarray, np.ndarray]:
-    """Smooth maximum of each text's word logits and the bias (log of the sum
-    of their exponentials), and each word's share in it."""
-    out, has = np.full(len(per), bias), per > 0
-    begin = (np.cumsum(per) - per)[has]
-    if len(begin):
-        top = np.maximum.reduceat(logits, begin)
-        total = np.add.reduceat(np.exp(logits - np.repeat(top, per[has])), begin)
-        out[has] = np.logaddexp(top + np.log(total), bias)
-    return out, np.exp(logits - np.repeat(out, per))
+def _pooled(logits: np.ndarray, owner: np.ndarray, n: int, bias: float, sharp: float = SHARP, times=1):
+    """(logit, log of the summed weights) of each of ``n`` texts: the mean of
+    its words' logits and the bias, each weighted by exp(sharp * logit) and the
+    ``times`` it is there; and each word's weight over that sum.  The logit is
+    never above the largest.  ``owner`` is sorted."""
+    top = np.full(n, bias)
+    if len(owner):
+        begin = np.flatnonzero(np.diff(owner, prepend=-1))
+        top[owner[begin]] = np.maximum(np.maximum.reduceat(logits, begin), bias)
+    weight, of_bias = times * np.exp(sharp * (logits - top[owner])), np.exp(sharp * (bias - top))
+    total = np.bincount(owner, weight, minlength=n) + of_bias
+    out = (np.bincount(owner, weight * logits, minlength=n) + of_bias * bias) / total
+    return out, sharp * top + np.log(total), weight / total[owner]
 
 
 def _slices(texts: list[bytes]) -> list[tuple[int, int]]:
@@ -139,23 +148,27 @@ class Model:
     def __init__(self, logits: np.ndarray, bias: float, buckets_log2: int = BUCKETS_LOG2):
         self.logits, self.bias, self.buckets_log2 = logits, bias, buckets_log2
 
-    def _pool(self, texts: list[bytes]) -> np.ndarray:
+    def _pool(self, texts: list[bytes]) -> tuple[np.ndarray, np.ndarray]:
         buckets, sizes, per = subwords(texts, self.buckets_log2)
-        if not len(sizes):
-            return np.full(len(texts), self.bias)
-        means = np.add.reduceat(self.logits[buckets], np.cumsum(sizes) - sizes) / sizes
-        return _pooled(means + self.bias, per, self.bias)[0]
+        words, owner = np.zeros(0), np.zeros(0, np.int64)
+        if len(sizes):
+            values, begin = self.logits[buckets], np.cumsum(sizes) - sizes
+            known = np.logical_or.reduceat(values != 0, begin)
+            words = (np.add.reduceat(values, begin) / sizes)[known]
+            owner = np.repeat(np.arange(len(texts)), per)[known]
+        return _pooled(words + self.bias, owner, len(texts), self.bias)[:2]
 
     def score(self, texts: list[bytes]) -> np.ndarray:
         """Probability of label 1 for each whole text."""
         out = np.zeros(len(texts))
         for a, b in _slices(texts):
-            if len(texts[a]) > SLICE_BYTES:  # alone in its slice; the pieces' exponentials add up
-                parts = self._pool(_pieces(texts[a]))
-                extra = np.exp(parts - self.bias) - 1
-                out[a] = self.bias + np.log1p(extra.sum())
+            if len(texts[a]) > SLICE_BYTES:  # alone in its slice; the bias counts once over the pieces
+                parts, weight = self._pool(_pieces(texts[a]))
+                share = np.exp(weight - weight.max())
+                again = (len(parts) - 1) * np.exp(SHARP * self.bias - weight.max())
+                out[a] = (share @ parts - again * self.bias) / (share.sum() - again)
             else:
-                out[a:b] = self._pool(texts[a:b])
+                out[a:b] = self._pool(texts[a:b])[0]
         return 1 / (1 + np.exp(-out))
 
 
@@ -191,7 +204,6 @@ def train(texts: list[bytes], labels: np.ndarray, epochs: int = EPOCHS, seed: in
     # only words with such a subword can tell more than the bias
     dense, m = np.cumsum(usable) - 1, int(usable.sum())
     subs, bags, counts, owner, words = [], [], [], [], 0
-    rest = np.zeros(len(y))  # words of a text without one
     for a, b in _slices(texts):
         buckets, sizes, per = subwords(texts[a:b])
         known = usable[buckets]
@@ -202,7 +214,6 @@ def train(texts: list[bytes], labels: np.ndarray, epochs: int = EPOCHS, seed: in
         bags.append(place + words)
         counts.append(sizes[live])
         owner.append(text[live])
-        rest[a:b] = per - np.bincount(text[live] - a, minlength=b - a)
         words += len(live)
     sub, bag, count, owner = map(np.concatenate, (subs, bags, counts, owner))
     rng = np.random.default_rng(seed)
@@ -210,15 +221,13 @@ def train(texts: list[bytes], labels: np.ndarray, epochs: int = EPOCHS, seed: in
     first, second = [np.zeros_like(p) for p in params], [np.zeros_like(p) for p in params]
     target = y * (1 - 2 * SMOOTH) + SMOOTH
     for epoch in range(1, epochs + 1):
+        sharp = SHARP_FIRST + (SHARP - SHARP_FIRST) * min(max(3 * epoch / epochs - 1.5, 0.0), 1.0)
         embedding, weights, bias = params
         w, b = weights[:, 1] - weights[:, 0], bias[1] - bias[0]
         logit = np.bincount(bag, (embedding @ w)[sub], minlength=words) / count * SCALE + b
-        top = np.full(len(y), b)
-        np.maximum.at(top, owner, logit)
-        total = (np.bincount(owner, np.exp(logit - top[owner]), minlength=len(y)) + (rest + 1) * np.exp(b - top))
-        pooled = top + np.log(total)
+        pooled, _, share = _pooled(logit, owner, len(y), b, sharp)
         g_text = (1 / (1 + np.exp(-pooled)) - target) / len(y)
-        g_bag = np.exp(logit - pooled[owner]) * g_text[owner]
+        g_bag = share * (1 + sharp * (logit - pooled[owner])) * g_text[owner]
         g_sub = np.bincount(sub, (g_bag / count * SCALE)[bag], minlength=m)
         g_w, g_b = embedding.T @ g_sub, g_text.sum()
         grads = [np.outer(g_sub, w) + DECAY / len(y) * embedding,

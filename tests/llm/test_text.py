@@ -277,6 +277,19 @@ def test_long_texts_score_as_whole():
         toxicity.SLICE_BYTES = old
 
 
+def test_length_alone_is_not_toxic_and_an_insult_in_a_long_text_counts():
+    rng = random.Random(9)
+    texts, labels = made_up(rng, 400, ["wretched", "horrible", "despicable"], 2)
+    labels[1:40:13] = 1  # a few toxic labels that no word explains
+    model = toxicity.train(texts, labels)
+    clean = words(rng, 20_000).split()
+    clean = [w for w, p in zip(clean, model.score([w.encode() for w in clean])) if p < 0.2]  # harmless one by one
+    clean = " ".join(rng.choice(clean) for _ in range(200_000)).encode()
+    assert model.score([clean])[0] < 0.2
+    half = len(clean) // 2
+    assert model.score([clean[:half] + b" horrible " + clean[half:]])[0] >= 0.7
+
+
 def test_toxicity_of_awkward_rows(spark, messy, messy_texts, empty):
     labels = spark.createDataFrame([(3, 1), (6, 0), (None, 1), (7, None), (8, 5)], "doc_id BIGINT, toxic INT")
     got = toxicity.score_documents(messy, labels).collect()
