@@ -31,10 +31,9 @@ DIM = 8
 N_GRAMS = (3, 4, 5)
 EPOCHS = 300
 THRESHOLD = 0.7
-#: A subword gets an embedding if toxic texts have it more often than clean
-#: ones by this many standard errors, and this many of them at least; the rest
-#: could only learn single texts by heart.
-MIN_Z, MIN_TEXTS = 5.0, 4
+#: A subword of so many toxic texts gets an embedding; the weight decay keeps
+#: those small that few texts speak for.
+MIN_TEXTS = 4
 #: Logit per unit of a bag's mean, label noise that is allowed for, weight
 #: decay and step of the optimiser.
 SCALE, SMOOTH, DECAY, RATE = 8.0, 0.02, 0.01, 0.05
@@ -195,27 +194,44 @@ def train(texts: list[bytes], labels: np.ndarray, epochs: int = EPOCHS, seed: in
         distinct = np.unique(text * n_buckets + buckets)
         label = y[a + distinct // n_buckets].astype(int)
         np.add.at(have, (label, distinct % n_buckets), 1)
-    mean = have.sum(axis=0) / len(y)
-    error = np.sqrt(np.maximum(mean * (1 - mean), 1e-9) * (1 / n1 + 1 / n0))
-    usable = ((have[1] / n1 - have[0] / n0) / error >= MIN_Z) & (have[1] >= MIN_TEXTS)
+    usable = have[1] >= MIN_TEXTS
     if not usable.any():
         return _constant(float(y.mean()))
 
-    # only words with such a subword can tell more than the bias
+    # only words with such a subword can tell more than the bias; a word is
+    # kept once, and once per text with the times that the text has it
     dense, m = np.cumsum(usable) - 1, int(usable.sum())
-    subs, bags, counts, owner, words = [], [], [], [], 0
+    seen = np.zeros(0, np.uint64)  # keys of the words so far, sorted, and their numbers
+    number = np.zeros(0, np.int64)
+    subs, bags, counts, owner, word, times, words = [], [], [], [], [], [], 0
     for a, b in _slices(texts):
         buckets, sizes, per = subwords(texts[a:b])
-        known = usable[buckets]
-        bag = np.repeat(np.arange(len(sizes)), sizes)[known]
-        live, place = np.unique(bag, return_inverse=True)
-        text = np.repeat(np.arange(a, b), per)
-        subs.append(dense[buckets[known]])
-        bags.append(place + words)
-        counts.append(sizes[live])
-        owner.append(text[live])
-        words += len(live)
-    sub, bag, count, owner = map(np.concatenate, (subs, bags, counts, owner))
+        if not len(sizes):
+            continue
+        begin = np.cumsum(sizes) - sizes
+        live = np.logical_or.reduceat(usable[buckets], begin)
+        with np.errstate(over="ignore"):  # words of the same subwords are the same to the model
+            mixed = (buckets.astype(np.uint64) + np.uint64(1)) * np.uint64(0xD6E8FEB86659FD93)
+            mixed = (mixed ^ (mixed >> np.uint64(29))) * _MULT
+            keys = np.add.reduceat(mixed ^ (mixed >> np.uint64(32)), begin)[live]
+        distinct, first, inverse = np.unique(keys, return_index=True, return_inverse=True)
+        at = np.searchsorted(seen, distinct)
+        new = np.ones(len(distinct), bool)
+        new[at < len(seen)] = seen[at[at < len(seen)]] != distinct[at < len(seen)]
+        fresh = np.flatnonzero(live)[first[new]]
+        inside = np.repeat(begin[fresh] - (np.cumsum(sizes[fresh]) - sizes[fresh]), sizes[fresh]) + np.arange(sizes[fresh].sum())
+        known = usable[buckets[inside]]
+        subs.append(dense[buckets[inside]][known].astype(np.int32))
+        bags.append(np.repeat(np.arange(len(fresh)), sizes[fresh])[known].astype(np.int32) + words)
+        counts.append(sizes[fresh])
+        seen, number = np.insert(seen, at[new], distinct[new]), np.insert(number, at[new], np.arange(len(fresh)) + words)
+        words += len(fresh)
+        of = number[np.searchsorted(seen, distinct)][inverse]
+        pair, n = np.unique((np.repeat(np.arange(a, b), per)[live] << 40) + of, return_counts=True)
+        owner.append((pair >> 40).astype(np.int32))
+        word.append((pair & ((1 << 40) - 1)).astype(np.int32))
+        times.append(n.astype(np.int32))
+    sub, bag, count, owner, word, times = map(np.concatenate, (subs, bags, counts, owner, word, times))
     rng = np.random.default_rng(seed)
     params = [rng.normal(0, 0.1, (m, DIM)), rng.normal(0, 0.5, (DIM, 2)), np.array([0.0, -3.0])]
     first, second = [np.zeros_like(p) for p in params], [np.zeros_like(p) for p in params]
@@ -225,9 +241,10 @@ def train(texts: list[bytes], labels: np.ndarray, epochs: int = EPOCHS, seed: in
         embedding, weights, bias = params
         w, b = weights[:, 1] - weights[:, 0], bias[1] - bias[0]
         logit = np.bincount(bag, (embedding @ w)[sub], minlength=words) / count * SCALE + b
-        pooled, _, share = _pooled(logit, owner, len(y), b, sharp)
+        logits = logit[word]
+        pooled, _, share = _pooled(logits, owner, len(y), b, sharp, times)
         g_text = (1 / (1 + np.exp(-pooled)) - target) / len(y)
-        g_bag = share * (1 + sharp * (logit - pooled[owner])) * g_text[owner]
+        g_bag = np.bincount(word, share * (1 + sharp * (logits - pooled[owner])) * g_text[owner], minlength=words)
         g_sub = np.bincount(sub, (g_bag / count * SCALE)[bag], minlength=m)
         g_w, g_b = embedding.T @ g_sub, g_text.sum()
         grads = [np.outer(g_sub, w) + DECAY / len(y) * embedding,

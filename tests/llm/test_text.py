@@ -290,6 +290,23 @@ def test_length_alone_is_not_toxic_and_an_insult_in_a_long_text_counts():
     assert model.score([clean[:half] + b" horrible " + clean[half:]])[0] >= 0.7
 
 
+def test_rare_insults_are_learned_whatever_the_share_of_labels():
+    rng = random.Random(10)
+    rare = ["quizzlefop", "wugmurky", "vombaxil", "hyjinkow"]  # six texts each, too few for five standard errors
+    texts, labels = [], []
+    for k in range(900):
+        ws, toxic = words(rng, 40).split(), k % 3 == 0
+        if toxic:
+            ws.insert(rng.randint(0, 40), rare[k // 3 // 6] if k // 3 < 24 else rng.choice(["wretched", "horrible", "despicable"]))
+        texts.append(" ".join(ws).encode())
+        labels.append(int(toxic))
+    model = toxicity.train(texts, np.array(labels))
+    for w in rare:
+        fresh = [f"{words(rng, 20)} {w} {words(rng, 20)}".encode() for _ in range(20)]
+        assert np.mean(model.score(fresh) >= 0.7) > 0.9, w
+    assert np.mean(model.score([words(rng, 40).encode() for _ in range(200)]) >= 0.7) < 0.05
+
+
 def test_toxicity_of_awkward_rows(spark, messy, messy_texts, empty):
     labels = spark.createDataFrame([(3, 1), (6, 0), (None, 1), (7, None), (8, 5)], "doc_id BIGINT, toxic INT")
     got = toxicity.score_documents(messy, labels).collect()
