@@ -4,9 +4,9 @@ Words become template tokens: numbers, capitalised names and units turn into
 typed placeholders, other words are lower-cased literals.  Windows of
 consecutive template tokens are hashed on both sides and hash-joined, so a
 question whose numbers or names were changed still meets its original.  For
-each met (document, item, alignment) the slots are then checked: an item value
-must stand for the same document value wherever it occurs.  An alignment that
-is consistent and covers enough of the item is a leak.
+each met (document, item, alignment) the slots are then checked: where an item
+value stands for several document values, the windows that changed it drop out.
+An alignment whose other windows cover enough of the item is a leak.
 
 A bitmap of the benchmark's window hashes, of one fixed size whatever the size
 of the benchmark, goes to the tasks that scan documents; it only saves windows
@@ -200,7 +200,7 @@ def leaks(docs: DataFrame, benchmark: DataFrame, window: int = WINDOW, covered:
     """One row per leak: doc_id, item_id, matched_tokens, item_tokens,
     changed_slots (item values whose document value differs).
 
-    Of a pair's consistent alignments the one that covers most counts.  Null
+    Of a pair's alignments the one whose consistent windows cover most counts.  Null
     and empty texts match nothing, nor do items under ``SHORTEST`` tokens; null
     ids are kept as null; rows that repeat a doc_id or item_id are looked at
     together; empty tables give no rows; other columns are not read.
@@ -217,19 +217,23 @@ def leaks(docs: DataFrame, benchmark: DataFrame, window: int = WINDOW, covered:
     pair = ["doc", "item", "diagonal"]
     slots = (met.select(*pair, F.explode(F.arrays_zip("item_slots", "doc_slots")).alias("z"))
              .select(*pair, F.col("z.item_slots").alias("was"), F.col("z.doc_slots").alias("now")))
-    # an item value that stands for two document values breaks the alignment
-    values = slots.groupBy(*pair, "was").agg(F.min("now").alias("lo"), F.max("now").alias("hi"))
-    checked = values.groupBy(*pair).agg(
-        F.max((F.col("lo") != F.col("hi")).cast("int")).alias("broken"),
-        F.sum((F.col("lo") != F.col("was")).cast("int")).alias("changed_slots"))
+    # an item value that stands for two document values breaks the windows that
+    # changed it; windows without such a change stay
+    torn = (slots.groupBy(*pair, "was").agg(F.min("now").alias("lo"), F.max("now").alias("hi"))
+            .filter("lo <> hi").groupBy(*pair).agg(F.collect_set("was").alias("torn")))
+    kept = met.join(torn, pair, "left").filter(F.expr(
+        """torn IS NULL OR NOT exists(arrays_zip(item_slots, doc_slots),
+           z -> z.item_slots <> z.doc_slots AND array_contains(torn, z.item_slots))"""))
+    changed = (kept.select(*pair, F.explode(F.arrays_zip("item_slots", "doc_slots")).alias("z"))
+               .filter("z.item_slots <> z.doc_slots").select(*pair, F.col("z.item_slots").alias("was")).distinct()
+               .groupBy(*pair).agg(F.count("*").alias("changed_slots")))
     # tokens under the union of the windows of one width: distinct starts, and
     # the gaps between neighbours cut at the width
-    tokens = (met.select(*pair, "tokens", F.explode(F.expr(
+    tokens = (kept.select(*pair, "tokens", F.explode(F.expr(
         "sequence(item_pos, item_pos + width - 1)")).alias("p"))
         .groupBy(*pair, "tokens", "p").agg(F.lit(1).alias("one"))
         .groupBy(*pair, "tokens").agg(F.sum("one").alias("matched")))
-    whole = (tokens.join(checked, pair, "left")
-             .filter("coalesce(broken, 0) = 0")
+    whole = (tokens.join(changed, pair, "left")
              .filter(F.col("matched") >= F.least(F.lit(covered), F.col("tokens"))))
     best = whole.groupBy("doc", "item").agg(F.max(F.struct(
         F.col("matched"), (-F.coalesce("changed_slots", F.lit(0))).alias("kept"), F.col("tokens"))).alias("b"))

@@ -199,6 +199,20 @@ def test_slots_must_be_consistent(spark):
     assert [r["doc_id"] for r in decontaminate.leaks(docs, bench).collect()] == [1]
 
 
+def test_one_changed_slot_does_not_hide_what_is_unchanged(spark):
+    rng = random.Random(11)
+    item = f"The {words(rng, 20)} The {words(rng, 20)} The {words(rng, 20)}"
+    changed = item[::-1].replace("ehT", "sihT", 1)[::-1]  # the last The
+    assert changed != item and changed.count("The ") == 2
+    bench = spark.createDataFrame([(1, item)], "item_id BIGINT, text STRING")
+    filler = words(rng, 20)
+    docs = spark.createDataFrame(rows_of([(1, f"{filler} {changed} {filler}"), (2, item), (3, filler)]), SCHEMA)
+    got = {r["doc_id"]: r for r in decontaminate.leaks(docs, bench).collect()}
+    assert set(got) == {1, 2}
+    # all but the windows that hold the changed word
+    assert got[1]["changed_slots"] == 0 and got[1]["matched_tokens"] == 62 and got[2]["matched_tokens"] == 63
+
+
 def test_leaks_match_a_search_for_whole_items(spark):
     sf = "/root/testdata/sf0.001"
     docs, bench = spark.read.parquet(f"{sf}/documents.parquet"), spark.read.parquet(f"{sf}/benchmark.parquet")
