@@ -3,7 +3,9 @@
 Words become template tokens: numbers, capitalised names and units turn into
 typed placeholders, other words are lower-cased literals.  Windows of
 consecutive template tokens are hashed on both sides and hash-joined, so a
-question whose numbers or names were changed still meets its original.  For
+question whose numbers or names were changed still meets its original.  Windows
+of case-folded words, where a capital makes no name, are hashed next to them: a
+copy in other capitals meets by those.  For
 each met (document, item, alignment) the slots are then checked: where an item
 value stands for several document values, the windows that changed it drop out.
 An alignment whose other windows cover enough of the item is a leak.
@@ -73,31 +75,40 @@ def canonical(word: str) -> tuple[int, str] | None:
     return LITERAL, low
 
 
-def _token_code(word: bytes) -> tuple[int, bool]:
-    """64-bit code of a word's template token; 0 drops the word.  The flag
-    tells a slot."""
+def _token_code(word: str) -> int:
+    """64-bit code of a word's template token; 0 drops the word."""
     import xxhash
-    token = canonical(word.decode("utf-8", "replace"))
+    token = canonical(word)
     if token is None:
-        return 0, False
+        return 0
     kind, value = token
     key = b"w" + value.encode() if kind == LITERAL else b"<%d>" % kind
-    return xxhash.xxh64_intdigest(key, 8) | 1, kind != LITERAL
+    return xxhash.xxh64_intdigest(key, 8) | 1
 
 
 class Templates:
-    """Template codes of texts, with a bounded memory of words."""
+    """Template codes of texts, as written and case-folded, with a bounded
+    memory of words."""
 
     def __init__(self):
-        self.codes: dict[bytes, int] = {}
+        self.places: dict[bytes, int] = {}
+        self.codes: list[tuple[int, int]] = []
 
     def of(self, words: list[bytes]) -> np.ndarray:
-        codes = self.codes
-        if len(codes) > REMEMBERED:
-            codes.clear()
-        for w in set(words).difference(codes):
-            codes[w] = _token_code(w)[0]
-        return np.fromiter(map(codes.__getitem__, words), np.uint64, len(words))
+        """Two rows: codes of the words as written, and case-folded."""
+        places = self.places
+        if len(places) > REMEMBERED:
+            places.clear()
+            self.codes.clear()
+        for w in set(words).difference(places):
+            text = w.decode("utf-8", "replace")
+            places[w] = len(self.codes)
+            self.codes.append((_token_code(text), _token_code(text.casefold())))
+        if not words:
+            return np.zeros((2, 0), np.uint64)
+        at = np.fromiter(map(places.__getitem__, words), np.int64, len(words))
+        distinct, inverse = np.unique(at, return_inverse=True)
+        return np.array([self.codes[k] for k in distinct.tolist()], np.uint64).T[:, inverse]
 
 
 def window_hashes(codes: np.ndarray, width: int) -> np.ndarray:
@@ -112,22 +123,32 @@ def window_hashes(codes: np.ndarray, width: int) -> np.ndarray:
         return (h ^ (h >> np.uint64(29))) * np.uint64(0xBF58476D1CE4E5B9)
 
 
-def _slots(words: list[bytes]) -> list[str]:
+def _slots(words: list[bytes], folded: bool) -> list[str]:
     """Slot values of a window, one per token that is not a literal."""
-    tokens = [canonical(w.decode("utf-8", "replace")) for w in words]
+    texts = [w.decode("utf-8", "replace") for w in words]
+    tokens = [canonical(t.casefold() if folded else t) for t in texts]
     return [f"{k}:{v}" for k, v in tokens if k != LITERAL]
 
 
 def _kept_words(text: bytes, templates: Templates) -> tuple[list[bytes], np.ndarray]:
     words = text.split()
     codes = templates.of(words)
-    keep = codes != 0
+    keep = codes.all(axis=0)
     if not keep.all():
         words = [w for w, k in zip(words, keep) if k]
-        codes = codes[keep]
+        codes = codes[:, keep]
     return words, codes
 
 
+def _both_windows(codes: np.ndarray, width: int):
+    """(hashes, places, folded) of all windows as written, then of those
+    case-folded ones that differ."""
+    written, folded = window_hashes(codes[0], width), window_hashes(codes[1], width)
+    yield written, np.arange(len(written)), False
+    other = np.flatnonzero(folded != written)
+    yield folded[other], other, True
+
+
 ITEM_WINDOWS = "item long, tokens int, hash long, width int, item_pos int, item_slots array<string>"
 DOC_WINDOWS = "doc long, hash long, width int, doc_pos int, doc_slots array<string>"
 
@@ -143,8 +164,9 @@ def item_windows(benchmark: DataFrame, window: int = WINDOW) -> DataFrame:
                 if len(words) < SHORTEST:
                     continue
                 width = min(window, len(words))
-                for p, h in enumerate(window_hashes(codes, width).view(np.int64).tolist()):
-                    rows.append((item, len(words), h, width, p, _slots(words[p:p + width])))
+                for hashes, places, folded in _both_windows(codes, width):
+                    for p, h in zip(places.tolist(), hashes.view(np.int64).tolist()):
+                        rows.append((item, len(words), h, width, p, _slots(words[p:p + width], folded)))
             if rows:
                 yield pa.RecordBatch.from_arrays(
                     [pa.array(c, k) for c, k in zip(zip(*rows), [pa.int64(), pa.int32(), pa.int64(), pa.int32(),
@@ -174,19 +196,20 @@ def doc_windows(docs: DataFrame, bitmap, widths: list[int], log2: int = BITMAP_L
         templates = Templates()
 
         def met(codes, width):
-            h = window_hashes(codes, width)
-            at = h >> shift
-            hit = (bits[(at >> np.uint64(6)).astype(np.int64)] >> (at & low)) & np.uint64(1)
-            p = np.flatnonzero(hit)
-            return p.tolist(), h[p].view(np.int64).tolist()
+            for h, places, folded in _both_windows(codes, width):
+                at = h >> shift
+                hit = (bits[(at >> np.uint64(6)).astype(np.int64)] >> (at & low)) & np.uint64(1)
+                k = np.flatnonzero(hit)
+                for p, x in zip(places[k].tolist(), h[k].view(np.int64).tolist()):
+                    yield p, x, folded
 
         for batch in batches:
             rows = []
             for doc, text in zip(batch.column(0).to_pylist(), byte_list(batch.column(1))):
                 words, codes = _kept_words(text, templates)
                 for width in widths:
-                    for p, h in zip(*met(codes, width)):
-                        rows.append((doc, h, width, p, _slots(words[p:p + width])))
+                    for p, h, folded in met(codes, width):
+                        rows.append((doc, h, width, p, _slots(words[p:p + width], folded)))
             if rows:
                 yield pa.RecordBatch.from_arrays(
                     [pa.array(c, k) for c, k in zip(zip(*rows), [pa.int64(), pa.int64(), pa.int32(), pa.int32(),

@@ -213,6 +213,19 @@ def test_one_changed_slot_does_not_hide_what_is_unchanged(spark):
     assert got[1]["changed_slots"] == 0 and got[1]["matched_tokens"] == 62 and got[2]["matched_tokens"] == 63
 
 
+def test_copies_in_other_capitals_are_found(spark):
+    rng = random.Random(12)
+    other = words(rng, 30)
+    item = "A train leaves Boston at 60 km per hour and Alice rides it for 3 hours before she meets Bob in Denver at noon"
+    bench = spark.createDataFrame([(1, item), (2, other)], "item_id BIGINT, text STRING")
+    filler = words(rng, 40)
+    copies = [(k, f"{filler} {change(text)} {filler}") for k, (text, change) in enumerate(
+        (t, c) for t in (item, other) for c in (str.upper, str.lower, str.title))]
+    docs = spark.createDataFrame(rows_of([*copies, (6, filler), (7, filler.upper())]), SCHEMA)
+    got = {(r["doc_id"], r["item_id"]) for r in decontaminate.leaks(docs, bench).collect()}
+    assert got == {(0, 1), (1, 1), (2, 1), (3, 2), (4, 2), (5, 2)}
+
+
 def test_leaks_match_a_search_for_whole_items(spark):
     sf = "/root/testdata/sf0.001"
     docs, bench = spark.read.parquet(f"{sf}/documents.parquet"), spark.read.parquet(f"{sf}/benchmark.parquet")
