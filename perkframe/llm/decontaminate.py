@@ -92,23 +92,22 @@ class Templates:
 
     def __init__(self):
         self.places: dict[bytes, int] = {}
-        self.codes: list[tuple[int, int]] = []
+        self.codes = np.zeros((2, 1024), np.uint64)
 
     def of(self, words: list[bytes]) -> np.ndarray:
         """Two rows: codes of the words as written, and case-folded."""
         places = self.places
         if len(places) > REMEMBERED:
             places.clear()
-            self.codes.clear()
         for w in set(words).difference(places):
-            text = w.decode("utf-8", "replace")
-            places[w] = len(self.codes)
-            self.codes.append((_token_code(text), _token_code(text.casefold())))
-        if not words:
-            return np.zeros((2, 0), np.uint64)
-        at = np.fromiter(map(places.__getitem__, words), np.int64, len(words))
-        distinct, inverse = np.unique(at, return_inverse=True)
-        return np.array([self.codes[k] for k in distinct.tolist()], np.uint64).T[:, inverse]
+            text, k = w.decode("utf-8", "replace"), len(places)
+            if k == self.codes.shape[1]:
+                self.codes = np.concatenate([self.codes, np.zeros_like(self.codes)], axis=1)
+            written = _token_code(text)
+            folded = text.casefold()
+            self.codes[0, k], self.codes[1, k] = written, written if folded == text else _token_code(folded)
+            places[w] = k
+        return self.codes[:, np.fromiter(map(places.__getitem__, words), np.int64, len(words))]
 
 
 def window_hashes(codes: np.ndarray, width: int) -> np.ndarray:
