@@ -21,7 +21,7 @@ def test_query_matches_sql(spark, name):
 def test_entry_lists_every_operator_and_the_pipeline():
     names = set(E.queries())
     assert set(Q.QUERIES) <= names and "pipeline" in names
-    assert {n.split("_")[0] for n in Q.QUERIES} == {f"op{k}" for k in range(1, 11)}
+    assert {n.split("_")[0] for n in Q.QUERIES} == {f"op{k}" for k in range(1, 14)}
 
 
 def test_entry_without_the_subpackage(tmp_path):
