@@ -21,7 +21,7 @@ from pyspark.sql import functions as F  # noqa: E402
 
 from checks.oracle import kmeans_sql, q, rfm_sql, scaler_sql, set_centers  # noqa: E402
 from perkframe import plans, sources  # noqa: E402
-from perkframe.functions import micros_between  # noqa: E402
+from perkframe.functions import materialize, micros_between, parse_list  # noqa: E402
 from perkframe.operators import (cleaning, customers, distributions, filters,  # noqa: E402
                                  offers, segments, timeseries)
 from perkframe.session import ensure_conf, scratch_path  # noqa: E402
@@ -106,6 +106,20 @@ def _q_clean_events(s, d):
         "event_id", "customer_id", "event", "time", "offer_id", "amount", "event_reward")
 
 
+def _q_literal_texts(s, d):
+    """J7 over whole texts: every document's text, written as a Python literal
+    with escapes, bare words and a tuple around it, is read back."""
+    text = F.col("text")
+    for raw, escape in (("\\", "\\\\"), ("'", "\\'"), ("\n", "\\n")):
+        text = F.replace(text, F.lit(raw), F.lit(escape))
+    literal = F.concat(F.lit("(None, '"), text, F.lit("', \"it's (None)\", True, (1, None,), )"))
+    items = parse_list(literal)
+    docs = s.read.parquet(f"{d}/documents.parquet").select("doc_id", items.alias("x"))
+    return docs.select("doc_id", F.size("x").alias("n_items"), F.md5(F.col("x")[1]).alias("text_md5"),
+                       F.col("x")[0].isNull().alias("none_first"),
+                       F.concat_ws("|", F.col("x")[2], F.col("x")[3], F.col("x")[4]).alias("rest"))
+
+
 def _lazy_event_tables(s, d):
     """B1-B11 as one lazy plan from the raw views (no materialisation)."""
     return plans.build_event_tables(fx.raw_events(s, d), fx.raw_customers(s, d),
@@ -165,6 +179,11 @@ def _q_offer_success_rows(s, d):
     return offers.with_offer_success(_O(s, d)).select("event_id", "offer_success")
 
 
+def _q_offer_success_by_receive(s, d):
+    """C7 with the customer's own receives."""
+    return offers.with_offer_success(_O(s, d), anchor="customer").select("event_id", "offer_success")
+
+
 def _q_success_by_offer_type(s, d):
     return offers.success_by_offer_type(_OP(s, d))
 
@@ -196,10 +215,34 @@ def _q_basket_points(s, d):
 
 def _q_segment_slice_filtered(s, d):
     t = _T(s, d)
-    bundle = plans.segment_bundle(
-        _O(s, d), t, OFFER_TYPES, *TXN_AMOUNT,
-        model=segments.SegmentModel.with_scaler_of(segments.rfm(t), FIXED_CENTERS))
-    return filters.segment_slice(bundle["rfm"], 1)
+    with plans.segment_bundle(
+            _O(s, d), t, OFFER_TYPES, *TXN_AMOUNT,
+            model=segments.SegmentModel.with_scaler_of(segments.rfm(t), FIXED_CENTERS)) as bundle:
+        return filters.segment_slice(bundle["rfm"], 1)  # one frame: nothing to keep
+
+
+def _q_segment_bundle_rows(s, d):
+    """P5: all rows of the six frames of one bundle, in one long table.  They
+    are read while the bundle keeps its RFM aggregate, which is then released."""
+    t = _T(s, d)
+    model = segments.SegmentModel.with_scaler_of(segments.rfm(t), FIXED_CENTERS)
+
+    def rows(frame, key, a, b, c, cluster="CAST(NULL AS INT)"):
+        return frame.selectExpr(f"CAST({key} AS BIGINT) AS id", f"CAST({a} AS DOUBLE) AS a",
+                                f"CAST({b} AS DOUBLE) AS b", f"CAST({c} AS DOUBLE) AS c", f"{cluster} AS cluster")
+
+    with plans.segment_bundle(_O(s, d), t, OFFER_TYPES, *TXN_AMOUNT, model=model) as bundle:
+        shown = {"offers": ("event_id", "difficulty", "reward", "duration"),
+                 "transactions": ("event_id", "amount", "age", "NULL"),
+                 "rfm": ("customer_id", "recency", "frequency", "monetary", "cluster"),
+                 "advanced_metrics": ("0", "clv", "churn_rate", "cac"),
+                 "basket": ("customer_id", "transaction_count", "amount", "avg_basket_size", "cluster"),
+                 "segment_stats": ("cluster", "avg_transactions", "avg_basket_size", "NULL", "cluster")}
+        out = None
+        for name in bundle:
+            part = rows(bundle[name], *shown[name]).withColumn("frame", F.lit(name))
+            out = part if out is None else out.unionByName(part)
+        return materialize(out)
 
 
 def _q_unpivot_segment_stats(s, d):
@@ -361,7 +404,7 @@ def _q_renamed_success(s, d):
 
 
 def _q_describe_age(s, d):
-    return distributions.describe_column(_OP(s, d), "age")
+    return distributions.describe_column(_OP(s, d), "age", method="counts")
 
 
 def _q_age_group_counts(s, d):
@@ -410,7 +453,7 @@ def _q_box_redemption(s, d):
 
 
 def _q_density_age(s, d):
-    return distributions.density_estimate(_OP(s, d), "age")
+    return distributions.density_estimate(_OP(s, d), "age", method="counts")
 
 
 def _q_daily_amount(s, d):
@@ -468,6 +511,57 @@ def _q_load_all_roundtrip(s, d):
     return lo.unionByName(lt)
 
 
+def _q_csv_inferred(s, d):
+    """A5 with inferred types: documents written as CSV, whose quoted texts span
+    lines, and read back with a type for every column and no bad record."""
+    path = scratch_path(s, f"csv-inferred-{uuid.uuid4().hex}")
+    docs = s.read.parquet(f"{d}/documents.parquet")
+    sources.write_csv(docs.withColumn("share", F.expr("n_chars / 4"))
+                      .withColumn("day", F.expr("date_add(DATE'2024-01-01', CAST(doc_id % 1000 AS INT))")), path)
+    back = sources.read_csv_inferred(s, path)
+    status = F.when(F.col(sources.BAD).isNull(), F.lit("good")).otherwise(F.lit("bad"))
+    return (back.groupBy(status.alias("status"), F.typeof("doc_id").alias("id_type"), F.typeof("share").alias("share_type"),
+                         F.typeof("day").alias("day_type"), F.typeof("text").alias("text_type"))
+            .agg(F.count(F.lit(1)).alias("n"), F.sum("n_chars").alias("chars"), F.sum("doc_id").alias("ids"),
+                 F.sum("share").alias("shares"), F.sum(F.datediff("day", F.lit("2024-01-01").cast("date"))).alias("days"),
+                 F.sum(F.char_length(F.coalesce("text", F.lit("")))).alias("read_chars")))
+
+
+def _q_table_replaced(s, d):
+    """A table replaced by a derivation of itself, after a write that fails
+    and so leaves it as it was."""
+    path = scratch_path(s, f"replaced-{uuid.uuid4().hex}")
+    name = f"replaced_{uuid.uuid4().hex}"
+    sources.write_table(_T(s, d).select("event_id", "amount"), name, path=path)
+    held = sources.read_table(s, name)
+    try:
+        sources.write_table(held.withColumn("amount", F.expr(
+            "IF(event_id >= 0, CAST(raise_error('stopped') AS DOUBLE), 0D)")), name, path=path)
+    except Exception as stopped:  # noqa: BLE001
+        if "stopped" not in str(stopped):
+            raise
+    sources.write_table(held.withColumn("amount", F.expr("amount * 2")), name, path=path)
+    return sources.read_table(s, name)
+
+
+def _q_forecast_exact(s, d):
+    """F4 by exact maximum likelihood, a series per customer."""
+    daily = timeseries.resample_daily(_T(s, d), key="customer_id")
+    return timeseries.forecast(daily, key="customer_id", method="exact")
+
+
+def _q_fit_segments_parallel(s, d):
+    """M2 with the k-means|| start: centres, and what they cost."""
+    rfm = segments.rfm(_L(s, d))
+    model = segments.fit_segments(rfm, k=4, start="parallel")
+    sizes = (segments.assign_segments(rfm, model).filter("cluster IS NOT NULL")
+             .groupBy("cluster").agg(F.count(F.lit(1)).alias("customers")))
+    rows = [(i, *map(float, c)) for i, c in enumerate(model.centers)]
+    centers = s.createDataFrame(rows, "cluster INT, recency DOUBLE, frequency DOUBLE, monetary DOUBLE")
+    return sizes.join(centers, "cluster").select(
+        "cluster", "customers", *[F.round(c, 4).alias(c) for c in segments.FEATURES])
+
+
 def _q_age_median_cap(s, d):
     return cleaning.replace_above_with_median(fx.raw_customers(s, d), "age", 100).select(
         "customer_id", "age")
@@ -703,6 +797,42 @@ SELECT event_id, age FROM O CROSS JOIN
   (SELECT quantile_cont(age, 0.25) AS q1, quantile_cont(age, 0.75) AS q3 FROM O) f
 WHERE age >= q1 - 1.5 * (q3 - q1) AND age <= q3 + 1.5 * (q3 - q1)"""),
         "offer_success_rows": q("SELECT event_id, offer_success FROM OS"),
+        "offer_success_by_receive": q("""
+, E AS (SELECT *, CASE event WHEN 'offer received' THEN 0 ELSE 1 END AS stage FROM O
+        WHERE event IN ('offer received', 'offer completed') AND customer_id IS NOT NULL
+          AND offer_id IS NOT NULL AND time IS NOT NULL),
+R AS (SELECT *, max(CASE WHEN stage = 0 THEN time END) OVER (PARTITION BY customer_id, offer_id
+                    ORDER BY time, stage, event_id ROWS UNBOUNDED PRECEDING) AS recv FROM E),
+D AS (SELECT *, row_number() OVER (PARTITION BY customer_id, offer_id, recv ORDER BY time, event_id) AS k
+      FROM R WHERE stage = 1 AND recv IS NOT NULL)
+SELECT O.event_id, coalesce(D.k = 1 AND D.time <= D.recv + to_days(D.duration), false) AS offer_success
+FROM O LEFT JOIN D ON O.event_id = D.event_id"""),
+        "literal_texts": q("""
+SELECT doc_id, CASE WHEN text IS NULL THEN -1 ELSE 5 END AS n_items, md5(text) AS text_md5,
+       true AS none_first, 'it''s (None)|true|[1,null]' AS rest FROM documents"""),
+        "csv_inferred": q("""
+SELECT 'good' AS status, 'bigint' AS id_type, 'double' AS share_type, 'date' AS day_type, 'string' AS text_type,
+       count(*) AS n, CAST(sum(n_chars) AS BIGINT) AS chars, CAST(sum(doc_id) AS BIGINT) AS ids,
+       sum(n_chars / 4) AS shares, CAST(sum(doc_id % 1000) AS BIGINT) AS days,
+       CAST(sum(length(coalesce(text, ''))) AS BIGINT) AS read_chars FROM documents"""),
+        "table_replaced": q("SELECT event_id, amount * 2 AS amount FROM T"),
+        "segment_bundle_rows": q(f"""
+, S AS MATERIALIZED (SELECT * FROM {_seg_of(T_F, 'T')}),
+FO AS (SELECT * FROM O WHERE offer_type IN ({_TYPES})),
+B AS (SELECT a.customer_id, a.n, a.amount, a.amount / a.n AS size, S.cluster
+      FROM (SELECT customer_id, count(*) AS n, coalesce(sum(amount), 0.0) AS amount FROM {T_F}
+            WHERE customer_id IS NOT NULL GROUP BY customer_id) a JOIN S ON a.customer_id = S.customer_id)
+SELECT 'offers' AS frame, event_id AS id, CAST(difficulty AS DOUBLE) AS a, CAST(reward AS DOUBLE) AS b,
+       CAST(duration AS DOUBLE) AS c, CAST(NULL AS INTEGER) AS cluster FROM FO
+UNION ALL SELECT 'transactions', event_id, amount, CAST(age AS DOUBLE), NULL, NULL FROM {T_F}
+UNION ALL SELECT 'rfm', customer_id, recency, frequency, monetary, cluster FROM S
+UNION ALL SELECT 'basket', customer_id, n, amount, size, cluster FROM B
+UNION ALL SELECT 'advanced_metrics', 0, avg(monetary * frequency), avg(CAST(recency > 30 AS INTEGER)),
+       CASE WHEN count_if(frequency = 1) > 0
+            THEN (SELECT CAST(coalesce(sum(reward), 0) AS DOUBLE) FROM FO) / count_if(frequency = 1) ELSE 0.0 END,
+       NULL FROM S
+UNION ALL SELECT 'segment_stats', cluster, CAST(round_even(CAST(avg(n) AS DECIMAL(38, 10)), 2) AS DOUBLE),
+       CAST(round_even(CAST(avg(size) AS DECIMAL(38, 10)), 2) AS DOUBLE), NULL, cluster FROM B GROUP BY cluster"""),
         "success_by_offer_type": q(f"SELECT offer_type, {RATE} AS success_rate FROM OP "
                                    f"WHERE offer_type IS NOT NULL GROUP BY offer_type"),
         "prepared_offer_events": q("SELECT event_id, offer_id, offer_success, age FROM OP"),

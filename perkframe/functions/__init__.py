@@ -10,6 +10,8 @@ from pyspark.sql import Column
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from .literals import json_text
+
 EPOCH_TEXT = "1970-01-01 00:00:00"
 
 # Schema of the event ``value`` dictionary (its keys in the data
@@ -63,32 +65,23 @@ def micros_between(start, end) -> Column:
     return F.timestamp_diff("MICROSECOND", col(start).cast(ntz), col(end).cast(ntz))
 
 
-def _json_words(c) -> Column:
-    """Python literal text with its bare ``None``, ``True`` and ``False``, and
-    the brackets of tuples, written as JSON has them.  Quoted text is left
-    alone: what follows an odd number of quotes is inside one."""
-    text = col(c)
-    outside = r"""(?=(?:[^'"]|'(?:[^'\\]|\\.)*'|"(?:[^"\\]|\\.)*")*$)"""
-    for word, json in (("None", "null"), ("True", "true"), ("False", "false")):
-        text = F.regexp_replace(text, rf"\b{word}\b{outside}", json)
-    text = F.regexp_replace(text, rf"\({outside}", "[")
-    return F.regexp_replace(text, rf",?\s*\){outside}", "]")
+#: Options of the JSON reader for what Python's strings may hold as they are.
+_READER = {"allowSingleQuotes": "true", "allowUnquotedControlChars": "true"}
 
 
 def parse_list(c) -> Column:
     """Python list literal text ``"['a', 'b']"`` -> ARRAY<STRING>.
 
-    Spark's JSON reader accepts single-quoted strings, so no ``eval`` is needed.
+    No ``eval``: the literal becomes JSON (:mod:`.literals`), which Spark reads.
     ``None`` elements are NULL and tuples are lists; malformed text gives NULL.
     """
-    return F.from_json(_json_words(c), T.ArrayType(T.StringType()),
-                       {"allowSingleQuotes": "true", "mode": "PERMISSIVE"})
+    return F.from_json(json_text(col(c)), T.ArrayType(T.StringType()), _READER | {"mode": "PERMISSIVE"})
 
 
 def parse_dict(c, schema: str = VALUE_SCHEMA) -> Column:
     """Python dict literal text -> STRUCT (``{'amount': 4.5}``); a ``None``
     value is NULL and leaves the other keys alone."""
-    return F.from_json(_json_words(c), schema, {"allowSingleQuotes": "true"})
+    return F.from_json(json_text(col(c)), schema, _READER)
 
 
 def right_closed_bins(c, edges: list[float], labels: list[str]) -> Column:

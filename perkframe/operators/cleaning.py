@@ -14,10 +14,12 @@ from pyspark.sql import functions as F
 from ..functions import attach_scalars, parse_dict, parse_list
 
 
-def _stats(df: DataFrame, c: str, qs: list[float], approx: bool, name: str) -> DataFrame:
-    """One-row frame ``name`` = exact (scalable) or sketched quantiles of ``c``."""
+def _stats(df: DataFrame, c: str, qs: list[float], approx: bool, name: str, domain: str = "large") -> DataFrame:
+    """One-row frame ``name`` = exact or sketched quantiles of ``c``; a column
+    of a ``small`` domain takes one pass."""
     from .quantiles import percentiles
-    return percentiles(df, c, qs, method="approx" if approx else "bracket", name=name)
+    method = "approx" if approx else "counts" if domain == "small" else "bracket"
+    return percentiles(df, c, qs, method=method, name=name)
 
 
 def _clip(x, lo, hi):
@@ -35,30 +37,42 @@ def fill_missing(df: DataFrame, values: dict | None = None) -> DataFrame:
     return df.fillna(values or {"gender": "Unknown"})
 
 
+def _above_to(c: str, limit: float, median):
+    return F.when(F.col(c) > F.lit(limit), median).otherwise(F.col(c).cast("double"))
+
+
 def replace_above_with_median(df: DataFrame, c: str = "age", limit: float = 100,
-                              approx: bool = False) -> DataFrame:
-    """Values above ``limit`` become the median of the column (non-null values)."""
-    st = _stats(df, c, [0.5], approx, "_median")
-    return (attach_scalars(df, st)
-            .withColumn(c, F.when(F.col(c) > F.lit(limit), F.col("_median")[0])
-                        .otherwise(F.col(c).cast("double")))
-            .drop("_median"))
+                              approx: bool = False, domain: str = "small") -> DataFrame:
+    """Values above ``limit`` become the median of the column (non-null
+    values).  Ages have a small domain; for others pass ``domain="large"``."""
+    st = _stats(df, c, [0.5], approx, "_median", domain)
+    return attach_scalars(df, st).withColumn(c, _above_to(c, limit, F.col("_median")[0])).drop("_median")
+
+
+def _clip_and_fill(c: str, q, k: float):
+    q1, med, q3 = q[0], q[1], q[2]
+    lo, hi = q1 - F.lit(k) * (q3 - q1), q3 + F.lit(k) * (q3 - q1)
+    return F.when(F.col(c).isNull(), med).otherwise(_clip(F.col(c), lo, hi))
 
 
 def iqr_clip_fill_median(df: DataFrame, c: str = "income", k: float = 1.5,
                          approx: bool = False) -> DataFrame:
     """Clip to the 1.5*IQR fences, then fill NULLs with the raw median."""
     st = _stats(df, c, [0.25, 0.5, 0.75], approx, "_q")
-    q1, med, q3 = F.col("_q")[0], F.col("_q")[1], F.col("_q")[2]
-    lo, hi = q1 - F.lit(k) * (q3 - q1), q3 + F.lit(k) * (q3 - q1)
-    return (attach_scalars(df, st)
-            .withColumn(c, F.when(F.col(c).isNull(), med).otherwise(_clip(F.col(c), lo, hi)))
-            .drop("_q"))
+    return attach_scalars(df, st).withColumn(c, _clip_and_fill(c, F.col("_q"), k)).drop("_q")
 
 
 def clean_customers(df: DataFrame, approx: bool = False) -> DataFrame:
-    """Date, gender, age cap, income clip/fill."""
-    out = iqr_clip_fill_median(replace_above_with_median(df, approx=approx), approx=approx)
+    """Date, gender, age cap, income clip/fill.  The statistics of age
+    and income come from one pass over the customers."""
+    if approx:
+        out = iqr_clip_fill_median(replace_above_with_median(df, approx=True), approx=True)
+    else:
+        from .quantiles import percentiles_of
+        st = percentiles_of(df, {"age": [0.5], "income": [0.25, 0.5, 0.75]})
+        out = (attach_scalars(df, st).withColumn("age", _above_to("age", 100, F.col("_q_age")[0]))
+               .withColumn("income", _clip_and_fill("income", F.col("_q_income"), 1.5))
+               .drop("_q_age", "_q_income"))
     return fill_missing(parse_member_date(out))
 
 
@@ -115,9 +129,16 @@ def denormalise(events: DataFrame, customers: DataFrame, offers: DataFrame,
 
 
 def winsorize(df: DataFrame, c: str = "amount", lower: float = 0.01, upper: float = 0.99,
-              approx: bool = False, stats_from: DataFrame | None = None) -> DataFrame:
+              approx: bool = False, stats_from: DataFrame | None = None, one_pass: bool = False) -> DataFrame:
     """Clip ``c`` to its [lower, upper] percentiles (NULL stays NULL);
-    ``stats_from``: the frame to take them from, if not ``df`` itself."""
-    st = _stats(df if stats_from is None else stats_from, c, [lower, upper], approx, "_p")
+    ``stats_from``: the frame to take them from, if not ``df`` itself.
+    ``one_pass``: read that frame once, by value counts (it is derived, so
+    three passes would derive it three times)."""
+    src = df if stats_from is None else stats_from
+    if one_pass and not approx:
+        from .quantiles import percentiles_of
+        st = percentiles_of(src, {c: [lower, upper]}).withColumnRenamed(f"_q_{c}", "_p")
+    else:
+        st = _stats(src, c, [lower, upper], approx, "_p")
     return (attach_scalars(df, st)
             .withColumn(c, _clip(F.col(c), F.col("_p")[0], F.col("_p")[1])).drop("_p"))

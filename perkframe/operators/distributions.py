@@ -29,7 +29,8 @@ def describe_column(df: DataFrame, c: str, method: str = "bracket") -> DataFrame
     """Count, mean, std (n-1), min, quartiles (linear, exact), max of ``c``
     in long form (statistic, value); NULLs skipped.
 
-    ``method`` as in ``operators.quantiles.percentiles``."""
+    ``method`` as in ``operators.quantiles.percentiles``; ``"counts"`` for a
+    column of a small domain, such as ages."""
     x = F.col(c).cast("double")
     moments = [F.count(x).cast("double").alias("count"), F.avg(x).alias("mean"),
                F.stddev_samp(x).alias("std"), F.min(x).alias("min"), F.max(x).alias("max")]
@@ -135,7 +136,7 @@ def box_stats(df: DataFrame, value: str, group: Sequence[str] | str = (), k: flo
 
 def density_estimate(df: DataFrame, c: str, steps: int = 100,
                      bandwidth: float | None = None, checkpoint_input: bool = True,
-                     binned: bool = False) -> DataFrame:
+                     binned: bool = False, method: str = "bracket") -> DataFrame:
     """Gaussian kernel density over [min, max] at ``steps`` points.
 
     Rows are first reduced to (value, weight) pairs, with values rounded to the
@@ -152,7 +153,7 @@ def density_estimate(df: DataFrame, c: str, steps: int = 100,
     from .quantiles import percentiles
     moments = df.agg(F.min(x).alias("lo"), F.max(x).alias("hi"), F.count(x).alias("n"),
                      F.stddev_samp(x).alias("sd"))
-    stats = attach_scalars(moments, percentiles(df, c, [0.25, 0.75])).select(
+    stats = attach_scalars(moments, percentiles(df, c, [0.25, 0.75], method=method)).select(
         F.struct("lo", "hi", "n", "sd", F.col("_q").alias("q")).alias("_st"))
     st = F.col("_st")
     if bandwidth is None:

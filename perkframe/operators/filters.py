@@ -114,12 +114,14 @@ def filter_window_types_segments(df: DataFrame, time_range, offer_types=None,
     return df
 
 
-def iqr_fences(df: DataFrame, c: str = "age", k: float = 1.5) -> DataFrame:
+def iqr_fences(df: DataFrame, c: str = "age", k: float = 1.5, method: str | None = None) -> DataFrame:
     """One row (lo, hi) = Q1 - k*IQR and Q3 + k*IQR of ``c``; quantiles are
-    linear over the rows (NULLs skipped)."""
+    linear over the rows (NULLs skipped).  ``method`` as in
+    ``operators.quantiles.percentiles``; ages are counted, one pass."""
     from .quantiles import percentiles
     q1, q3 = F.col("_q")[0], F.col("_q")[1]
-    return percentiles(df, c, [0.25, 0.75]).select(
+    method = method or ("counts" if c == "age" else "bracket")
+    return percentiles(df, c, [0.25, 0.75], method=method).select(
         (q1 - F.lit(k) * (q3 - q1)).alias("lo"), (q3 + F.lit(k) * (q3 - q1)).alias("hi"))
 
 

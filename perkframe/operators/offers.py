@@ -17,15 +17,30 @@ from ..functions import bool_mean, micros_between
 
 def with_offer_success(df: DataFrame, offer_key: str = "offer_id", time_col: str = "time",
                        event_col: str = "event", duration_col: str = "duration",
-                       completed: str = "offer completed") -> DataFrame:
+                       completed: str = "offer completed", anchor: str = "offer",
+                       customer_key: str = "customer_id", order_col: str = "event_id",
+                       received: str = "offer received") -> DataFrame:
     """C7 + G1: ``offer_success`` = completed within ``duration`` days of the
     offer's first row (over every row of the frame; Q1).
 
+    ``anchor="customer"``: of the customer's own latest receive of the offer
+    instead (see :func:`_first_completions`).
+
     The first time per offer is a group-by (one row per offer, combined
     map-side), joined back; AQE broadcasts it when it is small, so a hot offer
     holding a third of the rows never lands in one task.  A missing time,
     first time or duration makes the flag false, not NULL.
     """
+    if anchor == "customer":
+        wins = _first_completions(df, customer_key, offer_key, time_col, event_col, order_col, completed, received)
+        names = {c: f"_w_{c}" for c in (customer_key, offer_key, order_col)}
+        joined = df.join(wins.withColumnsRenamed(names), [F.col(c) == F.col(n) for c, n in names.items()], "left")
+        ok = (F.col(event_col) == F.lit(completed)) & (
+            F.col(time_col) <= F.timestamp_add("DAY", F.col(duration_col), F.col("_received")))
+        return (joined.withColumn("offer_success", F.coalesce(ok, F.lit(False)))
+                .drop("_received", *names.values()))
+    if anchor != "offer":
+        raise ValueError(f"unknown anchor {anchor!r}")
     first = (df.filter(F.col(offer_key).isNotNull())
              .groupBy(offer_key).agg(F.min(time_col).alias("_first_time")))
     ok = (F.col(event_col) == F.lit(completed)) & (
@@ -35,6 +50,30 @@ def with_offer_success(df: DataFrame, offer_key: str = "offer_id", time_col: str
             .drop("_first_time"))
 
 
+def _first_completions(df: DataFrame, customer_key: str, offer_key: str, time_col: str, event_col: str,
+                       order_col: str, completed: str, received: str) -> DataFrame:
+    """(customer, offer, order, _received): the completion that uses up each
+    receive, and the receive's time.
+
+    A receive counts until the customer's next receive of the same offer, from
+    its own time on; the first completion (by time, then ``order_col``, which is
+    unique) uses it up, so a later one has none.  Windows hold one row per
+    (customer, offer, time): rows are combined before the shuffle, so a hot
+    pair costs its distinct times, not its rows.
+    """
+    pair = [customer_key, offer_key]
+    at = (df.filter(F.col(event_col).isin(completed, received))
+          .dropna(subset=[*pair, time_col]).groupBy(*pair, time_col)
+          .agg(F.max(F.when(F.col(event_col) == received, F.col(time_col))).alias("_here"),
+               F.min(F.when(F.col(event_col) == completed, F.col(order_col))).alias("_done")))
+    so_far = Window.partitionBy(*pair).orderBy(time_col).rowsBetween(Window.unboundedPreceding, 0)
+    since = Window.partitionBy(*pair, "_received")
+    return (at.withColumn("_received", F.max("_here").over(so_far))
+            .withColumn("_first", F.min(F.when(F.col("_done").isNotNull(), F.col(time_col))).over(since))
+            .filter(F.col("_received").isNotNull() & F.col("_done").isNotNull() & (F.col(time_col) == F.col("_first")))
+            .select(*pair, F.col("_done").alias(order_col), "_received"))
+
+
 def attach_segment(offers: DataFrame, rfm: DataFrame, key: str = "customer_id") -> DataFrame:
     """LEFT JOIN to the customer's cluster; unmatched -> -1 (INT)."""
     seg = rfm.select(key, F.col("cluster").alias("_cluster"))

@@ -21,6 +21,15 @@ values of the group's n are inside.  Interpolation is ``v_k + (pos-k) *
 (v_(k+1) - v_k)`` with ``pos = q (n-1)``, ``k = floor(pos)`` (linear, as pandas
 / SQL ``quantile_cont``; Spark's ``percentile`` rounds the same value in a
 different order, so the two agree to the last bit or two).
+
+``method="counts"`` reads its input once: a mergeable count of each (column,
+value), combined before the shuffle, holds everything that exact ranks need.
+It is the way for columns of a small domain (ages, day counts, amounts in
+cents), where the counts are a few rows; several columns share the one pass
+(:func:`percentiles_of`).  With ``slabs`` the counts of any domain are ranked
+without a window over all of them: values are summed up in slabs of a
+logarithmic scale, the slabs that hold a wanted rank are found, and only their
+values are ranked.
 """
 
 from __future__ import annotations
@@ -34,6 +43,9 @@ from ..functions import attach_scalars
 
 DEFAULT_ACCURACY = 100_000
 
+#: Slabs per factor of e of a value (see ``slabs``).
+SLABS = 512
+
 
 def _join(df: DataFrame, stats: DataFrame, keys: list[str]) -> DataFrame:
     # one row per group; AQE broadcasts it when the group count is small
@@ -51,13 +63,86 @@ def bracket_counts(rows: DataFrame, keys: Sequence[str], m: int) -> DataFrame:
             .groupBy(*keys, "_c", "_v").agg(F.count(F.lit(1)).alias("_w")))
 
 
+def value_counts(df: DataFrame, columns: Sequence[str], keys: Sequence[str] = ()) -> DataFrame:
+    """(keys, _c, _v, _w): how often each non-NULL value of the ``_c``-th of
+    ``columns`` occurs; one pass, combined before the shuffle."""
+    rows = ", ".join(f"named_struct('c', {i}, 'v', CAST(`{c}` AS DOUBLE))" for i, c in enumerate(columns))
+    return (df.selectExpr(*[f"`{k}`" for k in keys], f"inline(array({rows})) AS (_c, _v)")
+            .filter("_v IS NOT NULL").groupBy(*keys, "_c", "_v").agg(F.count(F.lit(1)).alias("_w")))
+
+
+def _struct(j: int, q: float) -> str:
+    return f"named_struct('qi', {j}, 'q', {float(q)!r}D)"
+
+
+def _ranked(counts: DataFrame, keys: Sequence[str], targets: Sequence[Sequence[float]], slabs: bool) -> DataFrame:
+    """(keys, _q0, _q1, ...): the ``targets`` quantiles of each counted column;
+    NULL elements for a column without values."""
+    kq = [f"`{k}`" for k in keys]
+    over = f"PARTITION BY {', '.join([*kq, '_c'])}"
+    wanted = "CASE _c " + " ".join(
+        f"WHEN {i} THEN array({', '.join(_struct(j, q) for j, q in enumerate(qs))})"
+        for i, qs in enumerate(targets)) + " END"
+    upto = "ROWS BETWEEN UNBOUNDED PRECEDING AND CURRENT ROW"
+
+    def targeted(rows: DataFrame, order: str) -> DataFrame:
+        """Rows (of ``_w`` values each, in order) that hold rank k or k + 1 of
+        a target, with the number of values before them."""
+        return (rows.selectExpr("*", f"sum(_w) OVER ({over}) AS _n",
+                                f"sum(_w) OVER ({over} ORDER BY {order} {upto}) - _w AS _before")
+                .selectExpr("*", f"explode({wanted}) AS _t")
+                .selectExpr("*", "_t.q * (_n - 1) AS _pos", "CAST(floor(_t.q * (_n - 1)) AS BIGINT) AS _k")
+                .filter("_before + _w > _k AND _before <= _k + 1"))
+
+    if slabs:
+        # in the order of _v; known not to be NULL, so that both uses of the
+        # counts have the same plan and share one exchange
+        slab = f"coalesce(CAST(sign(_v) * floor(log1p(abs(_v)) * {SLABS}) AS BIGINT), 0L) AS _s"
+        cut = counts.selectExpr("*", slab)
+        held = targeted(cut.groupBy(*keys, "_c", "_s").agg(F.sum("_w").alias("_w")), "_s").drop("_w", "_n")
+        inside = cut.join(held, [*keys, "_c", "_s"])
+        rows = (inside.selectExpr("*", f"sum(_w) OVER ({over}, _s, _t ORDER BY _v {upto}) - _w AS _in")
+                .withColumn("_before", F.expr("_before + _in")).filter("_before + _w > _k AND _before <= _k + 1"))
+    else:
+        rows = targeted(counts, "_v")
+    aggs, out = [], []
+    for i, qs in enumerate(targets):
+        values = []
+        for j in range(len(qs)):
+            at, n = f"_c = {i} AND _t.qi = {j}", f"{i}_{j}"
+            aggs += [F.expr(f"max(CASE WHEN {at} AND _before <= _k THEN _v END) AS _a{n}"),
+                     F.expr(f"max(CASE WHEN {at} AND _before + _w > _k + 1 THEN _v END) AS _b{n}"),
+                     F.expr(f"max(CASE WHEN {at} THEN _pos - _k END) AS _f{n}")]
+            values.append(f"CASE WHEN _b{n} IS NULL OR _f{n} = 0 THEN _a{n} "
+                          f"ELSE _a{n} + _f{n} * (_b{n} - _a{n}) END")
+        out.append(f"array({', '.join(values)}) AS _q{i}")
+    return rows.groupBy(*keys).agg(*aggs).selectExpr(*kq, *out)
+
+
+def percentiles_of(df: DataFrame, targets: dict[str, Sequence[float]], keys: Sequence[str] = (),
+                   slabs: bool = True) -> DataFrame:
+    """Per group (or one global row): a column ``_q_<name>`` for each column of
+    ``targets``, an array of its percentiles, all from one pass over ``df``.
+
+    ``slabs=False`` ranks the counts directly: for columns of a small domain.
+    NULLs are skipped; rows with a NULL key are dropped; a column without any
+    value has NULL elements.
+    """
+    base = df
+    for k in keys:
+        base = base.filter(F.col(k).isNotNull())
+    found = _ranked(value_counts(base, list(targets), list(keys)), list(keys), list(targets.values()), slabs)
+    return found.withColumnsRenamed({f"_q{i}": f"_q_{c}" for i, c in enumerate(targets)})
+
+
 def percentiles(df: DataFrame, value: str, qs: Sequence[float], keys: Sequence[str] = (),
                 method: str = "bracket", accuracy: int = DEFAULT_ACCURACY,
                 name: str = "_q", checkpoint_input: bool = False) -> DataFrame:
     """Per group (or one global row): ``name`` = array of the ``qs`` percentiles
     of ``value`` (NULLs skipped; rows with a NULL key are dropped).
 
-    ``method``: ``"bracket"`` exact and scalable (module doc), ``"approx"``
+    ``method``: ``"bracket"`` exact and scalable, ``"counts"`` exact in one pass
+    for columns of a small domain (module doc), ``"approx"``
     ``percentile_approx`` (a sketch).
     ``checkpoint_input``: the bracket method reads its input three times;
     for a derived input (aggregates, joins) checkpoint the (keys, value)
@@ -70,6 +155,8 @@ def percentiles(df: DataFrame, value: str, qs: Sequence[float], keys: Sequence[s
     for k in keys:
         base = base.filter(F.col(k).isNotNull())
     arr = F.array(*[F.lit(q) for q in qs])
+    if method == "counts":
+        return _ranked(value_counts(base, ["_v"], keys), keys, [qs], False).withColumnRenamed("_q0", name)
     if method == "approx":
         return base.groupBy(*keys).agg(F.percentile_approx("_v", arr, accuracy).alias(name))
     if method != "bracket":

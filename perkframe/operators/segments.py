@@ -20,6 +20,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..functions import attach_scalars, clamp_nonneg, days_between, round2
+from ..sources import versions
 
 FEATURES = ("recency", "frequency", "monetary")
 
@@ -133,21 +134,26 @@ class SegmentModel:
                             iterations=self.iterations, converged=self.converged)
 
     def save(self, path: str) -> None:
-        """Two small Parquet tables: scaler and centres."""
+        """Two small Parquet tables, scaler and centres, replaced in one
+        step (``sources.versions``): a reader never has one of each model."""
         if self.scaler is not None:
             return self.resolved().save(path)
         spark = SparkSession.getActiveSession()
         scaler = [(f, float(m), float(s)) for f, m, s in zip(self.features, self.means, self.stds)]
-        spark.createDataFrame(scaler, "feature STRING, mean DOUBLE, std DOUBLE") \
-            .coalesce(1).write.mode("overwrite").parquet(f"{path}/scaler")
         rows = [(j, *map(float, c)) for j, c in enumerate(self.centers)]
         schema = "cluster INT, " + ", ".join(f"{f} DOUBLE" for f in self.features)
-        spark.createDataFrame(rows, schema).coalesce(1).write.mode("overwrite") \
-            .parquet(f"{path}/centers")
+
+        def write(folder: str) -> None:
+            spark.createDataFrame(scaler, "feature STRING, mean DOUBLE, std DOUBLE") \
+                .coalesce(1).write.parquet(f"{folder}/scaler")
+            spark.createDataFrame(rows, schema).coalesce(1).write.parquet(f"{folder}/centers")
+
+        versions.replace(spark, path, write)
 
     @classmethod
     def load(cls, spark: SparkSession, path: str) -> "SegmentModel":
         """Read a saved model (k + 3 rows); missing path -> AnalysisException."""
+        path = versions.current(spark, path) or path
         sc = {r["feature"]: r for r in spark.read.parquet(f"{path}/scaler").collect()}
         cen = spark.read.parquet(f"{path}/centers").orderBy("cluster").collect()
         feats = tuple(c for c in cen[0].asDict() if c != "cluster") if cen else FEATURES
@@ -195,9 +201,88 @@ def start_centers(z: DataFrame, k: int, seed_feature: int = 2) -> list[list[floa
     return [[float(r[f"c{i}"]) for i in range(n)] for r in rows]
 
 
+def _draw(n: int, turn) -> Column:
+    """A number in [0, 1) that a row's z-scores and ``turn`` decide, so that it
+    is the same however the rows are partitioned (which changes the last bits
+    of sums, and so of scores)."""
+    h = F.xxhash64(*[F.round(F.col(f"z{i}"), 7) for i in range(n)], F.lit(turn))
+    return F.shiftrightunsigned(h, 11).cast("double") / F.lit(float(1 << 53))
+
+
+def _nearest_distance(centers: list[list[float]]) -> Column:
+    """Squared distance of a row's z-scores to the nearest of ``centers``."""
+    points = ", ".join("array(" + ", ".join(f"{float(v)!r}D" for v in c) + ")" for c in centers)
+    terms = " + ".join(f"(z{i} - c[{i}]) * (z{i} - c[{i}])" for i in range(len(centers[0])))
+    return F.expr(f"array_min(transform(array({points}), c -> {terms}))")
+
+
+def parallel_start(z: DataFrame, k: int, turns: int = 5, restarts: int = 20) -> list[list[float]]:
+    """k-means|| start: each of ``turns`` passes draws rows with a chance in
+    proportion to their distance from the candidates so far (8 k a pass on
+    average), one more pass counts the rows nearest to each candidate, and the
+    few weighted candidates are clustered on the driver, ``restarts`` times.
+
+    Draws depend on the rows' values and sums are decimals, so the result is
+    the same for any partitioning and order of the rows.
+    """
+    import numpy as np
+    n = len([c for c in z.columns if c.startswith("z")])
+    cols = [f"z{i}" for i in range(n)]
+    first = z.agg(F.min(F.struct(_draw(n, "first").alias("u"), *cols)).alias("p")).first()["p"]
+    if first is None:
+        return []
+    found = [[float(first[c]) for c in cols]]
+    for turn in range(turns):
+        near = z.withColumn("_d", _nearest_distance(found).cast("decimal(38,15)"))
+        cost = float(near.agg(F.sum("_d")).first()[0])
+        if cost <= 0:
+            break  # every row is a candidate already
+        drawn = (near.filter(_draw(n, turn) * F.lit(cost) < F.lit(8.0 * k) * F.col("_d").cast("double"))
+                 .select(*cols).distinct().orderBy(*cols).collect())  # 8 k rows on average, equal rows are one
+        found += [[float(r[c]) for c in cols] for r in drawn]
+    found = sorted({tuple(c) for c in found})
+    points = ", ".join("array(" + ", ".join(f"{v!r}D" for v in c) + ")" for c in found)
+    terms = " + ".join(f"(z{i} - c[{i}]) * (z{i} - c[{i}])" for i in range(n))
+    nearest = F.expr(f"array_min(transform(array({points}), (c, i) -> named_struct('d', {terms}, 'i', i))).i")
+    counts = {r["i"]: r["n"] for r in z.groupBy(nearest.alias("i")).agg(F.count(F.lit(1)).alias("n")).collect()}
+    P = np.array(found)
+    w = np.array([counts.get(i, 0) for i in range(len(P))], dtype="float64")
+    best = None
+    for seed in range(restarts):
+        rng = np.random.default_rng(seed)
+        C = P[[int(rng.choice(len(P), p=w / w.sum()))]]
+        while len(C) < min(k, len(P)):
+            d = ((P[:, None] - C[None]) ** 2).sum(2).min(1) * w
+            if d.sum() <= 0:
+                break
+            C = np.vstack([C, P[int(rng.choice(len(P), p=d / d.sum()))]])
+        for _ in range(50):
+            d = ((P[:, None] - C[None]) ** 2).sum(2)
+            a = d.argmin(1)
+            new = np.array([np.average(P[a == j], axis=0, weights=w[a == j]) if w[a == j].sum() else C[j]
+                            for j in range(len(C))])
+            if np.allclose(new, C, rtol=0, atol=1e-12):
+                break
+            C = new
+        cost = float((((P[:, None] - C[None]) ** 2).sum(2).min(1) * w).sum())
+        if best is None or cost < best[0] - 1e-12:
+            best = cost, C
+    return sorted([float(v) for v in c] for c in best[1])
+
+
+def _farthest(z: DataFrame, centers: list[list[float]], m: int) -> list[list[float]]:
+    """The ``m`` distinct rows farthest from their nearest centre."""
+    n = len(centers[0])
+    cols = [f"z{i}" for i in range(n)]
+    rows = (z.select(*cols, _nearest_distance(centers).alias("_d")).distinct()
+            .orderBy(F.col("_d").desc(), *cols).limit(m).collect())
+    return [[float(r[c]) for c in cols] for r in rows if r["_d"] > 0]
+
+
 def fit_segments(rfm_df: DataFrame, k: int = 4, max_iter: int = 300, tol: float = 1e-4,
-                 features=FEATURES) -> SegmentModel:
-    """M1 + M2: scaler, then Lloyd's k-means from :func:`start_centers`.
+                 features=FEATURES, start: str = "buckets") -> SegmentModel:
+    """M1 + M2: scaler, then Lloyd's k-means from :func:`start_centers`
+    (``start="buckets"``) or :func:`parallel_start` (``start="parallel"``).
 
     The scaled table is persisted (memory, spilling to disk) for the rounds;
     if an executor is lost its blocks are recomputed from the short lineage.
@@ -205,7 +290,8 @@ def fit_segments(rfm_df: DataFrame, k: int = 4, max_iter: int = 300, tol: float
     after the first round whose summed squared centre shift is at most
     ``tol`` times the mean variance of the scaled features, or at
     ``max_iter`` (``converged`` tells which).  A cluster that loses every
-    member keeps its centre.  Rows with a NULL feature are not fitted on; a
+    member keeps its centre, or with ``start="parallel"`` moves to the row
+    farthest from its centre, as in scikit-learn.  Rows with a NULL feature are not fitted on; a
     table without any other row raises ``ValueError``.
     """
     rfm_df = rfm_df.dropna(subset=list(features))
@@ -214,7 +300,9 @@ def fit_segments(rfm_df: DataFrame, k: int = 4, max_iter: int = 300, tol: float
     tol_abs = tol * sum((r / s) ** 2 for r, s in zip(raw, stds)) / len(features)
     z = scaled(rfm_df, means, stds, features).persist(StorageLevel.MEMORY_AND_DISK)
     try:
-        centers = start_centers(z, k)
+        if start not in ("buckets", "parallel"):
+            raise ValueError(f"unknown start {start!r}")
+        centers = start_centers(z, k) if start == "buckets" else parallel_start(z, k)
         n = len(features)
         spark = z.sparkSession
         kk = len(centers)
@@ -238,6 +326,10 @@ def fit_segments(rfm_df: DataFrame, k: int = 4, max_iter: int = 300, tol: float
             new = [list(c) for c in centers]
             for r in rows:
                 new[r["c"]] = [float(r[f"m{i}"]) for i in range(n)]
+            lost = sorted(set(range(kk)) - {r["c"] for r in rows})
+            if lost and start == "parallel":
+                for j, far in zip(lost, _farthest(z, centers, len(lost))):
+                    new[j] = far
             shift = sum((a - b) ** 2 for c0, c1 in zip(centers, new) for a, b in zip(c0, c1))
             centers = new
             if shift <= tol_abs:

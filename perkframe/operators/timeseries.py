@@ -10,7 +10,7 @@ not by the number of rows), higher-order functions for the recursions.
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions import micros_between
@@ -20,7 +20,10 @@ from ..functions import micros_between
 GRID_LO, GRID_STEP, GRID_N = -95, 5, 39  # in hundredths
 DEFAULT_STEPS = 30
 
-_UNITS = {"hour": "1 HOUR", "day": "1 DAY", "week": "7 DAYS"}
+#: Periods: unit and number of it that a period lasts.
+_UNITS = {"hour": ("HOUR", 1), "day": ("DAY", 1), "week": ("DAY", 7)}
+#: Missing periods that one row stands for before they are listed.
+PIECE = 4096
 
 
 def _period(time_col: str, freq: str) -> Column:
@@ -35,21 +38,30 @@ def resample(df: DataFrame, time_col: str = "time", value_col: str = "amount",
              freq: str = "day", key: str | None = None, name: str | None = None) -> DataFrame:
     """Sum of ``value_col`` per period (per key), missing periods 0.
 
-    The spine runs from each key's first to last period
-    (``explode(sequence(...))`` on the per-key bounds), so its size is the
-    time span, independent of the row count.
+    Missing periods are known as gaps, one (start, length) between two present
+    periods of a key.  Gaps are cut into pieces of ``PIECE`` periods, the pieces
+    dealt out evenly, and each lists its own, so no row holds a whole series
+    and a far-off time makes many small rows instead of a large one.
     """
     name = name or value_col
     keys = [key] if key else []
+    unit, length = _UNITS[freq]
     base = df.filter(F.col(time_col).isNotNull())
     if key:
         base = base.filter(F.col(key).isNotNull())
     sums = (base.groupBy(*keys, _period(time_col, freq).alias("period"))
             .agg(F.sum(F.col(value_col).cast("double")).alias("_v")))
-    bounds = sums.groupBy(*keys).agg(F.min("period").alias("_lo"), F.max("period").alias("_hi"))
-    spine = bounds.select(*keys, F.explode(F.sequence(
-        "_lo", "_hi", F.expr(f"INTERVAL {_UNITS[freq]}"))).alias("period"))
-    return (spine.join(sums, keys + ["period"], "left")
+    after = F.lead("period").over(Window.partitionBy(*keys).orderBy("period"))
+    step = length * (3_600_000_000 if unit == "HOUR" else 86_400_000_000)
+    missing = F.expr(f"timestampdiff(MICROSECOND, period, _after) div {step} - 1")
+    gaps = (sums.withColumn("_after", after).select(*keys, "period", missing.alias("_n")).filter("_n > 0"))
+    pieces = (gaps.withColumn("_i", F.explode(F.expr(f"sequence(0L, (_n - 1) div {PIECE})")))
+              .repartition(int(df.sparkSession.conf.get("spark.sql.shuffle.partitions")), *keys, "period", "_i"))
+    listed = F.explode(F.expr(f"sequence(_i * {PIECE} + 1, least(_n, (_i + 1) * {PIECE}))"))
+    zeros = (pieces.withColumn("_k", listed)
+             .select(*keys, F.expr(f"timestampadd({unit}, _k * {length}, period)").alias("period"),
+                     F.lit(0.0).alias("_v")))
+    return (sums.unionByName(zeros)
             .select(*keys, "period", F.coalesce("_v", F.lit(0.0)).cast("double").alias(name)))
 
 
@@ -101,26 +113,96 @@ def _css_kernel():
     return fit
 
 
-def fit_forecast_series(y, steps: int = DEFAULT_STEPS):
-    """CSS fit of one ordered series ``y``: (phi, theta, forecasts) or None
-    for fewer than 3 points."""
+def _exact_kernel():
+    """The exact maximum likelihood fit as a function that stands alone (see
+    :func:`_css_kernel`)."""
+    lo, grid_step, n = GRID_LO, GRID_STEP, GRID_N
+    limit, rounds, close = 0.9999, 400, 1e-7
+
+    def likelihood(W, phi, theta):
+        """Log-likelihood of differences W[S, T] under ARMA(1,1) without mean
+        for candidates phi, theta [S, G], the variance at its best value, and
+        the forecast of the next difference.
+
+        The Kalman filter of this model has a scalar recursion: the next
+        difference is forecast as phi * w + (theta / v) * e, with e the last
+        error and v its variance over that of the shocks, which starts at the
+        stationary one and goes to 1."""
+        import numpy as np
+        v = (1.0 + 2.0 * phi * theta + theta * theta) / (1.0 - phi * phi)
+        ahead, squares, logs = np.zeros_like(phi), np.zeros_like(phi), np.zeros_like(phi)
+        for t in range(W.shape[1]):
+            w = W[:, t:t + 1]
+            e = w - ahead
+            squares = squares + e * e / v
+            logs = logs + np.log(v)
+            ahead = phi * w + theta * e / v
+            v = 1.0 + theta * theta - theta * theta / v
+        T = W.shape[1]
+        with np.errstate(divide="ignore"):
+            return -0.5 * (T * (np.log(2.0 * np.pi * squares / T) + 1.0) + logs), ahead
+
+    def fit(Y, steps: int):
+        """S series of equal length (rows of ``Y``): (phi[S], theta[S],
+        forecasts[S, steps], log-likelihood[S]).
+
+        Starts at the best point of the grid and walks to the best of the
+        neighbours in 16 directions and at three distances, which double after
+        a step and halve when no neighbour is better: never below the grid's
+        best point, and inside |phi|, |theta| < 1."""
+        import numpy as np
+        W = np.diff(Y, axis=1)
+        S = len(Y)
+        g = np.arange(n * n)
+        p, q = (lo + grid_step * (g // n)) / 100.0, (lo + grid_step * (g % n)) / 100.0
+        value, _ = likelihood(W, np.repeat(p[None, :], S, 0), np.repeat(q[None, :], S, 0))
+        flat = ~np.isfinite(value).all(axis=1)  # no variance at all: nothing to fit
+        best = np.argmax(np.where(flat[:, None], 0.0, value), axis=1)
+        phi, theta = np.where(flat, 0.0, p[best]), np.where(flat, 0.0, q[best])
+        held, width = value[np.arange(S), best], np.full(S, grid_step / 200.0)
+        angle = np.arange(16) * (np.pi / 8.0)
+        a, b = (np.concatenate([f(angle) * r for r in (1.0, 0.25, 0.0625)])[None, :] for f in (np.cos, np.sin))
+        for _ in range(rounds):
+            if (width < close).all():
+                break
+            cp = np.clip(phi[:, None] + a * width[:, None], -limit, limit)
+            cq = np.clip(theta[:, None] + b * width[:, None], -limit, limit)
+            value, _ = likelihood(W, cp, cq)
+            k = np.argmax(np.where(flat[:, None], 0.0, value), axis=1)
+            top = value[np.arange(S), k]
+            up = (top > held) & ~flat
+            phi, theta = np.where(up, cp[np.arange(S), k], phi), np.where(up, cq[np.arange(S), k], theta)
+            held, width = np.where(up, top, held), np.where(up, np.minimum(width * 2.0, 0.05), width / 2.0)
+        _, ahead = likelihood(W, phi[:, None], theta[:, None])
+        h = np.arange(1, steps + 1, dtype="float64")
+        geo = (1.0 - np.power(phi[:, None], h)) / (1.0 - phi[:, None])
+        return phi, theta, Y[:, -1:] + ahead * geo, held
+
+    fit.likelihood = likelihood
+    return fit
+
+
+def fit_forecast_series(y, steps: int = DEFAULT_STEPS, method: str = "css"):
+    """Fit of one ordered series ``y``: (phi, theta, forecasts) or None for
+    fewer than 3 points."""
     import numpy as np
     y = np.asarray(y, dtype="float64")
     if len(y) < 3:
         return None
-    p, t, fc = _css_kernel()(y[None, :], steps)
+    p, t, fc = (_css_kernel() if method == "css" else _exact_kernel())(y[None, :], steps)[:3]
     return p[0], t[0], fc[0]
 
 
 def forecast(series: DataFrame, key: str | None = None, period: str = "period",
              value: str = "amount", steps: int = DEFAULT_STEPS,
-             chunk: int = 256) -> DataFrame:
+             chunk: int = 256, method: str = "css") -> DataFrame:
     """ARIMA(1,1,1) without drift, fitted per series by conditional sum
-    of squares over a (phi, theta) grid, then ``steps`` forecasts, one period
+    of squares over a (phi, theta) grid (``method="css"``) or by exact maximum
+    likelihood (``method="exact"``: see :func:`_exact_kernel`), then ``steps`` forecasts, one period
     apart: the step is that between the series' last two periods (an hour, a
     day, a week).
 
-    With w_t = y_t - y_(t-1): e_1 = 0, e_t = w_t - phi*w_(t-1) - theta*e_(t-1),
+    For the grid, with w_t = y_t - y_(t-1): e_1 = 0, e_t = w_t - phi*w_(t-1) - theta*e_(t-1),
     SSE = sum e_t^2; the winner is the least (SSE, phi, theta).  Forecast
     y_(T+h) = y_T + w1 * (1 - phi^h) / (1 - phi), w1 = phi*w_T + theta*e_T.
     Series with fewer than 3 points get no rows.  Output (key, date, forecast).
@@ -141,7 +223,9 @@ def forecast(series: DataFrame, key: str | None = None, period: str = "period",
            .select(*keys, F.col("_s.y").alias("_y"), F.element_at("_s", -1)["p"].alias("_last"),
                    micros_between(F.element_at("_s", -2)["p"], F.element_at("_s", -1)["p"]).alias("_step")))
     cols = keys + ["date", "forecast"]
-    css = _css_kernel()
+    if method not in ("css", "exact"):
+        raise ValueError(f"unknown method {method!r}")
+    kernel = _css_kernel() if method == "css" else _exact_kernel()
 
     def fit(batches):
         import numpy as np
@@ -154,7 +238,7 @@ def forecast(series: DataFrame, key: str | None = None, period: str = "period",
                 for c0 in range(0, idx.size, chunk):
                     sel = idx[c0:c0 + chunk]
                     Y = np.stack([np.asarray(v, dtype="float64") for v in pdf["_y"].iloc[sel]])
-                    _, _, fc = css(Y, steps)
+                    fc = kernel(Y, steps)[2]
                     last = pdf["_last"].iloc[sel].to_numpy().astype("datetime64[us]")
                     step = pdf["_step"].iloc[sel].to_numpy().astype("timedelta64[us]")
                     dates = (last[:, None] + np.arange(1, steps + 1) * step[:, None]).astype("datetime64[ns]")
@@ -168,11 +252,11 @@ def forecast(series: DataFrame, key: str | None = None, period: str = "period",
 
 
 def history_and_forecast(series: DataFrame, key: str | None = None, period: str = "period",
-                         value: str = "amount", steps: int = DEFAULT_STEPS) -> DataFrame:
+                         value: str = "amount", steps: int = DEFAULT_STEPS, method: str = "css") -> DataFrame:
     """actuals and forecast in one (key, date, kind, value) table."""
     keys = [key] if key else []
     hist = series.select(*keys, F.col(period).alias("date"), F.lit("actual").alias("kind"),
                          F.col(value).cast("double").alias("value"))
-    fc = forecast(series, key, period, value, steps).select(
+    fc = forecast(series, key, period, value, steps, method=method).select(
         *keys, "date", F.lit("forecast").alias("kind"), F.col("forecast").alias("value"))
     return hist.unionByName(fc)

@@ -6,6 +6,9 @@ All are lazy but ``materialize_event_tables`` (writes) and ``train_segments``
 
 from __future__ import annotations
 
+from collections.abc import Callable, Mapping
+
+from pyspark import StorageLevel
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -43,7 +46,7 @@ def build_event_tables(events: DataFrame, customers: DataFrame, offers: DataFram
                                       cleaning.clean_offers(offers))
     ages = cleaning.replace_above_with_median(customers, "age").select("customer_id", "age")
     if winsorize_amount:
-        txn_rows = cleaning.winsorize(txn_rows, "amount", stats_from=parsed)
+        txn_rows = cleaning.winsorize(txn_rows, "amount", stats_from=parsed, one_pass=True)
     return (offer_rows.select(*OFFER_COLUMNS),
             txn_rows.join(ages, "customer_id", "left").select(*TRANSACTION_COLUMNS))
 
@@ -110,28 +113,64 @@ def load_and_prepare(offers: DataFrame, transactions: DataFrame, channels: bool
     return o, prepare_transaction_events(transactions)
 
 
+class SegmentBundle(Mapping):
+    """The six frames of :func:`segment_bundle` over one RFM aggregate.
+
+    The segmented customers are marked to be kept (in memory, spilling to disk)
+    when the bundle is made; the first action on any frame fills them and the
+    others read them.  ``release`` (or leaving a ``with`` block) lets them go;
+    frames still work afterwards and compute the aggregate again.  Blocks of a
+    lost executor are recomputed from the transactions.
+    """
+
+    def __init__(self, shared: DataFrame, frames: Callable[[DataFrame], dict[str, DataFrame]]):
+        self._shared = shared.persist(StorageLevel.MEMORY_AND_DISK)
+        self._frames = frames(self._shared)
+
+    def __getitem__(self, name: str) -> DataFrame:
+        return self._frames[name]
+
+    def __iter__(self):
+        return iter(self._frames)
+
+    def __len__(self) -> int:
+        return len(self._frames)
+
+    def release(self) -> None:
+        self._shared.unpersist()
+
+    def __enter__(self) -> "SegmentBundle":
+        return self
+
+    def __exit__(self, *_) -> None:
+        self.release()
+
+
 def segment_bundle(offers: DataFrame, transactions: DataFrame, offer_types: list[str],
-                   min_amount: float, max_amount: float, model, churn_days: int = 30):
+                   min_amount: float, max_amount: float, model, churn_days: int = 30) -> SegmentBundle:
     """P5: C1 || C2 -> M4 -> E9 -> E6 -> E7.
 
-    Returns a dict of lazy DataFrames.  RFM and basket come from one
-    per-customer aggregate of the filtered transactions (the surveyed app
-    computes the segmentation twice); persist it if several are acted on.
+    Returns six lazy frames by name: offers, transactions, rfm,
+    advanced_metrics, basket, segment_stats.  RFM and basket come from one
+    per-customer aggregate of the filtered transactions, computed at first use
+    and kept until the bundle is released (the surveyed app computes the
+    segmentation twice)::
+
+        with segment_bundle(...) as frames:
+            frames["segment_stats"].show()
     """
     from ..operators import customers, filters, segments
     fo = filters.filter_offer_types(offers, offer_types)
     ft = filters.filter_amount(transactions, min_amount, max_amount)
-    seg = segments.segment_customers(ft, model, with_basket=True)
-    rfm = seg.select("customer_id", *segments.FEATURES, "cluster")
-    basket = segments.basket_from_segmented(seg)
-    return {
-        "offers": fo,
-        "transactions": ft,
-        "rfm": rfm,
-        "advanced_metrics": customers.advanced_metrics(rfm, fo, churn_days),
-        "basket": basket,
-        "segment_stats": segments.segment_stats(basket),
-    }
+
+    def frames(seg: DataFrame) -> dict[str, DataFrame]:
+        rfm = seg.select("customer_id", *segments.FEATURES, "cluster")
+        basket = segments.basket_from_segmented(seg)
+        return {"offers": fo, "transactions": ft, "rfm": rfm,
+                "advanced_metrics": customers.advanced_metrics(rfm, fo, churn_days),
+                "basket": basket, "segment_stats": segments.segment_stats(basket)}
+
+    return SegmentBundle(segments.segment_customers(ft, model, with_basket=True), frames)
 
 
 def train_segments(transactions: DataFrame, path: str | None = None, k: int = 4):

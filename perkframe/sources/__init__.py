@@ -11,6 +11,9 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from ..functions import to_timestamp_if_hours
+from . import versions
+from .inference import BAD, read_csv_inferred  # noqa: F401
+from .versions import read_current, replace_parquet  # noqa: F401
 
 OFFER_EVENTS_SCHEMA = (
     "event_id BIGINT, customer_id BIGINT, event STRING, time TIMESTAMP_NTZ, "
@@ -70,20 +73,25 @@ def read_csv(spark: SparkSession, path: str, schema: str) -> DataFrame:
 
 def write_table(df: DataFrame, name: str, partition_by: list[str] | None = None,
                 bucket_by: tuple[int, str] | None = None, path: str | None = None) -> None:
-    """Replace a named table (``to_sql(if_exists='replace')``).
+    """Replace a named table (``to_sql(if_exists='replace')``) in one step:
+    readers have the old rows until the new ones are there whole, and keep them
+    if the write fails (:mod:`.versions`).
 
     ``bucket_by=(n, key)`` writes a bucketed table so later joins or
     group-bys on ``key`` read co-located data without a shuffle; ``path``
-    makes it an external table at that location (else the warehouse).
+    keeps its files in that folder (else in the warehouse).
     """
-    w = df.write.mode("overwrite").format("parquet")
-    if path:
-        w = w.option("path", path)
-    if partition_by:
-        w = w.partitionBy(*partition_by)
-    if bucket_by:
-        w = w.bucketBy(bucket_by[0], bucket_by[1]).sortBy(bucket_by[1])
-    w.saveAsTable(name)
+    def save(version: str) -> None:
+        w = df.write.mode("errorifexists").format("parquet")
+        if path:
+            w = w.option("path", f"{path}/{version.rpartition('.')[2]}")
+        if partition_by:
+            w = w.partitionBy(*partition_by)
+        if bucket_by:
+            w = w.bucketBy(bucket_by[0], bucket_by[1]).sortBy(bucket_by[1])
+        w.saveAsTable(version)
+
+    versions.replace_table(df.sparkSession, name, save, path)
 
 
 def read_table(spark: SparkSession, name: str) -> DataFrame:
