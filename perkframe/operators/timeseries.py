@@ -10,7 +10,7 @@ not by the number of rows), higher-order functions for the recursions.
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..functions import micros_between
@@ -22,7 +22,7 @@ DEFAULT_STEPS = 30
 
 #: Periods: unit and number of it that a period lasts.
 _UNITS = {"hour": ("HOUR", 1), "day": ("DAY", 1), "week": ("DAY", 7)}
-#: Missing periods that one row stands for before they are listed.
+#: Periods that one row stands for before they are listed.
 PIECE = 4096
 
 
@@ -38,10 +38,10 @@ def resample(df: DataFrame, time_col: str = "time", value_col: str = "amount",
              freq: str = "day", key: str | None = None, name: str | None = None) -> DataFrame:
     """Sum of ``value_col`` per period (per key), missing periods 0.
 
-    Missing periods are known as gaps, one (start, length) between two present
-    periods of a key.  Gaps are cut into pieces of ``PIECE`` periods, the pieces
-    dealt out evenly, and each lists its own, so no row holds a whole series
-    and a far-off time makes many small rows instead of a large one.
+    A key's span is known as (first period, number of periods).  It is cut into
+    pieces of ``PIECE`` periods, the pieces are dealt out evenly, and each lists
+    its own, so no row holds a whole series: a far-off time makes many small
+    rows instead of a large one.
     """
     name = name or value_col
     keys = [key] if key else []
@@ -51,17 +51,16 @@ def resample(df: DataFrame, time_col: str = "time", value_col: str = "amount",
         base = base.filter(F.col(key).isNotNull())
     sums = (base.groupBy(*keys, _period(time_col, freq).alias("period"))
             .agg(F.sum(F.col(value_col).cast("double")).alias("_v")))
-    after = F.lead("period").over(Window.partitionBy(*keys).orderBy("period"))
     step = length * (3_600_000_000 if unit == "HOUR" else 86_400_000_000)
-    missing = F.expr(f"timestampdiff(MICROSECOND, period, _after) div {step} - 1")
-    gaps = (sums.withColumn("_after", after).select(*keys, "period", missing.alias("_n")).filter("_n > 0"))
-    pieces = (gaps.withColumn("_i", F.explode(F.expr(f"sequence(0L, (_n - 1) div {PIECE})")))
-              .repartition(int(df.sparkSession.conf.get("spark.sql.shuffle.partitions")), *keys, "period", "_i"))
-    listed = F.explode(F.expr(f"sequence(_i * {PIECE} + 1, least(_n, (_i + 1) * {PIECE}))"))
-    zeros = (pieces.withColumn("_k", listed)
-             .select(*keys, F.expr(f"timestampadd({unit}, _k * {length}, period)").alias("period"),
-                     F.lit(0.0).alias("_v")))
-    return (sums.unionByName(zeros)
+    spans = (sums.groupBy(*keys).agg(F.min("period").alias("_lo"), F.max("period").alias("_hi"))
+             .withColumn("_n", F.expr(f"timestampdiff(MICROSECOND, _lo, _hi) div {step}"))
+             .filter("_n IS NOT NULL"))  # no rows at all
+    pieces = (spans.select(*keys, "_lo", "_n", F.explode(F.expr(f"sequence(0L, _n div {PIECE})")).alias("_i"))
+              .repartition(int(df.sparkSession.conf.get("spark.sql.shuffle.partitions")), *keys, "_i"))
+    listed = F.explode(F.expr(f"sequence(_i * {PIECE}, least(_n, (_i + 1) * {PIECE} - 1))"))
+    spine = (pieces.withColumn("_k", listed)
+             .select(*keys, F.expr(f"timestampadd({unit}, _k * {length}, _lo)").alias("period")))
+    return (spine.join(sums, [*keys, "period"], "left")
             .select(*keys, "period", F.coalesce("_v", F.lit(0.0)).cast("double").alias(name)))
 
 

@@ -9,6 +9,9 @@ SF = "/root/testdata/sf0.001"
 SQL = E.oracle_sql()
 # the library's own queries; those of an optional subpackage have their tests there
 NAMES = sorted(E._QUERIES)
+# optimisers, which SQL cannot express: tested against brute force in
+# test_exact_forecast.py and test_parallel_start.py
+NO_SQL = {"forecast_exact", "fit_segments_parallel"}
 
 
 @pytest.fixture(scope="module")
@@ -17,10 +20,10 @@ def con():
 
 
 def test_every_query_has_an_oracle():
-    assert set(NAMES) <= set(SQL) and set(NAMES) <= set(E.queries())
+    assert set(NAMES) - NO_SQL <= set(SQL) and set(NAMES) <= set(E.queries())
 
 
-@pytest.mark.parametrize("name", NAMES)
+@pytest.mark.parametrize("name", sorted(set(NAMES) - NO_SQL))
 def test_query_matches_oracle(spark, con, name):
     got = E.queries()[name](spark, SF).toPandas()
     want = con.execute(SQL[name]).df()
