@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import uuid
 
+import numpy as np
 import pyarrow as pa
 from pyarrow import fs as pafs
 from pyspark.sql import DataFrame, SparkSession
@@ -81,13 +82,36 @@ def shared_fs(uri: str):
     return pafs.LocalFileSystem(), uri
 
 
+#: log2 of the bits of a bitmap of hashes: 8 MB, whatever it is built of.
+BITMAP_LOG2 = 26
+
+
+def hash_bitmap(hashes: DataFrame, column: str = "hash", log2: int = BITMAP_LOG2) -> bytes:
+    """Bitmap of the top bits of 64-bit hashes: at most 2**(log2 - 6) longs
+    reach the driver, whatever the number of hashes."""
+    top = F.shiftrightunsigned(F.col(column), 64 - log2)
+    longs = (hashes.select(F.shiftright(top, 6).alias("at"),
+                           F.expr(f"shiftleft(1L, cast(shiftrightunsigned({column}, {64 - log2}) & 63 AS int))").alias("bit"))
+             .groupBy("at").agg(F.bit_or("bit").alias("bits")))
+    words = np.zeros(1 << (log2 - 6), np.int64)
+    for row in longs.toLocalIterator():
+        words[row["at"]] = row["bits"]
+    return words.tobytes()
+
+
+def in_bitmap(bits: np.ndarray, hashes: np.ndarray, log2: int = BITMAP_LOG2) -> np.ndarray:
+    """Which hashes (uint64) may be in a bitmap, read as uint64."""
+    at = hashes >> np.uint64(64 - log2)
+    return ((bits[(at >> np.uint64(6)).astype(np.int64)] >> (at & np.uint64(63))) & np.uint64(1)).astype(bool)
+
+
 def byte_list(column: pa.Array) -> list[bytes]:
     """UTF-8 bytes of a string column; null reads as empty."""
     kind = pa.large_binary() if pa.types.is_large_string(column.type) else pa.binary()
     return [x or b"" for x in column.cast(kind).to_pylist()]
 
 
-def connected_components(edges: DataFrame, max_rounds: int = 60) -> DataFrame:
+def connected_components(edges: DataFrame) -> DataFrame:
     """Smallest node reachable from each node of ``edges (u long, v long)``.
 
     Alternating large-star and small-star steps; each is an aggregate with a
@@ -116,14 +140,12 @@ def connected_components(edges: DataFrame, max_rounds: int = 60) -> DataFrame:
     pairs = stage_table(edges.select("u", "v").filter("u <> v").distinct(), "edges")
     seen = mark(pairs)
     if seen["n"]:
-        for _ in range(max_rounds):
+        while True:  # ends: every round that changes an edge gives it a smaller node
             pairs = stage_table(star(star(pairs, True), False), "edges")
             now = mark(pairs)
             if now == seen:
                 break
             seen = now
-        else:
-            raise RuntimeError(f"components did not settle in {max_rounds} rounds")
     # settled: every remaining edge runs from a node to its component's least
     return (pairs.select(F.col("u").alias("node"), F.col("v").alias("component"))
             .unionByName(pairs.select(F.col("v").alias("node"), F.col("v").alias("component")))

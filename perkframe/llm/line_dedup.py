@@ -21,7 +21,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import id_key, small_batches, stage_table
+from .common import free_name, id_key, small_batches, stage_table
 
 #: Times that a line may occur to name a partner by itself; None for any number.
 MAX_DF = None
@@ -221,28 +221,42 @@ def dedup(docs: DataFrame, max_df: int | None = MAX_DF, min_chars: int = MIN_CHA
     gives no rows.  Columns of ``docs`` with the names above are
     replaced.
     """
+    marked, mark = _marked(docs, max_df, min_chars)
+    lines = F.col(f"{mark}.lines")
+    return marked.withColumns({
+        "n_lines": F.col(f"{mark}.n_lines"), "n_removed": _removed(mark),
+        "removed_lines": lines, "partners": F.col(f"{mark}.partners")}).drop(mark)
+
+
+def _removed(mark: str):
+    return F.coalesce(F.size(F.col(f"{mark}.lines")), F.lit(0)).cast("long")
+
+
+def _marked(docs: DataFrame, max_df: int | None, min_chars: int) -> tuple[DataFrame, str]:
+    """``docs`` without the deleted lines, and the name of a column more: a
+    struct (lines, partners, n_lines).  All names are ones that ``docs`` hasn't."""
     small_batches(docs.sparkSession)
     gone = stage_table(deletions(docs, max_df, min_chars), "deletions")
-    gone = gone.select(F.col("id").alias("_id"), F.col("lines").alias("_lines"), F.col("partners").alias("_partners"))
+    key, mark = free_name(docs, "gone_id"), free_name(docs, "mark")
+    gone = gone.select(F.col("id").alias(key), F.struct("lines", "partners", line_mask("lines").alias("mask")).alias(mark))
     # what is deleted grows with the corpus, so it isn't broadcast
-    gone = gone.withColumn("_mask", line_mask("_lines")).hint("merge")
-    joined = docs.join(gone, id_key() == F.col("_id"), "left")
-    kept = F.array_join(F.filter(F.split("text", "\n"), lambda x, i: ~F.coalesce(F.get("_mask", i), F.lit(False))), "\n")
-    n_lines = F.size(F.filter(F.split(F.coalesce("text", F.lit("")), "\n"), lambda x: x.rlike(r"\S")))
-    return (joined.withColumns({
-        "n_lines": n_lines.cast("long"),
-        "n_removed": F.when(F.col("_lines").isNull(), 0).otherwise(F.size("_lines")).cast("long"),
-        "removed_lines": F.col("_lines"), "partners": F.col("_partners"),
-        "text": F.when(F.col("_lines").isNull(), F.col("text")).otherwise(kept)})
-        .drop("_id", "_lines", "_partners", "_mask"))
+    joined = docs.join(gone.hint("merge"), id_key() == F.col(key), "left")
+    kept = F.array_join(F.filter(F.split("text", "\n"),
+                                 lambda x, i: ~F.coalesce(F.get(f"{mark}.mask", i), F.lit(False))), "\n")
+    n_lines = F.size(F.filter(F.split(F.coalesce("text", F.lit("")), "\n"), lambda x: x.rlike(r"\S"))).cast("long")
+    facts = F.struct(F.col(f"{mark}.lines").alias("lines"), F.col(f"{mark}.partners").alias("partners"),
+                     n_lines.alias("n_lines"))
+    return (joined.withColumns({"text": F.when(F.col(f"{mark}.lines").isNull(), F.col("text")).otherwise(kept),
+                                mark: facts}).drop(key)), mark
 
 
 def strip(docs: DataFrame, max_df: int | None = MAX_DF, min_chars: int = MIN_CHARS) -> DataFrame:
     """``docs`` with deleted lines gone; documents that lost their last line
     are dropped, all others keep their columns (n_chars is counted anew)."""
-    out = dedup(docs, max_df, min_chars).filter("n_removed = 0 OR n_removed < n_lines")
+    marked, mark = _marked(docs, max_df, min_chars)
+    removed = _removed(mark)
+    out = marked.filter((removed == 0) | (removed < F.col(f"{mark}.n_lines")))
     if "n_chars" in docs.columns:
-        changed = F.when(F.col("n_removed") > 0, F.char_length("text").cast(docs.schema["n_chars"].dataType))
+        changed = F.when(removed > 0, F.char_length("text").cast(docs.schema["n_chars"].dataType))
         out = out.withColumn("n_chars", changed.otherwise(F.col("n_chars")))
     return out.select(*[F.col(f"`{c}`") for c in docs.columns])
-

@@ -22,7 +22,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import byte_list, connected_components, id_and_text, id_key, id_out, stage_table
+from .common import byte_list, connected_components, free_name, id_and_text, id_key, id_out, stage_table
 
 SHINGLE = 3
 MAX_BITS = 2
@@ -127,6 +127,7 @@ def keep_first(docs: DataFrame, shingle: int = SHINGLE, max_bits: int = MAX_BITS
     """``docs`` without the documents that are not the first of their group;
     all columns stay.  Rows that repeat a doc_id stay or go together."""
     found = near_duplicates(docs, shingle, max_bits)
+    name = free_name(docs, "gone")
     gone = (found.filter(~F.col("doc_id").eqNullSafe(F.col("component_id")))
-            .select(F.col("doc_id").alias("_gone")).distinct().hint("merge"))  # grows with the corpus
-    return docs.join(gone, F.col("doc_id").cast("long").eqNullSafe(F.col("_gone")), "left_anti")
+            .select(F.col("doc_id").alias(name)).distinct().hint("merge"))  # grows with the corpus
+    return docs.join(gone, F.col("doc_id").cast("long").eqNullSafe(F.col(name)), "left_anti")
