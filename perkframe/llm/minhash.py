@@ -11,7 +11,7 @@ as many values.
 Bands are laid over the least values of ``ROWS`` permutations and over the
 greatest values of the same ones, so the values inside a band are independent:
 a pair of similarity s misses all bands with a chance of at most
-``(1 - s**ROWS) ** (2 * PERMUTATIONS / ROWS)``, 1.4e-9 at s = 0.85.
+``(1 - s**ROWS) ** (2 * PERMUTATIONS / ROWS)``, 6e-9 at s = 0.85.
 
 Equal sets are one class from the start.  Classes that share a band are linked
 as far as the components need it:
@@ -37,13 +37,14 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import byte_list, connected_components, free_name, id_key, id_out, small_batches, stage_table
+from .common import (byte_list, connected_components, free_name, hash_bitmap, id_key, id_out, in_bitmap,
+                     small_batches, stage_table)
 
 SHINGLE = 5
 #: A link needs 100 * |intersection| >= PERCENT * |union|.
 PERCENT = 85
-PERMUTATIONS = 256
-ROWS = 8
+PERMUTATIONS = 120
+ROWS = 6
 SKETCH_BITS = 2048
 LEADER_ROUNDS = 2
 #: Members up to which a bucket's pairs are listed by SQL.
@@ -55,7 +56,7 @@ WORD_BYTES = 32 << 20
 _SLICE = 2048
 
 SIGNED = "id long, n_shingles long, digest binary, bands array<long>"
-SETS = "cls long, n long, members binary, sketch binary"
+SETS = "id long, digest binary, n long, members binary, sketch binary"
 
 _U = np.uint64
 
@@ -162,22 +163,25 @@ def signatures(docs: DataFrame, shingle: int = SHINGLE, permutations: int = PERM
 
 def _sets(docs: DataFrame, wanted: DataFrame, shingle: int) -> DataFrame:
     """The full set and the sketch of every class of ``wanted (id, digest,
-    cls)``, from the text of the row it names."""
+    cls)``, from the text of the row it names.  Texts don't travel: a bitmap of
+    wanted ids, of one fixed size, tells tasks which rows to take; the few others
+    that pass it are dropped by the join on the digest."""
+    spark = docs.sparkSession
+    bitmap = spark.sparkContext.broadcast(hash_bitmap(wanted.select(F.xxhash64("id").alias("hash"))))
+
     def run(batches):
+        bits = np.frombuffer(bitmap.value, np.uint64)
         for batch in batches:
-            out = []
-            for text, digest, cls in zip(byte_list(batch.column(0)), batch.column(1).to_pylist(),
-                                         batch.column(2).to_pylist()):
-                s = shingle_set(text, shingle)
-                if xxhash.xxh128_digest(s.tobytes()) == digest:  # rows may repeat an id with another text
-                    out.append((cls, len(s), s.tobytes(), sketch(s)))
+            taken = batch.filter(pa.array(in_bitmap(bits, batch.column(0).to_numpy().view(np.uint64))))
+            sets = [shingle_set(t, shingle) for t in byte_list(taken.column(2))]
             yield pa.RecordBatch.from_arrays(
-                [pa.array(c, k) for c, k in zip(zip(*out) if out else ([],) * 4,
-                                                (pa.int64(), pa.int64(), pa.binary(), pa.binary()))],
-                ["cls", "n", "members", "sketch"])
+                [taken.column(1), pa.array([xxhash.xxh128_digest(s.tobytes()) for s in sets], pa.binary()),
+                 pa.array([len(s) for s in sets], pa.int64()), pa.array([s.tobytes() for s in sets], pa.binary()),
+                 pa.array([sketch(s) for s in sets], pa.binary())], ["id", "digest", "n", "members", "sketch"])
 
-    texts = docs.select(id_key().alias("id"), F.col("text"))
-    found = texts.join(wanted, "id").select("text", "digest", "cls").mapInArrow(run, SETS)
+    texts = docs.select(id_key().alias("id"), F.col("text")).select(F.xxhash64("id").alias("h"), "id", "text")
+    # rows may repeat an id with another text, so the digest has to be the same
+    found = texts.mapInArrow(run, SETS).join(wanted, ["id", "digest"]).select("cls", "n", "members", "sketch")
     return stage_table(found.dropDuplicates(["cls"]), "sets")
 
 
@@ -298,12 +302,13 @@ def near_duplicates(docs: DataFrame, shingle: int = SHINGLE, percent: int = PERC
         full.groupBy("digest").agg(F.min("id").alias("least"), F.count("*").alias("rows"),
                                    F.first("n_shingles").alias("n"), F.first("bands").alias("bands"))
         .withColumn("cls", F.monotonically_increasing_id()), "classes")
-    keyed = classes.select("cls", "n", F.explode("bands").alias("key"))
+    keyed = classes.select("cls", F.explode("bands").alias("key"))
     shared = keyed.groupBy("key").agg(F.count("*").alias("k")).filter("k > 1").select("key")
-    met = stage_table(keyed.join(shared, "key"), "met")
-    wanted = (classes.join(met.select("cls").distinct(), "cls", "left_semi")
-              .select(F.col("least").alias("id"), "digest", "cls"))
-    sets = _sets(docs, stage_table(wanted, "wanted"), shingle)
+    light = classes.select("cls", "n", "digest", F.col("least").alias("id"))
+    met = stage_table(keyed.join(shared, "key"), "shared-bands")
+    wanted = stage_table(light.join(met.select("cls").distinct(), "cls", "left_semi"), "wanted")
+    met = stage_table(met.join(wanted.select("cls", "n"), "cls"), "met")
+    sets = _sets(docs, wanted.select("id", "digest", "cls"), shingle)
     comps = class_links(met, sets, percent)
 
     rooted = (classes.select("cls", "digest", "least", "rows")
