@@ -11,8 +11,9 @@ split and merged exactly.  Tokenizer files are read, never trained.
 from __future__ import annotations
 
 import hashlib
+import heapq
 import json
-from collections import Counter
+from collections import ChainMap, Counter
 from functools import lru_cache
 
 import numpy as np
@@ -72,7 +73,21 @@ class Vocabulary:
             left, right = pair.split(" ") if isinstance(pair, str) else pair
             self.ranks[vocab[left] << 32 | vocab[right]] = rank
             self.merged.append(vocab[left + right])
-        self.words: dict[str, list[int]] = {}
+        keys = np.fromiter(self.ranks, np.int64, len(self.ranks))
+        by = np.argsort(keys)
+        # pairs in order of their key, the rank of each, and what a rank merges to
+        self.pair_keys, self.pair_ranks = keys[by], np.arange(len(keys), dtype=np.int64)[by]
+        self.merged_ids = np.array([*self.merged, 0], np.int64)
+        self.byte_ids = np.array(self.byte_id, np.int64)
+        sizes = np.fromiter(map(len, self.token), np.int64, len(self.token))
+        self.token_ends, self.token_sizes = np.cumsum(sizes), sizes
+        self.token_bytes = np.frombuffer(b"".join(self.token), np.uint8)
+        # a merge's token is only part of merges of higher rank: all equal pairs
+        # of the lowest rank may then be merged at once
+        made = {m: r for r, m in reversed(list(enumerate(self.merged)))}
+        self.ordered = len(made) == len(self.merged) and all(
+            max(made.get(k >> 32, -1), made.get(k & 0xFFFFFFFF, -1)) < r for k, r in self.ranks.items())
+        self.words: dict[str, bytes] = {}
         self.split_special = (regex.compile("(" + "|".join(map(regex.escape, self.special)) + ")")
                               if self.special else None)
         self.special_bytes = [t.encode() for t in self.special]
@@ -95,23 +110,152 @@ class Vocabulary:
                 ranks[i] = rank_of(ids[i] << 32 | ids[i + 1], _NO_RANK)
         return ids
 
+    def pair_rank(self, left: np.ndarray, right: np.ndarray) -> np.ndarray:
+        """Rank of each pair of ids; ``_NO_RANK`` for pairs that don't merge."""
+        key = left << 32 | right
+        at = np.searchsorted(self.pair_keys, key)
+        at[at == len(self.pair_keys)] = 0
+        return np.where(self.pair_keys[at] == key, self.pair_ranks[at], _NO_RANK)
+
+    def merge_all(self, words: list[bytes]) -> list[np.ndarray]:
+        """:meth:`merge` of many words, a merge of each at a time together."""
+        out: list[np.ndarray | None] = [None] * len(words)
+        for k, w in enumerate(words):
+            if len(w) > _LONG:
+                out[k] = self.merge_long(w)
+        short = [k for k in range(len(words)) if out[k] is None]
+        for at in range(0, len(short), _TOGETHER):
+            part = short[at:at + _TOGETHER]
+            for k, ids in zip(part, self._merge_short([words[k] for k in part])):
+                out[k] = ids
+        return out
+
+    def _merge_short(self, words: list[bytes]) -> list[np.ndarray]:
+        sizes = np.fromiter(map(len, words), np.int64, len(words))
+        ids = self.byte_ids[np.frombuffer(b"".join(words), np.uint8)]
+        done: list[np.ndarray] = [np.zeros(0, np.uint32)] * len(words)
+        live = np.flatnonzero(sizes)
+        sizes = sizes[live]
+        ends = np.cumsum(sizes)
+        ranks = np.full(len(ids), _NO_RANK, np.int64)  # of the pair that begins here
+        ranks[:-1] = self.pair_rank(ids[:-1], ids[1:])
+        ranks[ends - 1] = _NO_RANK
+        while len(live):
+            starts = ends - sizes
+            best = np.minimum.reduceat(ranks, starts)
+            go = best != _NO_RANK
+            if not go.all():
+                for k in np.flatnonzero(~go).tolist():
+                    done[live[k]] = ids[starts[k]:ends[k]].astype(np.uint32)
+                keep = np.repeat(go, sizes)
+                ids, ranks, live, sizes, best = ids[keep], ranks[keep], live[go], sizes[go], best[go]
+                if not len(live):
+                    break
+                ends = np.cumsum(sizes)
+                starts = ends - sizes
+            hit = np.flatnonzero(ranks == np.repeat(best, sizes))
+            word = np.searchsorted(ends, hit, "right")
+            first = np.concatenate([[True], word[1:] != word[:-1]])  # the leftmost of each word
+            hit = hit[first]
+            ids[hit] = self.merged_ids[best]
+            keep = np.ones(len(ids), bool)
+            keep[hit + 1] = False
+            ids, ranks = ids[keep], ranks[keep]
+            hit -= np.arange(len(hit))  # one id fewer for every word before
+            sizes = sizes - 1
+            ends = np.cumsum(sizes)
+            starts = ends - sizes
+            last = hit == ends - 1
+            ranks[hit[last]] = _NO_RANK
+            at = hit[~last]
+            ranks[at] = self.pair_rank(ids[at], ids[at + 1])
+            at = hit[hit > starts] - 1
+            ranks[at] = self.pair_rank(ids[at], ids[at + 1])
+        return done
+
+    def merge_long(self, word: bytes) -> np.ndarray:
+        """:meth:`merge` of one long word: ranks in ascending order, all pairs
+        of a rank together, over a linked list.  Pairs of one rank that overlap
+        (a run of one token) are merged from the left."""
+        if not self.ordered:
+            return np.array(self.merge(word), np.uint32)
+        n = len(word)
+        ids = self.byte_ids[np.frombuffer(word, np.uint8)]
+        after, before = np.arange(1, n + 1), np.arange(-1, n - 1)  # n and -1 end the list
+        ids = np.append(ids, -1)
+        alive = np.ones(n + 1, bool)
+        alive[n] = False
+        waiting: dict[int, list[np.ndarray]] = {}
+        heap: list[int] = []
+
+        def wait(at: np.ndarray) -> None:
+            """Pairs that begin at these places join their rank's list."""
+            ranks = self.pair_rank(ids[at], ids[after[at]])
+            known = ranks != _NO_RANK
+            at, ranks = at[known], ranks[known]
+            by = np.argsort(ranks, kind="stable")
+            at, ranks = at[by], ranks[by]
+            cuts = np.flatnonzero(np.diff(ranks)) + 1
+            for part, rank in zip(np.split(at, cuts), ranks[np.concatenate([[0], cuts])].tolist() if len(at) else []):
+                if rank not in waiting:
+                    waiting[rank] = []
+                    heapq.heappush(heap, rank)
+                waiting[rank].append(part)
+
+        wait(np.arange(n - 1))
+        while heap:
+            rank = heapq.heappop(heap)
+            at = np.unique(np.concatenate(waiting.pop(rank)))
+            at = at[alive[at]]
+            at = at[after[at] < n]
+            at = at[self.pair_rank(ids[at], ids[after[at]]) == rank]
+            if not len(at):
+                continue
+            chained = np.concatenate([[False], after[at[:-1]] == at[1:]])
+            place = np.arange(len(at))
+            run = np.maximum.accumulate(np.where(chained, 0, place))
+            at = at[(place - run) % 2 == 0]
+            gone = after[at]
+            ids[at] = self.merged_ids[rank]
+            alive[gone] = False
+            following = after[gone]
+            after[at] = following
+            inner = following < n
+            before[following[inner]] = at[inner]
+            left = before[at]
+            wait(np.unique(np.concatenate([at[inner], left[left >= 0]])))
+        return ids[:n][alive[:n]].astype(np.uint32)
+
+    def encode_many(self, texts: list[str]) -> list[bytes]:
+        """Ids of texts in which no special token is looked for."""
+        split, known = [SPLIT.findall(t) for t in texts], self.words
+        new = list({w for words in split for w in words if w not in known})
+        if new:
+            if len(known) >= REMEMBERED_WORDS:
+                used = {w for words in split for w in words}
+                known = self.words = {w: known[w] for w in used if w in known}
+            if len(new) < _FEW:
+                found = [np.array(self.merge(w.encode()), np.uint32) if len(w) <= WORD_BYTES else self.merge_all([w.encode()])[0]
+                         for w in new]
+            else:
+                found = self.merge_all([w.encode() for w in new])
+            coded = dict(zip(new, [ids.tobytes() for ids in found]))
+            known.update((w, ids) for w, ids in coded.items() if len(w) <= WORD_BYTES)
+            if len(new) > sum(1 for w in coded if w in known):  # long words aren't kept
+                known = ChainMap(known, coded)
+        return [known[words[0]] if len(words) == 1 else b"".join([known[w] for w in words]) for words in split]
+
     def encode_plain(self, text: str) -> list[int]:
         """Ids of a text in which no special token is looked for."""
-        out, words = [], self.words
-        for word in SPLIT.findall(text):
-            ids = words.get(word)
-            if ids is None:
-                ids = self.merge(word.encode())
-                if len(word) <= WORD_BYTES:
-                    if len(words) >= REMEMBERED_WORDS:
-                        words.clear()
-                    words[word] = ids
-            out += ids
-        return out
+        return np.frombuffer(self.encode_many([text])[0], np.uint32).tolist()
 
     def decode(self, ids: np.ndarray) -> bytes:
         """UTF-8 of the ids' text; bytes that are none become U+FFFD."""
-        raw = b"".join(map(self.token.__getitem__, ids.tolist()))
+        sizes = self.token_sizes[ids]
+        ends = np.cumsum(sizes)
+        # the bytes of every token, one token after the other
+        at = np.arange(ends[-1] if len(ends) else 0) + np.repeat(self.token_ends[ids] - ends, sizes)
+        raw = self.token_bytes[at].tobytes()
         try:
             raw.decode()
             return raw
@@ -120,6 +264,11 @@ class Vocabulary:
 
 
 _NO_RANK = 1 << 62
+#: Words beyond this many bytes are merged by rank, others together, at most
+#: so many at a time.
+_LONG, _TOGETHER = 400, 20_000
+#: Words below this number are merged one by one.
+_FEW = 8
 
 
 @lru_cache(maxsize=4)
@@ -280,16 +429,16 @@ class Encoder:
             self.known.update(kept)
         new = [p for p in pieces if p not in self.known]
         places = self.lexicon.find(new).tolist() if self.lexicon else [-1] * len(new)
+        unseen = []
         for piece, place in zip(new, places):
             if place >= 0:
                 self.known[piece] = self.lexicon.ids_of(place).tobytes()
+            elif depends_on_neighbours(piece):
+                self.known[piece] = None
             else:
-                self.known[piece] = self._merged(piece)
-
-    def _merged(self, piece: bytes) -> bytes | None:
-        if depends_on_neighbours(piece):
-            return None
-        return np.array(self.vocab.encode_plain(" " + piece.decode()), np.uint32).tobytes()
+                unseen.append(piece)
+        coded = self.vocab.encode_many([" " + p.decode() for p in unseen])
+        self.known.update(zip(unseen, coded))
 
     def encode_all(self, texts: list[bytes]) -> list[bytes]:
         """Ids of each text as little-endian unsigned 32-bit integers."""
@@ -312,18 +461,17 @@ class Encoder:
         if not any(s in text for s in self.vocab.special_bytes) and not depends_on_neighbours(pieces[0]):
             try:
                 rest = b"".join(map(known.__getitem__, pieces[1:]))
-                first = self.vocab.encode_plain(pieces[0].decode())
-                return np.array(first, np.uint32).tobytes() + rest
+                return self.vocab.encode_many([pieces[0].decode()])[0] + rest
             except TypeError:  # a piece that depends on its neighbours
                 pass
         return self._encode_whole(text.decode())
 
     def _encode_whole(self, text: str) -> bytes:
-        vocab, ids = self.vocab, []
+        vocab = self.vocab
         parts = vocab.split_special.split(text) if vocab.split_special else [text]
-        for k, part in enumerate(parts):
-            ids += [vocab.special[part]] if k % 2 else vocab.encode_plain(part)
-        return np.array(ids, np.uint32).tobytes()
+        coded = vocab.encode_many(parts[::2])
+        named = [np.array([vocab.special[p]], np.uint32).tobytes() for p in parts[1::2]]
+        return b"".join(x for pair in zip(coded, [*named, b""]) for x in pair)
 
 
 def depends_on_neighbours(piece: bytes) -> bool:
@@ -379,7 +527,8 @@ def build_lexicon(docs: DataFrame, vocab_path: str, size: int = LEXICON_WORDS) -
     vocab = vocabulary(vocab_path)
     words = sorted(w for (w,) in top.select("word").toLocalIterator() if not depends_on_neighbours(bytes(w)))
     words = [bytes(w) for w in words]
-    packed = Lexicon.pack(words, [vocab.encode_plain(" " + w.decode()) for w in words])
+    packed = Lexicon.pack(words, [np.frombuffer(x, np.uint32).tolist()
+                                  for x in vocab.encode_many([" " + w.decode() for w in words])])
     folder = new_folder(docs.sparkSession, "lexicon")
     fs, root = shared_fs(folder)
     fs.create_dir(root, recursive=True)
