@@ -6,9 +6,14 @@ consecutive template tokens are hashed on both sides and hash-joined, so a
 question whose numbers or names were changed still meets its original.  Windows
 of case-folded words, where a capital makes no name, are hashed next to them: a
 copy in other capitals meets by those.  For
-each met (document, item, alignment) the slots are then checked: where an item
-value stands for several document values, the windows that changed it drop out.
-An alignment whose other windows cover enough of the item is a leak.
+each met (document, item, alignment) the slots are then checked: values have to
+stand for one another one to one, and windows that changed a value otherwise
+drop out.  An alignment whose other windows cover enough of the item is a leak,
+if what they cover holds enough different tokens that are the same in both.
+
+A window with fewer than ``LITERALS`` literals says next to nothing by its
+template: a table of numbers or a list of names would meet every other.  Such a
+window is hashed by its values instead, so it only meets its own copies.
 
 A bitmap of the benchmark's window hashes, of one fixed size whatever the size
 of the benchmark, goes to the tasks that scan documents; it only saves windows
@@ -21,22 +26,27 @@ import re
 
 import numpy as np
 import pyarrow as pa
+import xxhash
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import byte_list, id_key, id_out, stage_table
+from .common import byte_list, free_name, hash_bitmap, id_key, id_out, in_bitmap, stage_table
 
 WINDOW = 8
 #: Tokens that consistent windows of one alignment must cover (or the whole
 #: item, where it is shorter).
 COVERED = 12
-#: Shortest item that can be told from chance.
+#: Shortest item that is looked for inside documents; a shorter one leaks only
+#: as a whole document (any text of ours would hold the word "yes").
 SHORTEST = 4
-#: log2 of the bits of the bitmap: 8 MB, whatever the size of the benchmark.
-BITMAP_LOG2 = 26
-#: Words whose tokens a task remembers, and bytes of text it handles at once.
+#: Literals that a window needs to meet others by its template.
+LITERALS = 2
+#: Different tokens that a leak has to hold unchanged (half of a shorter item).
+ANCHORS = 4
+#: Words whose tokens a task remembers, and bytes of text it hashes at once
+#: (more only in one longer document).
 REMEMBERED = 300_000
-SLICE_BYTES = 4 << 20
+SLICE_BYTES = 1 << 20
 
 # Unit words that become the placeholder for units.
 UNITS = frozenset("""mm cm m km inch inches ft foot feet yard yards mile miles
@@ -75,145 +85,173 @@ def canonical(word: str) -> tuple[int, str] | None:
     return LITERAL, low
 
 
-def _token_code(word: str) -> int:
-    """64-bit code of a word's template token; 0 drops the word."""
-    import xxhash
-    token = canonical(word)
-    if token is None:
-        return 0
-    kind, value = token
+def _code(kind: int, value: str) -> int:
+    """64-bit code of a template token."""
     key = b"w" + value.encode() if kind == LITERAL else b"<%d>" % kind
     return xxhash.xxh64_intdigest(key, 8) | 1
 
 
-class Templates:
-    """Template codes of texts, as written and case-folded, with a bounded
-    memory of words."""
+class Tokens:
+    """Tokens of words, with a bounded memory of words.
+
+    ``rows`` of a list of words: template codes as written and case-folded, the
+    code of the case-folded value, and whether the two forms are literals.  A
+    word of punctuation only has the code 0.
+    """
 
     def __init__(self):
         self.places: dict[bytes, int] = {}
-        self.codes = np.zeros((2, 1024), np.uint64)
+        self.codes = np.zeros((5, 1024), np.uint64)
 
     def of(self, words: list[bytes]) -> np.ndarray:
-        """Two rows: codes of the words as written, and case-folded."""
         places = self.places
         if len(places) > REMEMBERED:
             places.clear()
         for w in set(words).difference(places):
-            text, k = w.decode("utf-8", "replace"), len(places)
+            k = len(places)
             if k == self.codes.shape[1]:
                 self.codes = np.concatenate([self.codes, np.zeros_like(self.codes)], axis=1)
-            written = _token_code(text)
-            folded = text.casefold()
-            self.codes[0, k], self.codes[1, k] = written, written if folded == text else _token_code(folded)
+            text = w.decode("utf-8", "replace")
+            written = canonical(text)
+            if written is None:
+                self.codes[:, k] = 0
+            else:
+                folded = canonical(text.casefold()) or written
+                value = xxhash.xxh64_intdigest(b"v%d:%s" % (folded[0], folded[1].encode()), 9) | 1
+                self.codes[:, k] = (_code(*written), _code(*folded), value,
+                                    written[0] == LITERAL, folded[0] == LITERAL)
             places[w] = k
         return self.codes[:, np.fromiter(map(places.__getitem__, words), np.int64, len(words))]
 
 
-def window_hashes(codes: np.ndarray, width: int) -> np.ndarray:
-    """Hashes of all runs of ``width`` codes."""
-    n = len(codes) - width + 1
-    if n <= 0:
-        return np.zeros(0, np.uint64)
-    with np.errstate(over="ignore"):
-        h = np.full(n, np.uint64(width))
-        for k in range(width):
-            h = (h ^ (h >> np.uint64(31))) * _MULT + codes[k:k + n]
-        return (h ^ (h >> np.uint64(29))) * np.uint64(0xBF58476D1CE4E5B9)
-
+class Texts:
+    """The words of several texts that have a token, one text after another."""
+
+    def __init__(self, texts: list[bytes], tokens: Tokens):
+        split = [t.split() for t in texts]
+        words = [w for ws in split for w in ws]
+        codes = tokens.of(words)
+        text = np.repeat(np.arange(len(texts)), np.fromiter(map(len, split), np.int64, len(split)))
+        keep = codes[0] != 0
+        if not keep.all():
+            words = [w for w, k in zip(words, keep.tolist()) if k]
+            codes, text = codes[:, keep], text[keep]
+        self.words, self.codes, self.text = words, codes, text
+        self.sizes = np.bincount(text, minlength=len(texts))
+        self.ends = np.cumsum(self.sizes)
+        self.left = self.ends[text] - np.arange(len(text))  # tokens from here to the text's end
+
+    def windows(self, widths: list[int]):
+        """(width, places, hashes, folded) of the windows of each width, as
+        written, then of those case-folded ones that differ.  A width -n stands
+        for whole texts of n tokens, which are hashed by their values."""
+        codes, n = self.codes, len(self.text)
+        if not n:
+            return
+        longest = max(widths)
+        pad = np.zeros(max(longest, 1), np.uint64)
+        rows = [np.concatenate([r, pad]) for r in codes[:3]]
+        literals = [np.cumsum(np.concatenate([[np.uint64(0)], r])).astype(np.int64) for r in codes[3:]]
+        for width in (w for w in widths if w < 0):
+            places = np.flatnonzero((self.left == -width) & (self.sizes[self.text] == -width))
+            yield width, places, self._values(rows[2], places, -width), False
+        with np.errstate(over="ignore"):
+            state = [np.full(n, _SEED), np.full(n, _SEED)]
+            for k in range(max(longest, 0)):
+                state = [(h ^ (h >> np.uint64(31))) * _MULT + r[k:k + n] for h, r in zip(state, rows)]
+                if k + 1 not in widths:
+                    continue
+                width, written = k + 1, None
+                places = np.flatnonzero(self.left >= width)
+                for h, seen, folded in zip(state, literals, (False, True)):
+                    h = (h[places] ^ (h[places] >> np.uint64(29))) * _LAST
+                    few = np.flatnonzero(seen[places + width] - seen[places] < min(LITERALS, width))
+                    if len(few):
+                        h[few] = self._values(rows[2], places[few], width)
+                    if not folded:
+                        written = h
+                        yield width, places, h, False
+                    else:
+                        other = np.flatnonzero(h != written)
+                        yield width, places[other], h[other], True
 
-def _slots(words: list[bytes], folded: bool) -> list[str]:
-    """Slot values of a window, one per token that is not a literal."""
-    texts = [w.decode("utf-8", "replace") for w in words]
-    tokens = [canonical(t.casefold() if folded else t) for t in texts]
-    return [f"{k}:{v}" for k, v in tokens if k != LITERAL]
+    @staticmethod
+    def _values(row: np.ndarray, places: np.ndarray, width: int) -> np.ndarray:
+        with np.errstate(over="ignore"):
+            h = np.full(len(places), _SEED ^ _LAST)
+            for k in range(width):
+                h = (h ^ (h >> np.uint64(31))) * _MULT + row[places + k]
+            return (h ^ (h >> np.uint64(29))) * _LAST
 
+    def values(self, place: int, width: int, folded: bool) -> list[str]:
+        """Kind and value of each token of a window."""
+        texts = [w.decode("utf-8", "replace") for w in self.words[place:place + abs(width)]]
+        return ["%d:%s" % canonical(t.casefold() if folded else t) for t in texts]
 
-def _kept_words(text: bytes, templates: Templates) -> tuple[list[bytes], np.ndarray]:
-    words = text.split()
-    codes = templates.of(words)
-    keep = codes.all(axis=0)
-    if not keep.all():
-        words = [w for w, k in zip(words, keep) if k]
-        codes = codes[:, keep]
-    return words, codes
 
+_SEED, _LAST = np.uint64(0xD1B54A32D192ED03), np.uint64(0xBF58476D1CE4E5B9)
 
-def _both_windows(codes: np.ndarray, width: int):
-    """(hashes, places, folded) of all windows as written, then of those
-    case-folded ones that differ."""
-    written, folded = window_hashes(codes[0], width), window_hashes(codes[1], width)
-    yield written, np.arange(len(written)), False
-    other = np.flatnonzero(folded != written)
-    yield folded[other], other, True
+ITEM_WINDOWS = "item long, tokens int, hash long, width int, item_pos int, item_values array<string>"
+DOC_WINDOWS = "doc long, hash long, width int, doc_pos int, doc_values array<string>"
 
 
-ITEM_WINDOWS = "item long, tokens int, hash long, width int, item_pos int, item_slots array<string>"
-DOC_WINDOWS = "doc long, hash long, width int, doc_pos int, doc_slots array<string>"
+def _item_width(tokens: int, window: int) -> int:
+    return min(window, tokens) if tokens >= SHORTEST else -tokens
 
 
 def item_windows(benchmark: DataFrame, window: int = WINDOW) -> DataFrame:
     """Every window of every item; a shorter item is one window."""
     def run(batches):
-        templates = Templates()
+        tokens = Tokens()
         for batch in batches:
             rows = []
             for item, text in zip(batch.column(0).to_pylist(), byte_list(batch.column(1))):
-                words, codes = _kept_words(text, templates)
-                if len(words) < SHORTEST:
+                one = Texts([text], tokens)
+                n = len(one.words)
+                if not n:
                     continue
-                width = min(window, len(words))
-                for hashes, places, folded in _both_windows(codes, width):
+                for width, places, hashes, folded in one.windows([_item_width(n, window)]):
                     for p, h in zip(places.tolist(), hashes.view(np.int64).tolist()):
-                        rows.append((item, len(words), h, width, p, _slots(words[p:p + width], folded)))
+                        rows.append((item, n, h, width, p, one.values(p, width, folded)))
             if rows:
                 yield pa.RecordBatch.from_arrays(
                     [pa.array(c, k) for c, k in zip(zip(*rows), [pa.int64(), pa.int32(), pa.int64(), pa.int32(),
                                                                  pa.int32(), pa.list_(pa.string())])],
-                    ["item", "tokens", "hash", "width", "item_pos", "item_slots"])
+                    ["item", "tokens", "hash", "width", "item_pos", "item_values"])
 
     return (benchmark.select(id_key("item_id").alias("item"), F.col("text")).mapInArrow(run, ITEM_WINDOWS))
 
 
-def hash_bitmap(windows: DataFrame, log2: int = BITMAP_LOG2) -> bytes:
-    """Bitmap of the hashes' top bits: at most 2**(log2 - 6) longs reach the
-    driver, whatever the number of windows."""
-    top = F.shiftrightunsigned(F.col("hash"), 64 - log2)
-    longs = (windows.select(F.shiftright(top, 6).alias("at"), F.expr(f"shiftleft(1L, cast(shiftrightunsigned(hash, {64 - log2}) & 63 AS int))").alias("bit"))
-             .groupBy("at").agg(F.bit_or("bit").alias("bits")))
-    words = np.zeros(1 << (log2 - 6), np.int64)
-    for row in longs.toLocalIterator():
-        words[row["at"]] = row["bits"]
-    return words.tobytes()
-
-
-def doc_windows(docs: DataFrame, bitmap, widths: list[int], log2: int = BITMAP_LOG2) -> DataFrame:
+def doc_windows(docs: DataFrame, bitmap, widths: list[int]) -> DataFrame:
     """Windows of whole documents whose hash may be in the benchmark."""
-    def run(batches):
-        bits = np.frombuffer(bitmap.value, np.uint64)
-        shift, low = np.uint64(64 - log2), np.uint64(63)
-        templates = Templates()
-
-        def met(codes, width):
-            for h, places, folded in _both_windows(codes, width):
-                at = h >> shift
-                hit = (bits[(at >> np.uint64(6)).astype(np.int64)] >> (at & low)) & np.uint64(1)
-                k = np.flatnonzero(hit)
-                for p, x in zip(places[k].tolist(), h[k].view(np.int64).tolist()):
-                    yield p, x, folded
+    def slices(texts):
+        start = 0
+        while start < len(texts):
+            stop, size = start, 0
+            while stop < len(texts) and (stop == start or size + len(texts[stop]) <= SLICE_BYTES):
+                size += len(texts[stop])
+                stop += 1
+            yield start, texts[start:stop]
+            start = stop
 
+    def run(batches):
+        bits, tokens = np.frombuffer(bitmap.value, np.uint64), Tokens()
         for batch in batches:
-            rows = []
-            for doc, text in zip(batch.column(0).to_pylist(), byte_list(batch.column(1))):
-                words, codes = _kept_words(text, templates)
-                for width in widths:
-                    for p, h, folded in met(codes, width):
-                        rows.append((doc, h, width, p, _slots(words[p:p + width], folded)))
+            docs_of, rows = batch.column(0).to_pylist(), []
+            for start, part in slices(byte_list(batch.column(1))):
+                texts = Texts(part, tokens)
+                firsts = texts.ends - texts.sizes
+                for width, places, hashes, folded in texts.windows(widths):
+                    for k in np.flatnonzero(in_bitmap(bits, hashes)).tolist():
+                        p = int(places[k])
+                        d = int(texts.text[p])
+                        rows.append((docs_of[start + d], int(hashes[k].view(np.int64)), width, p - int(firsts[d]),
+                                     texts.values(p, width, folded)))
             if rows:
                 yield pa.RecordBatch.from_arrays(
                     [pa.array(c, k) for c, k in zip(zip(*rows), [pa.int64(), pa.int64(), pa.int32(), pa.int32(),
                                                                  pa.list_(pa.string())])],
-                    ["doc", "hash", "width", "doc_pos", "doc_slots"])
+                    ["doc", "hash", "width", "doc_pos", "doc_values"])
 
     return docs.select(id_key().alias("doc"), F.col("text")).mapInArrow(run, DOC_WINDOWS)
 
@@ -222,43 +260,49 @@ def leaks(docs: DataFrame, benchmark: DataFrame, window: int = WINDOW, covered:
     """One row per leak: doc_id, item_id, matched_tokens, item_tokens,
     changed_slots (item values whose document value differs).
 
-    Of a pair's alignments the one whose consistent windows cover most counts.  Null
-    and empty texts match nothing, nor do items under ``SHORTEST`` tokens; null
-    ids are kept as null; rows that repeat a doc_id or item_id are looked at
-    together; empty tables give no rows; other columns are not read.
+    Of a pair's alignments the one whose consistent windows cover most counts.
+    An item under ``SHORTEST`` tokens leaks in documents that are nothing else.
+    Null and empty texts and items match nothing; a text of any length is hashed
+    in one task, some 100 bytes a word; null ids are kept as null; rows that
+    repeat a doc_id or item_id are looked at together; empty tables give no
+    rows; other columns are not read.
     """
     spark = docs.sparkSession
     items = stage_table(item_windows(benchmark, window), "item-windows")
-    widths = [r["width"] for r in items.select("width").distinct().collect()]  # SHORTEST..window
+    widths = sorted(r["width"] for r in items.select("width").distinct().collect())  # some of -3..window
     bitmap = spark.sparkContext.broadcast(hash_bitmap(items))
-    found = doc_windows(docs, bitmap, sorted(widths))
+    found = doc_windows(docs, bitmap, widths) if widths else spark.createDataFrame([], DOC_WINDOWS)
     met = found.join(items, ["hash", "width"]).withColumn("diagonal", F.col("doc_pos") - F.col("item_pos"))
-    met = met.filter(F.size("doc_slots") == F.size("item_slots"))
-    met = stage_table(met, "met-windows")
+    met = stage_table(met.filter(F.size("doc_values") == F.size("item_values")), "met-windows")
 
     pair = ["doc", "item", "diagonal"]
-    slots = (met.select(*pair, F.explode(F.arrays_zip("item_slots", "doc_slots")).alias("z"))
-             .select(*pair, F.col("z.item_slots").alias("was"), F.col("z.doc_slots").alias("now")))
-    # an item value that stands for two document values breaks the windows that
-    # changed it; windows without such a change stay
-    torn = (slots.groupBy(*pair, "was").agg(F.min("now").alias("lo"), F.max("now").alias("hi"))
-            .filter("lo <> hi").groupBy(*pair).agg(F.collect_set("was").alias("torn")))
-    kept = met.join(torn, pair, "left").filter(F.expr(
-        """torn IS NULL OR NOT exists(arrays_zip(item_slots, doc_slots),
-           z -> z.item_slots <> z.doc_slots AND array_contains(torn, z.item_slots))"""))
-    changed = (kept.select(*pair, F.explode(F.arrays_zip("item_slots", "doc_slots")).alias("z"))
-               .filter("z.item_slots <> z.doc_slots").select(*pair, F.col("z.item_slots").alias("was")).distinct()
-               .groupBy(*pair).agg(F.count("*").alias("changed_slots")))
-    # tokens under the union of the windows of one width: distinct starts, and
-    # the gaps between neighbours cut at the width
-    tokens = (kept.select(*pair, "tokens", F.explode(F.expr(
-        "sequence(item_pos, item_pos + width - 1)")).alias("p"))
-        .groupBy(*pair, "tokens", "p").agg(F.lit(1).alias("one"))
-        .groupBy(*pair, "tokens").agg(F.sum("one").alias("matched")))
-    whole = (tokens.join(changed, pair, "left")
-             .filter(F.col("matched") >= F.least(F.lit(covered), F.col("tokens"))))
+    slots = (met.select(*pair, F.explode(F.arrays_zip("item_values", "doc_values")).alias("z"))
+             .select(*pair, F.col("z.item_values").alias("was"), F.col("z.doc_values").alias("now")))
+
+    def torn(side: str, other: str) -> DataFrame:
+        """Values of one side that stand for two of the other."""
+        return (slots.groupBy(*pair, side).agg(F.min(other).alias("lo"), F.max(other).alias("hi"))
+                .filter("lo <> hi").groupBy(*pair).agg(F.collect_set(side).alias(f"torn_{side}")))
+
+    # values that don't stand for one another one to one break the windows that
+    # changed them; windows without such a change stay
+    kept = (met.join(torn("was", "now"), pair, "left").join(torn("now", "was"), pair, "left").filter(F.expr(
+        """NOT exists(arrays_zip(item_values, doc_values), z -> z.item_values <> z.doc_values AND
+           (coalesce(array_contains(torn_was, z.item_values), false)
+            OR coalesce(array_contains(torn_now, z.doc_values), false)))""")))
+    # tokens under the union of the windows, and what stands there
+    zipped = F.explode(F.expr("arrays_zip(sequence(item_pos, item_pos + abs(width) - 1), item_values, doc_values)"))
+    under = (kept.select(*pair, "tokens", zipped.alias("z"))
+             .groupBy(*pair, "tokens", F.col("z.0").alias("p"))
+             .agg(F.max(F.when(F.col("z.item_values") == F.col("z.doc_values"), F.col("z.item_values"))).alias("same"),
+                  F.max(F.when(F.col("z.item_values") != F.col("z.doc_values"), F.col("z.item_values"))).alias("was")))
+    whole = (under.groupBy(*pair, "tokens")
+             .agg(F.count("*").alias("matched"), F.size(F.collect_set("same")).alias("anchors"),
+                  F.size(F.collect_set("was")).cast("long").alias("changed"))
+             .filter(F.col("matched") >= F.least(F.lit(covered), F.col("tokens")))
+             .filter(F.col("anchors") >= F.least(F.lit(ANCHORS), F.ceil(F.col("tokens") / 2))))
     best = whole.groupBy("doc", "item").agg(F.max(F.struct(
-        F.col("matched"), (-F.coalesce("changed_slots", F.lit(0))).alias("kept"), F.col("tokens"))).alias("b"))
+        F.col("matched"), (-F.col("changed")).alias("kept"), F.col("tokens"))).alias("b"))
     return best.select(id_out("doc").alias("doc_id"), id_out("item").alias("item_id"),
                        F.col("b.matched").alias("matched_tokens"),
                        F.col("b.tokens").cast("long").alias("item_tokens"),
@@ -266,9 +310,11 @@ def leaks(docs: DataFrame, benchmark: DataFrame, window: int = WINDOW, covered:
 
 
 def remove_leaks(docs: DataFrame, benchmark: DataFrame) -> DataFrame:
-    """``docs`` without the documents that leak an item; all columns stay."""
-    bad = leaks(docs, benchmark).select(F.col("doc_id").alias("_leaking")).distinct()
-    return docs.join(bad, F.col("doc_id").cast("long").eqNullSafe(F.col("_leaking")), "left_anti")
+    """``docs`` without the documents that leak an item; all columns stay as
+    they are."""
+    name = free_name(docs, "leaking")
+    bad = leaks(docs, benchmark).select(F.col("doc_id").alias(name)).distinct()
+    return docs.join(bad, F.col("doc_id").cast("long").eqNullSafe(F.col(name)), "left_anti")
 
 
 def benchmark_table(spark: SparkSession, sf_dir: str) -> DataFrame:
