@@ -381,3 +381,86 @@ def test_shards_are_even_and_gapless(messy, messy_texts, empty):
 def test_sharding_runs_no_python(messy):
     plan = sharding.shard(messy)._jdf.queryExecution().executedPlan().toString()
     assert "Python" not in plan and "Arrow" not in plan and "Pandas" not in plan
+
+
+# ------------------------------------------------- long words, weak windows
+@pytest.mark.parametrize("name", ["one", "letters", "few", "cjk", "base64", "pair"])
+def test_unbroken_runs_of_a_megabyte_end_soon_and_match_the_library(name):
+    import time
+    rng, n = random.Random(8), 1_000_000
+    text = {"one": lambda: "a" * n, "letters": lambda: "".join(rng.choices("abcdefghijklmnopqrstuvwxyz", k=n)),
+            "few": lambda: "".join(rng.choices("etaoin", k=n)), "pair": lambda: "ab" * (n // 2),
+            "cjk": lambda: "".join(chr(rng.randrange(0x4E00, 0x9FFF)) for _ in range(n // 3)),
+            "base64": lambda: base64.b64encode(rng.randbytes(n * 3 // 4)).decode()}[name]()
+    vocab, tokenizer = bpe.vocabulary(BYTE_VOCABULARY), Tokenizer.from_file(BYTE_VOCABULARY)
+    began = time.process_time()
+    got = bpe.Encoder(vocab, None).encode_all([text.encode()])[0]
+    assert time.process_time() - began < 10  # about a second on a free machine
+    want = tokenizer.encode(text, add_special_tokens=False).ids
+    assert np.frombuffer(got, np.uint32).tolist() == want
+    assert vocab.decode(np.array(want)) == text.encode()
+
+
+def test_all_ways_to_merge_agree():
+    rng, vocab = random.Random(9), bpe.vocabulary(BYTE_VOCABULARY)
+    some = ["".join(rng.choices("aab1é 'x", k=rng.randint(0, 60))).encode() for _ in range(800)] + [b"", b"a" * 3000]
+    want = [vocab.merge(w) if w else [] for w in some]
+    assert vocab.ordered and [x.tolist() for x in vocab.merge_all(some)] == want
+    assert [vocab.merge_long(w).tolist() for w in some if w] == [w for w in want if w]
+
+
+def test_placeholders_alone_prove_nothing(spark):
+    bench = spark.createDataFrame(
+        [(1, "The scores were 11 12 13 14 15 16 17 18 19 20 21 22 23 24 25 and that was all of them"),
+         (2, "Guests: Alice Bob Carol Dave Erin Frank Grace Heidi Ivan Judy Mallory Niaj Olivia Peggy Rupert Sybil"),
+         (3, "12 and 13 and 14 and 15 and 16 and 17 and 18 and 19 and 20 and 21")], "item_id BIGINT, text STRING")
+    numbers = "11 12 13 14 15 16 17 18 19 20 21 22 23 24 25"
+    docs = spark.createDataFrame(rows_of([
+        (1, "my scores were 3.1 4 5 900 77 8 9 10 55 66 1 2 3 4 5 6 7 but who knows"), (2, "9 " * 40),
+        (3, "Uma Victor Walter Xavier Yves Zoe Aaron Bella Chris Doris Emil Fiona Gus Hana Igor Jan Karl"),
+        (4, "3 and 4 and 5 and 6 and 7 and 8 and 9 and 1 and 2 and 0"),
+        (5, f"so {numbers} it is"), (6, "alice bob carol dave erin frank grace heidi ivan judy mallory niaj olivia")]), SCHEMA)
+    got = {(r["doc_id"], r["item_id"]) for r in decontaminate.leaks(docs, bench).collect()}
+    assert got == {(5, 1), (6, 2)}  # copies of their values, not other lists
+
+
+def test_two_item_values_cannot_become_one(spark):
+    item = "First add 5 apples to the basket then add 6 pears to it and last add 7 plums"
+    bench = spark.createDataFrame([(1, item)], "item_id BIGINT, text STRING")
+    docs = spark.createDataFrame(rows_of([
+        (1, item.replace("5", "8").replace("6", "9")), (2, item.replace("5", "7").replace("6", "7"))]), SCHEMA)
+    assert [r["doc_id"] for r in decontaminate.leaks(docs, bench).collect()] == [1]
+
+
+def test_items_of_few_tokens_leak_as_whole_documents(spark):
+    bench = spark.createDataFrame([(1, "Yes"), (2, "New York!"), (3, "42"), (4, "a b c")], "item_id BIGINT, text STRING")
+    docs = spark.createDataFrame(rows_of([(1, "yes"), (2, "yes indeed"), (3, " NEW  york."), (4, "42"), (5, "43"),
+                                          (6, "a, b, c"), (7, "a b c d"), (8, "New Jersey")]), SCHEMA)
+    got = {(r["doc_id"], r["item_id"]) for r in decontaminate.leaks(docs, bench).collect()}
+    assert got == {(1, 1), (3, 2), (4, 3), (6, 4)}
+
+
+def test_windows_of_a_batch_are_those_of_each_text():
+    rng, tokens = random.Random(10), decontaminate.Tokens()
+    texts = [words(rng, rng.choice([0, 1, 3, 5, 9, 40])).encode() + b" The 5 km !!" * (k % 3) for k in range(30)]
+    widths = [-3, -1, 4, 6, 8]
+    key = lambda t, start=0: sorted(
+        (int(t.text[p]) + start, int(p) - int((t.ends - t.sizes)[t.text[p]]), w, f, int(h))
+        for w, places, hashes, f in t.windows(widths) for p, h in zip(places, hashes))
+    together = key(decontaminate.Texts(texts, tokens))
+    alone = [x for k, t in enumerate(texts) for x in key(decontaminate.Texts([t], tokens), k)]
+    assert together == sorted(alone) and together
+
+
+def test_columns_of_the_callers_stay(spark):
+    """Names that the operators use inside, with other types."""
+    from perkframe.llm import line_dedup, simhash
+    line = "a line that is long enough to be deleted from the later one"
+    schema = ("doc_id BIGINT, text STRING, _id STRING, gone STRING, _gone INT, leaking INT, _leaking STRING, "
+              "n_removed INT, partners STRING, n_lines DOUBLE, removed_lines INT, mark INT, gone_id STRING")
+    rest = ("i", "g", 1, 2, "l", 99, "p", 1.5, 3, 4, "k")
+    docs = spark.createDataFrame([(1, f"{line}\nx", *rest), (2, f"{line}\ny", *rest), (3, f"{line}\nx", *rest)], schema)
+    bench = spark.createDataFrame([(1, "some other item of the benchmark that is not in here")], "item_id BIGINT, text STRING")
+    for out in (line_dedup.strip(docs), simhash.keep_first(docs), decontaminate.remove_leaks(docs, bench)):
+        assert out.schema == docs.schema and out.count() >= 2
+        assert {tuple(r)[2:] for r in out.collect()} == {rest}
