@@ -1,10 +1,12 @@
 """Line deduplication by pairwise alignment (operator 6).
 
-1. Lines are hashed.  Features of a document are its lines, its runs of two
-   successive lines, and a one-line document as a whole.
+1. Lines are hashed.  The blocks of a document are its shortest runs of
+   successive lines that have ``MIN_CHARS`` characters, from each line on and
+   back from each line, and its runs of two lines.
 2. Each document is paired with the first document (smallest id) that has one
-   of its features, however often it occurs: one partner per feature, never all
-   pairs of a group.
+   of its blocks, however often it occurs: one partner per block, never all
+   pairs of a group.  Whatever is deleted holds such a block, and whoever else
+   has parts of it, the first document that has it whole is a partner.
 3. The common lines of a pair are aligned by patience diff: lines that both
    hold exactly once, the longest increasing chain of them, its extension over
    equal neighbouring lines, and the same again inside each gap that is left.
@@ -15,35 +17,65 @@ Blank lines take no part: they are neither matched nor deleted.
 
 from __future__ import annotations
 
+import re
 from bisect import bisect_left
 
+import numpy as np
 import pyarrow as pa
+import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import free_name, id_key, small_batches, stage_table
+from .common import byte_list, free_name, id_key, small_batches, stage_table
 
-#: Times that a line may occur to name a partner by itself; None for any number.
+#: Documents that may have a line for it to name a partner by itself; None for
+#: any number.
 MAX_DF = None
 #: Characters that an aligned block must have to be deleted.
 MIN_CHARS = 40
 
-
-def lines_of(docs: DataFrame) -> DataFrame:
-    """(id, n, no, at, chars, h, g, next_h, next_g): the lines with a character
-    besides white space.  ``no`` counts them, ``at`` counts all lines and ``n``
-    is their number in the document; (h, g) is a 128-bit hash of the line, and
-    the last two that of the line that follows (null after the last)."""
-    text = F.coalesce(F.col("text"), F.lit(""))
-    split = F.transform(F.split(text, "\n"), lambda x, i: F.struct(x.alias("x"), i.alias("at")))
-    hashed = F.transform(F.filter(split, lambda r: r["x"].rlike(r"\S")), lambda r: F.struct(
-        r["at"].alias("at"), F.char_length(r["x"]).alias("chars"),
-        F.xxhash64(r["x"]).alias("h"), F.xxhash64(F.lit(7), r["x"]).alias("g")))
-    rows = docs.select(id_key().alias("id"), hashed.alias("rows"))
-    following = F.transform("rows", lambda r, i: F.struct(
-        r.alias("r"), F.get("rows", i + 1)["h"].alias("next_h"), F.get("rows", i + 1)["g"].alias("next_g")))
-    return (rows.select("id", F.size("rows").alias("n"), F.posexplode(following).alias("no", "x"))
-            .select("id", "n", "no", "x.r.at", "x.r.chars", "x.r.h", "x.r.g", "x.next_h", "x.next_g"))
+#: ``at``: places of the lines that aren't blank among all lines; ``chars``: their
+#: lengths; ``lines``: 16-byte hashes of them, one after another; ``blocks``:
+#: distinct 128-bit hashes of blocks, and whether it is one line.
+LINES = ("id long, t long, at array<int>, chars array<int>, lines binary, "
+         "blocks array<struct<x:long,y:long,alone:boolean>>")
+_BLOCK = pa.list_(pa.struct([("x", pa.int64()), ("y", pa.int64()), ("alone", pa.bool_())]))
+_BLANK = re.compile(rb"[ \t\n\x0b\x0c\r]*")
+
+
+def block_ends(chars: list[int], min_chars: int) -> list[tuple[int, int]]:
+    """(first, past the last line) of the blocks: shortest runs with
+    ``min_chars`` characters from each line on and back from each line, and
+    runs of two lines."""
+    total = np.concatenate([[0], np.cumsum(chars)])
+    n, found = len(chars), set()
+    stops = np.searchsorted(total, total[:-1] + min_chars)  # first end with enough, from each line on
+    found.update((k, int(e)) for k, e in enumerate(stops.tolist()) if e <= n)
+    starts = np.searchsorted(total, total[1:] - min_chars, "right") - 1  # last start with enough
+    found.update((int(b), k + 1) for k, b in enumerate(starts.tolist()) if b >= 0)
+    found.update((k, k + 2) for k in range(n - 1))
+    return sorted(found)
+
+
+def lines_of(docs: DataFrame, min_chars: int = MIN_CHARS) -> DataFrame:
+    """One row (see ``LINES``) per row of ``docs``; ``t`` is a hash of the text."""
+    def run(batches):
+        for batch in batches:
+            rows = []
+            for doc, text in zip(batch.column(0).to_pylist(), byte_list(batch.column(1))):
+                found = [(k, x) for k, x in enumerate(text.split(b"\n")) if not _BLANK.fullmatch(x)]
+                hashes = [xxhash.xxh128_digest(x) for _, x in found]
+                chars = [len(x.decode()) for _, x in found]
+                blocks = {xxhash.xxh128_digest(b"".join(hashes[a:b])): b - a == 1
+                          for a, b in block_ends(chars, min_chars)}
+                names = np.frombuffer(b"".join(blocks), np.int64).reshape(-1, 2).tolist()
+                rows.append((doc, xxhash.xxh64_intdigest(text) - (1 << 63), [k for k, _ in found], chars, b"".join(hashes),
+                             [{"x": x, "y": y, "alone": alone} for (x, y), alone in zip(names, blocks.values())]))
+            kinds = [pa.int64(), pa.int64(), pa.list_(pa.int32()), pa.list_(pa.int32()), pa.binary(), _BLOCK]
+            yield pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(zip(*rows), kinds)],
+                                             ["id", "t", "at", "chars", "lines", "blocks"])
+
+    return docs.select(id_key().alias("id"), F.col("text")).mapInArrow(run, LINES)
 
 
 def patience(pairs: list[tuple[int, int]]) -> list[tuple[int, int]]:
@@ -126,81 +158,62 @@ def aligned_blocks(common: list[tuple[list[int], list[int]]]) -> list[list[int]]
     return blocks
 
 
-DELETED = "id long, lines array<int>, partners array<long>"
-
-
-def delete_blocks(batches, min_chars: int):
-    """Lines to delete of each later document, over all its partners."""
-    for batch in batches:
-        rows = []
-        for doc, met in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist()):
-            partners: dict[int, list] = {}
-            for m in met:
-                partners.setdefault(m["a"], []).append(m)
-            gone, because = set(), []
-            for a, common in sorted(partners.items()):
-                chars = {p: m["chars"] for m in common for p in m["in_b"]}
-                blocks = aligned_blocks([(m["in_a"], m["in_b"]) for m in common])
-                took = {p for block in blocks if sum(chars[p] for p in block) >= min_chars for p in block}
-                if took - gone:
-                    because.append(a)
-                gone |= took
-            if gone:
-                rows.append((doc, sorted(gone), because))
-        if rows:
-            yield pa.RecordBatch.from_arrays(
-                [pa.array(c, k) for c, k in zip(zip(*rows), [pa.int64(), pa.list_(pa.int32()), pa.list_(pa.int64())])],
-                ["id", "lines", "partners"])
+def common_lines(lines_a: bytes, lines_b: bytes) -> list[tuple[list[int], list[int]]]:
+    """Places of each common line in both documents, from their hashes."""
+    places: dict[bytes, tuple[list[int], list[int]]] = {}
+    for k in range(0, len(lines_a), 16):
+        places.setdefault(lines_a[k:k + 16], ([], []))[0].append(k // 16)
+    for k in range(0, len(lines_b), 16):
+        if (met := places.get(lines_b[k:k + 16])) is not None:
+            met[1].append(k // 16)
+    return [met for met in places.values() if met[1]]
+
+
+def deleted_lines(lines_a: bytes, lines_b: bytes, chars_b: list[int], min_chars: int = MIN_CHARS) -> list[int]:
+    """Lines that the later document b loses to the earlier document a."""
+    blocks = aligned_blocks(common_lines(lines_a, lines_b))
+    return sorted(p for block in blocks if sum(chars_b[p] for p in block) >= min_chars for p in block)
 
 
 def deletions(docs: DataFrame, max_df: int | None = MAX_DF, min_chars: int = MIN_CHARS) -> DataFrame:
     """(id, partners, lines): places of the lines that each later document
-    loses, and the earlier documents that they were aligned with."""
-    lines = stage_table(lines_of(docs), "lines")
-    # lines of two documents and more, one row each.  They are written before
-    # they are joined: with nothing but two exchanges below it, the join's
-    # partition of a very common line is split
+    loses, and the earlier documents whose aligned blocks they are."""
+    every = stage_table(lines_of(docs, min_chars), "lines")
+    # rows that repeat an id with the same text are one document; unequal texts
+    # under one id can't be told apart and take no part
     held = stage_table(
-        lines.groupBy("h", "g").agg(F.count("*").alias("times"), F.min("id").alias("first"), F.max("id").alias("last"))
-        .filter("first <> last").drop("last"), "held-lines")
-    shared = stage_table(lines.join(held.hint("merge"), ["h", "g"]), "shared-lines")
-    # written, so that the exchange of the join on a very common line is split
-    places = stage_table(shared.groupBy("h", "g", "id").agg(F.sort_array(F.collect_set("no")).alias("places"),
-                                                            F.first("chars").alias("chars")), "places")
-
-    # features that name a partner: lines, runs of two lines, whole one-line
-    # documents; the partner is the first document that has it
-    named = shared if max_df is None else shared.filter(F.col("times") <= max_df)
-    by_line = (named.filter(F.col("id") != F.col("first"))
-               .select(F.col("first").alias("a"), F.col("id").alias("b")))
-    runs = (shared.filter(F.col("next_h").isNotNull() | (F.col("n") == 1))
-            .select("id", F.xxhash64("h", "g", "next_h", "next_g").alias("run"),
-                    F.xxhash64(F.lit(7), "h", "g", "next_h", "next_g").alias("run2")))
-    first_run = stage_table(runs.groupBy("run", "run2").agg(F.min("id").alias("a"), F.max("id").alias("z"))
-                            .filter("a <> z").drop("z"), "first-runs")
-    by_run = (runs.join(first_run.hint("merge"), ["run", "run2"]).filter(F.col("id") != F.col("a"))
-              .select("a", F.col("id").alias("b")))
-    pairs = by_line.unionByName(by_run).distinct()
-
-    # common lines of each pair: a row per line, wherever it occurs on a side.
-    # The earlier side has one row per (document, line), so a document that is
-    # everyone's partner is a hot key on the later side only, which is split.
-    later = pairs.join(places.select(F.col("id").alias("b"), "h", "g", F.col("places").alias("in_b"), "chars"), "b")
-    common = later.join(places.select(F.col("id").alias("a"), "h", "g", F.col("places").alias("in_a")), ["a", "h", "g"])
-    # a group is what one later document shares with its partners
-    grouped = common.groupBy("b").agg(F.collect_list(F.struct("a", "in_a", "in_b", "chars")).alias("met"))
-
-    found = (grouped.select(F.col("b").alias("id"), "met")
-             .mapInArrow(lambda batches: delete_blocks(batches, min_chars), DELETED))
-    # unequal texts under one doc_id can't be told apart: nothing is deleted there
-    text = F.xxhash64(F.coalesce("text", F.lit("")))
-    mixed = (docs.select(id_key().alias("id"), text.alias("t")).groupBy("id")
-             .agg(F.min("t").alias("lo"), F.max("t").alias("hi")).filter("lo <> hi").select("id"))
-    # from numbers among the lines that aren't blank to places among all lines
-    numbers = found.select("id", "partners", F.explode("lines").alias("no"))
-    return (numbers.join(shared.select("id", "no", "at"), ["id", "no"]).groupBy("id")
-            .agg(F.first("partners").alias("partners"), F.sort_array(F.collect_set("at")).alias("lines"))
-            .join(mixed, "id", "left_anti"))
+        every.groupBy("id").agg(F.min("t").alias("t"), F.max("t").alias("z"), *[
+            F.first(c).alias(c) for c in ("at", "chars", "lines", "blocks")]).filter("t = z").drop("t", "z"), "held-lines")
+    blocks = held.select("id", F.explode("blocks").alias("b")).select("id", "b.x", "b.y", "b.alone")
+    first = (blocks.groupBy("x", "y").agg(F.min("id").alias("a"), F.max("id").alias("z"), F.count("*").alias("k"))
+             .filter("a <> z").select("x", "y", "a", "k"))
+    # written, so that the exchange of the join on a very common block is split
+    first = stage_table(first, "first-blocks")
+    met = blocks.join(first.hint("merge"), ["x", "y"]).filter("id <> a")
+    if max_df is not None:
+        met = met.filter(~F.col("alone") | (F.col("k") <= max_df))
+    pairs = stage_table(met.select("a", F.col("id").alias("b")).distinct(), "line-pairs")
+
+    def run(batches):
+        for batch in batches:
+            rows = []
+            for a, b, lines_a, lines_b, chars, at in zip(*(c.to_pylist() for c in batch.columns)):
+                if gone := deleted_lines(lines_a, lines_b, chars, min_chars):
+                    rows.append((b, a, [at[p] for p in gone]))
+            if rows:
+                yield pa.RecordBatch.from_arrays(
+                    [pa.array(c, k) for c, k in zip(zip(*rows), [pa.int64(), pa.int64(), pa.list_(pa.int32())])],
+                    ["id", "a", "lines"])
+
+    # a row per pair, with the lines of its two documents; a document that is
+    # everyone's partner is a hot key of the first join, which is split
+    later = held.select(F.col("id").alias("b"), F.col("lines").alias("lines_b"), "chars", "at")
+    earlier = held.select(F.col("id").alias("a"), F.col("lines").alias("lines_a"))
+    aligned = (pairs.join(earlier.hint("merge"), "a").join(later.hint("merge"), "b")
+               .select("a", "b", "lines_a", "lines_b", "chars", "at")
+               .mapInArrow(run, "id long, a long, lines array<int>"))
+    return (aligned.select("id", "a", F.explode("lines").alias("at")).groupBy("id")
+            .agg(F.sort_array(F.collect_set("a")).alias("partners"), F.sort_array(F.collect_set("at")).alias("lines")))
 
 
 def line_mask(lines: str):
@@ -217,8 +230,9 @@ def dedup(docs: DataFrame, max_df: int | None = MAX_DF, min_chars: int = MIN_CHA
     Documents are compared in order of doc_id.  Null and empty texts have no
     lines and are left as they are; a null doc_id is the first; rows that
     repeat a doc_id with the same text are one document and lose the same
-    lines, unequal texts under one doc_id are left as they are; an empty table
-    gives no rows.  Columns of ``docs`` with the names above are
+    lines; unequal texts under one doc_id are left as they are and nothing is
+    compared with them; a text of any length is aligned in one task, some 100
+    bytes a line; an empty table gives no rows.  Columns of ``docs`` with the names above are
     replaced.
     """
     marked, mark = _marked(docs, max_df, min_chars)
