@@ -22,8 +22,11 @@ ROUNDS = 6
 
 
 def radix(n: int) -> tuple[int, int]:
-    """Radices (a, b) of the two halves: n <= a*b < n + a, a about sqrt(n)."""
-    a = math.isqrt(max(n - 1, 0)) + 1
+    """Radices (a, b) of the two halves: n <= a*b < n + a, a about sqrt(n), and
+    a*b as little above n as the next few hundred values of a allow, since that
+    many steps a walk may take."""
+    least = math.isqrt(max(n - 1, 0)) + 1
+    a = min(range(least, least + min(300, least)), key=lambda a: -(-n // a) * a - n)
     return a, -(-n // a)
 
 
