@@ -329,3 +329,83 @@ def test_lines_of_awkward_rows(spark, messy, messy_texts, empty):
     # unequal texts under one doc_id lose nothing
     two = lines_frame(spark, [(1, "\n".join(LONG)), (2, "\n".join(LONG)), (2, "\n".join(LONG[:4]))])
     assert sum(r["n_removed"] for r in line_dedup.dedup(two).collect()) == 0
+
+
+# ------------------------------------------- lines: the whole result
+def brute_line_dedup(texts, min_chars=40):
+    """{id: kept text} with every earlier document that has one of a
+    document's blocks first as a partner, in plain Python."""
+    def not_blank(t):
+        return [(k, x) for k, x in enumerate((t or "").split("\n")) if x.strip(" \t\n\x0b\x0c\r")]
+
+    def blocks(lines):
+        out, n = set(), len(lines)
+        for a in range(n):
+            for b in range(a + 1, n + 1):
+                size = sum(map(len, lines[a:b]))
+                shortest = size >= min_chars and (size - len(lines[a]) < min_chars or size - len(lines[b - 1]) < min_chars)
+                if b - a == 2 or shortest:
+                    out.add(tuple(lines[a:b]))
+        return out
+
+    docs = {}
+    for i, t in texts:
+        docs.setdefault(i, set()).add(t or "")
+    docs = {i: t.pop() for i, t in docs.items() if len(t) == 1}
+    order = sorted(docs, key=id_order)
+    lines = {i: [x for _, x in not_blank(docs[i])] for i in order}
+    has = {i: blocks(lines[i]) for i in order}
+    kept, partners = {}, {}
+    for n, b in enumerate(order):
+        gone, because = set(), set()
+        named = set()
+        for f in has[b]:
+            for e in order[:n]:
+                if f in has[e]:
+                    named.add(e)
+                    break
+        for a in named:
+            common = [([k for k, x in enumerate(lines[a]) if x == v], [k for k, x in enumerate(lines[b]) if x == v])
+                      for v in dict.fromkeys(lines[a]) if v in lines[b]]
+            for block in line_dedup.aligned_blocks(common):
+                if sum(len(lines[b][p]) for p in block) >= min_chars:
+                    gone |= set(block)
+                    because.add(a)
+        places = [k for k, _ in not_blank(docs[b])]
+        drop = {places[p] for p in gone}
+        kept[b] = "\n".join(x for k, x in enumerate(docs[b].split("\n")) if k not in drop)
+        partners[b] = sorted(because, key=id_order)
+    return kept, partners
+
+
+def test_whole_result_against_brute_force(spark):
+    rng = random.Random(21)
+    some = [f"{c}{'x' * rng.randint(3, 30)} line" for c in "abcdefghij"] + LONG[:2] + ["", "  "]
+    for trial in range(4):
+        texts = [(i, "\n".join(rng.choice(some) for _ in range(rng.randint(0, 9)))) for i in range(40)]
+        for i in range(0, 30, 3):  # copies of stretches
+            part = texts[i][1].split("\n")
+            texts[i + 5] = (i + 5, "\n".join([f"own {i}", *part[1:], "end"]))
+        want, partners = brute_line_dedup(texts)
+        got = {r["doc_id"]: r for r in line_dedup.dedup(lines_frame(spark, texts)).collect()}
+        assert {i: r["text"] for i, r in got.items()} == want
+        assert {i: r["partners"] or [] for i, r in got.items()} == partners
+        assert any(partners.values())
+
+
+def test_documents_with_parts_of_a_block_do_not_save_it(spark):
+    lines = ["sixteen letters1", "sixteen letters2", "sixteen letters3"]  # 48 characters together
+    texts = [(1, "\n".join([*lines[:2], "end of one"])), (2, "\n".join(["start of two", *lines[1:]])),
+             (3, "\n".join(["start", *lines, "of three"])), (4, "\n".join(["four", *lines, "and on"]))]
+    got = kept_texts(lines_frame(spark, texts))
+    assert got[4] == "four\nand on" and [got[k] for k in (1, 2, 3)] == [t for _, t in texts[:3]]
+    assert kept_texts(lines_frame(spark, texts[2:]))[4] == "four\nand on"
+
+
+def test_one_document_with_many_partners(spark):
+    """Rows grow with the pairs, not with pairs times lines."""
+    lines = [f"{k} a line of some forty characters, number {k}" for k in range(300)]
+    texts = [(k, f"{x}\nown {k}") for k, x in enumerate(lines)] + [(1000, "\n".join(lines)), (1001, "\n".join(lines))]
+    got = {r["doc_id"]: r for r in line_dedup.dedup(lines_frame(spark, texts)).collect()}
+    assert got[1000]["partners"] == list(range(300)) and got[1000]["text"] == "" and got[1001]["text"] == ""
+    assert line_dedup.lines_of(lines_frame(spark, texts)).count() == 302

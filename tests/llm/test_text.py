@@ -464,3 +464,91 @@ def test_columns_of_the_callers_stay(spark):
     for out in (line_dedup.strip(docs), simhash.keep_first(docs), decontaminate.remove_leaks(docs, bench)):
         assert out.schema == docs.schema and out.count() >= 2
         assert {tuple(r)[2:] for r in out.collect()} == {rest}
+
+
+# ------------------------------------- leaks: a plain single-machine version
+def plain_leaks(docs, items, window=8, covered=12):
+    """{(doc, item): (matched, tokens, changed)} from tokens, one at a time."""
+    D = decontaminate
+
+    def tokens(text):
+        out = []
+        for w in (text or "").encode().split():
+            w = w.decode()
+            if D.canonical(w) is not None:
+                out.append((D.canonical(w), D.canonical(w.casefold()) or D.canonical(w)))
+        return out
+
+    def windows(toks, width):
+        """(key, place, values as they meet) of both forms; equal keys meet."""
+        if width < 0:
+            if len(toks) == -width:
+                yield ("whole", tuple(f for _, f in toks)), 0, [t[0] for t in toks]
+            return
+        for p in range(len(toks) - width + 1):
+            part, keys = toks[p:p + width], []
+            for form in (0, 1):
+                kinds = [t[form] for t in part]
+                if sum(k == D.LITERAL for k, _ in kinds) < min(D.LITERALS, width):
+                    key = ("values", tuple(f for _, f in part))
+                else:
+                    key = ("template", tuple(v if k == D.LITERAL else k for k, v in kinds))
+                if key not in keys:
+                    keys.append(key)
+                    yield key, p, kinds
+
+    best = {}
+    by_width = {}
+    for item, text in items:
+        toks = tokens(text)
+        if not toks:
+            continue
+        width = min(window, len(toks)) if len(toks) >= D.SHORTEST else -len(toks)
+        for key, p, values in windows(toks, width):
+            by_width.setdefault(width, {}).setdefault(key, []).append((item, len(toks), p, values))
+    for doc, text in docs:
+        toks, met = tokens(text), {}
+        for width, index in by_width.items():
+            for key, p, now in windows(toks, width):
+                for item, n, q, was in index.get(key, ()):
+                    met.setdefault((item, n, p - q), []).append((q, was, now))
+        for (item, n, _), found in met.items():
+            pairs = {(a, b) for _, was, now in found for a, b in zip(was, now)}
+            torn_was = {a for a, _ in pairs if len({y for x, y in pairs if x == a}) > 1}
+            torn_now = {b for _, b in pairs if len({x for x, y in pairs if y == b}) > 1}
+            under = {}
+            for q, was, now in found:
+                if not any(a != b and (a in torn_was or b in torn_now) for a, b in zip(was, now)):
+                    for k, (a, b) in enumerate(zip(was, now)):
+                        under.setdefault(q + k, set()).add((a, a == b))
+            same = {max(a for a, ok in x if ok) for x in under.values() if any(ok for _, ok in x)}
+            changed = {max(a for a, ok in x if not ok) for x in under.values() if not all(ok for _, ok in x)}
+            if len(under) >= min(covered, n) and len(same) >= min(D.ANCHORS, -(-n // 2)) and under:
+                key, value = (doc, item), (len(under), -len(changed), n)
+                best[key] = max(best.get(key, value), value)
+    return {k: (m, n, -c) for k, (m, c, n) in best.items()}
+
+
+def test_leaks_match_the_plain_version(spark):
+    rng, sf = random.Random(31), "/root/testdata/sf0.001"
+    bench = [tuple(r) for r in spark.read.parquet(f"{sf}/benchmark.parquet").select("item_id", "text").collect()]
+    docs = [tuple(r) for r in spark.read.parquet(f"{sf}/documents.parquet").select("doc_id", "text").collect()]
+    bench += [(9001, "Tom has 12 apples and gives 5 of them to Ann who then walks 3 km to Paris with 7 kg of pears"),
+              (9002, "yes"), (9003, "1 2 3 4 5 6 7 8 9 10 11 12 13 14"), (9004, "A B C 5 km"), (9005, None)]
+    clean = [d for d in docs if d[1]][:60]
+    for k in range(80):  # items with words, numbers and names changed, in the midst of documents
+        item, text = rng.choice(bench)
+        toks = (text or "").split()
+        for _ in range(rng.randint(0, 4)):
+            if toks:
+                at = rng.randrange(len(toks))
+                change = rng.choice([str.upper, str.lower, str.title, lambda w: str(rng.randint(1, 99)), lambda w: "Zed"])
+                old = toks[at]
+                toks = [change(w) if w == old and rng.random() < .8 else w for w in toks]
+        words_of = rng.choice(clean)[1].split()[:30]
+        docs.append((5000 + k, " ".join([*words_of[:15], *toks, *words_of[15:]]) if k % 9 else " ".join(toks)))
+    got = decontaminate.leaks(spark.createDataFrame(docs, "doc_id BIGINT, text STRING").repartition(4),
+                              spark.createDataFrame(bench, "item_id BIGINT, text STRING")).collect()
+    got = {(r["doc_id"], r["item_id"]): (r["matched_tokens"], r["item_tokens"], r["changed_slots"]) for r in got}
+    assert got == plain_leaks(docs, bench)
+    assert sum(d >= 5000 for d, _ in got) > 30 and any(c for _, _, c in got.values())
