@@ -50,8 +50,8 @@ STAGES = [
     ("bpe", encode),
 ]
 
-#: Scores, fingerprints, alignments and merges have no SQL; the stages are
-#: tested against brute force in tests/llm.
+#: Scores, fingerprints, alignments and merges have no SQL; tests/llm holds each
+#: stage against a plain single-machine version.
 ORACLE_SQL = None
 
 
