@@ -45,7 +45,7 @@ LITERALS = 2
 ANCHORS = 4
 #: Words whose tokens a task remembers, and bytes of text it hashes at once
 #: (more only in one longer document).
-REMEMBERED = 300_000
+REMEMBERED = 600_000
 SLICE_BYTES = 1 << 20
 
 # Unit words that become the placeholder for units.
@@ -72,11 +72,14 @@ def canonical(word: str) -> tuple[int, str] | None:
     bare = word.strip(_EDGE)
     if not bare or bare in "$%+-":
         return None
-    if _NUMBER.fullmatch(bare):
+    letters = bare.isalpha()  # neither a number nor begun by one
+    if not letters and _NUMBER.fullmatch(bare):
         return NUMBER, bare.rstrip("%.,")
     low = bare.lower()
     if low in UNITS:
         return UNIT, low
+    if letters:
+        return (NAME if bare[0].isupper() else LITERAL), low
     joined = _NUMBER_UNIT.fullmatch(bare)
     if joined and joined[2].lower() in UNITS:
         return NUMBER_UNIT, low
@@ -87,40 +90,54 @@ def canonical(word: str) -> tuple[int, str] | None:
 
 def _code(kind: int, value: str) -> int:
     """64-bit code of a template token."""
-    key = b"w" + value.encode() if kind == LITERAL else b"<%d>" % kind
-    return xxhash.xxh64_intdigest(key, 8) | 1
+    return xxhash.xxh64_intdigest(b"w" + value.encode() if kind == LITERAL else b"<%d>" % kind, 8) | 1
+
+
+_ASCII_EDGE = "".join(c for c in _EDGE if ord(c) < 128).encode()
+_UNIT_WORDS = frozenset(u.encode() for u in UNITS)
+_NAME_CODE = _code(NAME, "")
+
+
+def _row(word: bytes) -> tuple[int, int, int, bool, bool]:
+    """(code as written, case-folded, code of the case-folded value, whether the
+    two forms are literals) of a word; zeros for one of punctuation only."""
+    if word.isascii():  # words of plain letters, without decoding
+        bare = word.strip(_ASCII_EDGE)
+        if bare.isalpha():
+            low = bare.lower()
+            if low not in _UNIT_WORDS:
+                code = xxhash.xxh64_intdigest(b"w" + low, 8) | 1
+                return (_NAME_CODE, code, code, False, True) if bare[:1].isupper() else (code, code, code, True, True)
+    text = word.decode("utf-8", "replace")
+    written = canonical(text)
+    if written is None:
+        return 0, 0, 0, False, False
+    casefolded = text.casefold()
+    folded = written if casefolded == text else canonical(casefolded) or written
+    code = _code(*folded)
+    value = code if folded[0] == LITERAL else xxhash.xxh64_intdigest(b"v%d:%s" % (folded[0], folded[1].encode()), 8) | 1
+    return (code if folded is written else _code(*written)), code, value, written[0] == LITERAL, folded[0] == LITERAL
 
 
 class Tokens:
-    """Tokens of words, with a bounded memory of words.
-
-    ``rows`` of a list of words: template codes as written and case-folded, the
-    code of the case-folded value, and whether the two forms are literals.  A
-    word of punctuation only has the code 0.
-    """
+    """Tokens of words (see :func:`_row`), with a bounded memory of words."""
 
     def __init__(self):
         self.places: dict[bytes, int] = {}
         self.codes = np.zeros((5, 1024), np.uint64)
 
     def of(self, words: list[bytes]) -> np.ndarray:
+        """The five rows of a list of words."""
         places = self.places
         if len(places) > REMEMBERED:
             places.clear()
-        for w in set(words).difference(places):
-            k = len(places)
-            if k == self.codes.shape[1]:
-                self.codes = np.concatenate([self.codes, np.zeros_like(self.codes)], axis=1)
-            text = w.decode("utf-8", "replace")
-            written = canonical(text)
-            if written is None:
-                self.codes[:, k] = 0
-            else:
-                folded = canonical(text.casefold()) or written
-                value = xxhash.xxh64_intdigest(b"v%d:%s" % (folded[0], folded[1].encode()), 9) | 1
-                self.codes[:, k] = (_code(*written), _code(*folded), value,
-                                    written[0] == LITERAL, folded[0] == LITERAL)
-            places[w] = k
+        new = list(set(words).difference(places))
+        if new:
+            k, n = len(places), len(places) + len(new)
+            if n > self.codes.shape[1]:
+                self.codes = np.concatenate([self.codes, np.zeros((5, max(n, 2 * k) - self.codes.shape[1]), np.uint64)], axis=1)
+            self.codes[:, k:n] = np.array(list(map(_row, new)), np.uint64).T
+            places.update(zip(new, range(k, n)))
         return self.codes[:, np.fromiter(map(places.__getitem__, words), np.int64, len(words))]
 
 
@@ -154,7 +171,7 @@ class Texts:
         literals = [np.cumsum(np.concatenate([[np.uint64(0)], r])).astype(np.int64) for r in codes[3:]]
         for width in (w for w in widths if w < 0):
             places = np.flatnonzero((self.left == -width) & (self.sizes[self.text] == -width))
-            yield width, places, self._values(rows[2], places, -width), False
+            yield width, places, self._values(rows[2], places, -width), True
         with np.errstate(over="ignore"):
             state = [np.full(n, _SEED), np.full(n, _SEED)]
             for k in range(max(longest, 0)):

@@ -483,7 +483,7 @@ def plain_leaks(docs, items, window=8, covered=12):
         """(key, place, values as they meet) of both forms; equal keys meet."""
         if width < 0:
             if len(toks) == -width:
-                yield ("whole", tuple(f for _, f in toks)), 0, [t[0] for t in toks]
+                yield ("whole", tuple(f for _, f in toks)), 0, [t[1] for t in toks]
             return
         for p in range(len(toks) - width + 1):
             part, keys = toks[p:p + width], []
