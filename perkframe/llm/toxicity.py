@@ -299,9 +299,10 @@ def score_documents(docs: DataFrame, labels: DataFrame, sample: int = SAMPLE) ->
     """One row per document: doc_id, held_out, score, predicted.
 
     Null and empty texts get the bias's score; a null doc_id isn't held out
-    and its label isn't learned; rows that repeat a doc_id are scored each, and
-    contradictory labels of a doc_id are both learned; empty tables give no
-    rows, and without labels of both kinds every text scores the same; columns
+    and its label isn't learned; rows that repeat a doc_id are scored each; of
+    equal texts with contradictory labels one label is learned; a text of any
+    length is scored in slices, and adds nothing by its length; empty tables give
+    no rows, and without labels of both kinds every text scores the same; columns
     besides doc_id, text and toxic are not read.
     """
     small_batches(docs.sparkSession)

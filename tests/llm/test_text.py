@@ -552,3 +552,56 @@ def test_leaks_match_the_plain_version(spark):
     got = {(r["doc_id"], r["item_id"]): (r["matched_tokens"], r["item_tokens"], r["changed_slots"]) for r in got}
     assert got == plain_leaks(docs, bench)
     assert sum(d >= 5000 for d, _ in got) > 30 and any(c for _, _, c in got.values())
+
+
+# --------------------------------------- toxicity: a plain scorer of a model
+def plain_score(text, model):
+    """The score of one text, a subword at a time."""
+    T, mask = toxicity, (1 << 64) - 1
+    low = [int(T._CLASSES[b]) for b in (text or "").encode()]
+    found, word = [], []
+    for c in [*low, 0]:
+        if c:
+            word.append(c)
+        elif word:
+            found.append(word)
+            word = []
+
+    def x(c):
+        v = (c + 1) * 0xD6E8FEB86659FD93 & mask
+        return v ^ v >> 32
+
+    mult, logits = int(T._MULT), []
+    for word in found:
+        buckets = []
+        whole = 0
+        for k, c in enumerate(word):
+            weight = (2 * k + 1) * 0xA24BAED4963EE407 & mask
+            whole = whole + x(c) * (weight ^ weight >> 29) & mask
+        buckets.append(whole * mult & mask)
+        marked = [0, *word, 0]
+        for seed, n in enumerate(T.N_GRAMS):
+            for k in range(len(marked) - n + 1):
+                h = x(marked[k])
+                for c in marked[k + 1:k + n]:
+                    h = h * mult + x(c) & mask
+                buckets.append((h + seed + 1) * mult & mask)
+        values = [float(model.logits[b >> (64 - model.buckets_log2)]) for b in buckets]
+        if any(values):
+            logits.append(sum(values) / len(values) + model.bias)
+    weights = [np.exp(T.SHARP * (v - model.bias)) for v in logits]
+    pooled = (sum(w * v for w, v in zip(weights, logits)) + model.bias) / (sum(weights) + 1)
+    return 1 / (1 + np.exp(-pooled))
+
+
+def test_scores_match_the_plain_scorer(spark, messy_texts):
+    sf = "/root/testdata/sf0.001"
+    docs, labels = spark.read.parquet(f"{sf}/documents.parquet"), spark.read.parquet(f"{sf}/labels.parquet")
+    model = toxicity.fit(docs, labels)
+    rng = np.random.default_rng(3)  # and a model in which every subword counts
+    dense = toxicity.Model(rng.normal(0, 3, 1 << toxicity.BUCKETS_LOG2), -2.0)
+    texts = [t for _, t in messy_texts if len(t or "") < 5000]
+    texts += [r["text"] for r in docs.select("text").limit(40).collect()]
+    for m in (model, dense):
+        got = m.score([(t or "").encode() for t in texts])
+        assert np.allclose(got, [plain_score(t, m) for t in texts], rtol=1e-6, atol=1e-9)
