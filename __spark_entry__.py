@@ -228,9 +228,10 @@ def _q_segment_bundle_rows(s, d):
     t = _T(s, d)
     model = segments.SegmentModel.with_scaler_of(segments.rfm(t), FIXED_CENTERS)
 
-    def rows(frame, key, a, b, c, cluster="CAST(NULL AS INT)"):
-        return frame.selectExpr(f"CAST({key} AS BIGINT) AS id", f"CAST({a} AS DOUBLE) AS a",
-                                f"CAST({b} AS DOUBLE) AS b", f"CAST({c} AS DOUBLE) AS c", f"{cluster} AS cluster")
+    def rows(frame, key, a, b, c, cluster="'none'"):
+        # the cluster as text: engines hand integers with NULLs to pandas differently
+        return frame.selectExpr(f"CAST({key} AS BIGINT) AS id", f"CAST({a} AS DOUBLE) AS a", f"CAST({b} AS DOUBLE) AS b",
+                                f"CAST({c} AS DOUBLE) AS c", f"coalesce(CAST({cluster} AS STRING), 'none') AS cluster")
 
     with plans.segment_bundle(_O(s, d), t, OFFER_TYPES, *TXN_AMOUNT, model=model) as bundle:
         shown = {"offers": ("event_id", "difficulty", "reward", "duration"),
@@ -824,16 +825,17 @@ B AS (SELECT a.customer_id, a.n, a.amount, a.amount / a.n AS size, S.cluster
       FROM (SELECT customer_id, count(*) AS n, coalesce(sum(amount), 0.0) AS amount FROM {T_F}
             WHERE customer_id IS NOT NULL GROUP BY customer_id) a JOIN S ON a.customer_id = S.customer_id)
 SELECT 'offers' AS frame, event_id AS id, CAST(difficulty AS DOUBLE) AS a, CAST(reward AS DOUBLE) AS b,
-       CAST(duration AS DOUBLE) AS c, CAST(NULL AS INTEGER) AS cluster FROM FO
-UNION ALL SELECT 'transactions', event_id, amount, CAST(age AS DOUBLE), NULL, NULL FROM {T_F}
-UNION ALL SELECT 'rfm', customer_id, recency, frequency, monetary, cluster FROM S
-UNION ALL SELECT 'basket', customer_id, n, amount, size, cluster FROM B
+       CAST(duration AS DOUBLE) AS c, 'none' AS cluster FROM FO
+UNION ALL SELECT 'transactions', event_id, amount, CAST(age AS DOUBLE), NULL, 'none' FROM {T_F}
+UNION ALL SELECT 'rfm', customer_id, recency, frequency, monetary, coalesce(CAST(cluster AS VARCHAR), 'none') FROM S
+UNION ALL SELECT 'basket', customer_id, n, amount, size, coalesce(CAST(cluster AS VARCHAR), 'none') FROM B
 UNION ALL SELECT 'advanced_metrics', 0, avg(monetary * frequency), avg(CAST(recency > 30 AS INTEGER)),
        CASE WHEN count_if(frequency = 1) > 0
             THEN (SELECT CAST(coalesce(sum(reward), 0) AS DOUBLE) FROM FO) / count_if(frequency = 1) ELSE 0.0 END,
-       NULL FROM S
+       'none' FROM S
 UNION ALL SELECT 'segment_stats', cluster, CAST(round_even(CAST(avg(n) AS DECIMAL(38, 10)), 2) AS DOUBLE),
-       CAST(round_even(CAST(avg(size) AS DECIMAL(38, 10)), 2) AS DOUBLE), NULL, cluster FROM B GROUP BY cluster"""),
+       CAST(round_even(CAST(avg(size) AS DECIMAL(38, 10)), 2) AS DOUBLE), NULL,
+       coalesce(CAST(cluster AS VARCHAR), 'none') FROM B GROUP BY cluster"""),
         "success_by_offer_type": q(f"SELECT offer_type, {RATE} AS success_rate FROM OP "
                                    f"WHERE offer_type IS NOT NULL GROUP BY offer_type"),
         "prepared_offer_events": q("SELECT event_id, offer_id, offer_success, age FROM OP"),
