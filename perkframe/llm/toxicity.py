@@ -18,14 +18,17 @@ from __future__ import annotations
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from .common import byte_list, id_key, id_out, small_batches
 
 #: Labelled rows that are fitted on, at most: so many toxic ones, and twice as
-#: many clean ones, without those whose text is beyond ``SAMPLE_BYTES``.
+#: many clean ones, without those whose text is beyond ``SAMPLE_BYTES``, and of
+#: these the first whose texts have ``SAMPLE_TOTAL`` bytes together.
 SAMPLE = 1500
 SAMPLE_BYTES = 1 << 20
+SAMPLE_TOTAL = 64 << 20
 BUCKETS_LOG2 = 18
 DIM = 8
 N_GRAMS = (3, 4, 5)
@@ -267,7 +270,8 @@ def held_out():
 
 def fit(docs: DataFrame, labels: DataFrame, sample: int = SAMPLE) -> Model:
     """Train on at most ``sample`` toxic and twice as many clean rows that
-    aren't held out, those whose hashed doc_id is smallest."""
+    aren't held out, those whose hashed doc_id is smallest; at most
+    ``SAMPLE_TOTAL`` bytes of text reach the driver."""
     known = (labels.select("doc_id", F.col("toxic").cast("int").alias("toxic"))
              .filter(F.col("toxic").isin(0, 1) & F.col("doc_id").isNotNull() & ~held_out()).distinct())
     picked = None
@@ -275,10 +279,13 @@ def fit(docs: DataFrame, labels: DataFrame, sample: int = SAMPLE) -> Model:
         part = (known.filter(F.col("toxic") == label).withColumn("o", F.xxhash64("doc_id", F.lit(11)))
                 .orderBy("o", "doc_id").limit(sample * (2 - label)))
         picked = part if picked is None else picked.unionByName(part)
+    so_far = W.orderBy("o", "doc_id").rowsBetween(W.unboundedPreceding, 0)  # over 4 * sample rows at most
     rows = (docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text")
             .filter(F.octet_length("text") <= SAMPLE_BYTES)
             .join(F.broadcast(picked), "doc_id")  # 3 * sample rows of three numbers at most
-            .orderBy("o", "doc_id").limit(4 * sample).select("text", "toxic").toArrow())
+            .orderBy("o", "doc_id").limit(4 * sample)
+            .withColumn("bytes", F.sum(F.octet_length("text")).over(so_far)).filter(F.col("bytes") <= SAMPLE_TOTAL)
+            .orderBy("o", "doc_id").select("text", "toxic").toArrow())
     return train(byte_list(rows["text"].combine_chunks()), rows["toxic"].to_numpy().astype(int))
 
 

@@ -605,3 +605,16 @@ def test_scores_match_the_plain_scorer(spark, messy_texts):
     for m in (model, dense):
         got = m.score([(t or "").encode() for t in texts])
         assert np.allclose(got, [plain_score(t, m) for t in texts], rtol=1e-6, atol=1e-9)
+
+
+def test_sample_is_bounded_in_bytes(spark, monkeypatch):
+    docs = spark.createDataFrame([(i, "x" * 1000) for i in range(90)], "doc_id BIGINT, text STRING")
+    labels = spark.createDataFrame([(i, 0, i % 2) for i in range(90)], "doc_id BIGINT, quality INT, toxic INT")
+    seen = []
+    monkeypatch.setattr(toxicity, "train", lambda texts, y: seen.append((len(texts), len(y))))
+    monkeypatch.setattr(toxicity, "SAMPLE_TOTAL", 20_500)
+    toxicity.fit(docs, labels)
+    monkeypatch.setattr(toxicity, "SAMPLE_TOTAL", 1 << 20)
+    toxicity.fit(docs, labels)
+    held = sum(zlib.crc32(str(i).encode()) % 3 == 1 for i in range(90))
+    assert seen == [(20, 20), (90 - held, 90 - held)]
