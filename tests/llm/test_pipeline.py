@@ -51,3 +51,59 @@ def test_pipeline_stages_on_awkward_rows(spark, messy, messy_texts, empty):
             assert out.count() <= n, name
             if name != "bpe":
                 assert out.columns == table.columns, name
+
+
+def test_pipeline_against_plain_versions(spark):
+    """Every stage's result from plain single-machine code, none of it the
+    operator's own."""
+    import hashlib
+    import random
+
+    import numpy as np
+    from tokenizers import Tokenizer
+
+    from perkframe.llm.queries import BYTE_VOCABULARY
+    from tests.llm.test_dedup import brute_components, brute_fingerprint, brute_line_dedup
+    from tests.llm.test_text import plain_leaks, plain_score
+    rng = random.Random(17)
+    labels, bench = toxicity.label_table(spark, SF), decontaminate.benchmark_table(spark, SF)
+    whole = spark.read.parquet(f"{SF}/documents.parquet").select("doc_id", "text").collect()
+    texts = [r["text"] for r in whole if r["text"] and r["text"].count("\n") < 25][:110]
+    items = [(r["item_id"], r["text"]) for r in bench.collect()]
+    lines = [x for t in texts for x in t.split("\n") if len(x) > 45]
+    for k in range(25):  # shared lines, copies with a word changed, benchmark passages
+        a, b = rng.choice(texts), rng.choice(texts)
+        texts.append(f"{a}\n{rng.choice(lines)}\n{rng.choice(lines)}")
+        texts.append(" ".join(w if rng.random() > .01 else "other" for w in b.split(" ")))
+        texts.append(f"{b[:100]} {rng.choice(items)[1]} {a[:100]}")
+    texts += [None, "", "one", texts[3], texts[5] + " "]
+    rows = [(i, t, "xx", "s", len(t or "")) for i, t in enumerate(texts)]
+    docs = spark.createDataFrame(rows, "doc_id BIGINT, text STRING, lang STRING, source STRING, n_chars BIGINT")
+
+    # toxicity: the fitted model's scores
+    model = toxicity.fit(docs, labels)
+    kept = [(i, t) for i, t in ((r[0], r[1]) for r in rows) if plain_score(t, model) < toxicity.THRESHOLD]
+    # line dedup: documents without a line left go
+    after, _ = brute_line_dedup(kept)
+    blank = " \t\n\x0b\x0c\r"
+    kept = [(i, after[i] if t is not None else None) for i, t in kept
+            if after[i].strip(blank) or not (t or "").strip(blank)]
+    # SimHash: the first of each group
+    prints = {i: brute_fingerprint(t) for i, t in kept}
+    roots = brute_components(set(prints.values()))
+    first = {}
+    for i, f in sorted(prints.items()):
+        first.setdefault(roots[f], i)
+    kept = [(i, t) for i, t in kept if first[roots[prints[i]]] == i]
+    # decontamination
+    bad = {d for d, _ in plain_leaks(kept, items)}
+    kept = [(i, t) for i, t in kept if i not in bad]
+    assert bad and len(kept) < len(texts) - 20
+    # BPE: the tokenizers library
+    tokenizer = Tokenizer.from_file(BYTE_VOCABULARY)
+    ids = {i: np.array(tokenizer.encode(t or "", add_special_tokens=False).ids, "<u4").tobytes() for i, t in kept}
+    want = {i: (len(x) // 4, hashlib.sha256(x).hexdigest()) for i, x in ids.items()}
+
+    for name, stage in C.STAGES:
+        docs = C.stage_table(stage(spark, docs, SF), f"plain-{name}")
+    assert {r["doc_id"]: (r["n_tokens"], r["ids_sha256"]) for r in docs.collect()} == want
