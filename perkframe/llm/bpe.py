@@ -117,23 +117,27 @@ class Vocabulary:
         at[at == len(self.pair_keys)] = 0
         return np.where(self.pair_keys[at] == key, self.pair_ranks[at], _NO_RANK)
 
-    def merge_all(self, words: list[bytes]) -> list[np.ndarray]:
-        """:meth:`merge` of many words, a merge of each at a time together."""
-        out: list[np.ndarray | None] = [None] * len(words)
-        for k, w in enumerate(words):
-            if len(w) > _LONG:
-                out[k] = self.merge_long(w)
-        short = [k for k in range(len(words)) if out[k] is None]
-        for at in range(0, len(short), _TOGETHER):
-            part = short[at:at + _TOGETHER]
-            for k, ids in zip(part, self._merge_short([words[k] for k in part])):
+    def merge_all(self, words: list[bytes]) -> list[bytes]:
+        """:meth:`merge` of many words, a merge of each at a time together; ids
+        as little-endian unsigned 32-bit integers."""
+        if len(words) < _FEW:
+            return [np.array(self.merge(w), np.uint32).tobytes() if len(w) <= WORD_BYTES else self.merge_long(w)
+                    for w in words]
+        if max(map(len, words)) > _LONG:
+            out = [self.merge_long(w) if len(w) > _LONG else b"" for w in words]
+            short = [k for k, w in enumerate(words) if len(w) <= _LONG]
+            for k, ids in zip(short, self.merge_all([words[k] for k in short])):
                 out[k] = ids
+            return out
+        out = []
+        for at in range(0, len(words), _TOGETHER):
+            out += self._merge_short(words[at:at + _TOGETHER])
         return out
 
-    def _merge_short(self, words: list[bytes]) -> list[np.ndarray]:
+    def _merge_short(self, words: list[bytes]) -> list[bytes]:
         sizes = np.fromiter(map(len, words), np.int64, len(words))
         ids = self.byte_ids[np.frombuffer(b"".join(words), np.uint8)]
-        done: list[np.ndarray] = [np.zeros(0, np.uint32)] * len(words)
+        done = [b""] * len(words)
         live = np.flatnonzero(sizes)
         sizes = sizes[live]
         ends = np.cumsum(sizes)
@@ -145,9 +149,11 @@ class Vocabulary:
             best = np.minimum.reduceat(ranks, starts)
             go = best != _NO_RANK
             if not go.all():
-                for k in np.flatnonzero(~go).tolist():
-                    done[live[k]] = ids[starts[k]:ends[k]].astype(np.uint32)
                 keep = np.repeat(go, sizes)
+                raw, at = ids[~keep].astype(np.uint32).tobytes(), 0
+                for k, size in zip(live[~go].tolist(), (4 * sizes[~go]).tolist()):
+                    done[k] = raw[at:at + size]
+                    at += size
                 ids, ranks, live, sizes, best = ids[keep], ranks[keep], live[go], sizes[go], best[go]
                 if not len(live):
                     break
@@ -173,12 +179,12 @@ class Vocabulary:
             ranks[at] = self.pair_rank(ids[at], ids[at + 1])
         return done
 
-    def merge_long(self, word: bytes) -> np.ndarray:
+    def merge_long(self, word: bytes) -> bytes:
         """:meth:`merge` of one long word: ranks in ascending order, all pairs
         of a rank together, over a linked list.  Pairs of one rank that overlap
         (a run of one token) are merged from the left."""
         if not self.ordered:
-            return np.array(self.merge(word), np.uint32)
+            return np.array(self.merge(word), np.uint32).tobytes()
         n = len(word)
         ids = self.byte_ids[np.frombuffer(word, np.uint8)]
         after, before = np.arange(1, n + 1), np.arange(-1, n - 1)  # n and -1 end the list
@@ -224,24 +230,21 @@ class Vocabulary:
             before[following[inner]] = at[inner]
             left = before[at]
             wait(np.unique(np.concatenate([at[inner], left[left >= 0]])))
-        return ids[:n][alive[:n]].astype(np.uint32)
+        return ids[:n][alive[:n]].astype(np.uint32).tobytes()
 
     def encode_many(self, texts: list[str]) -> list[bytes]:
         """Ids of texts in which no special token is looked for."""
         split, known = [SPLIT.findall(t) for t in texts], self.words
-        new = list({w for words in split for w in words if w not in known})
+        new = {w for words in split for w in words if w not in known}
         if new:
             if len(known) >= REMEMBERED_WORDS:
                 used = {w for words in split for w in words}
                 known = self.words = {w: known[w] for w in used if w in known}
-            if len(new) < _FEW:
-                found = [np.array(self.merge(w.encode()), np.uint32) if len(w) <= WORD_BYTES else self.merge_all([w.encode()])[0]
-                         for w in new]
-            else:
-                found = self.merge_all([w.encode() for w in new])
-            coded = dict(zip(new, [ids.tobytes() for ids in found]))
-            known.update((w, ids) for w, ids in coded.items() if len(w) <= WORD_BYTES)
-            if len(new) > sum(1 for w in coded if w in known):  # long words aren't kept
+            coded = dict(zip(new, self.merge_all([w.encode() for w in new])))
+            if max(map(len, new)) <= WORD_BYTES:
+                known.update(coded)
+            else:  # long words aren't kept
+                known.update((w, ids) for w, ids in coded.items() if len(w) <= WORD_BYTES)
                 known = ChainMap(known, coded)
         return [known[words[0]] if len(words) == 1 else b"".join([known[w] for w in words]) for words in split]
 
@@ -427,18 +430,19 @@ class Encoder:
             kept = {p: self.known[p] for p in pieces if p in self.known}
             self.known.clear()
             self.known.update(kept)
-        new = [p for p in pieces if p not in self.known]
-        places = self.lexicon.find(new).tolist() if self.lexicon else [-1] * len(new)
-        unseen = []
-        for piece, place in zip(new, places):
-            if place >= 0:
-                self.known[piece] = self.lexicon.ids_of(place).tobytes()
-            elif depends_on_neighbours(piece):
-                self.known[piece] = None
-            else:
-                unseen.append(piece)
-        coded = self.vocab.encode_many([" " + p.decode() for p in unseen])
-        self.known.update(zip(unseen, coded))
+        known, new = self.known, [p for p in pieces if p not in self.known]
+        if self.lexicon:
+            places = self.lexicon.find(new)
+            held = np.flatnonzero(places >= 0)
+            starts, stops = self.lexicon.starts[places[held]].tolist(), self.lexicon.starts[places[held] + 1].tolist()
+            for k, a, b in zip(held.tolist(), starts, stops):
+                known[new[k]] = self.lexicon.ids[a:b].tobytes()
+            new = [new[k] for k in np.flatnonzero(places < 0).tolist()]
+        # pieces between two printable ASCII characters stand alone
+        alone = [p for p in new if p and 32 < p[0] < 127 and 32 < p[-1] < 127 or not depends_on_neighbours(p)]
+        if len(alone) < len(new):
+            known.update(dict.fromkeys(set(new).difference(alone)))
+        known.update(zip(alone, self.vocab.encode_many([" " + p.decode() for p in alone])))
 
     def encode_all(self, texts: list[bytes]) -> list[bytes]:
         """Ids of each text as little-endian unsigned 32-bit integers."""
