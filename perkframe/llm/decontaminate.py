@@ -22,6 +22,7 @@ that can't join.  What passes is joined on the full hash.
 
 from __future__ import annotations
 
+import itertools
 import re
 
 import numpy as np
@@ -98,47 +99,67 @@ _UNIT_WORDS = frozenset(u.encode() for u in UNITS)
 _NAME_CODE = _code(NAME, "")
 
 
-def _row(word: bytes) -> tuple[int, int, int, bool, bool]:
+def _row(word: bytes) -> tuple[int, int, int, int]:
     """(code as written, case-folded, code of the case-folded value, whether the
-    two forms are literals) of a word; zeros for one of punctuation only."""
+    two forms are literals: 1 and 2) of a word; zeros for one of punctuation
+    only."""
     if word.isascii():  # words of plain letters, without decoding
         bare = word.strip(_ASCII_EDGE)
         if bare.isalpha():
             low = bare.lower()
             if low not in _UNIT_WORDS:
                 code = xxhash.xxh64_intdigest(b"w" + low, 8) | 1
-                return (_NAME_CODE, code, code, False, True) if bare[:1].isupper() else (code, code, code, True, True)
+                return (_NAME_CODE, code, code, 2) if bare[:1].isupper() else (code, code, code, 3)
     text = word.decode("utf-8", "replace")
     written = canonical(text)
     if written is None:
-        return 0, 0, 0, False, False
+        return 0, 0, 0, 0
     casefolded = text.casefold()
     folded = written if casefolded == text else canonical(casefolded) or written
     code = _code(*folded)
     value = code if folded[0] == LITERAL else xxhash.xxh64_intdigest(b"v%d:%s" % (folded[0], folded[1].encode()), 8) | 1
-    return (code if folded is written else _code(*written)), code, value, written[0] == LITERAL, folded[0] == LITERAL
+    literals = (written[0] == LITERAL) + 2 * (folded[0] == LITERAL)
+    return (code if folded is written else _code(*written)), code, value, literals
+
+
+class _Places(dict):
+    """Numbers words as they come; ``new`` lists those since it was emptied."""
+
+    def __init__(self):
+        super().__init__()
+        self.new: list[bytes] = []
+
+    def __missing__(self, word: bytes) -> int:
+        self.new.append(word)
+        place = self[word] = len(self)
+        return place
 
 
 class Tokens:
     """Tokens of words (see :func:`_row`), with a bounded memory of words."""
 
     def __init__(self):
-        self.places: dict[bytes, int] = {}
-        self.codes = np.zeros((5, 1024), np.uint64)
+        self.places = _Places()
+        self.codes, self.literals = np.zeros((3, 1024), np.uint64), np.zeros(1024, np.uint8)
 
     def of(self, words: list[bytes]) -> np.ndarray:
-        """The five rows of a list of words."""
+        """Places of the words in ``codes`` and ``literals``, until the next call."""
         places = self.places
         if len(places) > REMEMBERED:
             places.clear()
-        new = list(set(words).difference(places))
-        if new:
-            k, n = len(places), len(places) + len(new)
-            if n > self.codes.shape[1]:
-                self.codes = np.concatenate([self.codes, np.zeros((5, max(n, 2 * k) - self.codes.shape[1]), np.uint64)], axis=1)
-            self.codes[:, k:n] = np.array(list(map(_row, new)), np.uint64).T
-            places.update(zip(new, range(k, n)))
-        return self.codes[:, np.fromiter(map(places.__getitem__, words), np.int64, len(words))]
+        at = np.fromiter(map(places.__getitem__, words), np.int64, len(words))
+        if places.new:
+            k, n = len(places) - len(places.new), len(places)
+            if n > len(self.literals):
+                more = max(n, 2 * k) - len(self.literals)
+                self.codes = np.concatenate([self.codes, np.zeros((3, more), np.uint64)], axis=1)
+                self.literals = np.concatenate([self.literals, np.zeros(more, np.uint8)])
+            written, folded, values, literals = zip(*map(_row, places.new))
+            for row, found in zip(self.codes, (written, folded, values)):
+                row[k:n] = found
+            self.literals[k:n] = literals
+            places.new.clear()
+        return at
 
 
 class Texts:
@@ -146,14 +167,16 @@ class Texts:
 
     def __init__(self, texts: list[bytes], tokens: Tokens):
         split = [t.split() for t in texts]
-        words = [w for ws in split for w in ws]
-        codes = tokens.of(words)
+        words = list(itertools.chain.from_iterable(split))
+        places = tokens.of(words)
         text = np.repeat(np.arange(len(texts)), np.fromiter(map(len, split), np.int64, len(split)))
-        keep = codes[0] != 0
+        written = tokens.codes[0][places]
+        keep = written != 0
         if not keep.all():
-            words = [w for w, k in zip(words, keep.tolist()) if k]
-            codes, text = codes[:, keep], text[keep]
-        self.words, self.codes, self.text = words, codes, text
+            words = list(itertools.compress(words, keep.tolist()))
+            places, text, written = places[keep], text[keep], written[keep]
+        self.words, self.text, self.written, self.folded = words, text, written, tokens.codes[1][places]
+        self.values_of, self.places, self.literals = tokens.codes[2], places, tokens.literals[places]
         self.sizes = np.bincount(text, minlength=len(texts))
         self.ends = np.cumsum(self.sizes)
         self.left = self.ends[text] - np.arange(len(text))  # tokens from here to the text's end
@@ -162,16 +185,15 @@ class Texts:
         """(width, places, hashes, folded) of the windows of each width, as
         written, then of those case-folded ones that differ.  A width -n stands
         for whole texts of n tokens, which are hashed by their values."""
-        codes, n = self.codes, len(self.text)
+        n, longest = len(self.text), max(widths)
         if not n:
             return
-        longest = max(widths)
-        pad = np.zeros(max(longest, 1), np.uint64)
-        rows = [np.concatenate([r, pad]) for r in codes[:3]]
-        literals = [np.cumsum(np.concatenate([[np.uint64(0)], r])).astype(np.int64) for r in codes[3:]]
         for width in (w for w in widths if w < 0):
             places = np.flatnonzero((self.left == -width) & (self.sizes[self.text] == -width))
-            yield width, places, self._values(rows[2], places, -width), True
+            yield width, places, self._values(places, -width), True
+        pad = np.zeros(max(longest, 1), np.uint64)
+        rows = [np.concatenate([r, pad]) for r in (self.written, self.folded)]
+        literals = [np.concatenate([[0], np.cumsum(self.literals & bit != 0)]) for bit in (1, 2)]
         with np.errstate(over="ignore"):
             state = [np.full(n, _SEED), np.full(n, _SEED)]
             for k in range(max(longest, 0)):
@@ -184,7 +206,7 @@ class Texts:
                     h = (h[places] ^ (h[places] >> np.uint64(29))) * _LAST
                     few = np.flatnonzero(seen[places + width] - seen[places] < min(LITERALS, width))
                     if len(few):
-                        h[few] = self._values(rows[2], places[few], width)
+                        h[few] = self._values(places[few], width)
                     if not folded:
                         written = h
                         yield width, places, h, False
@@ -192,12 +214,12 @@ class Texts:
                         other = np.flatnonzero(h != written)
                         yield width, places[other], h[other], True
 
-    @staticmethod
-    def _values(row: np.ndarray, places: np.ndarray, width: int) -> np.ndarray:
+    def _values(self, places: np.ndarray, width: int) -> np.ndarray:
+        """Hashes of the values from these places on."""
         with np.errstate(over="ignore"):
             h = np.full(len(places), _SEED ^ _LAST)
             for k in range(width):
-                h = (h ^ (h >> np.uint64(31))) * _MULT + row[places + k]
+                h = (h ^ (h >> np.uint64(31))) * _MULT + self.values_of[self.places[places + k]]
             return (h ^ (h >> np.uint64(29))) * _LAST
 
     def values(self, place: int, width: int, folded: bool) -> list[str]:
