@@ -12,6 +12,7 @@ commits, lists the files that count.
 
 from __future__ import annotations
 
+import codecs
 import json
 import os
 import re
@@ -35,8 +36,9 @@ CHUNK_BITS = 8
 RANK_BITS = 512
 #: Tokens after which a task starts a new file; bounds a task's memory.
 FILE_TOKENS = 8 << 20
-#: Words whose ids a task remembers.
-REMEMBERED = 300_000
+#: Words whose ids a task remembers, and bytes of texts that it cuts together
+#: (a longer text is taken in parts).
+REMEMBERED, TEXT_BYTES = 300_000, 2 << 20
 
 MANIFEST = "part int, seq int, path string, n_docs long, n_tokens long, file_bytes long"
 READ_BACK = "id long, start long, n_tokens long, ids_crc32 long"
@@ -161,79 +163,180 @@ class TokenFile:
 
 
 # ----------------------------------------------------------- the encoder
-# A run of Latin letters and ASCII punctuation after it: the tokenizer's
-# normalizer only lower-cases it, and the two are pre-tokens of their own.
-_PLAIN = re.compile(r"([A-Za-z\u00c0-\u00d6\u00d8-\u00f6\u00f8-\u00ff]+)([!-/:-@\[-`{-~]*)")
+# What a byte of a text is part of.  The second byte of a letter from U+00C0 to
+# U+00FF counts as a letter; other characters beyond ASCII, controls and
+# apostrophes (contractions are pre-tokens) make their whole word an odd one.
+_SPACE, _LETTER, _SIGN, _DIGIT, _ODD = range(5)
+_KIND = np.full(256, _ODD, np.uint8)
+_KIND[33:127] = _SIGN
+_KIND[[9, 10, 11, 12, 13, 32]] = _SPACE
+_KIND[48:58] = _DIGIT
+_KIND[[*range(65, 91), *range(97, 123), *range(0x80, 0xC0), 0xC3]] = _LETTER
+_KIND[ord("'")] = _ODD
+_SPACES = re.compile(rb"[\x20\x09-\x0D]")
+
+
+def _chars_of_bytes() -> str:
+    """The character that stands for each byte in a byte-level vocabulary: its
+    own in Latin-1 if that is printable, else the next one from 256 on.  A space
+    stays, it parts the pieces."""
+    chars, following = [], 256
+    for b in range(256):
+        if 33 <= b <= 126 or 161 <= b <= 172 or b >= 174:
+            chars.append(chr(b))
+        else:
+            chars.append(" " if b == 32 else chr(following))
+            following += 1
+    return "".join(chars)
 
 
 class WordEncoder:
-    """Whole texts through the tokenizers library, one distinct word once.
+    """Whole texts through the tokenizers library, one distinct piece once.
 
     Only for tokenizers that lower-case, drop white space and never look across
     it, as those with word ends do: then a text's ids are those of its words in
-    turn.  A word that is plain (see ``_PLAIN``) goes to the library's model
-    as the pre-tokens that it has; any other word through all of the library.
+    turn.  Words of letters up to U+00FF, digits and ASCII signs are cut into
+    their pre-tokens (runs of letters, runs of signs, single digits), which go
+    to the library's model; any other word goes through all of the library.
     """
 
     def __init__(self, path: str, end_id: int):
         os.environ.setdefault("TOKENIZERS_PARALLELISM", "false")
         from tokenizers import Tokenizer
-        from tokenizers.pre_tokenizers import ByteLevel
+        from tokenizers.pre_tokenizers import Split
         self.tokenizer = Tokenizer.from_file(path)
         self.tokenizer.no_truncation()
         self.tokenizer.no_padding()
         self.model = self.tokenizer.model
-        self.letters = ByteLevel(add_prefix_space=False, use_regex=False)
+        self.parted = Tokenizer(self.model)  # for pre-tokens, a space between them
+        self.parted.pre_tokenizer = Split(" ", "removed")
+        self.chars = _chars_of_bytes()
+        # only the last token of a pre-token has the word's end
+        suffix, vocab = self.model.end_of_word_suffix, self.tokenizer.get_vocab()
+        self.is_last = np.zeros(1 + max(vocab.values()), bool)
+        if suffix:
+            self.is_last[[i for token, i in vocab.items() if token.endswith(suffix)]] = True
         self.end = struct.pack("<I", end_id)
-        self.known: dict[bytes, bytes] = {}
-        self.runs: dict[str, bytes] = {}
-
-    def _run(self, run: str) -> bytes:
-        """Ids of one pre-token (lower-cased)."""
-        got = self.runs.get(run)
-        if got is None:
-            mapped = run if run.isascii() else self.letters.pre_tokenize_str(run)[0][0]
-            ids = [t.id for t in self.model.tokenize(mapped)]
-            got = self.runs[run] = struct.pack(f"<{len(ids)}I", *ids)
-        return got
-
-    def learn(self, words: set[bytes]) -> None:
+        self.known: dict[str, bytes] = {}
+
+    def _pre_tokens(self, pieces: list[str]) -> list[bytes]:
+        """Ids of (lower-cased) pre-tokens."""
+        out = []
+        for a in range(0, len(pieces), 4096):
+            part = pieces[a:a + 4096]
+            mapped = codecs.charmap_decode(" ".join(part).encode(), "strict", self.chars)[0]
+            ids = np.array(self.parted.encode_batch_fast([mapped], add_special_tokens=False)[0].ids, np.uint32)
+            ends = ((np.flatnonzero(self.is_last[ids]) + 1) * 4).tolist()
+            if len(ends) == len(part):
+                raw = ids.tobytes()
+                out += [raw[i:j] for i, j in zip([0, *ends], ends)]
+            else:  # a vocabulary without word ends
+                out += [np.array([t.id for t in self.model.tokenize(x)], np.uint32).tobytes() for x in mapped.split(" ")]
+        return out
+
+    def _odd_words(self, words: list[str]) -> list[bytes]:
+        out = []
+        for a in range(0, len(words), 4096):
+            coded = self.tokenizer.encode_batch_fast(words[a:a + 4096], add_special_tokens=False)
+            out += [np.array(x.ids, np.uint32).tobytes() for x in coded]
+        return out
+
+    def _ids_of(self, pieces: list[str], odd: np.ndarray) -> list[bytes]:
         known = self.known
-        if len(known) + len(words) > REMEMBERED:
+        coded = list(map(known.get, pieces))
+        new = [k for k, x in enumerate(coded) if x is None]
+        if len(known) + len(new) > REMEMBERED:
             # what was used just now is likely to be used again
-            kept = {w: known[w] for w in words if w in known}
             known.clear()
-            known.update(kept)
-        if len(self.runs) > REMEMBERED:
-            self.runs.clear()
-        rest = []
-        for w in words:
-            if w not in known:
-                text = w.decode()
-                plain = _PLAIN.fullmatch(text)
-                if plain:
-                    ids = self._run(plain[1].lower())
-                    known[w] = ids + self._run(plain[2]) if plain[2] else ids
-                else:
-                    rest.append((w, text))
-        for a in range(0, len(rest), 4096):
-            part = rest[a:a + 4096]
-            coded = self.tokenizer.encode_batch_fast([t for _, t in part], add_special_tokens=False)
-            for (w, _), x in zip(part, coded):
-                known[w] = struct.pack(f"<{len(x.ids)}I", *x.ids)
+            known.update((w, x) for w, x in zip(pieces, coded) if x is not None)
+        is_odd = odd[new].tolist()
+        for some, encode in (([k for k, x in zip(new, is_odd) if not x], self._pre_tokens),
+                             ([k for k, x in zip(new, is_odd) if x], self._odd_words)):
+            words = [pieces[k] for k in some]
+            found = encode(words)
+            known.update(zip(words, found))
+            for k, x in zip(some, found):
+                coded[k] = x
+        return coded
+
+    def _cut(self, raw: np.ndarray, starts: np.ndarray) -> tuple[pa.Array, np.ndarray, np.ndarray]:
+        """Pre-tokens (lower-cased) and odd words of the texts that begin at
+        ``starts``: the pieces, where they begin, and which are odd words."""
+        kind = _KIND[raw]
+        after_c3 = raw[:-1] == 0xC3
+        # the signs of U+00D7 and U+00F7, and special tokens
+        kind[1:][after_c3 & ((raw[1:] == 0x97) | (raw[1:] == 0xB7))] = _ODD
+        kind[1:][(raw[:-1] == ord("<")) & (raw[1:] == ord("|"))] = _ODD
+        body = kind != _SPACE
+        cut = kind == _DIGIT
+        cut[1:] |= kind[1:] != kind[:-1]
+        cut[starts] = True
+        at = np.flatnonzero(cut & body)
+        begins = kind[at - 1] == _SPACE  # a word
+        begins[:1] = True
+        begins[np.searchsorted(at, starts[body[starts]])] = True
+        word = np.cumsum(begins) - 1
+        odd = np.zeros(len(at), bool)
+        odd[word[kind[at] == _ODD]] = True
+        odd = odd[word]
+        kept = begins | ~odd
+        at, odd = at[kept], odd[kept]
+        upper = (raw - np.uint8(65)) < 26
+        upper[1:] |= after_c3 & ((raw[1:] - np.uint8(0x80)) < 0x1F)
+        if odd.any():  # those stay as they are
+            upper[at[0]:] &= ~np.repeat(odd, np.diff(at, append=len(raw)))
+        lower = raw + (upper.view(np.uint8) << 5)
+        ends = np.cumsum(body, dtype=np.int32)
+        offsets = np.append(ends[at] - 1, ends[-1:]).astype(np.int32)
+        pieces = pa.StringArray.from_buffers(len(at), pa.py_buffer(offsets), pa.py_buffer(lower[body]))
+        return pieces, at, odd
+
+    def _encode(self, raw: np.ndarray, bounds: np.ndarray) -> list[bytes]:
+        """Ids of the texts between ``bounds``."""
+        starts = bounds[:-1]
+        cut, at, is_odd = self._cut(raw, starts[starts < len(raw)])
+        cut = cut.dictionary_encode()
+        pieces, number = cut.dictionary.to_numpy(zero_copy_only=False).tolist(), cut.indices.to_numpy()
+        odd = np.zeros(len(pieces), bool)
+        odd[number[is_odd]] = True
+        coded = [*self._ids_of(pieces, odd), self.end]
+        sizes = np.fromiter(map(len, coded), np.int64, len(coded)) // 4
+        starts = np.cumsum(sizes) - sizes
+        # the pieces of each text by their numbers, and the end id after them
+        ends = np.searchsorted(at, bounds[1:])
+        order = np.insert(number, ends, len(pieces))
+        ends += np.arange(len(ends))
+        # the ids of every piece, one piece after the other
+        sizes, starts = sizes[order], starts[order]
+        until = np.cumsum(sizes)
+        place = np.arange(until[-1]) + np.repeat(starts - (until - sizes), sizes)
+        ids = np.frombuffer(b"".join(coded), np.uint32)[place].tobytes()
+        cuts = (until[ends] * 4).tolist()
+        return [ids[i:j] for i, j in zip([0, *cuts], cuts)]
+
+    def _encode_long(self, text: bytes) -> bytes:
+        """Ids of a text, some words at a time."""
+        out, start = [], 0
+        while start < len(text):
+            space = _SPACES.search(text, start + TEXT_BYTES)
+            stop = space.start() if space else len(text)
+            raw = np.frombuffer(text, np.uint8)[start:stop]
+            out.append(self._encode(raw, np.array([0, len(raw)]))[0][:-len(self.end)])
+            start = stop
+        return b"".join([*out, self.end])
 
     def encode_all(self, texts: list[bytes]) -> list[bytes]:
         """Ids of each text, and the end id, as unsigned 32-bit integers."""
+        ends = np.cumsum([0, *map(len, texts)])
         out, start = [], 0
-        split = [t.split() for t in texts]  # at x20, x09-x0D
         while start < len(texts):
-            stop, words = start, set()
-            while stop < len(texts) and (stop == start or len(words) < REMEMBERED // 2):
-                words.update(split[stop])
-                stop += 1
-            self.learn(words)
-            look = self.known.__getitem__
-            out += [b"".join(map(look, split[k])) + self.end for k in range(start, stop)]
+            if len(texts[start]) > TEXT_BYTES:
+                out.append(self._encode_long(texts[start]))
+                start += 1
+                continue
+            stop = int(np.searchsorted(ends, ends[start] + TEXT_BYTES, "right")) - 1
+            raw = np.frombuffer(b"".join(texts[start:stop]), np.uint8)
+            out += self._encode(raw, ends[start:stop + 1] - ends[start])
             start = stop
         return out
 

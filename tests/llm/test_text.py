@@ -61,6 +61,42 @@ def test_word_encoder_equals_the_library_on_odd_texts():
     assert [np.frombuffer(g, np.uint32).tolist() for g in got] == [w.ids + [2] for w in want]
 
 
+def test_word_encoder_equals_the_library_on_any_signs(monkeypatch):
+    rng = random.Random(2)
+    pool = [chr(c) for c in [*range(0x180), 0x2BC, 0x300, 0x301, 0x307, 0x30C, 0x345, 0x3A3, 0x4E2D, 0x1E9E, 0x2003, 0x2028, 0x212A,
+                             0x212B, 0xFB01, 0x1F600]]
+    plain = [c for c in pool if c.isascii() and c.isprintable()] + list(" \n\tÀÖ×ØÞß÷öÿ")
+    parts = ["<|endoftext|>", "<|", "|>", "'s", "'LL", "don't", "No.", "x2y", "</w>"]
+    texts = ["".join(rng.choice(rng.choice((pool, plain, plain, parts))) for _ in range(rng.randint(0, 40))) for _ in range(4000)]
+    texts += ["", " ", " ".join(texts[:50])]
+    want = [x.ids + [2] for x in Tokenizer.from_file(WORD_VOCABULARY).encode_batch(texts, add_special_tokens=False)]
+    for size, remembered in ((1 << 20, 300_000), (7, 300_000), (300, 50)):
+        monkeypatch.setattr(token_store, "TEXT_BYTES", size)
+        monkeypatch.setattr(token_store, "REMEMBERED", remembered)
+        got = token_store.WordEncoder(WORD_VOCABULARY, 2).encode_all([t.encode() for t in texts])
+        assert [np.frombuffer(g, np.uint32).tolist() for g in got] == want
+
+
+def test_word_encoder_asks_the_library_for_many_words_at_once():
+    class Counted:
+        def __init__(self, inner):
+            self.inner, self.calls = inner, 0
+
+        def __getattr__(self, name):
+            self.calls += 1
+            return getattr(self.inner, name)
+
+    rng = random.Random(3)
+    text = " ".join(w + rng.choice(["", ",", ".", "-1"]) for w in words(rng, 5000).split())
+    encoder = token_store.WordEncoder(WORD_VOCABULARY, 2)
+    counted = {name: Counted(x) for name, x in vars(encoder).items() if type(x).__module__.startswith("tokenizers")}
+    vars(encoder).update(counted)
+    got = encoder.encode_all([text.encode(), text.upper().encode()])
+    want = Tokenizer.from_file(WORD_VOCABULARY).encode_batch([text, text.upper()], add_special_tokens=False)
+    assert [np.frombuffer(g, np.uint32).tolist() for g in got] == [w.ids + [2] for w in want]
+    assert 0 < sum(c.calls for c in counted.values()) < 20
+
+
 # -------------------------------------------------------------------- BPE
 def brute_bpe(texts):
     tokenizer = Tokenizer.from_file(BYTE_VOCABULARY)
